@@ -121,3 +121,23 @@ def with_neighbors(df: DataFrame, key: str | Sequence[str], order: Sequence[Colu
     drop = [ck, rn, cnt, "_nb_after", "_nb_before"] + [f"_nb_ld{j}" for j in leads] + \
         [f"_nb_lg{j}" for j in lags]
     return d.drop(*[c for c in drop if c in d.columns])
+
+
+def ordinal_in_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column],
+                   chunk: Column, out: str = "step") -> DataFrame:
+    """``row_number() over (partition by key order by ...)`` without a per-key task.
+
+    Row number inside ``(key, chunk)`` plus the number of rows in earlier
+    chunks of the key (a running sum over the per-chunk counts).
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    ck = "_on_ck"
+    w = Window.partitionBy(*keys, ck).orderBy(*order)
+    d = df.withColumn(ck, chunk).withColumn("_on_rn", F.row_number().over(w))
+    summ = d.groupBy(*keys, ck).agg(F.count(F.lit(1)).alias("_on_n"))
+    wk = Window.partitionBy(*keys).orderBy(ck)
+    summ = summ.select(*keys, ck, F.coalesce(F.sum("_on_n").over(
+        wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_on_off"))
+    return (d.join(summ, [*keys, ck])
+             .withColumn(out, (F.col("_on_off") + F.col("_on_rn")).cast("bigint"))
+             .drop(ck, "_on_rn", "_on_off"))

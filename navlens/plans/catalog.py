@@ -81,3 +81,239 @@ ws as (select * from ss where hits >= 8)"""
 @query("wandering_sessions", W(f"{JN},\n{WANDER_SQL}\nselect * from ws order by hits desc, visit_id"))
 def q_wandering(spark, sf_dir):
     return WD.wandering_sessions(Inputs(spark, sf_dir).joined)
+
+
+BALL = f"""ball0 as (select visit_id, {O.ids_sql()} as ids from visits),
+ball as (select visit_id, unnest(generate_series(1, len(ids))) as pos, unnest(ids) as watch_id from ball0)"""
+
+
+@query("hits_matching_visits", W(f"{BALL}\nselect * from hits where watch_id in (select watch_id from ball)"))
+def q_hits_matching(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return L.hits_matching_visits(i.hits, L.watch_id_bridge(i.visits))
+
+
+@query("visits_filtered_by_hits", W(f"{JN}\nselect * from ex where watch_id in (select watch_id from hits)"))
+def q_visits_filtered(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return L.visits_filtered_by_hits(i.exploded, i.hits)
+
+
+_EX_COLS = ", ".join(f"ex.{c}" + (" as client_id_visit" if c == "client_id" else "")
+                     for c in O.VISIT_OTHER_COLS)
+
+
+def _join_sql(how: str) -> str:
+    key = "coalesce(ex.watch_id, h.watch_id)" if how == "right" else "ex.watch_id"
+    return W(f"""{JN}
+select {key} as watch_id, ex.visit_id, ex.pos, {_EX_COLS}, h.client_id as client_id_hit,
+       h.url, h.datetime_hit, h.title
+from ex {how} join hits h on ex.watch_id = h.watch_id""")
+
+
+@query("join_left_watch", _join_sql("left"))
+def q_join_left(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return L.join_visits_hits(i.exploded, i.hits, how="left")
+
+
+@query("join_right_watch", _join_sql("right"))
+def q_join_right(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return L.join_visits_hits(i.exploded, i.hits, how="right")
+
+
+@query("join_left_watch_client", W(f"""{JN}
+select ex.watch_id, ex.client_id, ex.visit_id, ex.pos,
+       {", ".join("ex." + c for c in O.VISIT_OTHER_COLS if c != "client_id")},
+       h.url, h.datetime_hit, h.title
+from ex left join hits h on ex.watch_id = h.watch_id and trim(ex.client_id) = trim(h.client_id)"""))
+def q_join_left_client(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    ex = i.exploded.withColumn("client_id", F.trim(F.col("client_id").cast("string")))
+    hits = i.hits.withColumn("client_id", F.trim(F.col("client_id").cast("string")))
+    return L.join_visits_hits(ex, hits, how="left", on=("watch_id", "client_id"))
+
+
+@query("visits_with_hits", W(f"""{BALL},
+n as (select b.visit_id, count(*) as n_hits, string_agg(b.watch_id, ',' order by b.pos) as hit_ids
+      from ball b join hits h using (watch_id) group by b.visit_id)
+select v.visit_id, coalesce(n.n_hits, 0) as n_hits, coalesce(n.hit_ids, '') as hit_ids
+from visits v left join n using (visit_id)"""))
+def q_visits_with_hits(spark, sf_dir):
+    nested = L.visits_with_hits(*_vh(spark, sf_dir))
+    return nested.select("visit_id", F.size("hits").cast("bigint").alias("n_hits"),
+                         F.array_join(F.transform("hits", lambda h: h["watch_id"]), ",").alias("hit_ids"))
+
+
+def _vh(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return i.visits, i.hits
+
+
+@query("visit_paths", W(f"""{BALL}
+select b.visit_id, row_number() over (partition by b.visit_id order by h.datetime_hit nulls first, b.pos) as step,
+       b.pos, b.watch_id, h.url, h.datetime_hit
+from ball b join hits h using (watch_id)"""))
+def q_visit_paths(spark, sf_dir):
+    from navlens.operators.sequence import ordinal_in_key, time_chunk
+    i = Inputs(spark, sf_dir)
+    rows = L.visit_hit_rows(L.watch_id_bridge(i.visits), i.hits)
+    out = ordinal_in_key(rows, "visit_id", [F.col("datetime_hit").asc_nulls_first(), F.col("pos")],
+                         time_chunk("datetime_hit", PA.PATH_CHUNK_SECONDS, nulls_first=True))
+    return out.select("visit_id", "step", "pos", "watch_id", "url", "datetime_hit")
+
+
+@query("join_diagnostics", W(f"""{JN},
+v as (select watch_id, count(*) as n_v from ex group by 1),
+h as (select watch_id, count(*) as n_h, count(url) as n_url from hits group by 1),
+k as (select * from v full outer join h using (watch_id)),
+a as (select cast(coalesce(sum(n_v), 0) as bigint) as exploded_rows, count(n_v) as distinct_visit_ids,
+             count(n_h) as distinct_hit_ids,
+             count(*) filter (where n_v is not null and n_h is not null) as common_ids,
+             count(*) filter (where n_h is null) as only_visit_ids,
+             count(*) filter (where n_v is null) as only_hit_ids,
+             cast(coalesce(sum(n_h * coalesce(n_v, 1)), 0) as bigint) as merged_rows,
+             cast(coalesce(sum(n_url * coalesce(n_v, 1)), 0) as bigint) as rows_with_url from k)
+select *, case when merged_rows > 0 then rows_with_url / merged_rows * 100 end as pct_url_filled from a"""))
+def q_join_diag(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return L.join_diagnostics(i.exploded, i.hits)
+
+
+@query("filter_diagnostics", W(f"""{JN},
+a as (select count(*) as rows_before,
+             count(*) filter (where watch_id in (select watch_id from hits)) as rows_after from ex)
+select rows_before, rows_after, rows_before - rows_after as rows_removed,
+       case when rows_before > 0 then (rows_before - rows_after) / rows_before * 100 end as pct_removed from a"""))
+def q_filter_diag(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return L.filter_diagnostics(i.exploded, i.hits)
+
+
+query("ids_common", W(f"{JN}\nselect watch_id from ex intersect select watch_id from hits"))(
+    lambda s, d: L.ids_common(Inputs(s, d).exploded, Inputs(s, d).hits))
+query("ids_only_visits", W(f"{JN}\nselect watch_id from ex except select watch_id from hits"))(
+    lambda s, d: (lambda i: L.ids_only_visits(i.exploded, i.hits))(Inputs(s, d)))
+query("ids_only_hits", W(f"{JN}\nselect watch_id from hits except select watch_id from ex"))(
+    lambda s, d: (lambda i: L.ids_only_hits(i.exploded, i.hits))(Inputs(s, d)))
+query("ids_distinct", W(f"{JN}\nselect distinct watch_id from ex"))(
+    lambda s, d: L.ids_distinct(Inputs(s, d).exploded))
+
+
+@query("joined_by_version", W(f"""{O.periods_sql(R.DEFAULT_PERIODS)},
+{JN}
+select jn.*, p.version from jn
+join periods p on jn.date_time between p.period_start and p.period_end"""))
+def q_joined_by_version(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    tagged = R.tag_visits(i.visits, R.period_table(spark, i.periods)).drop("release_ord")
+    return L.joined_table(tagged, i.hits)
+
+
+# ================================================================ wandering / backtracks
+
+FUNNEL_PATTERNS = ["/purchase/", "/signup/"]
+
+
+@query("wandering_excl_funnel", W(f"""{JN},
+{WANDER_SQL}
+select * from ws where visit_id not in
+  (select visit_id from jn where regexp_matches(url, '{"|".join(FUNNEL_PATTERNS)}'))
+order by hits desc, visit_id"""))
+def q_wandering_excl(spark, sf_dir):
+    return WD.wandering_excl_funnel(Inputs(spark, sf_dir).joined, FUNNEL_PATTERNS)
+
+
+@query("top_wandering", W(f"{JN},\n{WANDER_SQL}\nselect * from ws order by hits desc, visit_id limit 5"))
+def q_top_wandering(spark, sf_dir):
+    return WD.top_wandering(Inputs(spark, sf_dir).joined)
+
+
+@query("wandering_summary", W(f"""{JN},
+{WANDER_SQL},
+a as (select count(*) as total_sessions, count(*) filter (where hits >= 8) as wandering_sessions,
+             avg(hits) filter (where hits >= 8) as mean_hits,
+             avg(unique_pages) filter (where hits >= 8) as mean_unique_pages,
+             max(hits) filter (where hits >= 8) as max_hits from ss)
+select total_sessions, wandering_sessions,
+       case when total_sessions > 0 then wandering_sessions / total_sessions * 100 end as wandering_pct,
+       mean_hits, mean_unique_pages, max_hits,
+       coalesce(wandering_sessions / total_sessions > 0.1, false) as high_wandering_rate,
+       coalesce(mean_unique_pages / mean_hits < 0.5, false) as repeat_visits_flag from a"""))
+def q_wandering_summary(spark, sf_dir):
+    return WD.wandering_summary(Inputs(spark, sf_dir).joined)
+
+
+def _quantile_sql(col: str, src: str, qs) -> str:
+    return "select " + ", ".join(f"quantile_cont({col}, {q}) as {WD._qname(q)}" for q in qs) + f" from {src}"
+
+
+query("wandering_quantiles", W(f"{JN},\n{WANDER_SQL}\n" + _quantile_sql("hits", "ws", WD.WANDERING_QUANTILES)))(
+    lambda s, d: WD.wandering_quantiles(Inputs(s, d).joined))
+
+
+def _bins_sql(src: str, col: str, bins, with_pct: bool) -> str:
+    vals = ", ".join(f"({i + 1}, '{lab}', {float(lo)}, {'NULL' if hi is None else float(hi)})"
+                     for i, (lab, lo, hi) in enumerate(bins))
+    pct = (", case when (select count(*) from " + src + ") > 0 then coalesce(c.n, 0) / (select count(*) from "
+           + src + ") * 100 end as percentage") if with_pct else ""
+    return f"""bins as (select * from (values {vals}) b(bin, segment, lower, upper)),
+c as (select b.bin, count(*) as n from {src} s join bins b
+      on s.{col} > b.lower and (b.upper is null or s.{col} <= b.upper) group by b.bin)
+select cast(b.bin as int) as bin, b.segment, cast(b.lower as double) as lower, cast(b.upper as double) as upper,
+       coalesce(c.n, 0) as sessions{pct}
+from bins b left join c using (bin)"""
+
+
+_WSEG = [("(8,15]", 8, 15), ("(15,25]", 15, 25), ("(25,50]", 25, 50), ("(50,inf]", 50, None)]
+query("wandering_segments", W(f"{JN},\n{WANDER_SQL},\n" + _bins_sql("ws", "hits", _WSEG, True)))(
+    lambda s, d: WD.wandering_segments(Inputs(s, d).joined))
+_WLEV = [("0-8", 0, 8), ("9-15", 8, 15), ("16+", 15, None)]
+query("wandering_levels", W(f"{JN},\n{WANDER_SQL},\n" + _bins_sql("ws", "hits", _WLEV, False)))(
+    lambda s, d: WD.wandering_levels(Inputs(s, d).joined))
+
+BT_SQL = """bt0 as (select visit_id, coalesce(url, '') as u,
+                lag(coalesce(url, ''), 2) over (partition by visit_id order by datetime_hit nulls last, watch_id) as p2
+                from jn),
+bt as (select visit_id, count(*) filter (where p2 = u) as backtracks from bt0 group by visit_id)"""
+
+query("backtracks", W(f"{JN},\n{BT_SQL}\nselect * from bt"))(lambda s, d: WD.backtracks(Inputs(s, d).joined))
+
+
+@query("backtrack_summary", W(f"""{JN},
+{BT_SQL},
+a as (select count(*) as total_sessions, count(*) filter (where backtracks > 0) as sessions_with_backtracks,
+             avg(backtracks) as mean_backtracks, quantile_cont(backtracks, 0.5) as median_backtracks,
+             max(backtracks) as max_backtracks, quantile_cont(backtracks, 0.9) as p90,
+             count(*) filter (where backtracks > 5) as problematic_sessions from bt)
+select total_sessions, sessions_with_backtracks, total_sessions - sessions_with_backtracks as sessions_without_backtracks,
+       case when total_sessions > 0 then sessions_with_backtracks / total_sessions * 100 end as pct_with_backtracks,
+       mean_backtracks, median_backtracks, max_backtracks, coalesce(max_backtracks > p90, false) as has_outliers,
+       case when mean_backtracks > 2 then 'high' when mean_backtracks > 0.5 then 'moderate' else 'low' end as level,
+       problematic_sessions from a"""))
+def q_backtrack_summary(spark, sf_dir):
+    return WD.backtrack_summary(Inputs(spark, sf_dir).joined)
+
+
+query("backtrack_quantiles", W(f"{JN},\n{BT_SQL}\n" + _quantile_sql("backtracks", "bt", WD.BACKTRACK_QUANTILES)))(
+    lambda s, d: WD.backtrack_quantiles(Inputs(s, d).joined))
+query("backtrack_segments", W(f"{JN},\n{BT_SQL},\n" + _bins_sql("bt", "backtracks", WD.BACKTRACK_SEGMENTS, True)))(
+    lambda s, d: WD.backtrack_segments(Inputs(s, d).joined))
+
+
+def _hist_sql(src: str, col: str, n: int) -> str:
+    return f"""r0 as (select min({col})::double as lo0, max({col})::double as hi0 from {src}),
+r as (select case when lo0 = hi0 then lo0 - 0.5 else lo0 end as lo,
+             case when lo0 = hi0 then hi0 + 0.5 else hi0 end as hi from r0 where lo0 is not null),
+c as (select least(floor(({col} - lo) * {n} / (hi - lo)), {n - 1})::bigint as bin, count(*) as n
+      from {src}, r group by 1)
+select g.bin, lo + g.bin * (hi - lo) / {n} as lower, lo + (g.bin + 1) * (hi - lo) / {n} as upper,
+       coalesce(c.n, 0) as count
+from r, (select range::bigint as bin from range({n})) g left join c on c.bin = g.bin"""
+
+
+query("hist_unique_pages", W(f"{JN},\n{WANDER_SQL},\n" + _hist_sql("ws", "unique_pages", 15)))(
+    lambda s, d: WD.hist_unique_pages(Inputs(s, d).joined))
+query("hist_backtracks", W(f"{JN},\n{BT_SQL},\n" + _hist_sql("bt", "backtracks", 20)))(
+    lambda s, d: WD.hist_backtracks(Inputs(s, d).joined))
