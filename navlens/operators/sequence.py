@@ -114,10 +114,10 @@ def with_neighbors(df: DataFrame, key: str | Sequence[str], order: Sequence[Colu
     d = d.join(summ, [*keys, ck])
     for j in leads:
         d = d.withColumn(f"{prefix}next{j}", F.when(F.col(rn) + j <= F.col(cnt), F.col(f"_nb_ld{j}"))
-                         .otherwise(F.try_element_at("_nb_after", F.col(rn) + j - F.col(cnt))))
+                         .otherwise(F.try_element_at("_nb_after", (F.col(rn) + j - F.col(cnt)).cast("int"))))
     for j in lags:
         d = d.withColumn(f"{prefix}prev{j}", F.when(F.col(rn) - j >= 1, F.col(f"_nb_lg{j}"))
-                         .otherwise(F.try_element_at("_nb_before", F.lit(j + 1) - F.col(rn))))
+                         .otherwise(F.try_element_at("_nb_before", (F.lit(j + 1) - F.col(rn)).cast("int"))))
     drop = [ck, rn, cnt, "_nb_after", "_nb_before"] + [f"_nb_ld{j}" for j in leads] + \
         [f"_nb_lg{j}" for j in lags]
     return d.drop(*[c for c in drop if c in d.columns])

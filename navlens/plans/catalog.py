@@ -317,3 +317,257 @@ query("hist_unique_pages", W(f"{JN},\n{WANDER_SQL},\n" + _hist_sql("ws", "unique
     lambda s, d: WD.hist_unique_pages(Inputs(s, d).joined))
 query("hist_backtracks", W(f"{JN},\n{BT_SQL},\n" + _hist_sql("bt", "backtracks", 20)))(
     lambda s, d: WD.hist_backtracks(Inputs(s, d).joined))
+
+
+# ================================================================ release metrics (two periods)
+
+def RW(body: str) -> str:
+    return W(f"{REL},\n{body}")
+
+
+def _facts(spark, sf_dir) -> R.ReleaseFacts:
+    return Inputs(spark, sf_dir).facts
+
+
+@query("release_info", RW("""v as (select release_ord, count(*) as total_visits,
+                   count(distinct nullif(client_id, '')) as unique_clients from tv group by 1),
+h as (select release_ord, count(*) as total_hits from rh group by 1)
+select p.release_ord, p.version, p.period_start, p.period_end, coalesce(v.total_visits, 0) as total_visits,
+       coalesce(h.total_hits, 0) as total_hits, coalesce(v.unique_clients, 0) as unique_clients
+from periods p left join v using (release_ord) left join h using (release_ord)"""))
+def q_release_info(spark, sf_dir):
+    return R.release_info(_facts(spark, sf_dir))
+
+
+@query("release_info_empty", W(f"""{O.periods_sql(R.DEFAULT_PERIODS + [("v0-empty", "2023-06-01 00:00:00", "2023-06-30 23:59:59")])},
+{O.RELEASE_CTES.replace("{IDS}", O.ids_sql())},
+v as (select release_ord, count(*) as total_visits,
+             count(distinct nullif(client_id, '')) as unique_clients from tv group by 1),
+h as (select release_ord, count(*) as total_hits from rh group by 1)
+select p.release_ord, p.version, p.period_start, p.period_end, coalesce(v.total_visits, 0) as total_visits,
+       coalesce(h.total_hits, 0) as total_hits, coalesce(v.unique_clients, 0) as unique_clients
+from periods p left join v using (release_ord) left join h using (release_ord)"""))
+def q_release_info_empty(spark, sf_dir):
+    periods = R.DEFAULT_PERIODS + [("v0-empty", "2023-06-01 00:00:00", "2023-06-30 23:59:59")]
+    return R.release_info(Inputs(spark, sf_dir, periods).facts)
+
+
+@query("visit_metrics", RW("""a as (select release_ord, count(*) as total_count, count(*) filter (where is_new_user) as new_users,
+       round_even(avg(coalesce(page_views, 0)), 2) as avg_page_views,
+       cast(trunc(quantile_cont(coalesce(page_views, 0), 0.5)) as int) as median_page_views,
+       cast(trunc(avg(coalesce(visit_duration, 0))) as int) as avg_duration_sec,
+       cast(trunc(quantile_cont(coalesce(visit_duration, 0), 0.5)) as int) as median_duration_sec,
+       cast(sum(coalesce(visit_duration, 0)) as bigint) as total_duration_sec from tv group by 1)
+select p.release_ord, p.version, coalesce(total_count, 0) as total_count, coalesce(new_users, 0) as new_users,
+       coalesce(total_count, 0) - coalesce(new_users, 0) as returning_users,
+       coalesce(avg_page_views, 0.0) as avg_page_views, coalesce(median_page_views, 0) as median_page_views,
+       coalesce(avg_duration_sec, 0) as avg_duration_sec, coalesce(median_duration_sec, 0) as median_duration_sec,
+       coalesce(total_duration_sec, 0) as total_duration_sec
+from periods p left join a using (release_ord)"""))
+def q_visit_metrics(spark, sf_dir):
+    return R.visit_metrics(_facts(spark, sf_dir))
+
+
+@query("pageview_metrics", RW("""a as (select release_ord, count(*) as total_count,
+                  count(distinct nullif(url, '')) as unique_urls from rh group by 1)
+select p.release_ord, p.version, coalesce(total_count, 0) as total_count, coalesce(unique_urls, 0) as unique_urls
+from periods p left join a using (release_ord)"""))
+def q_pageview_metrics(spark, sf_dir):
+    return R.pageview_metrics(_facts(spark, sf_dir))
+
+
+def _dist_sql(col: str, buckets) -> str:
+    vals = ", ".join(f"({i + 1}, {lo}, {'NULL' if hi is None else hi})" for i, (lo, hi) in enumerate(buckets))
+    return RW(f"""b as (select * from (values {vals}) b(bucket, range_min, range_max)),
+c as (select tv.release_ord, b.bucket, count(*) as n from tv join b
+      on coalesce(tv.{col}, 0) >= b.range_min and (b.range_max is null or coalesce(tv.{col}, 0) <= b.range_max)
+      group by 1, 2)
+select t.release_ord, t.version, cast(b.bucket as int) as bucket, cast(b.range_min as int) as range_min,
+       cast(b.range_max as int) as range_max, coalesce(c.n, 0) as count,
+       case when t.total_visits > 0 then round_even(coalesce(c.n, 0) / t.total_visits * 100, 1) else 0.0 end as percentage
+from tot t cross join b left join c on c.release_ord = t.release_ord and c.bucket = b.bucket""")
+
+
+query("dist_page_views", _dist_sql("page_views", R.PAGE_VIEW_BUCKETS))(
+    lambda s, d: R.dist_page_views(_facts(s, d)))
+query("dist_duration", _dist_sql("visit_duration", R.DURATION_BUCKETS))(
+    lambda s, d: R.dist_duration(_facts(s, d)))
+
+
+def _seg_sql(dim: str) -> str:
+    col, k = R.SEGMENT_DIMENSIONS[dim]
+    if dim == "device":
+        val = f"case when {col} = 1 then 'Desktop' when {col} = 2 then 'Mobile/Tablet' end"
+        order = "min(device_category)"
+        extra_sel, extra_g = ", g.device_category", f", {col} as device_category"
+    else:
+        val, order, extra_sel, extra_g = f"nullif({col}, '')", None, "", ""
+    order_by = "device_category" if dim == "device" else "visits desc, segment_value"
+    limit = f"where rank <= {k}" if k else ""
+    fallback = ""
+    if dim in R.SEGMENT_FALLBACK:
+        fallback = f"""
+union all
+select t.release_ord, t.version, 1, '{R.SEGMENT_FALLBACK[dim]}', t.total_visits, 100.0, 0.0, 0, 0
+from tot t where t.total_visits > 0 and not exists (select 1 from g where g.release_ord = t.release_ord)"""
+    return RW(f"""g as (select release_ord, {val} as segment_value{extra_g}, count(*) as visits,
+             sum(coalesce(page_views, 0)) as spv, sum(coalesce(visit_duration, 0)) as sdur,
+             count(*) filter (where coalesce(page_views, 0) = 1) as single_page_visits
+      from tv where {val} is not null group by all),
+r as (select *, cast(row_number() over (partition by release_ord order by {order_by}) as int) as rank from g)
+select r.release_ord, t.version, r.rank, r.segment_value{extra_sel.replace('g.', 'r.')}, r.visits,
+       case when t.total_visits > 0 then round_even(r.visits / t.total_visits * 100, 1) else 0.0 end as percentage,
+       round_even(r.spv / r.visits, 1) as avg_page_views, cast(trunc(r.sdur / r.visits) as int) as avg_duration_sec,
+       r.single_page_visits
+from r join tot t using (release_ord) {limit}{fallback}""")
+
+
+for _dim in R.SEGMENT_DIMENSIONS:
+    query(f"seg_{_dim}", _seg_sql(_dim))((lambda dim: lambda s, d: R.segment(_facts(s, d), dim))(_dim))
+
+
+def _page_sql(targets=None) -> str:
+    if targets:
+        vals = ", ".join(f"({i + 1}, '{u}')" for i, u in enumerate(targets))
+        pages = f"""tg as (select * from (values {vals}) t(rank, url)),
+pg as (select p.release_ord, cast(tg.rank as int) as rank, tg.url, us.total_hits, us.unique_visitors, us._title
+       from periods p cross join tg left join us on us.release_ord = p.release_ord and us.url = tg.url)"""
+    else:
+        pages = """pg as (select * from (select *, cast(row_number() over (partition by release_ord
+                 order by total_hits desc, url) as int) as rank from us) where rank <= 20)"""
+    return RW(f"""us as (select release_ord, url, count(*) as total_hits,
+              count(distinct nullif(client_id, '')) as unique_visitors,
+              min({{'t': coalesce(datetime_hit, timestamp '0001-01-01 00:00:00'), 'w': watch_id, 'title': title}})
+                filter (where title <> '').title as _title
+       from rh where url <> '' group by 1, 2),
+nu as (select release_ord, count(distinct url) as n_urls from rh where url <> '' group by 1),
+{pages},
+en as (select release_ord, start_url as url, count(*) as visits_as_entry,
+              count(*) filter (where coalesce(page_views, 0) = 1) as visits_with_single_page from tv group by 1, 2),
+xt as (select release_ord, end_url as url, count(*) as visits_as_exit from tv group by 1, 2)
+select pg.release_ord, p.version, pg.rank, pg.url,
+       substr(coalesce(pg._title, coalesce(nullif(string_split(pg.url, '/')[-1], ''), 'Page')), 1, 100) as title,
+       coalesce(en.visits_as_entry, 0) as visits_as_entry, coalesce(xt.visits_as_exit, 0) as visits_as_exit,
+       coalesce(pg.total_hits, 0) as total_hits, coalesce(pg.unique_visitors, 0) as unique_visitors,
+       coalesce(en.visits_with_single_page, 0) as visits_with_single_page,
+       greatest(least(10, coalesce(nu.n_urls, 0) - case when pg.total_hits is not null then 1 else 0 end), 0)
+         as subsequent_page_diversity
+from pg join periods p using (release_ord)
+left join en on en.release_ord = pg.release_ord and en.url = pg.url
+left join xt on xt.release_ord = pg.release_ord and xt.url = pg.url
+left join nu on nu.release_ord = pg.release_ord""")
+
+
+TARGET_URLS = ["https://site.example/purchase/0", "https://site.example/view/1",
+               "https://site.example/missing/page", "https://site.example/click/2"]
+
+query("page_metrics", _page_sql())(lambda s, d: R.page_metrics(_facts(s, d)))
+query("page_metrics_targets", _page_sql(TARGET_URLS))(
+    lambda s, d: R.page_metrics(_facts(s, d), target_urls=TARGET_URLS))
+
+
+def _funnel_sql(targets=None) -> str:
+    if targets and len(targets) >= 2:
+        t = targets[:5]
+        vals = ", ".join(f"({i + 1}, '{u}', {str(i + 1 == len(t)).lower()})" for i, u in enumerate(t))
+        steps = f"""st as (select p.release_ord, cast(s.step as int) as step, s.url, s.is_last
+       from periods p cross join (values {vals}) s(step, url, is_last))"""
+    else:
+        steps = """s0 as (select release_ord, start_url as url, count(*) as n from tv where start_url <> '' group by 1, 2),
+s1 as (select release_ord, url, cast(row_number() over (partition by release_ord order by n desc, url) as int) as step
+       from s0),
+st as (select release_ord, step, url, step = max(step) over (partition by release_ord) as is_last
+       from s1 where step <= 3)"""
+    return RW(f"""{steps},
+a as (select st.release_ord, st.step,
+             count(*) filter (where tv.start_url = st.url or contains(coalesce(tv.end_url, ''), st.url)) as ent,
+             count(*) filter (where tv.end_url = st.url) as cmp
+      from st join tv on tv.release_ord = st.release_ord group by 1, 2)
+select st.release_ord, p.version, st.step, st.url, coalesce(a.ent, 0) as visits_entered,
+       case when st.is_last then coalesce(a.ent, 0) else coalesce(a.cmp, 0) end as visits_completed
+from st join periods p using (release_ord) left join a on a.release_ord = st.release_ord and a.step = st.step""")
+
+
+query("funnel_entry_exit", _funnel_sql())(lambda s, d: R.funnel_entry_exit(_facts(s, d)))
+query("funnel_targets", _funnel_sql(TARGET_URLS))(
+    lambda s, d: R.funnel_entry_exit(_facts(s, d), target_urls=TARGET_URLS))
+
+
+@query("high_interaction", RW("""a as (select release_ord, count(*) filter (where coalesce(page_views, 0) >= 10) as n,
+             sum(coalesce(page_views, 0)) filter (where coalesce(page_views, 0) >= 10) as spv,
+             sum(coalesce(visit_duration, 0)) filter (where coalesce(page_views, 0) >= 10) as sdur
+      from tv group by 1)
+select t.release_ord, t.version, coalesce(a.n, 0) as sessions_high_interaction,
+       case when t.total_visits > 0 then round_even(coalesce(a.n, 0) / t.total_visits * 100, 1) else 0.0 end as percentage,
+       case when a.n > 0 then round_even(a.spv / a.n, 1) else 0.0 end as avg_pages,
+       case when a.n > 0 then cast(trunc(a.sdur / a.n) as int) else 0 end as avg_duration_sec,
+       case when a.n > 0 then round_even(least(round_even(a.spv / a.n, 1) * 0.8, 20.0), 1) else 0.0 end as avg_unique_urls
+from tot t left join a using (release_ord)"""))
+def q_high_interaction(spark, sf_dir):
+    return R.high_interaction(_facts(spark, sf_dir))
+
+
+# ================================================================ navigation paths
+
+PV_SQL = """pu as (select release_ord, visit_id, url, count(*) as n from pr where url <> '' group by 1, 2, 3),
+pvv as (select release_ord, visit_id, sum(n) as n_urls, count(*) as n_distinct,
+               count(*) filter (where n > 1) as n_revisited from pu group by 1, 2)"""
+
+
+@query("url_revisits", RW(f"""{PV_SQL},
+a as (select release_ord, count(*) as s, sum(n_urls - n_distinct) as rev, sum(n_revisited) as uq
+      from pvv where n_urls - n_distinct > 0 group by 1)
+select t.release_ord, t.version, coalesce(a.s, 0) as sessions_with_url_revisits,
+       case when t.total_visits > 0 then round_even(coalesce(a.s, 0) / t.total_visits * 100, 1) else 0.0 end as percentage,
+       case when a.s > 0 then round_even(a.rev / a.s, 1) else 0.0 end as avg_revisits_per_session,
+       case when a.s > 0 then round_even(a.uq / a.s, 1) else 0.0 end as avg_unique_urls_revisited
+from tot t left join a using (release_ord)"""))
+def q_url_revisits(spark, sf_dir):
+    return PA.url_revisits(_facts(spark, sf_dir))
+
+
+@query("reverse_navigation", RW(f"""{PV_SQL},
+a as (select release_ord, count(*) filter (where n_urls - n_distinct > 0) as n,
+             cast(sum(n_urls - n_distinct) as bigint) as tr from pvv where n_urls >= 2 group by 1)
+select t.release_ord, t.version, coalesce(a.n, 0) as visits_with_reverse_nav,
+       case when t.total_visits > 0 then round_even(coalesce(a.n, 0) / t.total_visits * 100, 1) else 0.0 end as percentage,
+       coalesce(a.tr, 0) as total_reverse_transitions
+from tot t left join a using (release_ord)"""))
+def q_reverse_nav(spark, sf_dir):
+    return PA.reverse_navigation(_facts(spark, sf_dir))
+
+
+SEQ_SQL = """sq as (select release_ord, visit_id, pos, url,
+             lead(url, 1) over (partition by release_ord, visit_id order by datetime_hit nulls first, pos) as n1,
+             lead(url, 2) over (partition by release_ord, visit_id order by datetime_hit nulls first, pos) as n2
+      from pr where url <> '')"""
+
+
+@query("common_transitions", RW(f"""{SEQ_SQL},
+g as (select release_ord, url as from_url, n1 as to_url, count(*) as transition_count
+      from sq where n1 is not null group by 1, 2, 3),
+r as (select *, cast(row_number() over (partition by release_ord
+                 order by transition_count desc, from_url, to_url) as int) as rank from g)
+select r.release_ord, p.version, rank, from_url, to_url, transition_count
+from r join periods p using (release_ord) where rank <= 10"""))
+def q_transitions(spark, sf_dir):
+    return PA.common_transitions(_facts(spark, sf_dir))
+
+
+@query("loop_patterns", RW(f"""{SEQ_SQL},
+g as (select release_ord, url as url_a, n1 as url_b, count(*) as occurrences
+      from sq where n2 = url and n1 <> url group by 1, 2, 3),
+r as (select *, cast(row_number() over (partition by release_ord order by occurrences desc, url_a, url_b) as int)
+                as rank from g)
+select r.release_ord, p.version, rank, concat_ws(' -> ', url_a, url_b, url_a) as sequence, occurrences
+from r join periods p using (release_ord) where rank <= 5"""))
+def q_loops(spark, sf_dir):
+    return PA.loop_patterns(_facts(spark, sf_dir))
+
+
+@query("revisit_flags", RW("""select pr.release_ord, p.version, pr.visit_id, pr.pos, pr.url,
+       row_number() over (partition by pr.release_ord, pr.visit_id, pr.url
+                          order by pr.datetime_hit nulls first, pr.pos) > 1 as seen_before
+from pr join periods p using (release_ord) where pr.url <> ''"""))
+def q_revisit_flags(spark, sf_dir):
+    return PA.revisit_flags(_facts(spark, sf_dir))
