@@ -39,9 +39,9 @@ def _qname(q: float) -> str:
 
 # ---------------------------------------------------------------- A23, A24, T3
 
-def session_stats(joined: DataFrame) -> DataFrame:
+def session_stats(joined: DataFrame, keys: Sequence[str] = ("visit_id",)) -> DataFrame:
     """Per session: distinct URLs, hits (non-NULL ids) and first visit time."""
-    return joined.filter(F.col("visit_id").isNotNull()).groupBy("visit_id").agg(
+    return joined.filter(F.col("visit_id").isNotNull()).groupBy(*keys).agg(
         F.countDistinct("url").alias("unique_pages"),
         F.count("watch_id").alias("hits"),
         F.min("date_time").alias("date_time_visit"))
@@ -147,20 +147,21 @@ def wandering_levels(joined: DataFrame, threshold: int = WANDERING_THRESHOLD) ->
 
 # ---------------------------------------------------------------- A29 - A34
 
-def backtracks(joined: DataFrame) -> DataFrame:
+def backtracks(joined: DataFrame, keys: Sequence[str] = ("visit_id",)) -> DataFrame:
     """Per session: how many hits return to the URL two steps back.
 
     Rows are ordered by hit time (NULL last) then id; NULL URL counts as
     ``''``. Position ``i`` counts when ``u[i] = u[i-2]`` (the middle may be
     equal too). Sessions without any backtrack appear with 0.
     """
+    keys = list(keys)
     rows = joined.filter(F.col("visit_id").isNotNull()).select(
-        "visit_id", "watch_id", "datetime_hit", F.coalesce(F.col("url"), F.lit("")).alias("u"))
+        *keys, "watch_id", "datetime_hit", F.coalesce(F.col("url"), F.lit("")).alias("u"))
     order = [F.col("datetime_hit").asc_nulls_last(), F.col("watch_id").asc()]
-    seq = with_neighbors(rows, "visit_id", order,
+    seq = with_neighbors(rows, keys, order,
                          time_chunk("datetime_hit", PATH_CHUNK_SECONDS, nulls_first=False),
                          "u", lags=(2,))
-    return seq.groupBy("visit_id").agg(
+    return seq.groupBy(*keys).agg(
         F.count_if(F.col("prev2") == F.col("u")).alias("backtracks"))
 
 

@@ -571,3 +571,263 @@ def q_loops(spark, sf_dir):
 from pr join periods p using (release_ord) where pr.url <> ''"""))
 def q_revisit_flags(spark, sf_dir):
     return PA.revisit_flags(_facts(spark, sf_dir))
+
+
+# ================================================================ filters / endpoints
+
+from navlens.operators import compare as CM  # noqa: E402
+from navlens.operators import filters as FL  # noqa: E402
+from navlens.operators import funnels as FN  # noqa: E402
+
+P_START, P_END = "2024-01-10T00:00:00+03:00", "2024-01-20T12:00:00+03:00"
+
+
+def _bound_sql(text: str, policy: str) -> str:
+    return FL.parse_bound(text, policy).strftime("timestamp '%Y-%m-%d %H:%M:%S'")
+
+
+query("visits_in_period", W(f"select * from visits where date_time between {_bound_sql(P_START, 'strip')} "
+                            f"and {_bound_sql(P_END, 'strip')}"))(
+    lambda s, d: FL.visits_in_period(Inputs(s, d).visits, P_START, P_END, "strip"))
+query("visits_in_period_utc", W(f"select * from visits where date_time between {_bound_sql(P_START, 'to_utc')} "
+                                f"and {_bound_sql(P_END, 'to_utc')}"))(
+    lambda s, d: FL.visits_in_period(Inputs(s, d).visits, P_START, P_END, "to_utc"))
+query("visits_by_new_user", W("select * from visits where is_new_user = true"))(
+    lambda s, d: FL.visits_by_new_user(Inputs(s, d).visits, 1))
+query("visits_by_region", W("select * from visits where region_city = 'NATION_7'"))(
+    lambda s, d: FL.visits_by_region(Inputs(s, d).visits, "ignored-country", "NATION_7"))
+query("visits_by_device", W("select * from visits where cast(device_category as varchar) = '2' "
+                            "and operating_system = 'os_5' and screen_orientation_name = 'landscape'"))(
+    lambda s, d: FL.visits_by_device(Inputs(s, d).visits, "2", "os_5", "1"))
+
+
+def _ux_sql(where: str) -> str:
+    return W(f"""select count(*) as count, round_even(avg(visit_duration), 2) as avg_duration_sec,
+       round_even(quantile_cont(visit_duration, 0.5), 2) as median_duration_sec,
+       min(visit_duration) as min_duration_sec, max(visit_duration) as max_duration_sec
+from visits where visit_duration is not null and {where}""")
+
+
+UX_START, UX_END = "2024-01-01T00:00:00Z", "2024-01-31T00:00:00Z"
+query("ux_metrics", _ux_sql(
+    f"date_time between {_bound_sql(UX_START, 'to_utc')} and {_bound_sql(UX_END, 'to_utc')} "
+    "and is_new_user = false and cast(device_category as varchar) = '1'"))(
+    lambda s, d: FL.ux_metrics(Inputs(s, d).visits, UX_START, UX_END, False, "1"))
+query("ux_metrics_last_7d", _ux_sql(
+    "date_time between timestamp '2024-01-13 00:00:00' and timestamp '2024-01-20 00:00:00' "
+    "and is_new_user = true and cast(device_category as varchar) = '2' and operating_system = 'os_5' "
+    "and screen_orientation_name = 'portrait' and region_city = 'NATION_3'"))(
+    lambda s, d: FL.ux_metrics(Inputs(s, d).visits, None, None, True, "2", "os_5", "0", "NATION_3",
+                               as_of="2024-01-20T00:00:00"))
+query("visits_last_7d", W("select * from visits where date_time between timestamp '2024-01-18 00:00:00' "
+                          "and timestamp '2024-01-25 00:00:00'"))(
+    lambda s, d: FL.visits_last_days(Inputs(s, d).visits, "2024-01-25T00:00:00"))
+query("available_dates", W("select min(date_time) as min_date, max(date_time) as max_date, "
+                           "count(visit_id) as total_visits from visits"))(
+    lambda s, d: FL.available_dates(Inputs(s, d).visits))
+query("top_start_urls", W("select start_url as url, count(visit_id) as visits from visits "
+                          "where start_url is not null group by 1 order by visits desc, url limit 20"))(
+    lambda s, d: FL.top_start_urls(Inputs(s, d).visits))
+
+
+# ================================================================ bounce / regex funnel
+
+KEY_PAGES = ["/view/", "/purchase/", "click/[0-2]$", "/nowhere/"]
+FUNNEL_STEPS = ["/view/", "/click/", "/purchase/"]
+
+
+def _bounce_sql(src: str) -> str:
+    parts = []
+    for p in KEY_PAGES:
+        m = f"coalesce(regexp_matches(start_url, '{p}'), false)"
+        parts.append(f"""select '{p}' as page, count(*) filter (where {m}) as sessions,
+       case when count(*) filter (where {m}) > 0 then
+         count(*) filter (where {m} and coalesce(page_views = 1, false)) / count(*) filter (where {m}) end
+         as bounce_rate from {src}""")
+    return "\nunion all\n".join(parts)
+
+
+query("page_bounce_rates", W(_bounce_sql("visits")))(
+    lambda s, d: FN.page_bounce_rates(Inputs(s, d).visits, KEY_PAGES))
+query("page_bounce_rates_hit_weighted", W(f"{JN}\n" + _bounce_sql("ex")))(
+    lambda s, d: FN.page_bounce_rates(Inputs(s, d).visits, KEY_PAGES, weight="hit"))
+
+_first = "case " + " ".join(f"when coalesce(regexp_matches(url, '{p}'), false) then {i}"
+                             for i, p in enumerate(FUNNEL_STEPS)) + " end"
+query("funnel_regex", W(f"""{JN},
+fr as (select visit_id, min({_first}) as f from jn group by visit_id),
+st as (select * from (values {", ".join(f"({i}, '{p}')" for i, p in enumerate(FUNNEL_STEPS))}) s(step, pattern))
+select cast(st.step as int) as step, st.pattern,
+       (select count(*) from fr where f = st.step) as reached,
+       (select count(*) from fr where f >= st.step) as cumulative_reached,
+       (select count(*) from fr where f >= st.step) / (select count(*) from fr) as percent
+from st"""))(lambda s, d: FN.funnel_regex(Inputs(s, d).joined, FUNNEL_STEPS))
+
+query("bounce_baseline", W("""dy as (select start_url, datediff('day', date '1970-01-01', cast(date_time as date)) as day_num,
+              count(*) as sessions, count(*) filter (where coalesce(page_views = 1, false)) as bounces
+       from visits where start_url <> '' group by 1, 2),
+bw as (select *, sum(sessions) over w as bs, sum(bounces) over w as bb from dy
+       window w as (partition by start_url order by day_num range between 28 preceding and 1 preceding))
+select start_url, cast(date '1970-01-01' + cast(day_num as integer) as date) as day, sessions, bounces,
+       bounces / sessions as bounce_rate, bb / bs as baseline_rate, bounces / sessions - bb / bs as delta
+from bw"""))(lambda s, d: FN.bounce_baseline(Inputs(s, d).visits))
+
+
+# ================================================================ release comparison
+
+SUMMARY_SQL = f"""{PV_SQL},
+{SEQ_SQL},
+vm as (select release_ord, count(*) filter (where is_new_user) as new_users,
+              cast(trunc(avg(coalesce(visit_duration, 0))) as int) as avg_duration_sec,
+              round_even(avg(coalesce(page_views, 0)), 2) as avg_page_views,
+              count(*) filter (where coalesce(page_views, 0) >= 10) as n_hi from tv group by 1),
+hc as (select release_ord, count(*) as total_hits from rh group by 1),
+rn as (select release_ord, count(*) filter (where n_urls - n_distinct > 0) as n from pvv where n_urls >= 2 group by 1),
+lp as (select release_ord, count(*) as n from (select distinct release_ord, url, n1 from sq
+       where n2 = url and n1 <> url) group by 1),
+rv as (select release_ord, count(*) as n from pvv where n_urls - n_distinct > 0 group by 1),
+sm as (select t.release_ord, t.version, p.period_start, p.period_end, t.total_visits,
+              coalesce(hc.total_hits, 0) as total_hits, coalesce(vm.new_users, 0) as new_users,
+              t.total_visits - coalesce(vm.new_users, 0) as returning_users,
+              coalesce(vm.avg_duration_sec, 0) as avg_duration_sec, coalesce(vm.avg_page_views, 0.0) as avg_page_views,
+              case when t.total_visits > 0 then round_even(coalesce(rn.n, 0) / t.total_visits * 100, 1) else 0.0 end
+                as reverse_nav_pct,
+              greatest(least(coalesce(lp.n, 0), 5), 1) as loop_list_len,
+              case when t.total_visits > 0 then round_even(coalesce(vm.n_hi, 0) / t.total_visits * 100, 1) else 0.0 end
+                as high_interaction_pct,
+              case when t.total_visits > 0 then round_even(coalesce(rv.n, 0) / t.total_visits * 100, 1) else 0.0 end
+                as url_revisit_pct
+       from tot t join periods p using (release_ord) left join vm using (release_ord)
+       left join hc using (release_ord) left join rn using (release_ord)
+       left join lp using (release_ord) left join rv using (release_ord)),
+o as (select * from sm where release_ord = 1),
+n as (select * from sm where release_ord = 2)"""
+
+CMP_SELECT = """o.version as version_old, n.version as version_new, n.total_visits - o.total_visits as total_change,
+       case when o.total_visits > 0 then (n.total_visits - o.total_visits) / o.total_visits * 100 else 0.0 end
+         as total_change_pct,
+       n.avg_duration_sec - o.avg_duration_sec as avg_duration_change,
+       n.avg_page_views - o.avg_page_views as avg_page_views_change,
+       n.reverse_nav_pct - o.reverse_nav_pct as reverse_nav_change_pct,
+       n.loop_list_len - o.loop_list_len as loop_patterns_change,
+       n.high_interaction_pct - o.high_interaction_pct as high_interaction_change_pct,
+       n.url_revisit_pct - o.url_revisit_pct as url_revisits_change_pct"""
+
+
+def _summary(spark, sf_dir):
+    return CM.release_summary(_facts(spark, sf_dir))
+
+
+query("release_comparison", RW(f"{SUMMARY_SQL}\nselect {CMP_SELECT} from o, n"))(
+    lambda s, d: CM.release_comparison(_summary(s, d)))
+
+_concern_cases = ", ".join(f"case when {c} > {lim} then '{msg}' end" for c, lim, msg in CM.CONCERN_RULES)
+query("release_concerns", RW(f"""{SUMMARY_SQL},
+c as (select {CMP_SELECT} from o, n),
+m as (select *, list_filter([{_concern_cases}], lambda x: x is not null) as msgs from c)
+select version_old, version_new, cast(len(msgs) as int) as n_concerns, array_to_string(msgs, '; ') as concerns,
+       case when len(msgs) >= 3 then 'high' when len(msgs) >= 1 then 'medium' else 'low' end as concern_level
+from m"""))(lambda s, d: CM.release_concerns(CM.release_comparison(_summary(s, d))))
+
+
+def _share(part: str, side: str) -> str:
+    return f"case when {side}.total_visits > 0 then {side}.{part} / {side}.total_visits * 100 else 0.0 end"
+
+
+query("release_change_table", RW(f"""{SUMMARY_SQL}
+select o.version as version_old, n.version as version_new,
+       {_share('new_users', 'o')} as old_new_users_pct, {_share('returning_users', 'o')} as old_returning_pct,
+       {_share('new_users', 'n')} as new_new_users_pct, {_share('returning_users', 'n')} as new_returning_pct,
+       n.total_visits - o.total_visits as visits_change,
+       case when o.total_visits > 0 then (n.total_visits - o.total_visits) / o.total_visits * 100 else 0.0 end
+         as visits_change_pct,
+       n.avg_duration_sec - o.avg_duration_sec as duration_change,
+       case when o.avg_duration_sec > 0 then (n.avg_duration_sec - o.avg_duration_sec) / o.avg_duration_sec * 100
+            else 0.0 end as duration_change_pct,
+       n.avg_page_views - o.avg_page_views as pages_change,
+       case when o.avg_page_views > 0 then (n.avg_page_views - o.avg_page_views) / o.avg_page_views * 100
+            else 0.0 end as pages_change_pct,
+       n.reverse_nav_pct - o.reverse_nav_pct as reverse_nav_change,
+       n.loop_list_len - o.loop_list_len as loops_change,
+       n.high_interaction_pct - o.high_interaction_pct as high_interaction_change,
+       n.url_revisit_pct - o.url_revisit_pct as revisits_change
+from o, n"""))(lambda s, d: CM.release_change_table(_summary(s, d)))
+
+PROJECT_NAME = "Analytics Project"
+
+
+@query("payload_validation", RW(f"""{SUMMARY_SQL},
+dk as (select release_ord, bool_and(coalesce(device_category between 1 and 2, true)) as ok from tv
+       where device_category in (1, 2) group by 1)
+select 0 as release_ord, 'exactly_two_releases' as rule, (select count(*) from sm) = 2 as passed
+union all select 0, 'project_name_present', true
+union all select release_ord, 'visits_non_negative', total_visits >= 0 from sm
+union all select release_ord, 'hits_non_negative', total_hits >= 0 from sm
+union all select release_ord, 'start_before_end', period_start < period_end from sm
+union all select release_ord, 'bucket_pct_in_range', true from sm
+union all select sm.release_ord, 'device_category_in_range', coalesce(dk.ok, true) from sm left join dk using (release_ord)"""))
+def q_payload_validation(spark, sf_dir):
+    f = _facts(spark, sf_dir)
+    dist = R.dist_page_views(f).unionByName(R.dist_duration(f))
+    return CM.payload_validation(CM.release_summary(f), dist, R.segment(f, "device"), PROJECT_NAME)
+
+
+# ================================================================ version comparison
+
+JV = f"""{O.periods_sql(R.DEFAULT_PERIODS)},
+{JN},
+jv as (select jn.*, p.release_ord from jn join periods p on jn.date_time between p.period_start and p.period_end),
+vss as (select release_ord, visit_id, count(distinct url) as unique_pages, count(watch_id) as hits
+        from jv group by 1, 2),
+vw as (select release_ord, count(*) as sessions, count(*) filter (where hits >= 8) as wandering_sessions,
+              count(*) filter (where hits >= 8) / count(*) * 100 as wandering_rate,
+              coalesce(avg(hits) filter (where hits >= 8), 0.0) as mean_hits,
+              coalesce(avg(unique_pages) filter (where hits >= 8), 0.0) as mean_unique_pages from vss group by 1),
+vb0 as (select release_ord, visit_id, coalesce(url, '') as u,
+               lag(coalesce(url, ''), 2) over (partition by release_ord, visit_id
+                                               order by datetime_hit nulls last, watch_id) as p2 from jv),
+vbt as (select release_ord, visit_id, count(*) filter (where p2 = u) as backtracks from vb0 group by 1, 2),
+vb as (select release_ord, count(*) as sessions, count(*) filter (where backtracks > 0) as sessions_with_backtracks,
+              count(*) filter (where backtracks > 0) / count(*) * 100 as backtrack_rate,
+              avg(backtracks) as mean_backtracks from vbt group by 1)"""
+
+
+def _metric_sql(src: str, metrics) -> str:
+    union = "\nunion all ".join(f"select release_ord, '{m}' as metric, cast({m} as double) as v from {src}"
+                                for m in metrics)
+    return f"""m as ({union}),
+pm as (select metric, max(v) filter (where release_ord = 1) as value_old,
+              max(v) filter (where release_ord = 2) as value_new from m group by metric)
+select metric, value_old, value_new, value_new - value_old as delta,
+       case when value_old > 0 then (value_new - value_old) / value_old * 100 else 0.0 end as change_pct from pm"""
+
+
+def _joined_v(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return L.joined_table(R.tag_visits(i.visits, R.period_table(spark, i.periods)), i.hits)
+
+
+query("compare_wandering", W(f"{JV},\n" + _metric_sql("vw", CM.WANDERING_METRICS)))(
+    lambda s, d: CM.compare_wandering(_joined_v(s, d)))
+query("compare_backtracks", W(f"{JV},\n" + _metric_sql("vb", CM.BACKTRACK_METRICS)))(
+    lambda s, d: CM.compare_backtracks(_joined_v(s, d)))
+query("version_verdict", W(f"""{JV},
+c as (select (select wandering_rate from vw where release_ord = 2) - (select wandering_rate from vw where release_ord = 1)
+               as wandering_change,
+             (select backtrack_rate from vb where release_ord = 2) - (select backtrack_rate from vb where release_ord = 1)
+               as backtracks_change,
+             (select mean_backtracks from vb where release_ord = 2) - (select mean_backtracks from vb where release_ord = 1)
+               as avg_backtracks_change),
+v as (select *, cast(coalesce(wandering_change < -1, false) as int) + cast(coalesce(backtracks_change < -2, false) as int)
+                + cast(coalesce(avg_backtracks_change < -0.1, false) as int) as positive_votes,
+                cast(coalesce(wandering_change > 1, false) as int) + cast(coalesce(backtracks_change > 2, false) as int)
+                + cast(coalesce(avg_backtracks_change > 0.1, false) as int) as negative_votes from c)
+select wandering_change, backtracks_change, avg_backtracks_change,
+       case when wandering_change < -2 then 'better' when wandering_change > 2 then 'worse' else 'stable' end
+         as wandering_verdict,
+       case when backtracks_change < -5 then 'better' when backtracks_change > 5 then 'worse' else 'stable' end
+         as backtracks_verdict,
+       positive_votes, negative_votes,
+       case when positive_votes > negative_votes then 'positive' when negative_votes > positive_votes then 'negative'
+            else 'mixed' end as overall
+from v"""))(lambda s, d: CM.version_verdict(_joined_v(s, d)))
