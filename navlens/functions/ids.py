@@ -10,12 +10,21 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The ASCII whitespace that Python's str.strip() removes.
+STRIP_CHARS = " \t\n\r\x0b\x0c"
+
+
+def strip_ws(c: Column) -> Column:
+    """``str.strip()`` for ASCII whitespace: a character-set trim, no regex."""
+    return F.trim(c, F.lit(STRIP_CHARS))
+
+
 def split_id_list(c: Column | str) -> Column:
-    """``"a, b,,c"`` -> ``[a, b, c]``: split on ``,``, trim, drop empty parts.
+    """``"a, b,,c"`` -> ``[a, b, c]``: split on ``,``, strip, drop empty parts.
 
     NULL or empty text gives NULL / an empty array (no ids either way).
     """
-    parts = F.transform(F.split(_col(c), ","), lambda x: F.trim(x))
+    parts = F.transform(F.split(_col(c), ","), strip_ws)
     return F.filter(parts, lambda x: x != "")
 
 
@@ -27,7 +36,7 @@ def parse_id_list(c: Column | str) -> Column:
     kinds removed before :func:`split_id_list`. One expression instead of a
     JSON -> literal -> strip fallback cascade.
     """
-    body = F.regexp_replace(F.trim(_col(c)), r"^\[|\]$", "")
+    body = F.regexp_replace(strip_ws(_col(c)), r"^\[|\]$", "")
     return split_id_list(F.regexp_replace(body, "['\"]", ""))
 
 
@@ -44,4 +53,4 @@ def normalize_id(c: Column | str) -> Column:
     dec = s.try_cast("double").try_cast("decimal(38,6)")
     whole = F.when(dec >= 0, F.floor(dec)).otherwise(F.ceil(dec)).cast("string")
     return (F.when(sci, F.coalesce(whole, s))
-             .otherwise(F.regexp_replace(F.trim(s), "['\"]", "")))
+             .otherwise(F.regexp_replace(strip_ws(s), "['\"]", "")))

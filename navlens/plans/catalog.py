@@ -831,3 +831,170 @@ select wandering_change, backtracks_change, avg_backtracks_change,
        case when positive_votes > negative_votes then 'positive' when negative_votes > positive_votes then 'negative'
             else 'mixed' end as overall
 from v"""))(lambda s, d: CM.version_verdict(_joined_v(s, d)))
+
+
+# ================================================================ text reports
+
+from navlens.functions import ids as IDS  # noqa: E402
+from navlens.functions import scalars as SC  # noqa: E402
+from navlens.functions.text import SECTION_TITLES  # noqa: E402
+from navlens.operators import sections as SE  # noqa: E402
+
+# one title per section (alternating languages) to build report texts from documents
+REPORT_TITLES = [titles[i % 2] for i, (_, titles) in enumerate(SECTION_TITLES)]
+
+
+def report_texts(spark, sf_dir) -> DataFrame:
+    """Documents turned into analysis reports: header lines around the whole text.
+
+    Every ninth document stays without headers (-> ``full_text``); every fifth
+    repeats its first section at the end (the last occurrence wins).
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    t = F.array(*[F.lit(x) for x in REPORT_TITLES])
+    n = len(REPORT_TITLES)
+    t1 = F.element_at(t, (F.col("doc_id") % n + 1).cast("int"))
+    t2 = F.element_at(t, ((F.col("doc_id") + 3) % n + 1).cast("int"))
+    rep = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\n# "), t1, F.lit("\nRepeated section"))) \
+           .otherwise(F.lit(""))
+    body = F.concat(F.lit("Intro "), F.col("doc_id").cast("string"), F.lit("\n## "), t1, F.lit("\n"),
+                    F.col("text"), F.lit("\n### "), t2, F.lit(":\n"), F.lit("Closing note "), F.col("lang"), rep)
+    return docs.select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.col("text")).otherwise(body).alias("text"))
+
+
+_T = "[" + ", ".join(f"'{x}'" for x in REPORT_TITLES) + "]"
+_NL = "chr(10)"
+REPORT_SQL = f"""d as (select doc_id, case when doc_id % 9 = 0 then text else
+   concat('Intro ', cast(doc_id as varchar), {_NL}, '## ', {_T}[doc_id % {len(REPORT_TITLES)} + 1], {_NL}, text,
+          {_NL}, '### ', {_T}[(doc_id + 3) % {len(REPORT_TITLES)} + 1], ':', {_NL}, 'Closing note ', lang,
+          case when doc_id % 5 = 0 then concat({_NL}, '# ', {_T}[doc_id % {len(REPORT_TITLES)} + 1], {_NL},
+                                               'Repeated section') else '' end) end as text
+   from documents)"""
+
+
+def _hdr_case() -> str:
+    whens = " ".join(f"when regexp_matches(line, '(?i)^#+\\s*(?:{'|'.join(titles)})') then '{name}'"
+                     for name, titles in SECTION_TITLES)
+    return f"case {whens} end"
+
+
+SECTIONS_SQL = f"""{REPORT_SQL},
+l0 as (select doc_id, string_split(text, {_NL}) as parts from d),
+ln as (select doc_id, unnest(generate_series(1, len(parts))) as ln, unnest(parts) as line from l0),
+hd as (select *, {_hdr_case()} as hdr from ln),
+oc as (select *, sum(case when hdr is not null then 1 else 0 end)
+                   over (partition by doc_id order by ln rows between unbounded preceding and current row) as occ
+       from hd),
+hs as (select doc_id, occ, hdr as section from oc where hdr is not null),
+ct as (select oc.doc_id, oc.occ, coalesce(hs.section, 'main') as section,
+              string_agg(oc.line, {_NL} order by oc.ln) as body
+       from oc left join hs on hs.doc_id = oc.doc_id and hs.occ = oc.occ
+       where oc.hdr is null group by 1, 2, 3),
+lt as (select doc_id, section, arg_max(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), occ) as content
+       from ct group by 1, 2),
+nm as (select distinct doc_id from lt where section <> 'main'),
+sec as (select * from lt where doc_id in (select doc_id from nm)
+        union all select doc_id, 'full_text', text from d where doc_id not in (select doc_id from nm))"""
+
+query("text_sections", W(f"{SECTIONS_SQL}\nselect * from sec"))(
+    lambda s, d: SE.text_sections(report_texts(s, d)))
+query("text_summary", W(f"""{SECTIONS_SQL}
+select doc_id, coalesce(nullif(max(content) filter (where section = 'summary'), ''),
+                        nullif(max(content) filter (where section = 'conclusions'), ''),
+                        substr(coalesce(max(content) filter (where section = 'full_text'), ''), 1, 500)) as summary
+from sec group by doc_id"""))(lambda s, d: SE.text_summary(SE.text_sections(report_texts(s, d))))
+
+
+# ================================================================ id / scalar parsing
+
+def _id_forms(col: str) -> list[tuple[str, object]]:
+    c = F.col(col)
+    return [("plain", c), ("bracketed", F.concat(F.lit("["), c, F.lit("]"))),
+            ("json", F.concat(F.lit('["'), F.regexp_replace(c, ",", '","'), F.lit('"]'))),
+            ("python", F.concat(F.lit("['"), F.regexp_replace(c, ",", "', '"), F.lit("']")))]
+
+
+@query("parse_watch_ids", W(f"""f as (select visit_id, 'plain' as form, watch_ids as s from visits
+  union all select visit_id, 'bracketed', '[' || watch_ids || ']' from visits
+  union all select visit_id, 'json', '["' || replace(watch_ids, ',', '","') || '"]' from visits
+  union all select visit_id, 'python', '[''' || replace(watch_ids, ',', ''', ''') || ''']' from visits),
+p as (select visit_id, form, {O.ids_sql('s', bracketed=True)} as ids from f)
+select visit_id, form, len(ids) as n_ids, array_to_string(ids, ',') as ids from p"""))
+def q_parse_ids(spark, sf_dir):
+    v = Inputs(spark, sf_dir).visits
+    forms = F.array(*[F.struct(F.lit(n).alias("form"), e.alias("s")) for n, e in _id_forms("watch_ids")])
+    f = v.select("visit_id", F.inline(forms))
+    ids = IDS.parse_id_list("s")
+    return f.select("visit_id", "form", F.array_size(ids).cast("bigint").alias("n_ids"),
+                    F.array_join(ids, ",").alias("ids"))
+
+
+_NORM_FORMS = [("plain", "{c}"), ("quoted", "concat('''', {c}, '''')"), ("dquoted", "concat('\"', {c}, '\"')"),
+               ("padded", "concat('  ', {c}, ' ')"), ("sci_plus", "concat({c}, 'e+0')"),
+               ("sci_minus", "concat({c}, '0E-1')"), ("sci_junk", "concat('x', {c}, 'e+')")]
+
+
+@query("normalize_watch_id", W("f as (" + " union all ".join(
+    f"select watch_id, '{n}' as form, {e.format(c='watch_id')} as s from hits" for n, e in _NORM_FORMS) + f""")
+select watch_id, form, s,
+  case when regexp_matches(s, '(?i)e[+-]')
+       then coalesce(cast(cast(trunc(try_cast(s as double)) as decimal(38, 0)) as varchar), s)
+       else regexp_replace({O.strip_sql('s')}, '[''"]', '', 'g') end as normalized
+from f"""))
+def q_normalize_ids(spark, sf_dir):
+    h = Inputs(spark, sf_dir).hits
+    forms = F.array(*[F.struct(F.lit(n).alias("form"), F.expr(e.format(c="watch_id")).alias("s"))
+                      for n, e in _NORM_FORMS])
+    f = h.select("watch_id", F.inline(forms))
+    return f.select("watch_id", "form", "s", IDS.normalize_id("s").alias("normalized"))
+
+
+_BOOL_TEXT = "case visit_id % 6 when 0 then '1' when 1 then 'True' when 2 then 'true' when 3 then 'TRUE' " \
+             "when 4 then '0' else 'yes' end"
+_INT_TEXT = "concat(cast(page_views as {S}), case visit_id % 3 when 0 then '.7' when 1 then '' else 'x' end)"
+_DT_TEXT = ("case visit_id % 4 when 0 then strftime(date_time, '%Y-%m-%d %H:%M:%S') "
+            "when 1 then strftime(date_time, '%Y-%m-%dT%H:%M:%S') when 2 then '' else 'not a date' end")
+_DT_TEXT_SPARK = ("case visit_id % 4 when 0 then date_format(date_time, 'yyyy-MM-dd HH:mm:ss') "
+                  "when 1 then date_format(date_time, \"yyyy-MM-dd'T'HH:mm:ss\") when 2 then '' else 'not a date' end")
+
+
+@query("parse_scalars", W(f"""f as (select visit_id, {_BOOL_TEXT} as bool_text,
+              {_INT_TEXT.format(S='varchar')} as int_text, {_DT_TEXT} as dt_text from visits)
+select visit_id, bool_text, coalesce(bool_text in ('1', 'True', 'true', 'TRUE'), false) as parsed_bool,
+       int_text,
+       case when regexp_matches({O.strip_sql('int_text')}, '^[+-]?[0-9]+$') then try_cast({O.strip_sql('int_text')} as bigint)
+            else cast(trunc(try_cast({O.strip_sql('int_text')} as double)) as bigint) end as parsed_int,
+       dt_text, case when {O.strip_sql('dt_text')} <> '' then try_cast({O.strip_sql('dt_text')} as timestamp) end as parsed_dt
+from f"""))
+def q_parse_scalars(spark, sf_dir):
+    v = Inputs(spark, sf_dir).visits
+    f = v.select("visit_id", F.expr(_BOOL_TEXT).alias("bool_text"),
+                 F.expr(_INT_TEXT.format(S="string")).alias("int_text"), F.expr(_DT_TEXT_SPARK).alias("dt_text"))
+    return f.select("visit_id", "bool_text", SC.parse_bool("bool_text").alias("parsed_bool"),
+                    "int_text", SC.parse_int("int_text").alias("parsed_int"),
+                    "dt_text", SC.parse_datetime("dt_text").alias("parsed_dt"))
+
+
+# ================================================================ P1, S4
+
+from navlens.sources import readers as RD  # noqa: E402
+
+
+@query("strip_prefix", W("select * from visits"))
+def q_strip_prefix(spark, sf_dir):
+    v = Inputs(spark, sf_dir).visits
+    raw = v.toDF(*[RD.VISIT_PREFIX + c for c in v.columns])   # the raw export's column names
+    return RD.strip_prefix(raw, RD.VISIT_PREFIX)
+
+
+@query("csv_visits_regroup", W(f"""{BALL},
+rows as (select b.visit_id, b.pos as row_no, b.watch_id, v.* exclude (visit_id, watch_ids)
+         from ball b join visits v using (visit_id))
+select visit_id, string_agg(watch_id, ',' order by row_no) as watch_ids,
+       {", ".join(f"arg_min({c}, row_no) as {c}" for c in O.VISIT_OTHER_COLS)}
+from rows group by visit_id"""))
+def q_csv_regroup(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    # the CSV layout: one row per (visit, listed id) with an explicit row ordinal
+    rows = L.explode_visits(i.visits, bracketed=False).withColumnRenamed("pos", "row_no")
+    return RD.regroup_visit_rows(rows, "row_no")

@@ -74,13 +74,20 @@ def with_fixture(body: str, dialect: str = "duckdb") -> str:
 # ---------------------------------------------------------------- shared CTEs
 # Each returns "name as (...)" text to chain after the fixture CTEs.
 
+WS_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+
+
+def strip_sql(expr: str) -> str:
+    return f"trim({expr}, {WS_SQL})"
+
+
 def ids_sql(col: str = "watch_ids", bracketed: bool = False) -> str:
-    """DuckDB list of ids: split on ',', trim, drop empties (optionally unwrap [..] and quotes)."""
+    """DuckDB list of ids: split on ',', strip, drop empties (optionally unwrap [..] and quotes)."""
     src = col
     if bracketed:
-        src = (f"regexp_replace(regexp_replace(trim({col}), '^\\[|\\]$', '', 'g'), "
+        src = (f"regexp_replace(regexp_replace({strip_sql(col)}, '^\\[|\\]$', '', 'g'), "
                "'[''\"]', '', 'g')")
-    return f"list_filter(list_transform(string_split({src}, ','), lambda x: trim(x)), lambda x: x <> '')"
+    return f"list_filter(list_transform(string_split({src}, ','), lambda x: {strip_sql('x')}), lambda x: x <> '')"
 
 
 def periods_sql(periods) -> str:
