@@ -998,3 +998,72 @@ def q_csv_regroup(spark, sf_dir):
     # the CSV layout: one row per (visit, listed id) with an explicit row ordinal
     rows = L.explode_visits(i.visits, bracketed=False).withColumnRenamed("pos", "row_no")
     return RD.regroup_visit_rows(rows, "row_no")
+
+
+# ================================================================ snapshot diff
+
+from navlens.operators import snapshot as SN  # noqa: E402
+
+SNAP_SQL = """o as (select 'orders/' || cast(o_orderkey as varchar) || '.parquet' as path, o_totalprice as version
+      from orders where o_orderdate < timestamp '1999-01-01'),
+n as (select 'orders/' || cast(o_orderkey as varchar) || '.parquet' as path,
+             case when o_orderstatus = 'F' then o_totalprice else o_totalprice + 1 end as version
+      from orders where o_orderdate >= timestamp '1997-01-01'),
+d as (select coalesce(o.path, n.path) as path,
+             case when o.path is null then 'new' when n.path is null then 'deleted'
+                  when o.version is not distinct from n.version then 'not_modified' else 'modified' end as status,
+             o.version as old_version, n.version as new_version
+      from o full outer join n on o.path = n.path)"""
+
+
+def order_snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two listings cut from ``orders``: old = ordered before 1999, new = from 1997
+    on, where orders not yet fulfilled (status != 'F') changed their version."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    path = F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"), F.lit(".parquet")).alias("path")
+    old = o.filter(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")) \
+           .select(path, F.col("o_totalprice").alias("version"))
+    new = o.filter(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).select(
+        path, F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+               .otherwise(F.col("o_totalprice") + 1).alias("version"))
+    return old, new
+
+
+query("snapshot_diff", f"with {SNAP_SQL}\nselect * from d")(
+    lambda s, d: SN.snapshot_diff(*order_snapshots(s, d)))
+query("snapshot_diff_counts", f"with {SNAP_SQL}\nselect status, count(*) as files from d group by status")(
+    lambda s, d: SN.diff_counts(SN.snapshot_diff(*order_snapshots(s, d))))
+
+
+# ================================================================ sources and sinks
+
+from navlens.plans import payload as PL  # noqa: E402
+from navlens.sources import sinks as SK  # noqa: E402
+from navlens.streaming import sessionize as ST  # noqa: E402
+
+
+@query("csv_hits", W("select * from hits"))
+def q_csv_hits(spark, sf_dir):
+    path = SK.write_hits_csv(Inputs(spark, sf_dir).hits)
+    return RD.read_hits_csv(spark, path)
+
+
+@query("roundtrip_joined", W(f"{JN}\nselect *, cast(date_time as date) as visit_date from jn"))
+def q_roundtrip_joined(spark, sf_dir):
+    path = SK.write_joined(Inputs(spark, sf_dir).joined)
+    return spark.read.parquet(path)
+
+
+@query("reload_tables", W("select * from visits"))
+def q_reload_tables(spark, sf_dir):
+    name = SK.save_table(Inputs(spark, sf_dir).visits, "navlens_visits")
+    return spark.table(name)
+
+
+query("file_listing")(lambda s, d: RD.file_listing(s, d, "*.parquet"))
+query("release_payload_json")(lambda s, d: PL.release_payload_json(_facts(s, d)))
+
+
+@query("stream_sessions")
+def q_stream_sessions(spark, sf_dir):
+    return spark.read.parquet(ST.run_session_stream(spark, sf_dir))
