@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navlens.functions.scalars import pct_change
+from navlens.functions.scalars import pct_change, pct_of, py_round, trunc_int, zero_if_null
 from navlens.operators import paths as PA
 from navlens.operators import release as R
 from navlens.operators import wandering as WD
@@ -46,21 +46,40 @@ def _old_new(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def release_summary(facts: R.ReleaseFacts) -> DataFrame:
-    """Per release: the figures the comparison reads (one small row each)."""
-    info = R.release_info(facts)
-    vm = R.visit_metrics(facts).select("release_ord", "new_users", "returning_users",
-                                        "avg_duration_sec", "avg_page_views")
-    rn = PA.reverse_navigation(facts).select("release_ord", F.col("percentage").alias("reverse_nav_pct"))
-    # the reported loop list holds the top 5 patterns, or one placeholder when empty
-    lp = PA.loop_pattern_counts(facts).select(
-        "release_ord", F.greatest(F.least(F.col("n_loop_patterns"), F.lit(LOOP_LIST_CAP).cast("bigint")),
-                                  F.lit(1).cast("bigint")).alias("loop_list_len"))
-    hi = R.high_interaction(facts).select("release_ord", F.col("percentage").alias("high_interaction_pct"))
-    ur = PA.url_revisits(facts).select("release_ord", F.col("percentage").alias("url_revisit_pct"))
-    out = info
-    for t in (vm, rn, lp, hi, ur):
-        out = out.join(t, "release_ord")
-    return out
+    """Per release: the figures the comparison reads, in few passes.
+
+    One aggregate over the tagged visits gives totals, new users, averages and
+    the high-interaction count; one over the per-session URL counts gives the
+    sessions that repeat a URL (the numerator of both the reverse-navigation
+    and the URL-revisit share: a repeated URL implies at least two URLs); the
+    loop count needs the ordered path. Empty periods get zeros.
+    """
+    pv, dur = zero_if_null("page_views"), zero_if_null("visit_duration")
+    v = facts.tagged.groupBy("release_ord").agg(
+        F.count(F.lit(1)).alias("total_visits"), F.count_if(F.col("is_new_user")).alias("new_users"),
+        trunc_int(F.avg(dur)).alias("avg_duration_sec"), py_round(F.avg(pv), 2).alias("avg_page_views"),
+        F.count_if(pv >= R.HIGH_INTERACTION_PAGES).alias("_n_hi"))
+    h = facts.release_hits.groupBy("release_ord").agg(F.count(F.lit(1)).alias("total_hits"))
+    rep = PA._url_counts_per_visit(facts).groupBy("release_ord").agg(
+        F.count_if(F.col("n_urls") > F.col("n_distinct")).alias("_n_rep"))
+    lp = PA.loop_pattern_counts(facts)
+    z = F.lit(0).cast("bigint")
+    out = (facts.periods.join(v, "release_ord", "left").join(h, "release_ord", "left")
+                .join(rep, "release_ord", "left").join(lp, "release_ord", "left"))
+    tot = F.coalesce(F.col("total_visits"), z)
+    new_users = F.coalesce(F.col("new_users"), z)
+    rep_pct = pct_of(F.coalesce(F.col("_n_rep"), z), tot)
+    return out.select(
+        "release_ord", "version", "period_start", "period_end", tot.alias("total_visits"),
+        F.coalesce(F.col("total_hits"), z).alias("total_hits"), new_users.alias("new_users"),
+        (tot - new_users).alias("returning_users"),
+        F.coalesce(F.col("avg_duration_sec"), F.lit(0)).alias("avg_duration_sec"),
+        F.coalesce(F.col("avg_page_views"), F.lit(0.0)).alias("avg_page_views"),
+        rep_pct.alias("reverse_nav_pct"),
+        F.greatest(F.least(F.coalesce(F.col("n_loop_patterns"), z), F.lit(LOOP_LIST_CAP).cast("bigint")),
+                   F.lit(1).cast("bigint")).alias("loop_list_len"),
+        pct_of(F.coalesce(F.col("_n_hi"), z), tot).alias("high_interaction_pct"),
+        rep_pct.alias("url_revisit_pct"))
 
 
 def release_comparison(summary: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from navlens.functions.scalars import (nonempty, nonempty_or_null, pct_of, py_round, trunc_int,
                                        url_leaf, zero_if_null)
@@ -64,39 +63,68 @@ def _ts(x) -> dt.datetime:
     return dt.datetime.fromisoformat(str(x).replace("T", " "))
 
 
+def _lit_ts(x) -> Column:
+    return F.lit(_ts(x).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def period_table(spark: SparkSession, periods: Sequence[tuple] = DEFAULT_PERIODS) -> DataFrame:
     """``(release_ord, version, period_start, period_end)`` from parameters."""
-    schema = T.StructType([
-        T.StructField("release_ord", T.IntegerType(), False),
-        T.StructField("version", T.StringType(), False),
-        T.StructField("period_start", T.TimestampNTZType(), False),
-        T.StructField("period_end", T.TimestampNTZType(), False)])
-    rows = [(i + 1, v, _ts(s), _ts(e)) for i, (v, s, e) in enumerate(periods)]
-    return spark.createDataFrame(rows, schema)
+    # built JVM-side from literals (no Python worker for a parameter table)
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("release_ord"), F.lit(v).alias("version"),
+                              _lit_ts(s).alias("period_start"), _lit_ts(e).alias("period_end"))
+                     for i, (v, s, e) in enumerate(periods)])
+    return spark.range(1).select(F.inline(rows))
 
 
-def tag_visits(visits: DataFrame, periods: DataFrame) -> DataFrame:
+def tag_visits(visits: DataFrame, periods) -> DataFrame:
     """Visits with ``release_ord`` / ``version`` of every period containing them.
 
-    The period table has one row per requested release (a handful), so the
-    broadcast is bounded by the request, not by the data.
+    ``periods`` as a parameter list (the normal case) becomes an expression:
+    each visit gets the array of periods it falls into, exploded — no join.
+    The overall ``[min start, max end]`` range is an ordinary filter, so it
+    reaches the Parquet scan (``PushedFilters``) and skips row groups.
+    A period DataFrame falls back to a broadcast range join; it has one row
+    per requested release, so the broadcast is bounded by the request.
     """
-    p = F.broadcast(periods.select("release_ord", "version", "period_start", "period_end"))
-    cond = visits["date_time"].between(p["period_start"], p["period_end"])
-    return visits.join(p, cond, "inner").drop("period_start", "period_end")
+    if isinstance(periods, DataFrame):
+        p = F.broadcast(periods.select("release_ord", "version", "period_start", "period_end"))
+        cond = visits["date_time"].between(p["period_start"], p["period_end"])
+        return visits.join(p, cond, "inner").drop("period_start", "period_end")
+    periods = list(periods)
+    dt_ = F.col("date_time")
+    tags = F.array(*[F.when(dt_.between(_lit_ts(s), _lit_ts(e)),
+                            F.struct(F.lit(i + 1).alias("release_ord"), F.lit(v).alias("version")))
+                     for i, (v, s, e) in enumerate(periods)])
+    lo = min(_ts(s) for _, s, _ in periods)
+    hi = max(_ts(e) for _, _, e in periods)
+    cols = visits.columns
+    return (visits.filter(dt_.between(_lit_ts(lo), _lit_ts(hi)))
+                  .select(*cols, F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("_t"))
+                  .select(*cols, "_t.release_ord", "_t.version"))
 
 
 @dataclass
 class ReleaseFacts:
-    """Lazily defined inputs of all release metrics (nothing runs until used)."""
+    """Lazily defined inputs of all release metrics (nothing runs until used).
+
+    ``periods`` is a list of ``(version, start, end)`` parameters or an
+    equivalent period DataFrame.
+    """
 
     visits: DataFrame
     hits: DataFrame
-    periods: DataFrame
+    periods: object
+
+    def __post_init__(self):
+        if isinstance(self.periods, DataFrame):
+            self.period_list = None
+        else:
+            self.period_list = list(self.periods)
+            self.periods = period_table(self.visits.sparkSession, self.period_list)
 
     @cached_property
     def tagged(self) -> DataFrame:
-        return tag_visits(self.visits, self.periods)
+        return tag_visits(self.visits, self.period_list if self.period_list else self.periods)
 
     @cached_property
     def bridge(self) -> DataFrame:

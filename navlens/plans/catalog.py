@@ -20,7 +20,7 @@ from navlens.operators import paths as PA
 from navlens.operators import release as R
 from navlens.operators import wandering as WD
 from navlens.plans import oracle as O
-from navlens.sources.fixtures import clickstream
+from navlens.sources.fixtures import materialized_clickstream
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -37,12 +37,12 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str, periods=R.DEFAULT_PERIODS):
         self.spark, self.sf_dir = spark, sf_dir
-        self.visits, self.hits = clickstream(spark, sf_dir)
+        self.visits, self.hits = materialized_clickstream(spark, sf_dir)
         self.periods = periods
 
     @cached_property
     def facts(self) -> R.ReleaseFacts:
-        return R.ReleaseFacts(self.visits, self.hits, R.period_table(self.spark, self.periods))
+        return R.ReleaseFacts(self.visits, self.hits, self.periods)
 
     @cached_property
     def exploded(self) -> DataFrame:
@@ -207,7 +207,7 @@ select jn.*, p.version from jn
 join periods p on jn.date_time between p.period_start and p.period_end"""))
 def q_joined_by_version(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    tagged = R.tag_visits(i.visits, R.period_table(spark, i.periods)).drop("release_ord")
+    tagged = R.tag_visits(i.visits, i.periods).drop("release_ord")
     return L.joined_table(tagged, i.hits)
 
 
@@ -804,7 +804,7 @@ select metric, value_old, value_new, value_new - value_old as delta,
 
 def _joined_v(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return L.joined_table(R.tag_visits(i.visits, R.period_table(spark, i.periods)), i.hits)
+    return L.joined_table(R.tag_visits(i.visits, i.periods), i.hits)
 
 
 query("compare_wandering", W(f"{JV},\n" + _metric_sql("vw", CM.WANDERING_METRICS)))(
@@ -1067,3 +1067,25 @@ query("release_payload_json")(lambda s, d: PL.release_payload_json(_facts(s, d))
 @query("stream_sessions")
 def q_stream_sessions(spark, sf_dir):
     return spark.read.parquet(ST.run_session_stream(spark, sf_dir))
+
+
+# ================================================================ all segment dimensions in one pass
+
+def _seg_all_sql() -> str:
+    parts = []
+    for dim in R.SEGMENT_DIMENSIONS:
+        body = _seg_sql(dim)
+        # reuse each dimension's statement as a sub-select (drop the device-only column)
+        inner = body[body.index("with ") + 5:]
+        parts.append((dim, inner))
+    ctes, selects = [], []
+    for i, (dim, inner) in enumerate(parts):
+        selects.append(f"select release_ord, version, '{dim}' as dimension, rank, segment_value, visits, percentage, "
+                       f"avg_page_views, avg_duration_sec, single_page_visits from s{i}")
+        ctes.append(inner)
+    # every per-dimension statement starts with the same fixture CTEs; wrap each as its own subquery
+    subqueries = ",\n".join(f"s{i} as (with {inner})" for i, inner in enumerate(ctes))
+    return f"with {subqueries}\n" + "\nunion all\n".join(selects)
+
+
+query("seg_all", _seg_all_sql())(lambda s, d: R.segments(_facts(s, d)))
