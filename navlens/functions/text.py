@@ -38,17 +38,35 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+ESCAPE_RUN = r"(?:\\u[0-9a-fA-F]{4})+"
+_TOKENS = ESCAPE_RUN + r"|(?:(?!\\u[0-9a-fA-F]{4})[\s\S])+"
+
+
 def decode_escapes(c: Column) -> Column:
     r"""Replace every ``\uXXXX`` escape by its character, keep the rest.
 
-    Splits around the escapes, decodes each 4-hex-digit group as UTF-16BE and
-    joins back — a native expression, no Python per row.
+    The text is cut into alternating tokens (runs of escapes / plain text); a
+    run is decoded as UTF-16BE in one piece, so surrogate pairs join into one
+    character. A native expression — no Python per row.
     """
-    pieces = F.split(c, r"(?=\\u[0-9a-fA-F]{4})")
+    toks = F.regexp_extract_all(c, F.lit(_TOKENS), 0)
+
+    def one(t: Column) -> Column:
+        hexes = F.regexp_replace(t, r"\\u", "")
+        return F.when(t.rlike("^" + ESCAPE_RUN + "$"), F.decode(F.unhex(hexes), "UTF-16BE")).otherwise(t)
+
+    return F.when(c.isNull(), c).otherwise(F.array_join(F.transform(toks, one), ""))
+
+
+def escape_non_ascii(c: Column) -> Column:
+    r"""Inverse helper: every non-ASCII character as ``\uXXXX`` (pairs for astral ones)."""
+    chars = F.regexp_extract_all(c, F.lit(r"(?s)."), 0)
 
-    def one(p: Column) -> Column:
-        is_esc = p.rlike(r"^\\u[0-9a-fA-F]{4}")
-        ch = F.decode(F.unhex(F.substring(p, 3, 4)), "UTF-16BE")
-        return F.when(is_esc, F.concat(ch, F.substring(p, 7, 1 << 30))).otherwise(p)
+    def one(ch: Column) -> Column:
+        h = F.hex(F.encode(ch, "UTF-16BE"))
+        esc = F.when(F.length(h) == 8, F.concat(F.lit("\\u"), F.substring(h, 1, 4), F.lit("\\u"),
+                                                 F.substring(h, 5, 4))) \
+               .otherwise(F.concat(F.lit("\\u"), h))
+        return F.when(F.ascii(ch) > 127, esc).otherwise(ch)
 
-    return F.when(c.isNull(), c).otherwise(F.array_join(F.transform(pieces, one), ""))
+    return F.array_join(F.transform(chars, one), "")

@@ -1089,3 +1089,23 @@ def _seg_all_sql() -> str:
 
 
 query("seg_all", _seg_all_sql())(lambda s, d: R.segments(_facts(s, d)))
+
+
+# ================================================================ F17, S4 through a CSV file
+
+from navlens.functions import text as TXT  # noqa: E402
+
+
+@query("decode_escapes", "select doc_id, text from documents")
+def q_decode_escapes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    escaped = docs.select("doc_id", TXT.escape_non_ascii(F.col("text")).alias("escaped"))
+    return escaped.select("doc_id", TXT.decode_escapes(F.col("escaped")).alias("text"))
+
+
+@query("csv_visits", W(f"""{BALL}
+select v.* from visits v where visit_id in (select visit_id from ball)"""))
+def q_csv_visits(spark, sf_dir):
+    path = SK.write_visits_csv(Inputs(spark, sf_dir).visits)
+    v = RD.read_visits_csv(spark, path)
+    return v.select(*L.VISIT_COLS)
