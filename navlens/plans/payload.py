@@ -66,6 +66,9 @@ def release_payload(facts: R.ReleaseFacts, target_urls: Sequence[str] | None = N
         pvm.drop("version").withColumnRenamed("total_count", "pv_total"), "release_ord")
     for t in lists:
         base = base.join(t, "release_ord", "left")
+        name = t.columns[-1]
+        # a release without rows for a list gets an empty list, not NULL
+        base = base.withColumn(name, F.coalesce(F.col(name), F.array().cast(t.schema[name].dataType)))
     base = base.join(rn.withColumnRenamed("percentage", "rn_pct"), "release_ord") \
                .join(hi.withColumnRenamed("percentage", "hi_pct")
                        .withColumnRenamed("avg_duration_sec", "hi_avg_duration_sec"), "release_ord") \
