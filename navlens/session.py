@@ -44,21 +44,33 @@ def get_spark(master: str | None = None, app: str = "navlens",
     return spark
 
 
+_LOCAL_CKPT: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (distributed) folder there and we use it as is.
     Only when it is unset — local runs and tests — do we pick a scratch
-    folder and register it, so later ``checkpoint()`` calls work.
+    folder (once per application) and register it with the SparkContext, so
+    ``DataFrame.checkpoint()`` works too.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if conf:
-        spark.sparkContext.setCheckpointDir(conf)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(conf)
         return conf
-    path = tempfile.mkdtemp(prefix="navlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    app = sc.applicationId
+    if app not in _LOCAL_CKPT:
+        current = sc.getCheckpointDir()
+        if current:
+            _LOCAL_CKPT[app] = current
+        else:
+            path = tempfile.mkdtemp(prefix="navlens-ckpt-")
+            sc.setCheckpointDir(path)
+            _LOCAL_CKPT[app] = path
+    return _LOCAL_CKPT[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
