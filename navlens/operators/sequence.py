@@ -33,6 +33,17 @@ def time_chunk(ts: str, chunk_seconds: int, nulls_first: bool = True) -> Column:
                       F.lit(sentinel).cast("bigint"))
 
 
+def _spread(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Hash-partition on the key *and* the chunk.
+
+    A window partitioned by ``(key, chunk)`` would otherwise accept input that
+    is already partitioned by ``key`` alone (Spark does not require all
+    clustering keys by default), and a hot key would land in one task again.
+    When the input is not partitioned yet this is the window's own shuffle.
+    """
+    return df.repartition(*[F.col(c) for c in cols])
+
+
 def session_numbers(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: int,
                     chunk_seconds: int = 6 * 3600, out: str = "sn") -> DataFrame:
     """Number the sessions of each ``key`` (1, 2, ...) by an inactivity gap.
@@ -46,7 +57,7 @@ def session_numbers(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: int
     ck = "_nl_ck"
     gap = F.expr(f"INTERVAL {int(gap_seconds)} SECONDS")
     w = Window.partitionBy(key, ck).orderBy(ts, tie)
-    d = (df.withColumn(ck, time_chunk(ts, chunk_seconds))
+    d = (_spread(df.withColumn(ck, time_chunk(ts, chunk_seconds)), [key, ck])
            .withColumn("_nl_prev", F.lag(ts).over(w))
            # breaks inside the chunk; the first row's break is settled below
            .withColumn("_nl_brk", F.when(F.col("_nl_prev").isNull(), 0)
@@ -81,7 +92,7 @@ def with_neighbors(df: DataFrame, key: str | Sequence[str], order: Sequence[Colu
     span = max(list(leads) + list(lags) + [1])
     ck, rn, cnt = "_nb_ck", "_nb_rn", "_nb_cnt"
     w = Window.partitionBy(*keys, ck).orderBy(*order)
-    d = (df.withColumn(ck, chunk)
+    d = (_spread(df.withColumn(ck, chunk), [*keys, ck])
            .withColumn(rn, F.row_number().over(w))
            .withColumn(cnt, F.count(F.lit(1)).over(Window.partitionBy(*keys, ck))))
     for j in leads:
@@ -133,7 +144,7 @@ def ordinal_in_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Colu
     keys = [key] if isinstance(key, str) else list(key)
     ck = "_on_ck"
     w = Window.partitionBy(*keys, ck).orderBy(*order)
-    d = df.withColumn(ck, chunk).withColumn("_on_rn", F.row_number().over(w))
+    d = _spread(df.withColumn(ck, chunk), [*keys, ck]).withColumn("_on_rn", F.row_number().over(w))
     summ = d.groupBy(*keys, ck).agg(F.count(F.lit(1)).alias("_on_n"))
     wk = Window.partitionBy(*keys).orderBy(ck)
     summ = summ.select(*keys, ck, F.coalesce(F.sum("_on_n").over(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navlens.operators.sequence import time_chunk, with_neighbors
@@ -204,22 +204,31 @@ def equal_width_histogram(df: DataFrame, value: str, n_bins: int) -> DataFrame:
 
     ``bin = least(floor((x - lo) * n / (hi - lo)), n - 1)``; when ``min = max``
     the range is widened by 0.5 each side (all values land in bin ``n // 2``).
-    Every bin is emitted. Two passes: a one-row min/max, then a grouped count.
+    Every bin is emitted. The data is first reduced to one row per distinct
+    value (partial aggregation); only that small table is ranged (a window
+    without partition, bounded by the number of distinct values) and folded
+    into one row of ``n_bins`` counts, unpivoted with ``inline``.
     """
-    lo0 = df.agg(F.min(value).cast("double")).scalar()
-    hi0 = df.agg(F.max(value).cast("double")).scalar()
-    lo = F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0)
-    hi = F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0)
-    x = F.col(value).cast("double")
-    idx = F.least(F.floor((x - lo) * n_bins / (hi - lo)), F.lit(n_bins - 1).cast("bigint"))
-    counts = df.select(idx.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    # all bins, only when there is data (min/max are NULL otherwise)
-    bins = df.sparkSession.range(n_bins).select(F.col("id").alias("bin")).filter(lo0.isNotNull())
-    width = (hi - lo) / n_bins
-    return bins.join(counts, "bin", "left").select(
-        "bin", (lo + F.col("bin") * width).alias("lower"),
-        (lo + (F.col("bin") + 1) * width).alias("upper"),
-        F.coalesce(F.col("count"), F.lit(0).cast("bigint")).alias("count"))
+    g = df.groupBy(F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("_n")) \
+          .filter(F.col("x").isNotNull())
+    every = Window.partitionBy()
+    lo0, hi0 = F.min("x").over(every), F.max("x").over(every)
+    g = g.withColumn("_lo0", lo0).withColumn("_hi0", hi0)
+    same = F.col("_lo0") == F.col("_hi0")
+    g = g.withColumn("_lo", F.when(same, F.col("_lo0") - 0.5).otherwise(F.col("_lo0"))) \
+         .withColumn("_hi", F.when(same, F.col("_hi0") + 0.5).otherwise(F.col("_hi0")))
+    idx = F.least(F.floor((F.col("x") - F.col("_lo")) * n_bins / (F.col("_hi") - F.col("_lo"))),
+                  F.lit(n_bins - 1).cast("bigint"))
+    g = g.withColumn("_bin", idx)
+    a = g.agg(F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi"),
+              *[F.sum(F.when(F.col("_bin") == i, F.col("_n"))).alias(f"_c{i}") for i in range(n_bins)])
+    width = (F.col("_hi") - F.col("_lo")) / n_bins
+    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("bin"),
+                              (F.col("_lo") + i * width).alias("lower"),
+                              (F.col("_lo") + (i + 1) * width).alias("upper"),
+                              F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("bigint").alias("count"))
+                     for i in range(n_bins)])
+    return a.filter(F.col("_lo").isNotNull()).select(F.inline(rows))
 
 
 def hist_unique_pages(joined: DataFrame, threshold: int = WANDERING_THRESHOLD) -> DataFrame:
