@@ -142,6 +142,23 @@ class ReleaseFacts:
         """Every listed id of every tagged visit resolved to its hit (inner)."""
         return visit_hit_rows(self.bridge, self.hits)
 
+    def materialized(self) -> "ReleaseFacts":
+        """The same facts with tagged visits, release hits and path rows written
+        once to the shared checkpoint folder (eager).
+
+        For multi-output jobs such as the release document, where some twenty
+        metric families would otherwise each re-derive these inputs; also cuts
+        lineage, so a lost executor resumes from the written tables.
+        """
+        from navlens.session import scratch_path
+        spark = self.visits.sparkSession
+        out = ReleaseFacts(self.visits, self.hits, self.period_list if self.period_list else self.periods)
+        for name in ("tagged", "release_hits", "path_rows"):
+            path = scratch_path(spark, f"facts-{name}")
+            getattr(self, name).write.mode("overwrite").parquet(path)
+            out.__dict__[name] = spark.read.parquet(path)
+        return out
+
     @cached_property
     def totals(self) -> DataFrame:
         """``(release_ord, total_visits)`` for every period, 0 when empty."""

@@ -1061,7 +1061,7 @@ def q_reload_tables(spark, sf_dir):
 
 
 query("file_listing")(lambda s, d: RD.file_listing(s, d, "*.parquet"))
-query("release_payload_json")(lambda s, d: PL.release_payload_json(_facts(s, d)))
+query("release_payload_json")(lambda s, d: PL.release_payload_json(_facts(s, d).materialized()))
 
 
 @query("stream_sessions")
