@@ -55,27 +55,25 @@ def session_numbers(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: int
     a hot key is spread over many tasks. ``ts`` must not be NULL.
     """
     ck = "_nl_ck"
+    cols = df.columns
     gap = F.expr(f"INTERVAL {int(gap_seconds)} SECONDS")
     w = Window.partitionBy(key, ck).orderBy(ts, tie)
-    d = (_spread(df.withColumn(ck, time_chunk(ts, chunk_seconds)), [key, ck])
-           .withColumn("_nl_prev", F.lag(ts).over(w))
-           # breaks inside the chunk; the first row's break is settled below
-           .withColumn("_nl_brk", F.when(F.col("_nl_prev").isNull(), 0)
-                       .when(F.col(ts) <= F.col("_nl_prev") + gap, 0).otherwise(1))
-           .withColumn("_nl_cum", F.sum("_nl_brk").over(
-               w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    d = _spread(df.select("*", time_chunk(ts, chunk_seconds).alias(ck)), [key, ck])
+    prev = F.lag(ts).over(w)
+    # breaks inside the chunk; the first row's break is settled by the summary
+    d = d.select("*", F.when(prev.isNull(), 0).when(F.col(ts) <= prev + gap, 0).otherwise(1).alias("_nl_brk"))
+    d = d.select("*", F.sum("_nl_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                 .alias("_nl_cum"))
     summ = d.groupBy(key, ck).agg(F.min(ts).alias("_nl_first"), F.max(ts).alias("_nl_last"),
                                   F.sum("_nl_brk").alias("_nl_nb"))
     wk = Window.partitionBy(key).orderBy(ck)
     plast = F.lag("_nl_last").over(wk)
-    summ = summ.withColumn(
-        "_nl_fb", F.when(plast.isNull() | (F.col("_nl_first") > plast + gap), 1).otherwise(0))
-    before = F.sum(F.col("_nl_fb") + F.col("_nl_nb")).over(
-        wk.rowsBetween(Window.unboundedPreceding, -1))
+    fb = F.when(plast.isNull() | (F.col("_nl_first") > plast + gap), 1).otherwise(0)
+    summ = summ.select(key, ck, "_nl_nb", fb.alias("_nl_fb"))
+    before = F.sum(F.col("_nl_fb") + F.col("_nl_nb")).over(wk.rowsBetween(Window.unboundedPreceding, -1))
     summ = summ.select(key, ck, (F.coalesce(before, F.lit(0)) + F.col("_nl_fb")).alias("_nl_base"))
-    return (d.join(summ, [key, ck])
-             .withColumn(out, (F.col("_nl_base") + F.col("_nl_cum")).cast("int"))
-             .drop(ck, "_nl_prev", "_nl_brk", "_nl_cum", "_nl_base"))
+    return d.join(summ, [key, ck]).select(
+        *cols, (F.col("_nl_base") + F.col("_nl_cum")).cast("int").alias(out))
 
 
 def with_neighbors(df: DataFrame, key: str | Sequence[str], order: Sequence[Column], chunk: Column,
@@ -89,16 +87,15 @@ def with_neighbors(df: DataFrame, key: str | Sequence[str], order: Sequence[Colu
     coalesce NULL values first), so NULL is unambiguous.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    cols = df.columns
     span = max(list(leads) + list(lags) + [1])
     ck, rn, cnt = "_nb_ck", "_nb_rn", "_nb_cnt"
     w = Window.partitionBy(*keys, ck).orderBy(*order)
-    d = (_spread(df.withColumn(ck, chunk), [*keys, ck])
-           .withColumn(rn, F.row_number().over(w))
-           .withColumn(cnt, F.count(F.lit(1)).over(Window.partitionBy(*keys, ck))))
-    for j in leads:
-        d = d.withColumn(f"_nb_ld{j}", F.lead(value, j).over(w))
-    for j in lags:
-        d = d.withColumn(f"_nb_lg{j}", F.lag(value, j).over(w))
+    d = _spread(df.select("*", chunk.alias(ck)), [*keys, ck])
+    d = d.select("*", F.row_number().over(w).alias(rn),
+                 F.count(F.lit(1)).over(Window.partitionBy(*keys, ck)).alias(cnt),
+                 *[F.lead(value, j).over(w).alias(f"_nb_ld{j}") for j in leads],
+                 *[F.lag(value, j).over(w).alias(f"_nb_lg{j}") for j in lags])
 
     # first and last `span` values of every chunk: bounded arrays
     def ends(cond: Column) -> Column:
@@ -115,23 +112,16 @@ def with_neighbors(df: DataFrame, key: str | Sequence[str], order: Sequence[Colu
         parts = F.array_sort(F.collect_list(F.struct(F.col(ck), F.col(col))).over(wk.rowsBetween(lo, hi)))
         return F.flatten(F.transform(parts, lambda s: s[col]))
 
-    cols = [*keys, ck]
-    if leads:
-        cols.append(gathered("_nb_head", 1, span).alias("_nb_after"))
-    if lags:
-        cols.append(F.reverse(gathered("_nb_tail", -span, -1)).alias("_nb_before"))
-    summ = summ.select(*cols)
-
-    d = d.join(summ, [*keys, ck])
-    for j in leads:
-        d = d.withColumn(f"{prefix}next{j}", F.when(F.col(rn) + j <= F.col(cnt), F.col(f"_nb_ld{j}"))
-                         .otherwise(F.try_element_at("_nb_after", (F.col(rn) + j - F.col(cnt)).cast("int"))))
-    for j in lags:
-        d = d.withColumn(f"{prefix}prev{j}", F.when(F.col(rn) - j >= 1, F.col(f"_nb_lg{j}"))
-                         .otherwise(F.try_element_at("_nb_before", (F.lit(j + 1) - F.col(rn)).cast("int"))))
-    drop = [ck, rn, cnt, "_nb_after", "_nb_before"] + [f"_nb_ld{j}" for j in leads] + \
-        [f"_nb_lg{j}" for j in lags]
-    return d.drop(*[c for c in drop if c in d.columns])
+    summ = summ.select(*keys, ck,
+                       *([gathered("_nb_head", 1, span).alias("_nb_after")] if leads else []),
+                       *([F.reverse(gathered("_nb_tail", -span, -1)).alias("_nb_before")] if lags else []))
+    nxt = [F.when(F.col(rn) + j <= F.col(cnt), F.col(f"_nb_ld{j}"))
+            .otherwise(F.try_element_at("_nb_after", (F.col(rn) + j - F.col(cnt)).cast("int")))
+            .alias(f"{prefix}next{j}") for j in leads]
+    prv = [F.when(F.col(rn) - j >= 1, F.col(f"_nb_lg{j}"))
+            .otherwise(F.try_element_at("_nb_before", (F.lit(j + 1) - F.col(rn)).cast("int")))
+            .alias(f"{prefix}prev{j}") for j in lags]
+    return d.join(summ, [*keys, ck]).select(*cols, *nxt, *prv)
 
 
 def ordinal_in_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column],
@@ -142,13 +132,14 @@ def ordinal_in_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Colu
     chunks of the key (a running sum over the per-chunk counts).
     """
     keys = [key] if isinstance(key, str) else list(key)
+    cols = df.columns
     ck = "_on_ck"
     w = Window.partitionBy(*keys, ck).orderBy(*order)
-    d = _spread(df.withColumn(ck, chunk), [*keys, ck]).withColumn("_on_rn", F.row_number().over(w))
+    d = _spread(df.select("*", chunk.alias(ck)), [*keys, ck])
+    d = d.select("*", F.row_number().over(w).alias("_on_rn"))
     summ = d.groupBy(*keys, ck).agg(F.count(F.lit(1)).alias("_on_n"))
     wk = Window.partitionBy(*keys).orderBy(ck)
     summ = summ.select(*keys, ck, F.coalesce(F.sum("_on_n").over(
         wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_on_off"))
-    return (d.join(summ, [*keys, ck])
-             .withColumn(out, (F.col("_on_off") + F.col("_on_rn")).cast("bigint"))
-             .drop(ck, "_on_rn", "_on_off"))
+    return d.join(summ, [*keys, ck]).select(
+        *cols, (F.col("_on_off") + F.col("_on_rn")).cast("bigint").alias(out))

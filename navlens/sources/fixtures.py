@@ -97,7 +97,7 @@ def clickstream(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 # ---------------------------------------------------------------- materialised fixture tables
 
-_MATERIALISED: dict[tuple, tuple[str, str]] = {}
+_MATERIALISED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def _signature(spark, sf_dir: str) -> tuple:
@@ -125,6 +125,6 @@ def materialized_clickstream(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         visits.repartitionByRange("date_time").sortWithinPartitions("date_time") \
               .write.mode("overwrite").parquet(vp)
         hits.write.mode("overwrite").parquet(hp)
-        _MATERIALISED[key] = (vp, hp)
-    vp, hp = _MATERIALISED[key]
-    return spark.read.parquet(vp), spark.read.parquet(hp)
+        # DataFrames are immutable plans over the written files: reuse them
+        _MATERIALISED[key] = (spark.read.parquet(vp), spark.read.parquet(hp))
+    return _MATERIALISED[key]
