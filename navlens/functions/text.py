@@ -25,12 +25,18 @@ def header_pattern(titles: list[str]) -> str:
 
 
 def header_section(line: Column) -> Column:
-    """Section name a line opens, or NULL when it is not a header line."""
-    expr = None
-    for name, titles in SECTION_TITLES:
-        cond = line.rlike(header_pattern(titles))
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return expr
+    """Section name a line opens, or NULL when it is not a header line.
+
+    One regex pass per line: the title right after the ``#`` marks is
+    extracted with a single alternation and mapped (lower-cased) to its
+    section. Titles are anchored at the same place and no title of one
+    section is a prefix of another section's title, so this equals testing
+    the sections one by one in order.
+    """
+    titles = [t for _, ts in SECTION_TITLES for t in ts]
+    found = F.regexp_extract(line, "(?iu)^#+\\s*(" + "|".join(titles) + ")", 1)
+    lookup = F.create_map(*[x for name, ts in SECTION_TITLES for t in ts for x in (F.lit(t.lower()), F.lit(name))])
+    return F.when(found != "", F.element_at(lookup, F.lower(found)))
 
 
 def py_strip(c: Column) -> Column:

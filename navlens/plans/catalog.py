@@ -20,7 +20,7 @@ from navlens.operators import paths as PA
 from navlens.operators import release as R
 from navlens.operators import wandering as WD
 from navlens.plans import oracle as O
-from navlens.sources.fixtures import materialized_clickstream
+from navlens.sources.fixtures import materialized_clickstream, materialized_joined
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -50,7 +50,7 @@ class Inputs:
 
     @cached_property
     def joined(self) -> DataFrame:
-        return L.joined_table(self.visits, self.hits)
+        return materialized_joined(self.spark, self.sf_dir)
 
 
 REL = O.release_ctes(R.DEFAULT_PERIODS)

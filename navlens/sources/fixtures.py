@@ -128,3 +128,23 @@ def materialized_clickstream(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         # DataFrames are immutable plans over the written files: reuse them
         _MATERIALISED[key] = (spark.read.parquet(vp), spark.read.parquet(hp))
     return _MATERIALISED[key]
+
+
+_JOINED: dict[tuple, DataFrame] = {}
+
+
+def materialized_joined(spark, sf_dir: str) -> DataFrame:
+    """The visit-hit fact table of the path reports, written once per input.
+
+    It is the input of every offline path report (wandering, backtracks,
+    funnels, version comparisons); the reference caches it the same way.
+    """
+    from navlens.operators.linkage import joined_table
+    from navlens.session import scratch_path
+    key = _signature(spark, sf_dir)
+    if key not in _JOINED:
+        visits, hits = materialized_clickstream(spark, sf_dir)
+        path = scratch_path(spark, "joined")
+        joined_table(visits, hits).write.mode("overwrite").parquet(path)
+        _JOINED[key] = spark.read.parquet(path)
+    return _JOINED[key]

@@ -35,3 +35,12 @@ def test_only_main_is_full_text(spark):
 def test_conclusions_when_summary_empty(spark):
     _, summ = run(spark, "## Summary\n\n## Выводы\nc1")
     assert summ == "c1"
+
+
+def test_titles_are_prefix_free_across_sections():
+    # the single-regex header classification relies on it
+    from navlens.functions.text import SECTION_TITLES
+    for n1, t1 in SECTION_TITLES:
+        for n2, t2 in SECTION_TITLES:
+            if n1 != n2:
+                assert not any(b.lower().startswith(a.lower()) for a in t1 for b in t2), (n1, n2)
