@@ -363,9 +363,11 @@ def page_metrics(facts: ReleaseFacts, target_urls: Sequence[str] | None = None,
     given, exactly ``target_urls`` in their order — kept even without hits
     (left join from the bounded target list).
     """
-    stats = _url_stats(facts)
-    n_urls = facts.release_hits.filter(nonempty("url")).groupBy("release_ord") \
-        .agg(F.countDistinct("url").alias("_n_urls"))
+    # one row per (release, non-empty url): its row count per release is the
+    # release's number of distinct URLs, no second distinct pass needed
+    stats = _url_stats(facts).withColumn(
+        "_n_urls", F.count(F.lit(1)).over(Window.partitionBy("release_ord")))
+    n_urls = stats.select("release_ord", "_n_urls").distinct()
     if target_urls:
         # the target list is a parameter: expand it per release, no join needed
         pages = facts.periods.select("release_ord", F.explode(F.array(*[
@@ -376,14 +378,17 @@ def page_metrics(facts: ReleaseFacts, target_urls: Sequence[str] | None = None,
         w = Window.partitionBy("release_ord").orderBy(F.col("total_hits").desc(), F.col("url").asc())
         pages = stats.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
     pv = zero_if_null("page_views")
-    entry = facts.tagged.groupBy("release_ord", F.col("start_url").alias("url")).agg(
-        F.count(F.lit(1)).alias("visits_as_entry"),
-        F.count_if(pv == 1).alias("visits_with_single_page"))
-    exit_ = facts.tagged.groupBy("release_ord", F.col("end_url").alias("url")).agg(
-        F.count(F.lit(1)).alias("visits_as_exit"))
+    # entry and exit counts in one pass: melt (start_url, end_url) into (role, url)
+    ends = facts.tagged.select("release_ord", (pv == 1).alias("_single"), F.explode(F.array(
+        F.struct(F.lit(True).alias("_entry"), F.col("start_url").alias("url")),
+        F.struct(F.lit(False).alias("_entry"), F.col("end_url").alias("url")))).alias("_e")) \
+        .select("release_ord", "_single", "_e._entry", "_e.url").filter(F.col("url").isNotNull())
+    ee = ends.groupBy("release_ord", "url").agg(
+        F.count_if(F.col("_entry")).alias("visits_as_entry"),
+        F.count_if(F.col("_entry") & F.col("_single")).alias("visits_with_single_page"),
+        F.count_if(~F.col("_entry")).alias("visits_as_exit"))
     z = F.lit(0).cast("bigint")
-    out = (pages.join(entry, ["release_ord", "url"], "left")
-                .join(exit_, ["release_ord", "url"], "left")
+    out = (pages.drop("_n_urls").join(ee, ["release_ord", "url"], "left")
                 .join(n_urls, "release_ord", "left")
                 .join(facts.periods.select("release_ord", "version"), "release_ord"))
     present = F.when(F.col("total_hits").isNotNull(), 1).otherwise(0)
