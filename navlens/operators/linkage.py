@@ -92,7 +92,8 @@ def visits_with_hits(visits: DataFrame, hits: DataFrame) -> DataFrame:
 
     Visits without (matching) ids keep an empty array. One join plus one
     grouped ``collect_list`` instead of one hits query per visit. The array of
-    one visit is bounded by its own hit list, which is part of the visit row.
+    one visit holds at most the ids listed in that visit's own ``watch_ids``
+    text, i.e. it is bounded by the size of one input row, not by the data.
     """
     bridge = watch_id_bridge(visits)
     rows = visit_hit_rows(bridge, hits)
