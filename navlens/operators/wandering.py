@@ -241,3 +241,47 @@ def hist_unique_pages(joined: DataFrame, threshold: int = WANDERING_THRESHOLD) -
 
 def hist_backtracks(joined: DataFrame) -> DataFrame:
     return equal_width_histogram(backtracks(joined), "backtracks", HIST_BACKTRACK_BINS)
+
+
+# ---------------------------------------------------------------- C10: the reports as tables
+
+def _as_rows(df: DataFrame, metrics: Sequence[str], prefix: str = "") -> DataFrame:
+    """Unpivot one-row figures into ``(metric, value)`` rows (values as double)."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(prefix + m).alias("metric"),
+                                                 F.col(m).cast("double").alias("value")) for m in metrics])))
+
+
+def _bin_rows(bins: DataFrame, with_pct: bool) -> DataFrame:
+    cols = [F.struct(F.concat(F.lit("segment "), F.col("segment"), F.lit(" sessions")).alias("metric"),
+                     F.col("sessions").cast("double").alias("value"))]
+    if with_pct:
+        cols.append(F.struct(F.concat(F.lit("segment "), F.col("segment"), F.lit(" pct")).alias("metric"),
+                             F.col("percentage").cast("double").alias("value")))
+    return bins.select(F.inline(F.array(*cols)))
+
+
+def wandering_report(joined: DataFrame, threshold: int = WANDERING_THRESHOLD) -> DataFrame:
+    """Every figure of the wandering text report as ``(metric, value)`` rows:
+    totals, share, threshold, means, max, the two flags (1/0), the hit
+    quantiles and the activity segments with their shares."""
+    summ = wandering_summary(joined, threshold).withColumn("threshold", F.lit(threshold))
+    return (_as_rows(summ, ["total_sessions", "wandering_sessions", "wandering_pct", "threshold", "mean_hits",
+                            "mean_unique_pages", "max_hits", "high_wandering_rate", "repeat_visits_flag"])
+            .unionByName(_as_rows(wandering_quantiles(joined, threshold),
+                                  [_qname(q) for q in WANDERING_QUANTILES], "hits "))
+            .unionByName(_bin_rows(wandering_segments(joined, threshold), True)))
+
+
+def backtrack_report(joined: DataFrame) -> DataFrame:
+    """Every figure of the backtrack text report as ``(metric, value)`` rows:
+    totals, shares, mean / median / max, outlier flag, level (one-hot),
+    sessions above 5, quantiles and segments."""
+    summ = backtrack_summary(joined)
+    for lvl in ("high", "moderate", "low"):
+        summ = summ.withColumn(f"level_{lvl}", F.col("level") == lvl)
+    return (_as_rows(summ, ["total_sessions", "sessions_with_backtracks", "sessions_without_backtracks",
+                            "pct_with_backtracks", "mean_backtracks", "median_backtracks", "max_backtracks",
+                            "has_outliers", "level_high", "level_moderate", "level_low", "problematic_sessions"])
+            .unionByName(_as_rows(backtrack_quantiles(joined), [_qname(q) for q in BACKTRACK_QUANTILES],
+                                  "backtracks "))
+            .unionByName(_bin_rows(backtrack_segments(joined), True)))

@@ -1109,3 +1109,64 @@ def q_csv_visits(spark, sf_dir):
     path = SK.write_visits_csv(Inputs(spark, sf_dir).visits)
     v = RD.read_visits_csv(spark, path)
     return v.select(*L.VISIT_COLS)
+
+
+# ================================================================ C10: text reports as (metric, value) tables
+
+def _rows_sql(src: str, metrics, prefix: str = "") -> str:
+    return "\nunion all ".join(f"select '{prefix}{m}' as metric, cast({m} as double) as value from {src}"
+                               for m in metrics)
+
+
+def _report_bins_sql(src: str, col: str, bins) -> str:
+    vals = ", ".join(f"('{lab}', {float(lo)}, {'NULL' if hi is None else float(hi)})" for lab, lo, hi in bins)
+    return f"""rb as (select b.segment, count(s.{col}) as sessions,
+              case when (select count(*) from {src}) > 0 then count(s.{col}) / (select count(*) from {src}) * 100 end
+                as percentage
+       from (values {vals}) b(segment, lower, upper)
+       left join {src} s on s.{col} > b.lower and (b.upper is null or s.{col} <= b.upper)
+       group by b.segment)"""
+
+
+_WS_SUMMARY = """wsum as (select count(*) as total_sessions, count(*) filter (where hits >= 8) as wandering_sessions,
+       count(*) filter (where hits >= 8) / count(*) * 100 as wandering_pct, 8 as threshold,
+       avg(hits) filter (where hits >= 8) as mean_hits, avg(unique_pages) filter (where hits >= 8) as mean_unique_pages,
+       max(hits) filter (where hits >= 8) as max_hits,
+       coalesce(count(*) filter (where hits >= 8) / count(*) > 0.1, false) as high_wandering_rate,
+       coalesce(avg(unique_pages) filter (where hits >= 8) / avg(hits) filter (where hits >= 8) < 0.5, false)
+         as repeat_visits_flag from ss),
+wq as (select """ + ", ".join(f"quantile_cont(hits, {q}) as {WD._qname(q)}" for q in WD.WANDERING_QUANTILES) + " from ws)"
+
+query("wandering_report", W(f"""{JN},
+{WANDER_SQL},
+{_WS_SUMMARY},
+{_report_bins_sql("ws", "hits", _WSEG)}
+{_rows_sql("wsum", ["total_sessions", "wandering_sessions", "wandering_pct", "threshold", "mean_hits",
+                    "mean_unique_pages", "max_hits", "high_wandering_rate", "repeat_visits_flag"])}
+union all {_rows_sql("wq", [WD._qname(q) for q in WD.WANDERING_QUANTILES], "hits ")}
+union all select 'segment ' || segment || ' sessions', cast(sessions as double) from rb
+union all select 'segment ' || segment || ' pct', cast(percentage as double) from rb"""))(
+    lambda s, d: WD.wandering_report(Inputs(s, d).joined))
+
+_BT_SUMMARY = """bsum as (select count(*) as total_sessions, count(*) filter (where backtracks > 0) as sessions_with_backtracks,
+       count(*) filter (where backtracks = 0) as sessions_without_backtracks,
+       count(*) filter (where backtracks > 0) / count(*) * 100 as pct_with_backtracks,
+       avg(backtracks) as mean_backtracks, quantile_cont(backtracks, 0.5) as median_backtracks,
+       max(backtracks) as max_backtracks,
+       coalesce(max(backtracks) > quantile_cont(backtracks, 0.9), false) as has_outliers,
+       avg(backtracks) > 2 as level_high, avg(backtracks) > 0.5 and avg(backtracks) <= 2 as level_moderate,
+       avg(backtracks) <= 0.5 as level_low,
+       count(*) filter (where backtracks > 5) as problematic_sessions from bt),
+bq as (select """ + ", ".join(f"quantile_cont(backtracks, {q}) as {WD._qname(q)}" for q in WD.BACKTRACK_QUANTILES) + " from bt)"
+
+query("backtrack_report", W(f"""{JN},
+{BT_SQL},
+{_BT_SUMMARY},
+{_report_bins_sql("bt", "backtracks", WD.BACKTRACK_SEGMENTS)}
+{_rows_sql("bsum", ["total_sessions", "sessions_with_backtracks", "sessions_without_backtracks",
+                    "pct_with_backtracks", "mean_backtracks", "median_backtracks", "max_backtracks",
+                    "has_outliers", "level_high", "level_moderate", "level_low", "problematic_sessions"])}
+union all {_rows_sql("bq", [WD._qname(q) for q in WD.BACKTRACK_QUANTILES], "backtracks ")}
+union all select 'segment ' || segment || ' sessions', cast(sessions as double) from rb
+union all select 'segment ' || segment || ' pct', cast(percentage as double) from rb"""))(
+    lambda s, d: WD.backtrack_report(Inputs(s, d).joined))
