@@ -69,15 +69,24 @@ def join_visits_hits(exploded: DataFrame, hits: DataFrame, how: str = "right",
     return v.join(h, on, how)
 
 
-def joined_table(visits: DataFrame, hits: DataFrame) -> DataFrame:
+def explode_with_bridge(visits: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Same rows as :func:`explode_visits`, from a stored ``(visit_id, pos, watch_id)``
+    bridge instead of parsing each visit's id text."""
+    others = [c for c in visits.columns if c not in ("visit_id", "watch_ids")]
+    return bridge.select("visit_id", "pos", "watch_id").join(visits.select("visit_id", *others), "visit_id")
+
+
+def joined_table(visits: DataFrame, hits: DataFrame, bridge: DataFrame | None = None) -> DataFrame:
     """The visit-hit fact table of the path reports.
 
     The reference chain is explode -> hits semi visits -> visits semi hits ->
     right join on ``watch_id``. After both semi reductions every hit row has a
     visit partner, so the right join equals one inner join of the exploded
     visits with hits; that single join is what we plan (two fewer shuffles).
+    With a stored id ``bridge`` the id text is not parsed at all.
     """
-    return join_visits_hits(explode_visits(visits), hits, how="inner")
+    ex = explode_visits(visits) if bridge is None else explode_with_bridge(visits, bridge)
+    return join_visits_hits(ex, hits, how="inner")
 
 
 def visit_hit_rows(bridge: DataFrame, hits: DataFrame) -> DataFrame:

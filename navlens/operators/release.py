@@ -114,6 +114,7 @@ class ReleaseFacts:
     visits: DataFrame
     hits: DataFrame
     periods: object
+    id_bridge: DataFrame | None = None   # stored (visit_id, pos, watch_id); else parsed from watch_ids
 
     def __post_init__(self):
         if isinstance(self.periods, DataFrame):
@@ -129,6 +130,9 @@ class ReleaseFacts:
     @cached_property
     def bridge(self) -> DataFrame:
         """``(visit_id, pos, watch_id, release_ord)`` for tagged visits."""
+        if self.id_bridge is not None:
+            return self.id_bridge.select("visit_id", "pos", "watch_id") \
+                       .join(self.tagged.select("visit_id", "release_ord"), "visit_id")
         return watch_id_bridge(self.tagged, keep=["release_ord"])
 
     @cached_property
@@ -152,7 +156,8 @@ class ReleaseFacts:
         """
         from navlens.session import scratch_path
         spark = self.visits.sparkSession
-        out = ReleaseFacts(self.visits, self.hits, self.period_list if self.period_list else self.periods)
+        out = ReleaseFacts(self.visits, self.hits, self.period_list if self.period_list else self.periods,
+                           self.id_bridge)
         for name in ("tagged", "release_hits", "path_rows"):
             path = scratch_path(spark, f"facts-{name}")
             getattr(self, name).write.mode("overwrite").parquet(path)

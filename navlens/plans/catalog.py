@@ -20,7 +20,7 @@ from navlens.operators import paths as PA
 from navlens.operators import release as R
 from navlens.operators import wandering as WD
 from navlens.plans import oracle as O
-from navlens.sources.fixtures import materialized_clickstream, materialized_joined
+from navlens.sources.fixtures import materialized_joined, materialized_tables
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -37,16 +37,16 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str, periods=R.DEFAULT_PERIODS):
         self.spark, self.sf_dir = spark, sf_dir
-        self.visits, self.hits = materialized_clickstream(spark, sf_dir)
+        self.visits, self.hits, self.bridge = materialized_tables(spark, sf_dir)
         self.periods = periods
 
     @cached_property
     def facts(self) -> R.ReleaseFacts:
-        return R.ReleaseFacts(self.visits, self.hits, self.periods)
+        return R.ReleaseFacts(self.visits, self.hits, self.periods, id_bridge=self.bridge)
 
     @cached_property
     def exploded(self) -> DataFrame:
-        return L.explode_visits(self.visits)
+        return L.explode_with_bridge(self.visits, self.bridge)
 
     @cached_property
     def joined(self) -> DataFrame:
@@ -208,7 +208,7 @@ join periods p on jn.date_time between p.period_start and p.period_end"""))
 def q_joined_by_version(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     tagged = R.tag_visits(i.visits, i.periods).drop("release_ord")
-    return L.joined_table(tagged, i.hits)
+    return L.joined_table(tagged, i.hits, bridge=i.bridge)
 
 
 # ================================================================ wandering / backtracks
@@ -804,7 +804,7 @@ select metric, value_old, value_new, value_new - value_old as delta,
 
 def _joined_v(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return L.joined_table(R.tag_visits(i.visits, i.periods), i.hits)
+    return L.joined_table(R.tag_visits(i.visits, i.periods), i.hits, bridge=i.bridge)
 
 
 query("compare_wandering", W(f"{JV},\n" + _metric_sql("vw", CM.WANDERING_METRICS)))(

@@ -55,8 +55,17 @@ def visits_from_events(events: DataFrame, nation: DataFrame,
     ``(ts, event_id)`` taken with ``min``/``max`` of a struct, which is a
     partial (map-side) aggregate; no per-session window is needed.
     """
-    ev = session_numbers(_event_rows(events), "user_id", "ts", "event_id",
-                         SESSION_GAP_SECONDS, chunk_seconds=chunk_seconds)
+    return visits_from_sessions(sessionize(events, chunk_seconds), nation)
+
+
+def sessionize(events: DataFrame, chunk_seconds: int = 6 * 3600) -> DataFrame:
+    """Event rows (with watch id, client, URL, title) numbered by session: ``sn``."""
+    return session_numbers(_event_rows(events), "user_id", "ts", "event_id",
+                           SESSION_GAP_SECONDS, chunk_seconds=chunk_seconds)
+
+
+def visits_from_sessions(ev: DataFrame, nation: DataFrame) -> DataFrame:
+    """The visit rows from sessionised events (see :func:`visits_from_events`)."""
     order = F.struct("ts", "event_id", "url")
     v0 = ev.groupBy("user_id", "sn").agg(
         F.min("event_id").alias("visit_id"),
@@ -88,6 +97,23 @@ def visits_from_events(events: DataFrame, nation: DataFrame,
                   F.when(vid % 3 == 0, "portrait").otherwise("landscape").alias("screen_orientation_name")))
 
 
+def bridge_from_sessions(ev: DataFrame, path_chunk_seconds: int = 3600) -> DataFrame:
+    """``(visit_id, pos, watch_id)``: every session's listed ids in list order,
+    without building (or parsing) the id text.
+
+    The id text of a visit is one value holding all its ids; the bridge keeps
+    the same relation one row per id, so a session of any length is spread
+    over many tasks. Positions are skew-safe ordinals over ``(ts, event_id)``.
+    """
+    from navlens.operators.sequence import ordinal_in_key, time_chunk
+    vid = ev.groupBy("user_id", "sn").agg(F.min("event_id").alias("visit_id"))
+    listed = ev.filter(F.col("event_id") % UNLISTED_HIT_EVERY != 0) \
+               .select("user_id", "sn", "event_id", "ts", "watch_id").join(vid, ["user_id", "sn"])
+    listed = ordinal_in_key(listed, ["user_id", "sn"], [F.col("ts"), F.col("event_id")],
+                            time_chunk("ts", path_chunk_seconds), out="pos")
+    return listed.select("visit_id", "pos", "watch_id")
+
+
 def clickstream(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``(visits, hits)`` derived from ``{sf_dir}/events.parquet``."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -97,7 +123,7 @@ def clickstream(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 # ---------------------------------------------------------------- materialised fixture tables
 
-_MATERIALISED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+_MATERIALISED: dict[tuple, tuple[DataFrame, DataFrame, DataFrame]] = {}
 
 
 def _signature(spark, sf_dir: str) -> tuple:
@@ -111,22 +137,38 @@ def _signature(spark, sf_dir: str) -> tuple:
 def materialized_clickstream(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``(visits, hits)`` written once per input into the shared checkpoint folder.
 
-    The derivation (sessionisation: several shuffles) runs once; every later
-    query reads two Parquet tables, which also cuts lineage, so a lost
-    executor never recomputes the sessionisation. Visits are range-sorted by
-    ``date_time`` so Parquet row-group statistics skip data outside a period
-    filter. On a cluster the folder is the shared ``spark.checkpoint.dir``.
+    The derivation (sessionisation: several shuffles) runs once: sessionised
+    events are written first, and visits, the id bridge and hits are derived
+    from that table. Every later query reads Parquet tables, which also cuts
+    lineage, so a lost executor never recomputes the sessionisation. Visits
+    are range-sorted by ``date_time`` so Parquet row-group statistics skip data
+    outside a period filter. On a cluster the folder is the shared
+    ``spark.checkpoint.dir``.
     """
+    visits, hits, _ = materialized_tables(spark, sf_dir)
+    return visits, hits
+
+
+def materialized_bridge(spark, sf_dir: str) -> DataFrame:
+    """The ``(visit_id, pos, watch_id)`` bridge of the derived visits (written once)."""
+    return materialized_tables(spark, sf_dir)[2]
+
+
+def materialized_tables(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     from navlens.session import scratch_path
     key = _signature(spark, sf_dir)
     if key not in _MATERIALISED:
-        visits, hits = clickstream(spark, sf_dir)
-        vp, hp = scratch_path(spark, "visits"), scratch_path(spark, "hits")
-        visits.repartitionByRange("date_time").sortWithinPartitions("date_time") \
-              .write.mode("overwrite").parquet(vp)
-        hits.write.mode("overwrite").parquet(hp)
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+        sp, vp, hp, bp = (scratch_path(spark, n) for n in ("sessions", "visits", "hits", "bridge"))
+        sessionize(events).write.mode("overwrite").parquet(sp)
+        ev = spark.read.parquet(sp)
+        visits_from_sessions(ev, nation).repartitionByRange("date_time").sortWithinPartitions("date_time") \
+            .write.mode("overwrite").parquet(vp)
+        bridge_from_sessions(ev).write.mode("overwrite").parquet(bp)
+        hits_from_events(events).write.mode("overwrite").parquet(hp)
         # DataFrames are immutable plans over the written files: reuse them
-        _MATERIALISED[key] = (spark.read.parquet(vp), spark.read.parquet(hp))
+        _MATERIALISED[key] = (spark.read.parquet(vp), spark.read.parquet(hp), spark.read.parquet(bp))
     return _MATERIALISED[key]
 
 
@@ -143,8 +185,8 @@ def materialized_joined(spark, sf_dir: str) -> DataFrame:
     from navlens.session import scratch_path
     key = _signature(spark, sf_dir)
     if key not in _JOINED:
-        visits, hits = materialized_clickstream(spark, sf_dir)
+        visits, hits, bridge = materialized_tables(spark, sf_dir)
         path = scratch_path(spark, "joined")
-        joined_table(visits, hits).write.mode("overwrite").parquet(path)
+        joined_table(visits, hits, bridge=bridge).write.mode("overwrite").parquet(path)
         _JOINED[key] = spark.read.parquet(path)
     return _JOINED[key]

@@ -74,3 +74,14 @@ def test_navigation_patterns(spark, data):
     got_l = [(tuple(r["sequence"].split(" -> ")[:2]), r["occurrences"])
              for r in PA.loop_patterns(facts).filter("release_ord = 1").orderBy("rank").collect()]
     assert got_l == exp_l
+
+
+def test_bridge_from_events_equals_parsed_id_text(spark):
+    from navlens.operators.linkage import watch_id_bridge
+    from navlens.sources.fixtures import bridge_from_sessions, sessionize
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    visits, _ = clickstream(spark, SF)
+    parsed = watch_id_bridge(visits)
+    stored = bridge_from_sessions(sessionize(events), path_chunk_seconds=600)
+    assert parsed.count() == stored.count()
+    assert parsed.exceptAll(stored).count() == 0 and stored.exceptAll(parsed).count() == 0
