@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from navlens.session import scratch_path
 
 SESSION_GAP = "12 hours 1 microsecond"
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 WATERMARK_DELAY = "0 seconds"
 
 
@@ -25,12 +26,16 @@ def session_stream(spark: SparkSession, events_dir: str, file_glob: str = "event
     schema = spark.read.parquet(f"{events_dir}/{file_glob}").schema
     ev = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
                .option("maxFilesPerTrigger", 1).parquet(events_dir))
-    ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))  # event-time columns must be TIMESTAMP
-    agg = (ev.withWatermark("ts", watermark)
-             .groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    # watermarks need TIMESTAMP: read the naive time as a UTC instant (via epoch
+    # microseconds, independent of the session time zone and of DST), and map the
+    # window bounds back to naive times the same way
+    ev = ev.withColumn("et", F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, ts)")))
+    agg = (ev.withWatermark("et", watermark)
+             .groupBy(F.session_window("et", gap).alias("w"), "user_id")
              .agg(F.min("event_id").alias("first_event_id"), F.count(F.lit(1)).alias("events"),
                   F.max("ts").alias("last_event_ts")))
-    return agg.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"),
+    naive = lambda c: F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), {_EPOCH})")
+    return agg.select("user_id", naive("w.start").alias("session_start"), naive("w.end").alias("session_end"),
                       "last_event_ts", "first_event_id", "events")
 
 
