@@ -46,7 +46,6 @@ def test_wandering_levels(spark):
 
 
 def test_backtrack_segments(spark):
-    from pyspark.sql import functions as F
     b = spark.createDataFrame([(i, n) for i, n in enumerate([0, 1, 2, 3, 5, 6])], "visit_id long, backtracks long")
     got = [r["sessions"] for r in WD._binned_counts(b, "backtracks", WD.BACKTRACK_SEGMENTS, "all")
            .orderBy("bin").collect()]

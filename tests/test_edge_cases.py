@@ -3,7 +3,6 @@
 import datetime as dt
 
 from conftest import make_hits, make_visits, visit
-from navlens.operators import paths as PA
 from navlens.operators import release as R
 
 
@@ -62,7 +61,7 @@ def test_device_only_1_and_2_but_all_in_denominator(spark):
 
 def test_top_k_ties_break_by_value(spark):
     rows = [visit(i, None, os_=f"os_{i % 12:02d}") for i in range(24)]   # 12 values, 2 visits each
-    out = R.segment(make_facts := facts(spark, rows, [], P_ALL), "os").orderBy("rank").collect()
+    out = R.segment(facts(spark, rows, [], P_ALL), "os").orderBy("rank").collect()
     assert [r["segment_value"] for r in out] == [f"os_{i:02d}" for i in range(10)]
 
 

@@ -1,8 +1,5 @@
 """Every registered query against its DuckDB statement (sf0.001, whole tables)."""
 
-import math
-import os
-
 import duckdb
 import pytest
 

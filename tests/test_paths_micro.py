@@ -1,7 +1,6 @@
 """Hand-worked paths of FIXTURES.md C3: one session each, in time order."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import path_tables
 from navlens.operators import linkage as L

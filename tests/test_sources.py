@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import make_hits, make_visits, visit
+from conftest import make_visits, visit
 from navlens.operators import filters as FL
 from navlens.session import scratch_path
 from navlens.sources import readers as RD
