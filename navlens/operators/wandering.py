@@ -92,13 +92,20 @@ def wandering_summary(joined: DataFrame, threshold: int = WANDERING_THRESHOLD) -
                    F.lit(False)).alias("repeat_visits_flag"))
 
 
-def _percentiles(col: str, qs: Sequence[float]) -> list[Column]:
+def _percentiles(col: str, qs: Sequence[float], approx: bool = False) -> list[Column]:
+    """Exact linear-interpolated percentiles (a value -> count map per group,
+    bounded by the distinct values), or with ``approx`` the mergeable sketch of
+    ``percentile_approx`` (bounded memory whatever the data, nearest rank)."""
+    if approx:
+        return [F.percentile_approx(F.col(col), q).cast("double").alias(_qname(q)) for q in qs]
     return [F.percentile(F.col(col), F.lit(q)).alias(_qname(q)) for q in qs]
 
 
-def wandering_quantiles(joined: DataFrame, threshold: int = WANDERING_THRESHOLD) -> DataFrame:
-    """Linear-interpolated quantiles of hits over wandering sessions (one row)."""
-    return wandering_sessions(joined, threshold, sort=False).agg(*_percentiles("hits", WANDERING_QUANTILES))
+def wandering_quantiles(joined: DataFrame, threshold: int = WANDERING_THRESHOLD,
+                        approx: bool = False) -> DataFrame:
+    """Quantiles of hits over wandering sessions (one row); exact by default."""
+    return wandering_sessions(joined, threshold, sort=False).agg(
+        *_percentiles("hits", WANDERING_QUANTILES, approx))
 
 
 def _bins(value: Column, bins: Sequence[tuple]) -> Column:
@@ -190,8 +197,8 @@ def backtrack_summary(joined: DataFrame) -> DataFrame:
         "problematic_sessions")
 
 
-def backtrack_quantiles(joined: DataFrame) -> DataFrame:
-    return backtracks(joined).agg(*_percentiles("backtracks", BACKTRACK_QUANTILES))
+def backtrack_quantiles(joined: DataFrame, approx: bool = False) -> DataFrame:
+    return backtracks(joined).agg(*_percentiles("backtracks", BACKTRACK_QUANTILES, approx))
 
 
 def backtrack_segments(joined: DataFrame) -> DataFrame:

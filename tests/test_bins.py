@@ -56,3 +56,11 @@ def test_histogram_single_value_lands_in_middle_bin(spark):
     df = spark.createDataFrame([(3,), (3,)], "x long")
     rows = WD.equal_width_histogram(df, "x", 20).orderBy("bin").collect()
     assert len(rows) == 20 and rows[10]["count"] == 2 and sum(r["count"] for r in rows) == 2
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    j = _joined_with_hits(spark, list(range(8, 60)))
+    exact = WD.wandering_quantiles(j).collect()[0].asDict()
+    approx = WD.wandering_quantiles(j, approx=True).collect()[0].asDict()
+    assert set(exact) == set(approx)
+    assert all(abs(exact[k] - approx[k]) <= 1.0 for k in exact)
