@@ -79,8 +79,9 @@ def visits_from_sessions(ev: DataFrame, nation: DataFrame) -> DataFrame:
         F.expr("cast(timestampdiff(SECOND, min(ts), max(ts)) as int)").alias("visit_duration"),
         F.max("client_id").alias("client_id"))
     vid = F.col("visit_id")
-    engine = F.when(vid % 4 == 0, "google").when(vid % 4 == 1, "yandex") \
-              .when(vid % 4 == 2, "bing").otherwise(F.lit(None).cast("string"))
+    engine = F.lit(None).cast("string")
+    for rem, name in reversed(list(SEARCH_ENGINES.items())):
+        engine = F.when(vid % 4 == rem, F.lit(name)).otherwise(engine)
     # nation is a 25-row dimension; Spark's size-based broadcast picks it up.
     nat = nation.select(F.col("n_nationkey").cast("bigint").alias("_nk"), "n_name")
     return (v0.join(nat, (vid % N_NATIONS) == F.col("_nk"), "left")
