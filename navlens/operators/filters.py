@@ -55,11 +55,14 @@ def _orientation(is_landscape) -> str:
     return "landscape" if str(is_landscape) == "1" else "portrait"
 
 
-def visits_by_device(visits: DataFrame, device, operating_system: str | None = None,
+def visits_by_device(visits: DataFrame, device, operating_system: str | None,
                      is_landscape=None) -> DataFrame:
-    preds = [F.col("device_category").cast("string") == str(device)]
-    if operating_system:
-        preds.append(F.col("operating_system") == operating_system)
+    """Repository rule: ``device_category = int(device)`` AND ``operating_system =
+    operating_system`` (always applied; a missing OS matches nothing, as SQL
+    ``= NULL`` does) AND, when given, the orientation ('1' -> landscape, else
+    portrait). The web endpoint's optional-OS variant is :func:`composed_filter`."""
+    os_match = F.col("operating_system") == F.lit(operating_system).cast("string")
+    preds = [F.col("device_category") == int(device), os_match]
     if is_landscape is not None:
         preds.append(F.col("screen_orientation_name") == _orientation(is_landscape))
     return visits.filter(reduce(lambda a, b: a & b, preds))

@@ -596,7 +596,7 @@ query("visits_by_new_user", W("select * from visits where is_new_user = true"))(
     lambda s, d: FL.visits_by_new_user(Inputs(s, d).visits, 1))
 query("visits_by_region", W("select * from visits where region_city = 'NATION_7'"))(
     lambda s, d: FL.visits_by_region(Inputs(s, d).visits, "ignored-country", "NATION_7"))
-query("visits_by_device", W("select * from visits where cast(device_category as varchar) = '2' "
+query("visits_by_device", W("select * from visits where device_category = 2 "
                             "and operating_system = 'os_5' and screen_orientation_name = 'landscape'"))(
     lambda s, d: FL.visits_by_device(Inputs(s, d).visits, "2", "os_5", "1"))
 

@@ -42,11 +42,19 @@ def test_period_bounds_strip_or_convert_offsets(spark):
     assert sorted(r["visit_id"] for r in FL.visits_in_period(v, lo, hi, "to_utc").collect()) == [0, 1]
 
 
-def test_device_filter_orientation_and_empty_os_is_off(spark):
+def test_device_filter_os_always_applies_orientation_optional(spark):
     v = make_visits(spark, [visit(1, None, device=2, orientation="landscape"),
                             visit(2, None, device=2, orientation="portrait"), visit(3, None, device=1)])
-    assert [r["visit_id"] for r in FL.visits_by_device(v, "2", "", "1").collect()] == [1]
-    assert [r["visit_id"] for r in FL.visits_by_device(v, "2", None, "0").collect()] == [2]
+    assert [r["visit_id"] for r in FL.visits_by_device(v, "2", "os_1", "1").collect()] == [1]
+    assert [r["visit_id"] for r in FL.visits_by_device(v, "2", "os_1", "0").collect()] == [2]
+    assert sorted(r["visit_id"] for r in FL.visits_by_device(v, "2", "os_1").collect()) == [1, 2]
+    assert FL.visits_by_device(v, "2", None).count() == 0      # OS = NULL matches nothing
+    assert FL.visits_by_device(v, "2", "").count() == 0
+
+
+def test_endpoint_filter_treats_empty_os_as_off(spark):
+    v = make_visits(spark, [visit(1, None, device=2, is_new_user=True), visit(2, None, device=2, is_new_user=False)])
+    assert [r["visit_id"] for r in FL.composed_filter(v, True, "2", "", None, "").collect()] == [1]
 
 
 def test_duration_stats_empty_and_median(spark):
