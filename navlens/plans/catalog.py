@@ -1042,7 +1042,8 @@ from navlens.sources import sinks as SK  # noqa: E402
 from navlens.streaming import sessionize as ST  # noqa: E402
 
 
-@query("csv_hits", W("select * from hits"))
+@query("csv_hits", W("select watch_id, coalesce(client_id, '') as client_id, coalesce(url, '') as url, "
+                     "datetime_hit, coalesce(title, '') as title from hits"))
 def q_csv_hits(spark, sf_dir):
     path = SK.write_hits_csv(Inputs(spark, sf_dir).hits)
     return RD.read_hits_csv(spark, path)
@@ -1103,8 +1104,14 @@ def q_decode_escapes(spark, sf_dir):
     return escaped.select("doc_id", TXT.decode_escapes(F.col("escaped")).alias("text"))
 
 
+_TEXT_COLS = ["start_url", "end_url", "region_city", "client_id", "last_search_engine_root", "operating_system",
+              "browser", "screen_orientation_name"]
+
+
 @query("csv_visits", W(f"""{BALL}
-select v.* from visits v where visit_id in (select visit_id from ball)"""))
+select visit_id, watch_ids, date_time, is_new_user, page_views, visit_duration, device_category,
+       {", ".join(f"coalesce({c}, '') as {c}" for c in _TEXT_COLS)}
+from visits v where visit_id in (select visit_id from ball)"""))
 def q_csv_visits(spark, sf_dir):
     path = SK.write_visits_csv(Inputs(spark, sf_dir).visits)
     v = RD.read_visits_csv(spark, path)

@@ -33,6 +33,11 @@ def strip_prefix(df: DataFrame, prefix: str) -> DataFrame:
     return df.toDF(*[c[len(prefix):] if c.startswith(prefix) else c for c in df.columns])
 
 
+def _text(c: str):
+    """A CSV text field as the loader keeps it: missing -> ''."""
+    return F.coalesce(F.col(c), F.lit("")).alias(c)
+
+
 def _all_string(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
@@ -41,9 +46,11 @@ def read_hits_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV of hits -> ``hits``; rows without an id are dropped, bad
     dates become NULL, a duplicated id keeps its earliest (time, URL) row."""
     raw = spark.read.option("header", True).schema(_all_string(HIT_CSV_COLUMNS)).csv(path)
+    # absent text is stored as '' (not NULL), as the loader does; dates parse to NULL
     h = raw.select(*[F.col(k).alias(v) for k, v in HIT_CSV_COLUMNS.items()]) \
            .filter(nonempty("watch_id")) \
-           .withColumn("datetime_hit", parse_datetime("datetime_hit"))
+           .select("watch_id", _text("client_id"), _text("url"), parse_datetime("datetime_hit").alias("datetime_hit"),
+                   _text("title"))
     first = F.min(F.struct(F.coalesce(F.col("datetime_hit"), F.expr("TIMESTAMP_NTZ'9999-12-31 00:00:00'")),
                            F.coalesce(F.col("url"), F.lit("")), "client_id", "url", "datetime_hit", "title"))
     return h.groupBy("watch_id").agg(first.alias("_r")).select(
@@ -70,13 +77,17 @@ def read_visits_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).schema(_all_string(list(VISIT_CSV_COLUMNS) + ["rowNo"])).csv(path)
     v = raw.select(*[F.col(k).alias(n) for k, n in VISIT_CSV_COLUMNS.items()],
                    parse_int("rowNo").alias("row_no"))
+    # rows without a visit id are skipped; empty hit ids are not listed; text
+    # fields keep '' for missing values, numbers and dates parse to NULL
     v = v.filter(nonempty("visit_id")).select(
-        parse_int("visit_id").alias("visit_id"), "watch_id", parse_datetime("date_time").alias("date_time"),
-        parse_bool("is_new_user").alias("is_new_user"), "start_url", "end_url",
+        parse_int("visit_id").alias("visit_id"),
+        F.when(nonempty("watch_id"), F.col("watch_id")).alias("watch_id"),
+        parse_datetime("date_time").alias("date_time"),
+        parse_bool("is_new_user").alias("is_new_user"), _text("start_url"), _text("end_url"),
         parse_int("page_views").cast("int").alias("page_views"),
-        parse_int("visit_duration").cast("int").alias("visit_duration"), "region_city", "client_id",
-        "last_search_engine_root", parse_int("device_category").cast("int").alias("device_category"),
-        "operating_system", "browser", "screen_orientation_name", "row_no")
+        parse_int("visit_duration").cast("int").alias("visit_duration"), _text("region_city"), _text("client_id"),
+        _text("last_search_engine_root"), parse_int("device_category").cast("int").alias("device_category"),
+        _text("operating_system"), _text("browser"), _text("screen_orientation_name"), "row_no")
     return regroup_visit_rows(v, "row_no")
 
 
