@@ -308,7 +308,7 @@ r as (select case when lo0 = hi0 then lo0 - 0.5 else lo0 end as lo,
              case when lo0 = hi0 then hi0 + 0.5 else hi0 end as hi from r0 where lo0 is not null),
 c as (select least(floor(({col} - lo) * {n} / (hi - lo)), {n - 1})::bigint as bin, count(*) as n
       from {src}, r group by 1)
-select g.bin, lo + g.bin * (hi - lo) / {n} as lower, lo + (g.bin + 1) * (hi - lo) / {n} as upper,
+select g.bin, lo + g.bin * ((hi - lo) / {n}) as lower, lo + (g.bin + 1) * ((hi - lo) / {n}) as upper,
        coalesce(c.n, 0) as count
 from r, (select range::bigint as bin from range({n})) g left join c on c.bin = g.bin"""
 
