@@ -1,8 +1,12 @@
-"""Every registered query against its DuckDB statement (sf0.001, whole tables)."""
+"""Every registered query against its DuckDB statement (sf0.001, whole tables, exact floats)."""
+
+import os
 
 import duckdb
 import pytest
 
+os.environ["NAVLENS_EXACT"] = "1"   # floats must match bit for bit, not only to 9 digits
+
 import __spark_entry__ as entry
 from tools.oracle_check import TABLES, rows_of
 
