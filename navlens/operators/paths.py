@@ -82,15 +82,22 @@ def reverse_navigation(facts: ReleaseFacts) -> DataFrame:
                        F.coalesce(F.col("total_reverse_transitions"), z).alias("total_reverse_transitions"))
 
 
-def _with_next(facts: ReleaseFacts, leads=(1,)) -> DataFrame:
-    return with_neighbors(url_path_rows(facts), ["release_ord", "visit_id"], path_order(),
-                          time_chunk("datetime_hit", PATH_CHUNK_SECONDS, nulls_first=True),
-                          "url", leads=leads)
+def _with_next(facts: ReleaseFacts) -> DataFrame:
+    """Path rows with the next two URLs; one DataFrame per facts object, so
+    transitions, loops and loop counts share the same plan subtree (and AQE
+    reuses its exchanges) instead of building three neighbour passes."""
+    cached = facts.__dict__.get("_path_next")
+    if cached is None:
+        cached = with_neighbors(url_path_rows(facts), ["release_ord", "visit_id"], path_order(),
+                                time_chunk("datetime_hit", PATH_CHUNK_SECONDS, nulls_first=True),
+                                "url", leads=(1, 2))
+        facts.__dict__["_path_next"] = cached
+    return cached
 
 
 def common_transitions(facts: ReleaseFacts, top_n: int = TOP_TRANSITIONS) -> DataFrame:
     """Most frequent consecutive URL pairs (self-pairs included), top ``top_n``."""
-    pairs = _with_next(facts, (1,)).filter(F.col("next1").isNotNull())
+    pairs = _with_next(facts).filter(F.col("next1").isNotNull())
     g = pairs.groupBy("release_ord", F.col("url").alias("from_url"), F.col("next1").alias("to_url")) \
         .agg(F.count(F.lit(1)).alias("transition_count"))
     w = Window.partitionBy("release_ord").orderBy(
@@ -102,7 +109,7 @@ def common_transitions(facts: ReleaseFacts, top_n: int = TOP_TRANSITIONS) -> Dat
 
 def loop_patterns(facts: ReleaseFacts, top_n: int = TOP_LOOPS) -> DataFrame:
     """Most frequent A -> B -> A triples (A != B), top ``top_n``."""
-    t = _with_next(facts, (1, 2)).filter(
+    t = _with_next(facts).filter(
         (F.col("next2") == F.col("url")) & (F.col("next1") != F.col("url")))
     g = t.groupBy("release_ord", F.col("url").alias("url_a"), F.col("next1").alias("url_b")) \
         .agg(F.count(F.lit(1)).alias("occurrences"))
@@ -116,7 +123,7 @@ def loop_patterns(facts: ReleaseFacts, top_n: int = TOP_LOOPS) -> DataFrame:
 
 def loop_pattern_counts(facts: ReleaseFacts) -> DataFrame:
     """``(release_ord, n_loop_patterns)``: distinct A -> B -> A triples per release."""
-    t = _with_next(facts, (1, 2)).filter(
+    t = _with_next(facts).filter(
         (F.col("next2") == F.col("url")) & (F.col("next1") != F.col("url")))
     n = t.select("release_ord", "url", "next1").distinct().groupBy("release_ord") \
         .agg(F.count(F.lit(1)).alias("n_loop_patterns"))
