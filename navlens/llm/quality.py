@@ -34,8 +34,10 @@ EM_ROUNDS = 30
 FIRST_GUESS = 0.999
 #: Added to every count that a probability is estimated from: no vote is proof.
 PSEUDO = 0.5
-#: Least log odds against good that a bad vote adds.
-LEAST_ODDS = 1.0
+#: Least log odds that a vote adds in its own direction. Bad votes are written to be rare on good documents; a good
+#: vote only says that nothing was found.
+LEAST_BAD_ODDS = 5.0
+LEAST_GOOD_ODDS = 0.5
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_shouts"]
@@ -141,8 +143,7 @@ def fit_rules(voted: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
 
     EM over the vote combinations of all rows. The first guess takes rows without a bad vote as good. Each round
     estimates how often a rule casts a vote on good and on bad rows, and from that each combination's posterior.
-    Rules are taken to be better than chance: a bad vote adds ``-LEAST_ODDS`` at most, a good vote 0 at least;
-    an abstention adds nothing.
+    Rules are taken to be better than chance (``LEAST_BAD_ODDS``, ``LEAST_GOOD_ODDS``); an abstention adds nothing.
     """
     k = len(VOTES)
     patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))  # at most 3^k rows
@@ -157,7 +158,7 @@ def fit_rules(voted: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
                            lambda c: F.log(((c["good"] + F.lit(PSEUDO)) / (sums["good"] + F.lit(2 * PSEUDO)))
                                            / ((c["bad"] + F.lit(PSEUDO)) / (sums["bad"] + F.lit(2 * PSEUDO)))))
             return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.array(
-                F.least(of_vote(j, -1), F.lit(-LEAST_ODDS)), F.lit(0.0), F.greatest(of_vote(j, 1), F.lit(0.0))))
+                F.least(of_vote(j, -1), F.lit(-LEAST_BAD_ODDS)), F.lit(0.0), F.greatest(of_vote(j, 1), F.lit(LEAST_GOOD_ODDS))))
 
         sums = F.struct(_sum(F.transform(rows, lambda r: r["good"])).alias("good"),
                         _sum(F.transform(rows, lambda r: r["n"] - r["good"])).alias("bad"))
