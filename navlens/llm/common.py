@@ -51,3 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_partitions(df: DataFrame, floor: int = 12) -> int:
     """Partitions for a shuffle that follows ``spark.sql.shuffle.partitions``, ``floor`` at least."""
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def send_state(spark: SparkSession, value):
+    """Broadcast of an object's attributes (plain data and arrays); tasks rebuild the object with ``from_state``."""
+    return spark.sparkContext.broadcast(vars(value))
+
+
+def from_state(cls, state: dict):
+    out = cls.__new__(cls)
+    out.__dict__.update(state)
+    return out

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from navlens.llm import licenses, oracle, quality, sharding, urlfilter
+from navlens.llm import bpe, decontaminate, htmltext, licenses, lm, oracle, quality, sharding, toxicity, urlfilter
 from navlens.llm.common import table
 
 
@@ -19,20 +20,54 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents")).drop("text_md5")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def held_out_labels() -> Column:
+    """Rows whose labels no model may see."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out_labels())
+            .select("doc_id", held_out_labels().alias("held_out"), "score", "predicted", "n_restored"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                             public_tokenizers.PATTERN).drop("text")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select(
         "page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages")).drop("n_shared")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op6_license_scan": op6_license_scan,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_url_filter": op8_url_filter,
+    "op9_lm_score": op9_lm_score,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL

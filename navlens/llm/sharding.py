@@ -30,8 +30,11 @@ from navlens.llm.common import text_partitions, written
 
 N_SHARDS = 40
 OVERHEAD = 16
-#: Block ends that the driver gets in one round at most (plus two per refined block range).
+#: Block ends that the driver gets in the first round at most. A later round refines the blocks that probes cut
+#: (about 40 a probe), each into 8 or so.
 BLOCKS = 16_384
+#: Ranges that one refining filter names at most.
+MOST_RANGES = 100
 #: Leading hex digits of the digest that deal groups to running-sum windows: 16^3 windows and one for null texts.
 DIGITS = 3
 
@@ -103,13 +106,18 @@ def cut_points(sums: RunningSums, capacity: int, n_shards: int) -> list[int]:
     return cuts
 
 
-def _block_ends(groups: DataFrame, ranges: list[tuple[int, int]], blocks: int) -> dict[int, int]:
-    """end -> number of groups, for blocks of equal width inside the ranges (one aggregate, ``blocks`` rows or so)."""
-    width = max(1, -(-sum(b - a for a, b in ranges) // blocks))
+def _block_ends(groups: DataFrame, ranges: list[tuple[int, int]], held: int, width: int,
+                blocks: int) -> dict[int, int]:
+    """end -> number of groups of the blocks inside the ranges, which hold ``held`` groups.
+
+    Few enough groups come as they are; else blocks of ``width`` do, by one aggregate.
+    """
     inside, which = F.lit(False), F.lit(-1)
     for i, (a, b) in enumerate(ranges):
         fits = (F.col("upto") > a) & (F.col("upto") <= b)
         inside, which = inside | fits, F.when(fits, F.lit(i)).otherwise(which)
+    if held <= 2 * blocks:
+        return {r["upto"]: 1 for r in groups.where(inside).select("upto").collect()}
     rows = (groups.where(inside).groupBy(which.alias("r"), F.floor((F.col("upto") - 1) / F.lit(width)).alias("b"))
             .agg(F.max("upto").alias("e"), F.count(F.lit(1)).alias("n")).collect())
     return {r["e"]: r["n"] for r in rows}
@@ -117,8 +125,9 @@ def _block_ends(groups: DataFrame, ranges: list[tuple[int, int]], blocks: int) -
 
 def minimax_cuts(groups: DataFrame, n_shards: int, blocks: int = BLOCKS) -> tuple[int, list[int]]:
     """(smallest capacity, cut points) of ``groups`` (group_bytes, upto = running sum)."""
-    total, largest = groups.agg(F.max("upto"), F.max("group_bytes")).first()
-    ends = _block_ends(groups, [(0, total)], blocks)
+    total, largest, n = groups.agg(F.max("upto"), F.max("group_bytes"), F.count(F.lit(1))).first()
+    width = max(1, -(-total // blocks))
+    ends = _block_ends(groups, [(0, total)], n, width, blocks)
     while True:
         order = sorted(ends)
         sums = RunningSums(order, [ends[e] for e in order])
@@ -126,17 +135,16 @@ def minimax_cuts(groups: DataFrame, n_shards: int, blocks: int = BLOCKS) -> tupl
         cuts = cut_points(sums, capacity, n_shards)
         if not sums.inexact:
             return capacity, cuts
-        for i in sums.inexact:
-            del ends[sums.ends[i]]
-        # many separate blocks: the refining filter names the joined ranges, nearest ones first joined to 256
         ranges = sums.ranges()
-        while len(ranges) > 256:
-            gaps = sorted(range(1, len(ranges)), key=lambda i: ranges[i][0] - ranges[i - 1][1])[:len(ranges) - 256]
-            keep = sorted(set(range(1, len(ranges))) - set(gaps))
-            starts = [0, *keep]
-            ranges = [(ranges[a][0], ranges[b - 1][1]) for a, b in zip(starts, [*keep, len(ranges)])]
-        ends = {e: n for e, n in ends.items() if not any(a < e <= b for a, b in ranges)}
-        ends |= _block_ends(groups, ranges, blocks)
+        if len(ranges) > MOST_RANGES:  # the filter stays small: the smallest gaps between ranges are refined as well
+            gaps = sorted(range(1, len(ranges)), key=lambda i: ranges[i][0] - ranges[i - 1][1])
+            starts = [0, *sorted(gaps[len(ranges) - MOST_RANGES:])]
+            ranges = [(ranges[a][0], ranges[b - 1][1]) for a, b in zip(starts, [*starts[1:], len(ranges)])]
+        # a block across a range's start would count groups outside: ranges begin and end at block ends
+        gone = {e for a, b in ranges for e in order[bisect_right(order, a):bisect_right(order, b)]}
+        held = sum(ends.pop(e) for e in gone)
+        width = max(1, min(width // 8, -(-sum(b - a for a, b in ranges) // blocks)))
+        ends |= _block_ends(groups, ranges, held, width, blocks)
 
 
 def text_size(text: Column, overhead: int = OVERHEAD) -> Column:
