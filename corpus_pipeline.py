@@ -2,16 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs. All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; the last returns token digests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from navlens.llm import quality
+from navlens.llm import bpe, decontaminate, jaccard, quality, queries, toxicity
 from navlens.llm.common import table, written
 
 
@@ -20,11 +21,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go. The scorer learns from the labels of this stage's documents, held-out ones not."""
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), ~queries.held_out_labels())
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that the n-gram join links stays, that with the smallest doc_id."""
+    return jaccard.keep_first(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded and decoded texts."""
+    return bpe.encode_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                             public_tokenizers.PATTERN).drop("text")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("byte-level bpe", byte_bpe),
 ]
 
-#: The n-gram join, language models and tokenizer have no SQL: tested against brute force instead.
+#: Toxicity scores and BPE merges have no SQL: the pipeline is tested against a brute-force version instead.
 ORACLE_SQL = None
 
 

@@ -183,13 +183,16 @@ def with_votes(docs: DataFrame) -> DataFrame:
     return with_features(docs).withColumn("votes", F.array(*[F.expr(v) for v in VOTES.values()]))
 
 
-def _verdict(voted: DataFrame, threshold: float, rounds: int) -> tuple[Column, Column, Column]:
-    """(quality, base_failed, kept) as columns over ``voted``; the fitted model (22 doubles) becomes literals."""
+def _verdict(voted: DataFrame, threshold: float, rounds: int) -> dict[str, Column]:
+    """quality, base_failed and kept as columns over the table that ``voted`` was made from.
+
+    The fitted model (1 + 3 * number of rules doubles) becomes literals.
+    """
     model = fit_rules(voted.select("votes"), rounds).first()["model"]
     fixed = F.struct(F.lit(model["prior"]).alias("prior"),
                      F.array(*[F.array(*map(F.lit, o)) for o in model["odds"]]).alias("odds"))
     quality, failed = F.round(_posterior(F.col("votes"), fixed), 6), F.expr(BASE_FAILED)
-    return quality, failed, ~failed & (quality >= threshold)
+    return {"quality": quality, "base_failed": failed, "kept": ~failed & (quality >= threshold)}
 
 
 def judge_quality(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = EM_ROUNDS) -> DataFrame:
@@ -198,18 +201,14 @@ def judge_quality(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = E
     The counts are written once, without the texts; both the fit and the verdicts read that table.
     """
     voted = written(with_votes(docs).select("doc_id", *BASE, *MORE, "votes"), "quality-votes")
-    quality, failed, kept = _verdict(voted, threshold, rounds)
-    return voted.withColumns({"quality": quality, "base_failed": failed, "kept": kept})
+    return voted.withColumns(_verdict(voted, threshold, rounds))
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = EM_ROUNDS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    Votes join back by the row's digest, not by doc_id, which may repeat: all that a verdict rests on is the text.
+    The votes are cast twice, for the fit and for the verdicts: that costs less than to shuffle the texts to a join.
     """
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    voted = written(with_votes(docs.select("text")).select(digest.alias("d"), *BASE, "votes"), "quality-votes")
-    quality, failed, kept = _verdict(voted, threshold, rounds)
-    gone = voted.select("d", kept.alias("kept")).where(~F.col("kept")).select("d").distinct()
-    marked = docs.withColumn("__d", digest)
-    return marked.join(gone, marked["__d"] == gone["d"], "left_anti").drop("__d")
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), "text")
+    voted = with_votes(row)
+    return voted.where(_verdict(with_votes(docs.select("text")), threshold, rounds)["kept"]).select("__row.*")

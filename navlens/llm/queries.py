@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from navlens.llm import bpe, decontaminate, htmltext, licenses, lm, oracle, quality, sharding, toxicity, urlfilter
+from navlens.llm import bpe, decontaminate, htmltext, jaccard, licenses, lm, oracle, quality, sharding, toxicity, urlfilter
 from navlens.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out_labels().alias("held_out"), "score", "predicted", "n_restored"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_license_scan": op6_license_scan,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_url_filter": op8_url_filter,
