@@ -263,19 +263,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return out
 
 
+def _is_clean(shared, threshold: float, overlap: float):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = from_state(ItemIndex, shared.value)
+        for texts in batches:
+            yield pd.Series([not index.matches(text_words(t), threshold, overlap) for t in texts], dtype=bool)
+
+    return clean
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,
                slice_items: int = SLICE_ITEMS) -> DataFrame:
     """The rows of ``docs`` that hold no test item, in the columns of ``docs``."""
     out = docs
     for index in _slices(docs.sparkSession, benchmark, slice_items):
-        shared = send_state(docs.sparkSession, index)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = from_state(ItemIndex, shared.value)
-            for texts in batches:
-                yield pd.Series([not index.matches(text_words(t), threshold, overlap) for t in texts],
-                                dtype=bool)
-
-        out = out.where(clean(F.col("text")))
+        out = out.where(_is_clean(send_state(docs.sparkSession, index), threshold, overlap)(F.col("text")))
     return out
