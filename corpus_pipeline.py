@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from navlens.llm import bpe, decontaminate, jaccard, quality, queries, toxicity
 from navlens.llm.common import table, written
@@ -23,8 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. The scorer learns from the labels of this stage's documents, held-out ones not."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), ~queries.held_out_labels())
-    return scored.where("predicted = 0").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    scored = toxicity.score_toxicity(rows, table(spark, sf_dir, "labels"), ~queries.held_out_labels())
+    return scored.where("predicted = 0").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

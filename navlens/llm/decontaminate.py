@@ -244,25 +244,28 @@ def _slices(spark: SparkSession, benchmark: DataFrame, size: int) -> Iterator[It
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,
                slice_items: int = SLICE_ITEMS) -> DataFrame:
     """One row per document and test item that it holds: doc_id, item_id, bm25_share, question_overlap, answer_overlap."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, bm25_share double, question_overlap double, answer_overlap double"
-    out = spark.createDataFrame([], schema)
-    for index in _slices(spark, benchmark, slice_items):
-        shared = send_state(spark, index)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = from_state(ItemIndex, shared.value)
-            for batch in batches:
-                rows = [(doc_id, index.item_ids[item], round(score, 6), q, a)
-                        for doc_id, text in zip(batch["doc_id"], batch["text"])
-                        for item, score, q, a in index.matches(text_words(text), threshold, overlap)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "bm25_share", "question_overlap",
-                                                  "answer_overlap"])
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInPandas(search, schema))
+    out = docs.sparkSession.createDataFrame(
+        [], "doc_id long, item_id long, bm25_share double, question_overlap double, answer_overlap double")
+    for index in _slices(docs.sparkSession, benchmark, slice_items):
+        leaks = _leaks(send_state(docs.sparkSession, index), threshold, overlap)
+        out = out.unionByName(docs.select("doc_id", F.explode(leaks(F.col("text"))).alias("leak"))
+                              .select("doc_id", "leak.*"))
     return out
 
 
+def _leaks(shared, threshold: float, overlap: float):
+    @F.pandas_udf("array<struct<item_id: bigint, bm25_share: double, question_overlap: double, answer_overlap: double>>")
+    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = from_state(ItemIndex, shared.value)
+        for texts in batches:
+            yield pd.Series([[{"item_id": index.item_ids[item], "bm25_share": round(score, 6),
+                               "question_overlap": q, "answer_overlap": a}
+                              for item, score, q, a in index.matches(text_words(t), threshold, overlap)]
+                             for t in texts], dtype=object)
+
+    return leaks
+
+
 def _is_clean(shared, threshold: float, overlap: float):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

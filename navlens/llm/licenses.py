@@ -75,7 +75,7 @@ LICENCE_WORDS = r"(^| )(licen[sc]ed?|copyright|warranty|redistribut[a-z]*|spdx)(
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text, in order, empty ones left out."""
-    marked = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[.!?]+([\x20\x09-\x0D]+|$)", "\n")
+    marked = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[.!?]+([\x20\x09-\x0D]+|\z)", "\n")
     plain = F.regexp_replace(marked, r"[^a-z0-9\n]+", " ")
     return F.filter(F.split(plain, r" *\n[ \n]*"), lambda s: F.trim(s) != "")
 

@@ -117,7 +117,7 @@ def _distinct(token: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 def _blocks(docs: DataFrame, trains: Column) -> DataFrame:
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
-    return docs.select("doc_id", "text", block.alias("block"), trains.alias("trains"))
+    return docs.select(F.col("doc_id").cast("string"), "text", block.alias("block"), trains.alias("trains"))
 
 
 def _hashed(blocks: DataFrame) -> DataFrame:
@@ -222,5 +222,5 @@ def score_texts(docs: DataFrame, trains: Column, mu: float = MU, add: float = AD
     scored = placed.groupBy("block").cogroup(
         counted.where("block >= 0").select("block", "part", "counts").groupBy("block")).applyInPandas(
         _score(parts, n, v, mu, add),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(n).cast("long"))
+        "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("train_tokens", F.lit(n).cast("long"))
