@@ -185,29 +185,32 @@ FROM s JOIN (SELECT r.a, min(o.doc_id) AS component_id FROM reach r JOIN s o ON
 
 
 def _op6() -> str:
-    known = ", ".join(f"'{k}': '{v}'" for k, v in licenses.SENTENCES.items())
-    steps, found = "", "[]::VARCHAR[] AS f0"
-    for k, (ids, licence) in enumerate(licenses.RULES):
+    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses.SENTENCES.items())
+    chain = "SELECT rid, sentence_ids AS rest, []::VARCHAR[] AS found FROM ids"
+    for ids, licence in licenses.RULES:  # one nested SELECT for each rule
         seq = "".join(f"<{i}>" for i in ids)
-        steps += f", replace(r{k}, '{seq}', '|') AS r{k + 1}"
-        found += (f", CASE WHEN contains(r{k}, '{seq}') AND NOT list_contains(f{k}, '{licence}')"
-                  f" THEN list_append(f{k}, '{licence}') ELSE f{k} END AS f{k + 1}")
+        chain = (f"SELECT rid, replace(rest, '{seq}', '|') AS rest, CASE WHEN contains(rest, '{seq}')"
+                 f" AND NOT list_contains(found, '{licence}') THEN list_append(found, '{licence}') ELSE found END AS found"
+                 f" FROM ({chain})")
     return rf"""
-WITH d AS (SELECT doc_id, regexp_replace({_LOWER.format("coalesce(text, '')")}, '[.!?]+([\x20\x09-\x0D]+|$)', chr(10), 'g') AS t
-           FROM documents),
-s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '[^a-z0-9\n]+', ' ', 'g'),
-                                                                      ' *\n[ \n]*'), lambda x: trim(x)),
-                                 lambda x: x <> '') AS all_ FROM d),
-i AS (SELECT doc_id, len(all_) AS n, list_filter(list_transform(all_, lambda x: map_extract_value(MAP {{{known}}}, x)),
-                                                 lambda x: x IS NOT NULL) AS ids,
-             len(list_filter(all_, lambda x: map_extract_value(MAP {{{known}}}, x) IS NULL AND regexp_matches(x,
-               '(^| )(licen[sc]ed?|copyright|warranty|redistribut[a-z]*|spdx)( |$)'))) AS n_unknown FROM s),
-r AS (SELECT *, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS r0{steps} FROM i),
-f AS (SELECT *, {found} FROM r)
-SELECT doc_id, n::INTEGER AS n_sentences, len(ids)::INTEGER AS n_known, n_unknown::INTEGER AS n_unknown,
-       r0 AS sentence_ids, coalesce(array_to_string(f{len(licenses.RULES)}, ','), '') AS licenses,
-       f{len(licenses.RULES)}[1] AS license
-FROM f
+WITH known(sentence, id) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+             regexp_replace({_LOWER.format("coalesce(text, '')")}, '[.!?]+([\x20\x09-\x0D]+|$)', chr(10), 'g') AS t
+      FROM documents),
+s AS (SELECT rid, doc_id, list_filter(list_transform(regexp_split_to_array(
+                 regexp_replace(t, '[^a-z0-9\n]+', ' ', 'g'), ' *\n[ \n]*'), lambda x: trim(x)),
+                 lambda x: x <> '') AS all_ FROM d),
+e AS (SELECT rid, i, all_[i] AS sentence FROM (SELECT rid, all_, unnest(range(1, len(all_) + 1)) AS i FROM s)),
+m AS (SELECT rid, count(id) AS n_known, count(*) FILTER (id IS NULL AND regexp_matches(e.sentence,
+             '(^| )(licen[sc]ed?|copyright|warranty|redistribut[a-z]*|spdx)( |$)')) AS n_unknown,
+             string_agg('<' || id || '>', '' ORDER BY i) AS sentence_ids
+      FROM e LEFT JOIN known ON e.sentence = known.sentence GROUP BY rid),
+ids AS (SELECT s.rid, doc_id, len(all_) AS n, coalesce(n_known, 0) AS n_known, coalesce(n_unknown, 0) AS n_unknown,
+               coalesce(sentence_ids, '') AS sentence_ids FROM s LEFT JOIN m ON s.rid = m.rid),
+r AS ({chain})
+SELECT doc_id, n::INTEGER AS n_sentences, n_known::INTEGER AS n_known, n_unknown::INTEGER AS n_unknown, sentence_ids,
+       coalesce(array_to_string(found, ','), '') AS licenses, found[1] AS license
+FROM ids JOIN r ON ids.rid = r.rid
 """
 
 
