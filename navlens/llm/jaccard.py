@@ -9,15 +9,16 @@ and no list of pairs is made: only what connects components leaves a task.
    steps below work on nodes.
 2. Shingles are ordered rarest first, by the counts of 2^18 hash buckets over
    all documents (any order is right; this one keeps common passages out of the
-   prefixes). Two sets that link share a shingle of their prefixes, the first
-   n - ceil(0.9 n) + 1 of n.
-3. Index lists, one for each prefix shingle, hold (size, position, 256-bit
-   parity bitmap) of its sets, sorted by size. A list is read by blocks: past
-   the sizes that can link, and past the positions from which the smaller set
-   cannot reach the overlap, blocks are skipped, and so is every pair already
-   connected. Pairs whose sizes, positions and bitmaps allow a link connect
-   into candidate groups. A list that would be longer than ``LIST_ROWS`` by its
-   bucket's count is cut in cells, and each pair of cells is a list.
+   prefixes). Linked sets of sizes n and m differ in D = (n + m) / 19 shingles
+   at most. A set of up to ``PART_SHINGLES`` is one part; larger ones are cut by
+   hash in 2, 4, 8 ... parts, of which one must differ in D / parts at most.
+   Such parts share one of their first D / parts + 1 shingles.
+3. Index lists, one for each such shingle, hold (size, position, 256-bit parity
+   bitmap) of the parts, sorted by size. A list is read by blocks, past the sizes
+   that can link blocks are skipped, and so is every pair already connected.
+   Pairs whose sizes, positions and bitmaps allow a link connect into candidate
+   groups. A list that would be longer than ``LIST_ROWS`` by its bucket's count
+   is cut in cells, and each pair of cells is a list.
 4. Candidate groups, nearly all of them a few sets, are verified with the whole
    sets. A set's overlaps with the group are derived from those of the most
    similar set already answered: only the index lists of the shingles in which
@@ -38,13 +39,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from navlens.llm.common import ascii_lower, let, text_partitions, words, written
+from navlens.llm.common import ascii_lower, text_partitions, words, written
 from navlens.llm.components import connected_components
 
 NUM, DEN = 90, 100
 BUCKETS = 1 << 18
+#: Shingles of a part: larger sets are cut in parts, so that the bitmaps stay telling.
+PART_SHINGLES = 800
 #: Rows of an index list beyond which it is cut in cells.
 LIST_ROWS = 20_000
 #: Shingles of a candidate group beyond which it is cut in cells.
@@ -53,26 +58,43 @@ GROUP_SHINGLES = 2_000_000
 BLOCK, KEPT_ANSWERS = 256, 16
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Distinct 64-bit hashes of the 3-word shingles, sorted; of one or two words, of the word sequence."""
-    def of_words(ws: Column) -> Column:
-        def triples(h: Column) -> Column:
-            pairs = F.zip_with(h, F.slice(h, 2, F.size(h)), lambda a, b: F.xxhash64(a, b))
-            threes = F.zip_with(pairs, F.slice(h, 3, F.size(h)), lambda a, b: F.xxhash64(a, b))
-            return F.sort_array(F.array_distinct(F.slice(threes, 1, F.greatest(F.size(h) - 2, F.lit(0)))))
+_M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
-        return (F.when(F.size(ws) == 0, F.array().cast("array<bigint>"))
-                .when(F.size(ws) < 3, F.array(F.xxhash64(F.lit("short"), F.array_join(ws, " "))))
-                .otherwise(let(F.transform(ws, lambda w: F.xxhash64(w)), triples)))
 
-    return let(words(ascii_lower(text)), of_words)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles, n_shingles, node (digest of the set)."""
-    return (docs.select("doc_id", shingle_hashes(F.col("text")).alias("shingles"))
-            .select("doc_id", "shingles", F.size("shingles").cast("long").alias("n_shingles"),
-                    F.xxhash64(F.size("shingles"), "shingles").alias("node")))
+def shingle_sets(column: pa.ListArray) -> list[np.ndarray]:
+    """Word hashes of each text -> sorted distinct hashes of its 3-word shingles (of the sequence, if shorter)."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    ends = np.cumsum(np.array([0, *column.value_lengths().fill_null(0).to_pylist()], np.int64))
+    if len(flat) > 2:
+        threes = _mix(_mix(_mix(flat[:-2]) * _GOLD + flat[1:-1]) * _GOLD + flat[2:]).view(np.int64)
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if b - a > 2:
+            out.append(np.unique(threes[a:b - 2]))
+        elif b > a:
+            one = _mix(flat[a:a + 1] + _M1) if b - a == 1 else _mix(_mix(flat[a:a + 1]) * _M2 + flat[a + 1:b] + _M1)
+            out.append(one.view(np.int64))
+        else:
+            out.append(np.empty(0, np.int64))
+    return out
+
+
+def set_digest(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def _word_hashes(text: Column) -> Column:
+    return F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w))
+
+
+def _text_tag(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _least_overlap(a, b):
@@ -80,47 +102,77 @@ def _least_overlap(a, b):
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
-def _bucket_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all documents fall in each hash bucket (``BUCKETS`` numbers)."""
-    bucket = F.pmod(F.col("s"), F.lit(BUCKETS)).cast("int")
-    rows = (sets.select(F.explode("shingles").alias("s")).groupBy(bucket.alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("n"))).toPandas()
+def _most_apart(a, b):
+    """Largest symmetric difference of linked sets of sizes a and b."""
+    return a + b - 2 * _least_overlap(a, b)
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, word hashes) -> a row for each document, and in the end one for each hash bucket that was met."""
+    names = ["doc_id", "tag", "n_shingles", "node", "bucket", "n"]
     counts = np.zeros(BUCKETS, np.int64)
-    counts[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return counts
+    for batch in batches:
+        sets = shingle_sets(batch.column("hashes"))
+        if sets:
+            counts += np.bincount(np.concatenate(sets) & (BUCKETS - 1), minlength=BUCKETS)
+        none = pa.nulls(len(sets), pa.int64())
+        yield pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), batch.column("tag"), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([set_digest(s) for s in sets], pa.int64()), none, none], names=names)
+    met = np.flatnonzero(counts)
+    none = pa.nulls(len(met), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(met), pa.array(counts[met])], names=names)
+
+
+def _set_class(n: int) -> int:
+    """0 up to PART_SHINGLES, 1 up to twice as many, ...; class k has 2^k parts."""
+    return max(0, (-(-n // PART_SHINGLES) - 1).bit_length())
 
 
 def _index_rows(shared, list_rows: int):
-    """Sets -> (token, cell, n, node, pos, bitmap) of their prefixes; equal sets of a batch give rows once."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sets -> (token, cell, n, node, pos, bitmap) of their parts' prefixes; equal sets of a batch give rows once."""
+    def rows_of(s: np.ndarray, node: int, kind: int, counts: np.ndarray) -> Iterator[np.ndarray]:
+        parts = 1 << kind
+        most = _most_apart(len(s), DEN * len(s) // NUM) // parts
+        part = (s >> 40) & (parts - 1)
+        for q in range(parts):
+            own = s[part == q] if parts > 1 else s
+            bucket = own & (BUCKETS - 1)
+            order = np.lexsort((own, counts[bucket]))[:most + 1]
+            parity = np.bincount((own >> 20) & 255, minlength=256) & 1
+            tokens, cells = own[order], -(-counts[bucket[order]] // list_rows)
+            if len(own) <= most:  # parts that small may differ in all: they share the list of the small
+                tokens, cells = np.append(tokens, -1 - q), np.append(cells, 1)
+            rows = np.empty((len(tokens), 9), np.int64)
+            rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = tokens, kind << 48, len(s), node
+            rows[:, 4], rows[:, 5:] = np.arange(len(tokens)), np.packbits(parity.astype(np.uint8)).view(np.int64)
+            if len(own) <= most:
+                rows[-1, 4] = 0
+            yield rows[cells <= 1]
+            for k in np.flatnonzero(cells > 1).tolist():  # each pair of cells is a list
+                c = int(cells[k])
+                mine, other = node % c, np.arange(c)
+                many = np.repeat(rows[k:k + 1], c, axis=0)
+                many[:, 1] += 1 + np.minimum(mine, other) * c + np.maximum(mine, other)
+                yield many
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            batch = batch.drop_duplicates("node")
-            out = []
-            for node, raw in zip(batch["node"], batch["shingles"]):
-                s = np.asarray(raw, dtype=np.int64)
-                n = len(s)
-                if not n:
+            out, seen = [], set()
+            for s in shingle_sets(batch.column("hashes")):
+                node = set_digest(s)
+                if not len(s) or node in seen:
                     continue
-                bucket = s & (BUCKETS - 1)  # pmod of a two's complement number by a power of two
-                size = n - (-(-NUM * n // DEN)) + 1
-                order = np.lexsort((s, counts[bucket]))[:size]
-                parity = np.bincount(((s >> 20) & 255), minlength=256) & 1
-                bits = np.packbits(parity.astype(np.uint8)).view(np.int64)
-                cells = -(-counts[bucket[order]] // list_rows)
-                rows = np.empty((size, 9), np.int64)
-                rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = s[order], 0, n, node
-                rows[:, 4], rows[:, 5:] = np.arange(size), bits
-                out.append(rows[cells <= 1])
-                for k in np.flatnonzero(cells > 1).tolist():  # each pair of cells is a list
-                    c = int(cells[k])
-                    own = int(np.uint64(node) % np.uint64(c)) if node >= 0 else int(node) % c
-                    many = np.repeat(rows[k:k + 1], c, axis=0)
-                    other = np.arange(c)
-                    many[:, 1] = 1 + np.minimum(own, other) * c + np.maximum(own, other)
-                    out.append(many)
+                seen.add(node)
+                kind = _set_class(len(s))
+                # a set that may link with larger ones of the next class stands in both
+                for k in sorted({kind, _set_class(DEN * len(s) // NUM)}):
+                    out.extend(rows_of(s, node, k, counts))
             if out:
-                yield pd.DataFrame(np.concatenate(out), columns=_INDEX_COLUMNS)
+                rows = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in range(9)],
+                                                 names=_INDEX_COLUMNS)
 
     return run
 
@@ -129,28 +181,25 @@ _INDEX_COLUMNS = ["token", "cell", "n", "node", "pos", "b0", "b1", "b2", "b3"]
 _INDEX_SCHEMA = ", ".join(f"{c} long" for c in _INDEX_COLUMNS)
 
 
-def _may_link(n1, pos1, bits1, n2, pos2, bits2):
+def _may_link(n1, pos1, bits1, n2, pos2, bits2, parts):
     """Whether sizes, positions (of a first shared prefix shingle) and bitmaps allow a link."""
-    need = _least_overlap(n1, n2)
-    apart = np.bitwise_count((bits1 ^ bits2).view(np.uint64)).sum(axis=-1).astype(np.int64)  # at most the symmetric difference
-    return ((DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (np.minimum(n1 - pos1, n2 - pos2) >= need)
-            & (n1 + n2 - apart >= 2 * need))
+    most = _most_apart(n1, n2) // parts
+    apart = np.bitwise_count((bits1 ^ bits2).view(np.uint64)).sum(axis=-1).astype(np.int64)
+    return (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (pos1 + pos2 <= most) & (apart <= most)
 
 
-def list_edges(n: np.ndarray, node: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+def list_edges(n: np.ndarray, node: np.ndarray, pos: np.ndarray, bits: np.ndarray, parts: int) -> list[tuple[int, int]]:
     """Edges that connect the sets of one list as the pairs that may link do; rows sorted by size, distinct nodes."""
     m = len(n)
     root, edges = np.arange(m), []
-    # the smaller set of a pair needs n - pos >= least overlap with its own size: later positions are skipped
-    can_be_smaller = n - pos >= _least_overlap(n, n)
     last = np.searchsorted(n, DEN * n // NUM, side="right")  # past the sizes that can link
-    for k in np.flatnonzero(can_be_smaller).tolist():
+    for k in range(m):
         for a in range(k + 1, int(last[k]), BLOCK):
             b = min(a + BLOCK, int(last[k]))
             other = np.flatnonzero(root[a:b] != root[k]) + a
             if not len(other):
                 continue  # the whole block is connected with the set already
-            hits = other[_may_link(n[k], pos[k], bits[k], n[other], pos[other], bits[other])]
+            hits = other[_may_link(n[k], pos[k], bits[k], n[other], pos[other], bits[other], parts)]
             for h in hits.tolist():
                 if root[h] != root[k]:
                     edges.append((int(node[k]), int(node[h])))
@@ -168,11 +217,11 @@ def _read_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = np.diff(np.r_[starts, len(rows)])
         two = starts[sizes == 2]  # most lists that hold more than one set: all at once
         x, y = rows[two], rows[two + 1]
-        ok = _may_link(x[:, 2], x[:, 4], x[:, 5:], y[:, 2], y[:, 4], y[:, 5:]) if len(two) else np.zeros(0, bool)
+        ok = _may_link(x[:, 2], x[:, 4], x[:, 5:], y[:, 2], y[:, 4], y[:, 5:], 1 << (x[:, 1] >> 48))
         yield np.stack([x[ok, 3], y[ok, 3]], axis=1)
         for a, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             part = rows[a:a + m]
-            found = list_edges(part[:, 2], part[:, 3], part[:, 4], part[:, 5:])
+            found = list_edges(part[:, 2], part[:, 3], part[:, 4], part[:, 5:], 1 << int(part[0, 1] >> 48))
             if found:
                 yield np.array(found, np.int64)
 
@@ -234,42 +283,47 @@ def group_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
     return edges
 
 
-def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("node")
-    if len(pdf) < 2:
-        return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
-    edges = group_links(pdf["node"].tolist(), [np.asarray(s, np.int64) for s in pdf["shingles"]])
-    return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["u", "v"])
+def _verify(table: pa.Table) -> pa.Table:
+    edges: list[tuple[int, int]] = []
+    sets = dict(zip(table.column("node").to_pylist(), shingle_sets(table.column("hashes").combine_chunks())))
+    if len(sets) > 1:
+        edges = group_links(list(sets), list(sets.values()))
+    both = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.table({"u": np.ascontiguousarray(both[:, 0]), "v": np.ascontiguousarray(both[:, 1])})
 
 
 def set_components(docs: DataFrame, list_rows: int = LIST_ROWS,
                    group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, n_shingles, node of every row; roots: node, root of every node that links with another)."""
+    """(members: doc_id, tag, n_shingles, node of every row; roots: node, root of every node that has a link)."""
     spark, parts = docs.sparkSession, text_partitions(docs)
-    sets = _sets(docs)
-    shared = spark.sparkContext.broadcast(_bucket_counts(sets))
-    members = written(sets.select("doc_id", "n_shingles", "node"), "jaccard-members")
-    index = (sets.where("n_shingles > 0").select("node", "shingles")
-             .mapInPandas(_index_rows(shared, list_rows), _INDEX_SCHEMA))
+    hashed = docs.select("doc_id", _text_tag(F.col("text")).alias("tag"), _word_hashes(F.col("text")).alias("hashes"))
+    survey = written(hashed.mapInArrow(
+        _survey, "doc_id long, tag long, n_shingles long, node long, bucket long, n long"), "jaccard-survey")
+    members = survey.where("bucket is null").select("doc_id", "tag", "n_shingles", "node")
+    met = survey.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[met["bucket"].to_numpy(np.int64)] = met["n"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(counts)  # BUCKETS numbers, whatever the corpus
+    index = hashed.select("hashes").mapInArrow(_index_rows(shared, list_rows), _INDEX_SCHEMA)
     candidates = written(
         index.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "n", "node")
         .mapInPandas(_read_lists, "u long, v long").distinct(), "jaccard-candidates")
     groups = connected_components(candidates, "jaccard-groups").withColumnRenamed("root", "grp")
     # one document stands for each node; its set is made again from its text
-    stand_in = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    stand_in = members.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))).alias("d"), F.max("n_shingles").alias("n"))
     chosen = groups.join(stand_in, "node")
     totals = chosen.groupBy("grp").agg(F.sum("n").alias("total"))
     chosen = written(chosen.join(totals, "grp").select(
-        "doc_id", F.col("node").alias("want"), "grp",
+        "d.doc_id", "d.tag", "node", "grp",
         F.ceil(F.col("total") / F.lit(group_shingles)).cast("long").alias("cells")), "jaccard-chosen")
-    picked = docs.select("doc_id", "text").join(chosen, "doc_id")
-    whole = (picked.select("want", "grp", "cells", shingle_hashes(F.col("text")).alias("shingles"))
-             .withColumn("node", F.xxhash64(F.size("shingles"), "shingles")).where("node = want"))
+    whole = docs.select("doc_id", "text", _text_tag(F.col("text")).alias("tag")).join(chosen, ["doc_id", "tag"])
     own = F.pmod(F.col("node"), F.col("cells"))
     cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda c: (
         F.least(own, c) * F.col("cells") + F.greatest(own, c))))
-    links = (whole.select("grp", "node", "shingles", cell.alias("cell"))
-             .groupBy("grp", "cell").applyInPandas(_verify, "u long, v long"))
+    links = (whole.select("grp", "node", "text", cell.alias("cell"))
+             .repartition(parts, "grp", "cell")  # the texts are shuffled; their hashes would take more
+             .select("grp", "cell", "node", _word_hashes(F.col("text")).alias("hashes"))
+             .groupBy("grp", "cell").applyInArrow(_verify, "u long, v long"))
     return members, connected_components(links, "jaccard-links")
 
 

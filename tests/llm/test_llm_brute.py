@@ -149,7 +149,7 @@ def doc_set(text):
 
 
 def test_jaccard_components(spark, make_docs):
-    texts = near_copies(6, 12) + ["a b", "A B", "a", None, "", "", "a b c " * 50, "a b c " * 51]
+    texts = near_copies(6, 12) + near_copies(1, 6, words=1900, edits=60) + near_copies(2, 4, words=810, edits=30) + ["a b", "A B", "a", None, "", "", "a b c " * 50, "a b c " * 51]
     want = components({i: doc_set(t) for i, t in enumerate(texts)})
     docs = make_docs(texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link_documents(docs).collect()}
