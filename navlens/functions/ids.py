@@ -40,17 +40,35 @@ def parse_id_list(c: Column | str) -> Column:
     return split_id_list(F.regexp_replace(body, "['\"]", ""))
 
 
+# 2^60: splits whole doubles in two exact parts.
+_LIMB = 1 << 60
+
+
+def _whole_text(x: Column) -> Column:
+    """A double truncated to a whole number, in plain digits, exact below 2^123 (NULL beyond, and for NaN).
+
+    Doubles below 2^63 fit a bigint. Larger ones are whole; dividing by 2^60 is exact, and so are both limbs.
+    """
+    high = F.floor(F.abs(x) / F.lit(float(_LIMB)))
+    low = (F.abs(x) - high.cast("double") * F.lit(float(_LIMB))).cast("bigint")
+    big = (high.cast("decimal(19,0)") * F.lit(_LIMB).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("string")
+    return (F.when(F.abs(x) < F.lit(float(1 << 63)), x.cast("bigint").cast("string"))
+             .when(F.abs(x) < F.lit(float(1 << 123)), F.when(x < 0, F.concat(F.lit("-"), big)).otherwise(big)))
+
+
 def normalize_id(c: Column | str) -> Column:
     """Canonical text of a hit id.
 
-    Scientific notation (``e+`` / ``e-``, any case) goes through a double to an
-    integer (unparsable text is kept as is); anything else is trimmed and
-    stripped of quotes. Integers are never routed through a double.
+    Text in scientific notation (``e+`` / ``e-``, any case) and ids of a
+    floating-point column become the whole number that the double holds;
+    anything else is trimmed and stripped of quotes, so whole numbers never go
+    through a double. Text that is no number, and doubles of 2^123 and more,
+    stay as they are.
     """
-    s = _col(c).cast("string")
+    col = _col(c)
+    s = col.cast("string")
+    floating = F.typeof(col).isin("double", "float")  # a constant of the plan
     sci = s.rlike("(?i)e[+-]")
-    # int(float(x)) truncates toward zero
-    dec = s.try_cast("double").try_cast("decimal(38,6)")
-    whole = F.when(dec >= 0, F.floor(dec)).otherwise(F.ceil(dec)).cast("string")
-    return (F.when(sci, F.coalesce(whole, s))
+    number = F.when(floating, s.try_cast("double")).when(sci, s.try_cast("double"))
+    return (F.when(floating | sci, F.coalesce(_whole_text(number), s))
              .otherwise(F.regexp_replace(strip_ws(s), "['\"]", "")))

@@ -73,6 +73,6 @@ def parse_int(c: Column | str) -> Column:
 
 
 def parse_datetime(c: Column | str) -> Column:
-    """ISO date-time with a space or ``T``; bad or empty text -> NULL (naive)."""
+    """ISO date, or date-time with a space or ``T``; bad, partial or empty text -> NULL (naive)."""
     s = F.regexp_replace(F.trim(_col(c).cast("string")), "T", " ")
-    return F.when(s != "", s.try_cast("timestamp_ntz"))
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), s.try_cast("timestamp_ntz"))

@@ -19,11 +19,6 @@ SECTION_TITLES = [
 SUMMARY_FALLBACK_CHARS = 500
 
 
-def header_pattern(titles: list[str]) -> str:
-    """A header line: ``#``s, optional blanks, one title, case-insensitive."""
-    return "(?iu)^#+\\s*(?:" + "|".join(titles) + ")"
-
-
 def header_section(line: Column) -> Column:
     """Section name a line opens, or NULL when it is not a header line.
 
@@ -34,14 +29,14 @@ def header_section(line: Column) -> Column:
     the sections one by one in order.
     """
     titles = [t for _, ts in SECTION_TITLES for t in ts]
-    found = F.regexp_extract(line, "(?iu)^#+\\s*(" + "|".join(titles) + ")", 1)
+    found = F.regexp_extract(line, "(?iuU)^#+\\s*(" + "|".join(titles) + ")", 1)
     lookup = F.create_map(*[x for name, ts in SECTION_TITLES for t in ts for x in (F.lit(t.lower()), F.lit(name))])
     return F.when(found != "", F.element_at(lookup, F.lower(found)))
 
 
 def py_strip(c: Column) -> Column:
     """``str.strip()``: drop leading and trailing whitespace (not only spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 ESCAPE_RUN = r"(?:\\u[0-9a-fA-F]{4})+"

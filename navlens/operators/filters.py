@@ -73,7 +73,7 @@ def composed_filter(visits: DataFrame, is_new_user: bool, device: str,
                     region_city: str | None = None) -> DataFrame:
     """New user AND device AND [OS] AND [orientation] AND [city]; empty = off."""
     preds = [F.col("is_new_user") == F.lit(bool(is_new_user)),
-             F.col("device_category").cast("string") == str(device)]
+             F.col("device_category") == int(device) if str(device).isdigit() else F.lit(False)]
     if operating_system:
         preds.append(F.col("operating_system") == operating_system)
     if is_landscape is not None:

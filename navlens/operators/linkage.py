@@ -14,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navlens.functions.ids import parse_id_list, split_id_list
-from navlens.functions.scalars import nonempty
+from navlens.functions.ids import normalize_id, parse_id_list, split_id_list
 
 VISIT_COLS = ["visit_id", "watch_ids", "date_time", "is_new_user", "start_url", "end_url",
               "page_views", "visit_duration", "region_city", "client_id",
@@ -25,31 +24,39 @@ HIT_COLS = ["watch_id", "client_id", "url", "datetime_hit", "title"]
 
 
 def watch_id_bridge(visits: DataFrame, bracketed: bool = False,
-                    keep: Sequence[str] = ()) -> DataFrame:
+                    keep: Sequence[str] = (), outer: bool = False) -> DataFrame:
     """``(visit_id, pos, watch_id, *keep)``: one row per listed id, ``pos`` from 1.
 
     ``bracketed=True`` accepts the ``[..]`` / quoted encodings as well.
-    Duplicates inside a list are kept (each occurrence is a row).
+    Duplicates inside a list are kept (each occurrence is a row). Ids are in
+    their canonical text. ``outer`` keeps visits without ids, with NULL for
+    ``pos`` and ``watch_id``.
     """
     ids = parse_id_list("watch_ids") if bracketed else split_id_list("watch_ids")
-    return (visits.select("visit_id", *keep, F.posexplode(ids).alias("pos0", "watch_id"))
+    explode = F.posexplode_outer if outer else F.posexplode
+    return (visits.select("visit_id", *keep, explode(F.transform(ids, normalize_id)).alias("pos0", "watch_id"))
                   .select("visit_id", (F.col("pos0") + 1).cast("bigint").alias("pos"), "watch_id", *keep))
 
 
-def explode_visits(visits: DataFrame, bracketed: bool = True) -> DataFrame:
+def explode_visits(visits: DataFrame, bracketed: bool = True, outer: bool = False) -> DataFrame:
     """Visits exploded to one row per listed id (``watch_id``, ``pos``), all columns kept."""
     others = [c for c in visits.columns if c not in ("visit_id", "watch_ids")]
-    return watch_id_bridge(visits, bracketed=bracketed, keep=others)
+    return watch_id_bridge(visits, bracketed=bracketed, keep=others, outer=outer)
+
+
+def with_canonical_ids(rows: DataFrame) -> DataFrame:
+    """``watch_id`` in its canonical text, so that every encoding of an id joins."""
+    return rows.withColumn("watch_id", normalize_id("watch_id"))
 
 
 def hits_matching_visits(hits: DataFrame, bridge: DataFrame) -> DataFrame:
     """Hits whose id is listed by some visit; one row per hit (left semi)."""
-    return hits.join(bridge.select("watch_id"), "watch_id", "left_semi")
+    return with_canonical_ids(hits).join(with_canonical_ids(bridge.select("watch_id")), "watch_id", "left_semi")
 
 
 def visits_filtered_by_hits(exploded: DataFrame, hits: DataFrame) -> DataFrame:
     """Exploded visit rows whose id exists in hits (left semi)."""
-    return exploded.join(hits.select("watch_id"), "watch_id", "left_semi")
+    return with_canonical_ids(exploded).join(with_canonical_ids(hits.select("watch_id")), "watch_id", "left_semi")
 
 
 def join_visits_hits(exploded: DataFrame, hits: DataFrame, how: str = "right",
@@ -61,6 +68,7 @@ def join_visits_hits(exploded: DataFrame, hits: DataFrame, how: str = "right",
     form used by the path reports.
     """
     on = list(on)
+    exploded, hits = with_canonical_ids(exploded), with_canonical_ids(hits)
     clash = (set(exploded.columns) & set(hits.columns)) - set(on)
     v = exploded.select(*[F.col(c).alias(f"{c}_visit") if c in clash else F.col(c)
                           for c in exploded.columns])
@@ -91,20 +99,21 @@ def joined_table(visits: DataFrame, hits: DataFrame, bridge: DataFrame | None =
 
 def visit_hit_rows(bridge: DataFrame, hits: DataFrame) -> DataFrame:
     """Bridge rows resolved to their hit (inner; list order ``pos`` and duplicates kept)."""
-    return bridge.join(hits.select("watch_id", "url", "datetime_hit", "title",
-                                   F.col("client_id").alias("hit_client_id")),
-                       "watch_id", "inner")
+    return with_canonical_ids(bridge).join(
+        with_canonical_ids(hits).select("watch_id", "url", "datetime_hit", "title",
+                                        F.col("client_id").alias("hit_client_id")), "watch_id", "inner")
 
 
 def visits_with_hits(visits: DataFrame, hits: DataFrame) -> DataFrame:
     """Nest join: each visit with the array of its hits in list order.
 
-    Visits without (matching) ids keep an empty array. One join plus one
+    Visits without (matching) ids keep an empty array; an id that a list
+    repeats gives its hit once, at its first place. One join plus one
     grouped ``collect_list`` instead of one hits query per visit. The array of
     one visit holds at most the ids listed in that visit's own ``watch_ids``
     text, i.e. it is bounded by the size of one input row, not by the data.
     """
-    bridge = watch_id_bridge(visits)
+    bridge = watch_id_bridge(visits).groupBy("visit_id", "watch_id").agg(F.min("pos").alias("pos"))
     rows = visit_hit_rows(bridge, hits)
     nested = rows.groupBy("visit_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "watch_id", "url", "datetime_hit",
@@ -122,8 +131,8 @@ def join_diagnostics(exploded: DataFrame, hits: DataFrame) -> DataFrame:
     one full outer join on ``watch_id`` and a single global aggregate give all
     figures — the right join itself is never materialised.
     """
-    v = exploded.groupBy("watch_id").agg(F.count(F.lit(1)).alias("n_v"))
-    h = hits.groupBy("watch_id").agg(F.count(F.lit(1)).alias("n_h"), F.count("url").alias("n_url"))
+    v = with_canonical_ids(exploded).groupBy("watch_id").agg(F.count(F.lit(1)).alias("n_v"))
+    h = with_canonical_ids(hits).groupBy("watch_id").agg(F.count(F.lit(1)).alias("n_h"), F.count("url").alias("n_url"))
     k = v.join(h, "watch_id", "full_outer")
     fan = F.coalesce(F.col("n_v"), F.lit(1))  # right join: unmatched hit rows survive once
     out = k.agg(
@@ -142,8 +151,8 @@ def join_diagnostics(exploded: DataFrame, hits: DataFrame) -> DataFrame:
 
 def filter_diagnostics(exploded: DataFrame, hits: DataFrame) -> DataFrame:
     """Rows before / after the semi filter of visits by hits, removed, % removed."""
-    keys = hits.select("watch_id").distinct().withColumn("_hit", F.lit(True))
-    out = exploded.join(keys, "watch_id", "left").agg(
+    keys = with_canonical_ids(hits.select("watch_id")).distinct().withColumn("_hit", F.lit(True))
+    out = with_canonical_ids(exploded).join(keys, "watch_id", "left").agg(
         F.count(F.lit(1)).alias("rows_before"), F.count("_hit").alias("rows_after"))
     return out.select(
         "rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"),
@@ -167,6 +176,3 @@ def ids_only_hits(exploded: DataFrame, hits: DataFrame) -> DataFrame:
 def ids_distinct(exploded: DataFrame) -> DataFrame:
     return exploded.select("watch_id").distinct()
 
-
-def nonempty_urls(rows: DataFrame, col: str = "url") -> DataFrame:
-    return rows.filter(nonempty(col))

@@ -107,8 +107,9 @@ def common_transitions(facts: ReleaseFacts, top_n: int = TOP_TRANSITIONS) -> Dat
              .select("release_ord", "version", "rank", "from_url", "to_url", "transition_count"))
 
 
-def loop_patterns(facts: ReleaseFacts, top_n: int = TOP_LOOPS) -> DataFrame:
-    """Most frequent A -> B -> A triples (A != B), top ``top_n``."""
+def loop_patterns(facts: ReleaseFacts, top_n: int = TOP_LOOPS, as_array: bool = False) -> DataFrame:
+    """Most frequent A -> B -> A triples (A != B), top ``top_n``; ``sequence`` as text or as an array of URLs."""
+    join = F.array("url_a", "url_b", "url_a") if as_array else F.concat_ws(" -> ", "url_a", "url_b", "url_a")
     t = _with_next(facts).filter(
         (F.col("next2") == F.col("url")) & (F.col("next1") != F.col("url")))
     g = t.groupBy("release_ord", F.col("url").alias("url_a"), F.col("next1").alias("url_b")) \
@@ -117,7 +118,7 @@ def loop_patterns(facts: ReleaseFacts, top_n: int = TOP_LOOPS) -> DataFrame:
     return (g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
              .join(facts.periods.select("release_ord", "version"), "release_ord")
              .select("release_ord", "version", "rank",
-                     F.concat_ws(" -> ", "url_a", "url_b", "url_a").alias("sequence"),
+                     join.alias("sequence"),
                      "occurrences"))
 
 

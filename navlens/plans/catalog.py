@@ -988,15 +988,13 @@ def q_strip_prefix(spark, sf_dir):
 
 
 @query("csv_visits_regroup", W(f"""{BALL},
-rows as (select b.visit_id, b.pos as row_no, b.watch_id, v.* exclude (visit_id, watch_ids)
-         from ball b join visits v using (visit_id))
-select visit_id, string_agg(watch_id, ',' order by row_no) as watch_ids,
-       {", ".join(f"arg_min({c}, row_no) as {c}" for c in O.VISIT_OTHER_COLS)}
-from rows group by visit_id"""))
+ids as (select visit_id, string_agg(watch_id, ',' order by pos) as watch_ids from ball group by visit_id)
+select v.visit_id, ids.watch_ids, v.* exclude (visit_id, watch_ids)
+from visits v left join ids on v.visit_id = ids.visit_id"""))
 def q_csv_regroup(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     # the CSV layout: one row per (visit, listed id) with an explicit row ordinal
-    rows = L.explode_visits(i.visits, bracketed=False).withColumnRenamed("pos", "row_no")
+    rows = L.explode_visits(i.visits, bracketed=False, outer=True).withColumnRenamed("pos", "row_no")
     return RD.regroup_visit_rows(rows, "row_no")
 
 
@@ -1111,7 +1109,7 @@ _TEXT_COLS = ["start_url", "end_url", "region_city", "client_id", "last_search_e
 @query("csv_visits", W(f"""{BALL}
 select visit_id, watch_ids, date_time, is_new_user, page_views, visit_duration, device_category,
        {", ".join(f"coalesce({c}, '') as {c}" for c in _TEXT_COLS)}
-from visits v where visit_id in (select visit_id from ball)"""))
+from visits v"""))
 def q_csv_visits(spark, sf_dir):
     path = SK.write_visits_csv(Inputs(spark, sf_dir).visits)
     v = RD.read_visits_csv(spark, path)

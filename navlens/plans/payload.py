@@ -54,7 +54,7 @@ def release_payload(facts: R.ReleaseFacts, target_urls: Sequence[str] | None = N
                "visits_with_single_page", "subsequent_page_diversity"], "page_metrics"),
         _list(PA.common_transitions(facts), "rank", ["from_url", "to_url", "transition_count"],
               "common_transitions"),
-        _list(PA.loop_patterns(facts).withColumn("sequence", F.split("sequence", " -> ")), "rank",
+        _list(PA.loop_patterns(facts, as_array=True), "rank",
               ["sequence", "occurrences"], "loop_patterns"),
         _list(R.funnel_entry_exit(facts, target_urls), "step",
               ["step", "url", "visits_entered", "visits_completed"], "application_funnel"),
@@ -115,4 +115,4 @@ def release_payload_json(facts: R.ReleaseFacts, target_urls: Sequence[str] | Non
                          with_placeholders: bool = False) -> DataFrame:
     """The document of each release as JSON text (what the payload POST body carries)."""
     p = release_payload(facts, target_urls, with_placeholders)
-    return p.select("release_ord", "version", F.to_json("release").alias("payload"))
+    return p.select("release_ord", "version", F.to_json("release", {"ignoreNullFields": "false"}).alias("payload"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from navlens.functions.scalars import nonempty, parse_bool, parse_datetime, parse_int
 
@@ -38,14 +37,23 @@ def _text(c: str):
     return F.coalesce(F.col(c), F.lit("")).alias(c)
 
 
-def _all_string(names) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+def _read_csv(spark: SparkSession, path: str, names) -> DataFrame:
+    """Text columns ``names`` of a header CSV, found by header name (absent ones are NULL), and ``_order``.
+
+    Doubled quotes and line breaks inside quotes belong to the field. ``_order`` sorts rows as they stand in the files.
+    """
+    raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+           .csv(path))
+    # one file is one split with multiLine, so the running id follows the file
+    order = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    return raw.select(*[F.col(f"`{n}`") if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names],
+                      order.alias("_order"))
 
 
 def read_hits_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV of hits -> ``hits``; rows without an id are dropped, bad
     dates become NULL, a duplicated id keeps its earliest (time, URL) row."""
-    raw = spark.read.option("header", True).schema(_all_string(HIT_CSV_COLUMNS)).csv(path)
+    raw = _read_csv(spark, path, HIT_CSV_COLUMNS)
     # absent text is stored as '' (not NULL), as the loader does; dates parse to NULL
     h = raw.select(*[F.col(k).alias(v) for k, v in HIT_CSV_COLUMNS.items()]) \
            .filter(nonempty("watch_id")) \
@@ -59,24 +67,29 @@ def read_hits_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def regroup_visit_rows(rows: DataFrame, order_col: str) -> DataFrame:
     """CSV visits are one row per (visit, hit id): collect the ids in row order
-    (no de-duplication) and keep the first row's other columns.
+    (no de-duplication) and keep the first row's other columns. A visit whose
+    only row lists no id is kept, with NULL for its ids.
 
-    ``order_col`` is an explicit row ordinal; "first" never depends on the
-    physical order of the file. The collected list of a visit is exactly its
+    ``order_col`` is anything that sorts the rows (an ordinal or a struct). The collected list of a visit is exactly its
     own id list, i.e. bounded by one output row.
     """
     others = [c for c in rows.columns if c not in ("visit_id", "watch_id", order_col)]
-    ids = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("watch_id").alias("w"))))
+    order = F.struct(F.col(order_col).alias("o"))  # never NULL itself: min_by skips NULL orders
+    ids = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("watch_id").alias("w"))))
     return rows.groupBy("visit_id").agg(
-        F.array_join(F.transform(ids, lambda s: s["w"]), ",").alias("watch_ids"),
-        *[F.min_by(F.col(c), F.col(order_col)).alias(c) for c in others])
+        F.nullif(F.array_join(F.transform(ids, lambda s: s["w"]), ","), F.lit("")).alias("watch_ids"),
+        *[F.min_by(F.col(c), order).alias(c) for c in others])
 
 
 def read_visits_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV of visits (one row per listed hit id) -> ``visits``."""
-    raw = spark.read.option("header", True).schema(_all_string(list(VISIT_CSV_COLUMNS) + ["rowNo"])).csv(path)
+    """Header CSV of visits (one row per listed hit id) -> ``visits``.
+
+    Rows are taken in the order of a ``rowNo`` column, or without one as they
+    stand in the file.
+    """
+    raw = _read_csv(spark, path, [*VISIT_CSV_COLUMNS, "rowNo"])
     v = raw.select(*[F.col(k).alias(n) for k, n in VISIT_CSV_COLUMNS.items()],
-                   parse_int("rowNo").alias("row_no"))
+                   F.struct(parse_int("rowNo").alias("no"), F.col("_order")).alias("row_no"))
     # rows without a visit id are skipped; empty hit ids are not listed; text
     # fields keep '' for missing values, numbers and dates parse to NULL
     v = v.filter(nonempty("visit_id")).select(

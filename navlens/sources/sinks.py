@@ -37,7 +37,7 @@ def write_hits_csv(hits: DataFrame, path: str | None = None) -> str:
     inv = {v: k for k, v in HIT_CSV_COLUMNS.items()}
     out = hits.select(*[(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if c == "datetime_hit" else F.col(c))
                         .alias(inv[c]) for c in HIT_CSV_COLUMNS.values()])
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -55,17 +55,18 @@ def save_table(df: DataFrame, name: str, path: str | None = None) -> str:
 
 
 def write_visits_csv(visits: DataFrame, path: str | None = None) -> str:
-    """Visits in the CSV export layout: one row per listed hit id, the visit's
-    other columns repeated, plus an explicit ``rowNo`` ordinal."""
+    """Visits in the CSV export layout: one row per listed hit id (one without
+    an id for a visit that lists none), the visit's other columns repeated,
+    plus an explicit ``rowNo`` ordinal."""
     from navlens.operators.linkage import explode_visits
     from navlens.sources.readers import VISIT_CSV_COLUMNS
     path = path or scratch_path(visits.sparkSession, "visits-csv")
-    rows = explode_visits(visits, bracketed=False)
+    rows = explode_visits(visits, bracketed=False, outer=True)
     inv = {v: k for k, v in VISIT_CSV_COLUMNS.items()}
     fmt = {"date_time": F.date_format("date_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
            "is_new_user": F.when(F.col("is_new_user"), "True").otherwise("False")}
     out = rows.select(*[fmt.get(c, F.col(c)).cast("string").alias(inv[c]) for c in VISIT_CSV_COLUMNS.values()],
                       # file-row ordinal: explode keeps a visit's rows adjacent and in list order
                       F.monotonically_increasing_id().cast("string").alias("rowNo"))
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path

@@ -31,7 +31,50 @@ def test_visits_csv_round_trip_keeps_list_order_and_duplicates(spark):
     v = make_visits(spark, [visit(7, "b,a,b", page_views=3), visit(8, None)])
     back = RD.read_visits_csv(spark, SK.write_visits_csv(v)).collect()
     assert [(r["visit_id"], r["watch_ids"], r["page_views"], r["is_new_user"]) for r in back] == \
-        [(7, "b,a,b", 3, True)]
+        [(7, "b,a,b", 3, True), (8, None, 1, True)]
+
+
+def test_csv_by_header_name_with_quotes_breaks_and_no_row_number(spark):
+    path = scratch_path(spark, "csv-in")
+    os.makedirs(os.path.join(path, "h"))
+    os.makedirs(os.path.join(path, "v"))
+    with open(os.path.join(path, "h", "part.csv"), "w") as f:
+        f.write('title,URL,watchID,extra,dateTime\n'
+                '"He said ""hi"", ok",/a,1,x,2024-01-02 10:00:00\n'
+                '"two\nlines",/b,2,x,2024-01\n')
+    hits = {r["watch_id"]: r for r in RD.read_hits_csv(spark, os.path.join(path, "h")).collect()}
+    assert hits["1"]["title"] == 'He said "hi", ok' and hits["2"]["title"] == "two\nlines"
+    assert hits["1"]["client_id"] == "" and hits["2"]["datetime_hit"] is None
+    with open(os.path.join(path, "v", "part.csv"), "w") as f:
+        f.write("pageViews,watchID,visitID\n3,b,7\n9,a,7\n2,,8\n")
+    visits = {r["visit_id"]: r for r in RD.read_visits_csv(spark, os.path.join(path, "v")).collect()}
+    assert (visits[7]["watch_ids"], visits[7]["page_views"]) == ("b,a", 3)
+    assert (visits[8]["watch_ids"], visits[8]["page_views"]) == (None, 2)
+
+
+def test_quoted_text_survives_the_hits_csv(spark):
+    from conftest import make_hits
+    text = 'a "q", \n b'
+    back = RD.read_hits_csv(spark, SK.write_hits_csv(make_hits(spark, [("1", "c", "/a", None, text)]))).collect()
+    assert back[0]["title"] == text
+
+
+def test_ids_in_any_encoding_join(spark):
+    from conftest import make_hits
+    from navlens.functions.ids import normalize_id
+    from navlens.operators import linkage as L
+    forms = spark.createDataFrame([("1.2345678901234567e+18",), ("1.5E+3",), ("-2.5e+0",), ("1e+25",), ("xe+",), (" '7' ",)], "s string")
+    assert [r[0] for r in forms.select(normalize_id("s")).collect()] == \
+        [str(int(1.2345678901234567e18)), "1500", "-2", str(int(1e25)), "xe+", "7"]
+    doubles = spark.createDataFrame([(123.0,), (12345678.0,), (None,)], "d double")
+    assert [r[0] for r in doubles.select(normalize_id("d")).collect()] == ["123", "12345678", None]
+    v = make_visits(spark, [visit(1, "[1.5e+3,22]")])
+    h = make_hits(spark, [("1500", "c", "/a", None, "t"), ("'22'", "c", "/b", None, "t")])
+    assert L.joined_table(v, h).count() == 2
+    assert L.hits_matching_visits(h, L.watch_id_bridge(v, bracketed=True)).count() == 2
+    nested = L.visits_with_hits(make_visits(spark, [visit(7, "b,a,b")]),
+                                make_hits(spark, [("a", "c", "/a", None, "t"), ("b", "c", "/b", None, "t")])).collect()
+    assert [x["watch_id"] for x in nested[0]["hits"]] == ["b", "a"]
 
 
 def test_period_bounds_strip_or_convert_offsets(spark):
