@@ -1063,7 +1063,10 @@ query("file_listing")(lambda s, d: RD.file_listing(s, d, "*.parquet"))
 query("release_payload_json")(lambda s, d: PL.release_payload_json(_facts(s, d).materialized()))
 
 
-@query("stream_sessions")
+@query("stream_sessions", W("""select user_id, min(ts) as session_start,
+       max(ts) + interval '12 hours' + interval '1 microsecond' as session_end,
+       max(ts) as last_event_ts, min(event_id) as first_event_id, count(*) as events
+from ev group by user_id, sn"""))
 def q_stream_sessions(spark, sf_dir):
     return spark.read.parquet(ST.run_session_stream(spark, sf_dir))
 

@@ -3,7 +3,7 @@
 ``events`` arrive as files; sessions are cut per user by an inactivity gap
 with ``session_window`` under a watermark, so state is bounded by the open
 sessions and each closed session is emitted once (append mode) to a file
-sink. A gap of 12 h plus one microsecond reproduces the batch rule
+sink; a closing step adds the sessions still open when a run's input ends. A gap of 12 h plus one microsecond reproduces the batch rule
 ``ts <= previous + 12 h`` (same session) on microsecond timestamps.
 """
 
@@ -12,15 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from navlens.operators.sequence import session_numbers
 from navlens.session import scratch_path
 
 SESSION_GAP = "12 hours 1 microsecond"
+GAP_SECONDS = 12 * 3600
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-WATERMARK_DELAY = "0 seconds"
+#: How far an event may lag behind the newest one. The default drops nothing, whatever order the files come in; a
+#: running job sets a bound here, to close sessions and free their state, and watches ``late_rows``.
+LATENESS = "36500 days"
 
 
 def session_stream(spark: SparkSession, events_dir: str, file_glob: str = "events.parquet",
-                   gap: str = SESSION_GAP, watermark: str = WATERMARK_DELAY) -> DataFrame:
+                   gap: str = SESSION_GAP, watermark: str = LATENESS) -> DataFrame:
     """A streaming DataFrame of closed sessions ``(user_id, session_start,
     session_end, last_event_ts, first_event_id, events)``."""
     schema = spark.read.parquet(f"{events_dir}/{file_glob}").schema
@@ -39,13 +43,39 @@ def session_stream(spark: SparkSession, events_dir: str, file_glob: str = "event
                       "last_event_ts", "first_event_id", "events")
 
 
+def batch_sessions(events: DataFrame) -> DataFrame:
+    """The sessions of a finite ``events`` table, in the columns of :func:`session_stream`."""
+    numbered = session_numbers(events.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", GAP_SECONDS)
+    end = F.col("last_event_ts") + F.expr("INTERVAL '12:00:00.000001' HOUR TO SECOND")
+    return (numbered.groupBy("user_id", "sn")
+            .agg(F.min("ts").alias("session_start"), F.max("ts").alias("last_event_ts"),
+                 F.min("event_id").alias("first_event_id"), F.count(F.lit(1)).alias("events"))
+            .select("user_id", "session_start", end.alias("session_end"), "last_event_ts", "first_event_id", "events"))
+
+
+def late_rows(query) -> int:
+    """Rows that the recent batches of a query dropped as later than its lateness."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def run_session_stream(spark: SparkSession, events_dir: str, out_path: str | None = None,
-                       checkpoint: str | None = None, **kw) -> str:
-    """Process everything available now into a Parquet sink; return its path."""
+                       checkpoint: str | None = None, file_glob: str = "events.parquet", **kw) -> str:
+    """Process everything available now into a Parquet table; return its path.
+
+    The stream appends the sessions that its watermark closes. The closing step
+    adds those still open when the input ends, so every event is in a session.
+    """
     out_path = out_path or scratch_path(spark, "sessions-out")
     checkpoint = checkpoint or scratch_path(spark, "sessions-ckpt")
-    q = (session_stream(spark, events_dir, **kw).writeStream.outputMode("append").format("parquet")
-         .option("path", out_path).option("checkpointLocation", checkpoint)
+    closed_path = scratch_path(spark, "sessions-closed")
+    stream = session_stream(spark, events_dir, file_glob, **kw)
+    q = (stream.writeStream.outputMode("append").format("parquet")
+         .option("path", closed_path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    closed = spark.read.schema(stream.schema).parquet(closed_path)
+    events = spark.read.option("pathGlobFilter", file_glob).parquet(events_dir)
+    still_open = batch_sessions(events).join(closed.select("user_id", "session_start"),
+                                             ["user_id", "session_start"], "left_anti")
+    closed.unionByName(still_open.select(*closed.columns)).write.mode("overwrite").parquet(out_path)
     return out_path
