@@ -302,13 +302,13 @@ def segments(facts: ReleaseFacts, dims: Sequence[str] = tuple(SEGMENT_DIMENSIONS
                        F.when(F.col("segment_value") == DEVICE_LABELS[1], 1).otherwise(2))
     w = Window.partitionBy("release_ord", "dimension").orderBy(
         order_key.asc_nulls_last(), F.col("visits").desc(), F.col("segment_value").asc())
-    limit = None
-    for d in dims:
-        k = SEGMENT_DIMENSIONS[d][1]
-        c = F.col("dimension") == d
-        v = F.lit(k if k is not None else 1 << 30)
-        limit = F.when(c, v) if limit is None else limit.when(c, v)
-    ranked = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    ranked = None
+    for k in sorted({SEGMENT_DIMENSIONS[d][1] for d in dims}, key=lambda x: (x is None, x)):
+        # a literal limit is applied before the shuffle as well; dimensions without one keep all their values
+        part = g.filter(F.col("dimension").isin([d for d in dims if SEGMENT_DIMENSIONS[d][1] == k]))
+        part = part.withColumn("rank", F.row_number().over(w))
+        part = part if k is None else part.filter(F.col("rank") <= k)
+        ranked = part if ranked is None else ranked.unionByName(part)
     out = ranked.join(facts.totals, "release_ord").select(
         "release_ord", "version", "dimension", "rank", "segment_value", "visits",
         pct_of(F.col("visits"), F.col("total_visits")).alias("percentage"),
@@ -317,7 +317,7 @@ def segments(facts: ReleaseFacts, dims: Sequence[str] = tuple(SEGMENT_DIMENSIONS
         "single_page_visits")
     fallbacks = [d for d in dims if d in SEGMENT_FALLBACK]
     if fallbacks:
-        present = out.select("release_ord", "dimension").distinct()
+        present = g.select("release_ord", "dimension").distinct()
         fb = (facts.totals.filter(F.col("total_visits") > 0)
                    .select("release_ord", "version", "total_visits",
                            F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"),
@@ -370,9 +370,8 @@ def page_metrics(facts: ReleaseFacts, target_urls: Sequence[str] | None = None,
     """
     # one row per (release, non-empty url): its row count per release is the
     # release's number of distinct URLs, no second distinct pass needed
-    stats = _url_stats(facts).withColumn(
-        "_n_urls", F.count(F.lit(1)).over(Window.partitionBy("release_ord")))
-    n_urls = stats.select("release_ord", "_n_urls").distinct()
+    stats = _url_stats(facts)
+    n_urls = stats.groupBy("release_ord").agg(F.count(F.lit(1)).alias("_n_urls"))
     if target_urls:
         # the target list is a parameter: expand it per release, no join needed
         pages = facts.periods.select("release_ord", F.explode(F.array(*[
@@ -393,7 +392,7 @@ def page_metrics(facts: ReleaseFacts, target_urls: Sequence[str] | None = None,
         F.count_if(F.col("_entry") & F.col("_single")).alias("visits_with_single_page"),
         F.count_if(~F.col("_entry")).alias("visits_as_exit"))
     z = F.lit(0).cast("bigint")
-    out = (pages.drop("_n_urls").join(ee, ["release_ord", "url"], "left")
+    out = (pages.join(ee, ["release_ord", "url"], "left")
                 .join(n_urls, "release_ord", "left")
                 .join(facts.periods.select("release_ord", "version"), "release_ord"))
     present = F.when(F.col("total_hits").isNotNull(), 1).otherwise(0)

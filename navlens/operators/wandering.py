@@ -212,17 +212,13 @@ def equal_width_histogram(df: DataFrame, value: str, n_bins: int) -> DataFrame:
     ``bin = least(floor((x - lo) * n / (hi - lo)), n - 1)``; when ``min = max``
     the range is widened by 0.5 each side (all values land in bin ``n // 2``).
     Every bin is emitted. The data is first reduced to one row per distinct
-    value (partial aggregation); only that small table is ranged (a window
-    without partition) and folded into one row of ``n_bins`` counts,
-    unpivoted with ``inline``. The binned values are per-session counts, and
-    k distinct non-negative counts over N rows need 0 + 1 + ... + (k-1) <= N,
-    so the single-partition step holds at most about sqrt(2N) rows
-    (1.4 million for 10^12 rows).
+    value (partial aggregation); its range is a one-row aggregate used as a
+    scalar subquery, and the bins are a second partial aggregate, folded into
+    one row of ``n_bins`` counts and unpivoted with ``inline``.
     """
     g = df.groupBy(F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("_n")) \
           .filter(F.col("x").isNotNull())
-    every = Window.partitionBy()
-    lo0, hi0 = F.min("x").over(every), F.max("x").over(every)
+    lo0, hi0 = g.agg(F.min("x")).scalar(), g.agg(F.max("x")).scalar()
     g = g.withColumn("_lo0", lo0).withColumn("_hi0", hi0)
     same = F.col("_lo0") == F.col("_hi0")
     g = g.withColumn("_lo", F.when(same, F.col("_lo0") - 0.5).otherwise(F.col("_lo0"))) \
