@@ -1,20 +1,51 @@
 """Analysis-report text operators as Spark jobs over a text column.
 
 The reference splits one report into named sections in Python. Here the same
-rule runs over a whole table of texts: lines are exploded with their position,
-header lines are classified with native regexes, every content line takes the
-section of the nearest header above it (a running ``last(..., ignorenulls)``
-per document), and contents are re-assembled with an ordered ``listagg``.
+rule runs over a whole table of texts, inside the row: a text is split in
+lines, header lines are classified with one regex, and each section is the
+slice of lines up to the next header. No shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navlens.functions.text import SUMMARY_FALLBACK_CHARS, header_section, py_strip
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, whatever lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _named_sections(text: Column) -> Column:
+    """Array of (section, content) of one text; NULL when it has no section but ``main``."""
+    def of_lines(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda line, i: F.struct(
+            (i + 1).alias("at"), header_section(line).alias("section"))), lambda h: h["section"].isNotNull())
+
+        def of_starts(starts: Column) -> Column:  # at: number of the header line; 0 before the first line
+            spans = F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda a, b: F.struct(
+                a["section"].alias("section"), a["at"].alias("at"),
+                (F.coalesce(b["at"], F.size(lines) + 1) - a["at"] - 1).alias("n")))
+            return _let(F.filter(spans, lambda s: s["n"] > 0), of_filled)
+
+        def of_filled(spans: Column) -> Column:  # a repeated section keeps its last occurrence
+            last = F.filter(spans, lambda s, i: ~F.exists(
+                F.slice(spans, i + 2, F.size(spans)), lambda x: x["section"] == s["section"]))
+            rows = F.transform(last, lambda s: F.struct(s["section"].alias("section"), py_strip(
+                F.array_join(F.slice(lines, s["at"] + 1, s["n"]), "\n")).alias("content")))
+            return F.when(F.exists(spans, lambda s: s["section"] != "main"), rows)
+
+        main = F.array(F.struct(F.lit(0).alias("at"), F.lit("main").alias("section")))
+        return _let(F.concat(main, heads), of_starts)
+
+    return _let(F.split(text, "\n"), of_lines)
+
+
 def text_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, section, content)`` for every document.
 
@@ -24,21 +55,8 @@ def text_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     with no section other than ``main`` yields one ``full_text`` row holding
     the original text.
     """
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("ln", "line"))
-    lines = lines.withColumn("hdr", header_section(F.col("line")))
-    w = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("occ", F.sum(F.when(F.col("hdr").isNotNull(), 1).otherwise(0)).over(w)) \
-                 .withColumn("section", F.coalesce(F.last("hdr", ignorenulls=True).over(w), F.lit("main")))
-    content = (lines.filter(F.col("hdr").isNull())
-                    .groupBy(key, "occ", "section")
-                    .agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY ln)").alias("_body")))
-    latest = content.groupBy(key, "section").agg(
-        F.max_by(py_strip(F.col("_body")), F.col("occ")).alias("content"))
-    named = latest.filter(F.col("section") != "main").select(key).distinct()
-    kept = latest.join(named, key, "left_semi")
-    full = docs.join(named, key, "left_anti").select(key, F.lit("full_text").alias("section"),
-                                                     F.col(text).alias("content"))
-    return kept.unionByName(full)
+    whole = F.array(F.struct(F.lit("full_text").alias("section"), F.col(text).alias("content")))
+    return docs.select(key, F.inline(F.coalesce(_named_sections(F.col(text)), whole)))
 
 
 def text_summary(sections: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -582,15 +582,11 @@ from navlens.operators import funnels as FN  # noqa: E402
 P_START, P_END = "2024-01-10T00:00:00+03:00", "2024-01-20T12:00:00+03:00"
 
 
-def _bound_sql(text: str, policy: str) -> str:
-    return FL.parse_bound(text, policy).strftime("timestamp '%Y-%m-%d %H:%M:%S'")
-
-
-query("visits_in_period", W(f"select * from visits where date_time between {_bound_sql(P_START, 'strip')} "
-                            f"and {_bound_sql(P_END, 'strip')}"))(
+query("visits_in_period", W("select * from visits where date_time between timestamp '2024-01-10 00:00:00' "
+                            "and timestamp '2024-01-20 12:00:00'"))(
     lambda s, d: FL.visits_in_period(Inputs(s, d).visits, P_START, P_END, "strip"))
-query("visits_in_period_utc", W(f"select * from visits where date_time between {_bound_sql(P_START, 'to_utc')} "
-                                f"and {_bound_sql(P_END, 'to_utc')}"))(
+query("visits_in_period_utc", W("select * from visits where date_time between timestamp '2024-01-09 21:00:00' "
+                                "and timestamp '2024-01-20 09:00:00'"))(
     lambda s, d: FL.visits_in_period(Inputs(s, d).visits, P_START, P_END, "to_utc"))
 query("visits_by_new_user", W("select * from visits where is_new_user = true"))(
     lambda s, d: FL.visits_by_new_user(Inputs(s, d).visits, 1))
@@ -610,7 +606,7 @@ from visits where visit_duration is not null and {where}""")
 
 UX_START, UX_END = "2024-01-01T00:00:00Z", "2024-01-31T00:00:00Z"
 query("ux_metrics", _ux_sql(
-    f"date_time between {_bound_sql(UX_START, 'to_utc')} and {_bound_sql(UX_END, 'to_utc')} "
+    "date_time between timestamp '2024-01-01 00:00:00' and timestamp '2024-01-31 00:00:00' "
     "and is_new_user = false and cast(device_category as varchar) = '1'"))(
     lambda s, d: FL.ux_metrics(Inputs(s, d).visits, UX_START, UX_END, False, "1"))
 query("ux_metrics_last_7d", _ux_sql(
