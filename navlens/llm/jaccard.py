@@ -54,6 +54,8 @@ PART_SHINGLES = 800
 LIST_ROWS = 20_000
 #: Shingles of a candidate group beyond which it is cut in cells.
 GROUP_SHINGLES = 2_000_000
+#: Longs in the bitmap that drops documents outside candidate groups before their texts are shuffled.
+FILTER_WORDS = 1 << 16
 #: Rows of an index list that are compared at once, and answers of a group that are kept to derive others from.
 BLOCK, KEPT_ANSWERS = 256, 16
 
@@ -292,6 +294,27 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"u": np.ascontiguousarray(both[:, 0]), "v": np.ascontiguousarray(both[:, 1])})
 
 
+def _id_slot(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(64 * FILTER_WORDS))
+
+
+def _id_bits(chosen: DataFrame) -> Column:
+    """A bitmap of hashed doc_ids, ``FILTER_WORDS`` longs whatever the corpus, as a scalar subquery."""
+    words_ = chosen.select(_id_slot(F.col("doc_id")).alias("slot")).groupBy(
+        F.shiftright("slot", 6).alias("id")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS INT)))").alias("bits"))
+    dense = chosen.sparkSession.range(FILTER_WORDS).join(words_, "id", "left").select(
+        "id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"])).scalar()
+
+
+def _has_bit(doc_id: Column, bits: Column) -> Column:
+    """False only for ids that are not among those of the bitmap."""
+    slot = _id_slot(doc_id)
+    word = F.get(bits, F.shiftright(slot, 6).cast("int"))
+    return F.getbit(word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def set_components(docs: DataFrame, list_rows: int = LIST_ROWS,
                    group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, tag, n_shingles, node of every row; roots: node, root of every node that has a link)."""
@@ -316,7 +339,9 @@ def set_components(docs: DataFrame, list_rows: int = LIST_ROWS,
     chosen = written(chosen.join(totals, "grp").select(
         "d.doc_id", "d.tag", "node", "grp",
         F.ceil(F.col("total") / F.lit(group_shingles)).cast("long").alias("cells")), "jaccard-chosen")
-    whole = docs.select("doc_id", "text", _text_tag(F.col("text")).alias("tag")).join(chosen, ["doc_id", "tag"])
+    wanted = _id_bits(chosen)
+    whole = (docs.where(_has_bit(F.col("doc_id"), wanted))  # drops most texts before the join shuffles them
+             .select("doc_id", "text", _text_tag(F.col("text")).alias("tag")).join(chosen, ["doc_id", "tag"]))
     own = F.pmod(F.col("node"), F.col("cells"))
     cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda c: (
         F.least(own, c) * F.col("cells") + F.greatest(own, c))))
