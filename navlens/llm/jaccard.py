@@ -120,10 +120,11 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.nulls(len(sets), pa.int64())
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("tag"), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([set_digest(s) for s in sets], pa.int64()), none, none], names=names)
+            pa.array([set_digest(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), none], names=names)
     met = np.flatnonzero(counts)
     none = pa.nulls(len(met), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(met), pa.array(counts[met])], names=names)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(met.astype(np.int32)), pa.array(counts[met])],
+                                     names=names)
 
 
 def _set_class(n: int) -> int:
@@ -321,7 +322,7 @@ def set_components(docs: DataFrame, list_rows: int = LIST_ROWS,
     spark, parts = docs.sparkSession, text_partitions(docs)
     hashed = docs.select("doc_id", _text_tag(F.col("text")).alias("tag"), _word_hashes(F.col("text")).alias("hashes"))
     survey = written(hashed.mapInArrow(
-        _survey, "doc_id long, tag long, n_shingles long, node long, bucket long, n long"), "jaccard-survey")
+        _survey, "doc_id long, tag long, n_shingles long, node long, bucket int, n long"), "jaccard-survey")
     members = survey.where("bucket is null").select("doc_id", "tag", "n_shingles", "node")
     met = survey.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS, np.int64)
