@@ -29,8 +29,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram join links stays, that with the smallest doc_id."""
-    return jaccard.keep_first(docs)
+    """One document of each group that the n-gram join links (five words, 0.8) stays, that with the smallest doc_id."""
+    return jaccard.keep_first(docs, jaccard.Rule(words=5, num=80, den=100))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """N-gram Jaccard join with set-relation skipping.
 
-A document's set is its distinct 3-word shingles. Documents link when the
-Jaccard similarity of their sets is ``NUM / DEN`` or more; the result is each
-document's component under the links. No link between different sets is lost,
+A document's set is its distinct shingles of ``Rule.words`` words. Documents link
+when the Jaccard similarity of their sets is ``Rule.num / Rule.den`` or more (three
+words and 90 / 100 unless a caller says otherwise); the result is each document's
+component under the links. No link between different sets is lost,
 and no list of pairs is made: only what connects components leaves a task.
 
 1. Equal sets are one node, told by a 64-bit digest of the sorted set; the
    steps below work on nodes.
 2. Shingles are ordered rarest first, by the counts of 2^18 hash buckets over
    all documents (any order is right; this one keeps common passages out of the
-   prefixes). Linked sets of sizes n and m differ in D = (n + m) / 19 shingles
-   at most. A set of up to ``PART_SHINGLES`` is one part; larger ones are cut by
+   prefixes). Linked sets of sizes n and m differ in D = (n + m) (den - num) /
+   (den + num) shingles at most. A set of up to ``Rule.part_shingles`` is one part; larger ones are cut by
    hash in 2, 4, 8 ... parts, of which one must differ in D / parts at most.
    Such parts share one of their first D / parts + 1 shingles.
 3. Index lists, one for each such shingle, hold (size, position, 256-bit parity
@@ -28,7 +29,7 @@ and no list of pairs is made: only what connects components leaves a task.
 Shingles are compared by 64-bit hashes.
 
 Cases: null and empty texts have an empty set and link with nothing (not with
-each other either); a text of one or two words has one shingle, its word
+each other either); a text shorter than a shingle has one shingle, its word
 sequence; repeated rows are equal sets; an empty table gives an empty result;
 extra columns are not read by ``link_documents``.
 """
@@ -36,6 +37,7 @@ extra columns are not read by ``link_documents``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -46,10 +48,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from navlens.llm.common import ascii_lower, text_partitions, words, written
 from navlens.llm.components import connected_components
 
-NUM, DEN = 90, 100
 BUCKETS = 1 << 18
-#: Shingles of a part: larger sets are cut in parts, so that the bitmaps stay telling.
-PART_SHINGLES = 800
 #: Rows of an index list beyond which it is cut in cells.
 LIST_ROWS = 20_000
 #: Shingles of a candidate group beyond which it is cut in cells.
@@ -60,6 +59,34 @@ FILTER_WORDS = 1 << 16
 BLOCK, KEPT_ANSWERS = 256, 16
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the similarity ``num / den`` from which on sets link."""
+
+    words: int = 3
+    num: int = 90
+    den: int = 100
+
+    @property
+    def part_shingles(self) -> int:
+        """Shingles of a part (800 at 90 / 100): linked parts differ in about 84, so that the bitmaps stay telling."""
+        return max(1, 1600 * (self.num + self.den) // (38 * max(1, self.den - self.num)))
+
+    def largest(self, n):
+        """Size of the largest set that can link with one of ``n`` shingles."""
+        return self.den * n // self.num
+
+    def least_overlap(self, a, b):
+        """Smallest intersection of linked sets of sizes a and b."""
+        return -(-self.num * (a + b) // (self.num + self.den))
+
+    def most_apart(self, a, b):
+        """Largest symmetric difference of linked sets of sizes a and b."""
+        return a + b - 2 * self.least_overlap(a, b)
+
+
+RULE = Rule()
+
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,19 +96,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(column: pa.ListArray) -> list[np.ndarray]:
-    """Word hashes of each text -> sorted distinct hashes of its 3-word shingles (of the sequence, if shorter)."""
+def shingle_sets(column: pa.ListArray, k: int = RULE.words) -> list[np.ndarray]:
+    """Word hashes of each text -> sorted distinct hashes of its k-word shingles (of the sequence, if shorter)."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     ends = np.cumsum(np.array([0, *column.value_lengths().fill_null(0).to_pylist()], np.int64))
-    if len(flat) > 2:
-        threes = _mix(_mix(_mix(flat[:-2]) * _GOLD + flat[1:-1]) * _GOLD + flat[2:]).view(np.int64)
+    if len(flat) >= k:
+        runs = flat[:len(flat) - k + 1]
+        for j in range(1, k):
+            runs = _mix(runs) * _GOLD + flat[j:len(flat) - k + 1 + j]
+        runs = _mix(runs).view(np.int64)
     out = []
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        if b - a > 2:
-            out.append(np.unique(threes[a:b - 2]))
+        if b - a >= k:
+            out.append(np.unique(runs[a:b - k + 1]))
         elif b > a:
-            one = _mix(flat[a:a + 1] + _M1) if b - a == 1 else _mix(_mix(flat[a:a + 1]) * _M2 + flat[a + 1:b] + _M1)
-            out.append(one.view(np.int64))
+            one = flat[a:a + 1]
+            for j in range(a + 1, b):
+                one = _mix(one) * _M2 + flat[j:j + 1]
+            out.append(_mix(one + _M1).view(np.int64))
         else:
             out.append(np.empty(0, np.int64))
     return out
@@ -99,44 +131,37 @@ def _text_tag(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _least_overlap(a, b):
-    """Smallest intersection of linked sets of sizes a and b."""
-    return -(-NUM * (a + b) // (NUM + DEN))
+def _survey(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, tag, word hashes) -> a row for each document, and in the end one for each hash bucket that was met."""
+        names = ["doc_id", "tag", "n_shingles", "node", "bucket", "n"]
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            sets = shingle_sets(batch.column("hashes"), rule.words)
+            if sets:
+                counts += np.bincount(np.concatenate(sets) & (BUCKETS - 1), minlength=BUCKETS)
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("tag"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([set_digest(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), none], names=names)
+        met = np.flatnonzero(counts)
+        none = pa.nulls(len(met), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(met.astype(np.int32)), pa.array(counts[met])],
+                                         names=names)
+
+    return run
 
 
-def _most_apart(a, b):
-    """Largest symmetric difference of linked sets of sizes a and b."""
-    return a + b - 2 * _least_overlap(a, b)
+def _set_class(n: int, rule: Rule) -> int:
+    """0 up to ``rule.part_shingles``, 1 up to twice as many, ...; class k has 2^k parts."""
+    return max(0, (-(-n // rule.part_shingles) - 1).bit_length())
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, word hashes) -> a row for each document, and in the end one for each hash bucket that was met."""
-    names = ["doc_id", "tag", "n_shingles", "node", "bucket", "n"]
-    counts = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        sets = shingle_sets(batch.column("hashes"))
-        if sets:
-            counts += np.bincount(np.concatenate(sets) & (BUCKETS - 1), minlength=BUCKETS)
-        none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("tag"), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([set_digest(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), none], names=names)
-    met = np.flatnonzero(counts)
-    none = pa.nulls(len(met), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(met.astype(np.int32)), pa.array(counts[met])],
-                                     names=names)
-
-
-def _set_class(n: int) -> int:
-    """0 up to PART_SHINGLES, 1 up to twice as many, ...; class k has 2^k parts."""
-    return max(0, (-(-n // PART_SHINGLES) - 1).bit_length())
-
-
-def _index_rows(shared, list_rows: int):
+def _index_rows(shared, list_rows: int, rule: Rule):
     """Sets -> (token, cell, n, node, pos, bitmap) of their parts' prefixes; equal sets of a batch give rows once."""
     def rows_of(s: np.ndarray, node: int, kind: int, counts: np.ndarray) -> Iterator[np.ndarray]:
         parts = 1 << kind
-        most = _most_apart(len(s), DEN * len(s) // NUM) // parts
+        most = rule.most_apart(len(s), rule.largest(len(s))) // parts
         part = (s >> 40) & (parts - 1)
         for q in range(parts):
             own = s[part == q] if parts > 1 else s
@@ -163,14 +188,13 @@ def _index_rows(shared, list_rows: int):
         counts = shared.value
         for batch in batches:
             out, seen = [], set()
-            for s in shingle_sets(batch.column("hashes")):
+            for s in shingle_sets(batch.column("hashes"), rule.words):
                 node = set_digest(s)
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                kind = _set_class(len(s))
-                # a set that may link with larger ones of the next class stands in both
-                for k in sorted({kind, _set_class(DEN * len(s) // NUM)}):
+                # a set that may link with larger ones of a later class stands in both
+                for k in range(_set_class(len(s), rule), _set_class(rule.largest(len(s)), rule) + 1):
                     out.extend(rows_of(s, node, k, counts))
             if out:
                 rows = np.concatenate(out)
@@ -184,25 +208,26 @@ _INDEX_COLUMNS = ["token", "cell", "n", "node", "pos", "b0", "b1", "b2", "b3"]
 _INDEX_SCHEMA = ", ".join(f"{c} long" for c in _INDEX_COLUMNS)
 
 
-def _may_link(n1, pos1, bits1, n2, pos2, bits2, parts):
+def _may_link(n1, pos1, bits1, n2, pos2, bits2, parts, rule):
     """Whether sizes, positions (of a first shared prefix shingle) and bitmaps allow a link."""
-    most = _most_apart(n1, n2) // parts
+    most = rule.most_apart(n1, n2) // parts
     apart = np.bitwise_count((bits1 ^ bits2).view(np.uint64)).sum(axis=-1).astype(np.int64)
-    return (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (pos1 + pos2 <= most) & (apart <= most)
+    return (rule.den * np.minimum(n1, n2) >= rule.num * np.maximum(n1, n2)) & (pos1 + pos2 <= most) & (apart <= most)
 
 
-def list_edges(n: np.ndarray, node: np.ndarray, pos: np.ndarray, bits: np.ndarray, parts: int) -> list[tuple[int, int]]:
+def list_edges(n: np.ndarray, node: np.ndarray, pos: np.ndarray, bits: np.ndarray, parts: int,
+               rule: Rule = RULE) -> list[tuple[int, int]]:
     """Edges that connect the sets of one list as the pairs that may link do; rows sorted by size, distinct nodes."""
     m = len(n)
     root, edges = np.arange(m), []
-    last = np.searchsorted(n, DEN * n // NUM, side="right")  # past the sizes that can link
+    last = np.searchsorted(n, rule.largest(n), side="right")  # past the sizes that can link
     for k in range(m):
         for a in range(k + 1, int(last[k]), BLOCK):
             b = min(a + BLOCK, int(last[k]))
             other = np.flatnonzero(root[a:b] != root[k]) + a
             if not len(other):
                 continue  # the whole block is connected with the set already
-            hits = other[_may_link(n[k], pos[k], bits[k], n[other], pos[other], bits[other], parts)]
+            hits = other[_may_link(n[k], pos[k], bits[k], n[other], pos[other], bits[other], parts, rule)]
             for h in hits.tolist():
                 if root[h] != root[k]:
                     edges.append((int(node[k]), int(node[h])))
@@ -210,7 +235,7 @@ def list_edges(n: np.ndarray, node: np.ndarray, pos: np.ndarray, bits: np.ndarra
     return edges
 
 
-def _read_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_lists(rule: Rule):
     """Index rows sorted by (token, cell, n, node) -> candidate edges (u, v)."""
     def edges_of(rows: np.ndarray) -> Iterator[np.ndarray]:
         new = np.ones(len(rows), bool)  # equal sets from several batches
@@ -220,31 +245,34 @@ def _read_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = np.diff(np.r_[starts, len(rows)])
         two = starts[sizes == 2]  # most lists that hold more than one set: all at once
         x, y = rows[two], rows[two + 1]
-        ok = _may_link(x[:, 2], x[:, 4], x[:, 5:], y[:, 2], y[:, 4], y[:, 5:], 1 << (x[:, 1] >> 48))
+        ok = _may_link(x[:, 2], x[:, 4], x[:, 5:], y[:, 2], y[:, 4], y[:, 5:], 1 << (x[:, 1] >> 48), rule)
         yield np.stack([x[ok, 3], y[ok, 3]], axis=1)
         for a, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             part = rows[a:a + m]
-            found = list_edges(part[:, 2], part[:, 3], part[:, 4], part[:, 5:], 1 << int(part[0, 1] >> 48))
+            found = list_edges(part[:, 2], part[:, 3], part[:, 4], part[:, 5:], 1 << int(part[0, 1] >> 48), rule)
             if found:
                 yield np.array(found, np.int64)
 
-    held = np.empty((0, 9), np.int64)
-    for batch in batches:
-        rows = np.concatenate([held, batch.to_numpy(np.int64)])
-        if not len(rows):
-            continue
-        open_ = (rows[:, :2] == rows[-1, :2]).all(axis=1)  # the last list may go on
-        first = int(np.argmax(open_))
-        done, held = rows[:first], rows[first:]
-        if len(done):
-            pairs = np.concatenate(list(edges_of(done)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.empty((0, 9), np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, batch.to_numpy(np.int64)])
+            if not len(rows):
+                continue
+            open_ = (rows[:, :2] == rows[-1, :2]).all(axis=1)  # the last list may go on
+            first = int(np.argmax(open_))
+            done, held = rows[:first], rows[first:]
+            if len(done):
+                pairs = np.concatenate(list(edges_of(done)))
+                yield pd.DataFrame(np.unique(np.sort(pairs, axis=1), axis=0), columns=["u", "v"])
+        if len(held):
+            pairs = np.concatenate(list(edges_of(held)))
             yield pd.DataFrame(np.unique(np.sort(pairs, axis=1), axis=0), columns=["u", "v"])
-    if len(held):
-        pairs = np.concatenate(list(edges_of(held)))
-        yield pd.DataFrame(np.unique(np.sort(pairs, axis=1), axis=0), columns=["u", "v"])
+
+    return run
 
 
-def group_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def group_links(nodes: list[int], sets: list[np.ndarray], rule: Rule = RULE) -> list[tuple[int, int]]:
     """Edges that connect the sets as their links do (exact). Sets are sorted arrays of distinct hashes."""
     order = sorted(range(len(nodes)), key=lambda k: (len(sets[k]), nodes[k]))
     nodes, sets = [nodes[k] for k in order], [sets[k] for k in order]
@@ -256,7 +284,7 @@ def group_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
     members = owner[by_token]  # index lists, one after another, each sorted by size
     begins = np.searchsorted(token[by_token], np.arange(token.max() + 2))
     tokens = np.split(token, np.cumsum(size)[:-1])
-    last = np.searchsorted(size, DEN * size // NUM, side="right")
+    last = np.searchsorted(size, rule.largest(size), side="right")
     root, edges = np.arange(m), []
     kept: list[tuple[int, np.ndarray]] = []  # answered sets and their overlaps with all
 
@@ -278,7 +306,7 @@ def group_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
         kept.append((k, overlap))
         if len(kept) > KEPT_ANSWERS:
             kept.pop(0)
-        linked = np.flatnonzero(overlap[span] >= _least_overlap(size[k], size[span])) + k + 1
+        linked = np.flatnonzero(overlap[span] >= rule.least_overlap(size[k], size[span])) + k + 1
         for h in linked.tolist():
             if root[h] != root[k]:
                 edges.append((nodes[k], nodes[h]))
@@ -286,13 +314,16 @@ def group_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
     return edges
 
 
-def _verify(table: pa.Table) -> pa.Table:
-    edges: list[tuple[int, int]] = []
-    sets = dict(zip(table.column("node").to_pylist(), shingle_sets(table.column("hashes").combine_chunks())))
-    if len(sets) > 1:
-        edges = group_links(list(sets), list(sets.values()))
-    both = np.array(edges, np.int64).reshape(-1, 2)
-    return pa.table({"u": np.ascontiguousarray(both[:, 0]), "v": np.ascontiguousarray(both[:, 1])})
+def _verify(rule: Rule):
+    def run(table: pa.Table) -> pa.Table:
+        edges: list[tuple[int, int]] = []
+        sets = dict(zip(table.column("node").to_pylist(), shingle_sets(table.column("hashes").combine_chunks(), rule.words)))
+        if len(sets) > 1:
+            edges = group_links(list(sets), list(sets.values()), rule)
+        both = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.table({"u": np.ascontiguousarray(both[:, 0]), "v": np.ascontiguousarray(both[:, 1])})
+
+    return run
 
 
 def _id_slot(doc_id: Column) -> Column:
@@ -317,21 +348,21 @@ def _has_bit(doc_id: Column, bits: Column) -> Column:
 
 
 def set_components(docs: DataFrame, list_rows: int = LIST_ROWS,
-                   group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
+                   group_shingles: int = GROUP_SHINGLES, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, tag, n_shingles, node of every row; roots: node, root of every node that has a link)."""
     spark, parts = docs.sparkSession, text_partitions(docs)
     hashed = docs.select("doc_id", _text_tag(F.col("text")).alias("tag"), _word_hashes(F.col("text")).alias("hashes"))
     survey = written(hashed.mapInArrow(
-        _survey, "doc_id long, tag long, n_shingles long, node long, bucket int, n long"), "jaccard-survey")
+        _survey(rule), "doc_id long, tag long, n_shingles long, node long, bucket int, n long"), "jaccard-survey")
     members = survey.where("bucket is null").select("doc_id", "tag", "n_shingles", "node")
     met = survey.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS, np.int64)
     counts[met["bucket"].to_numpy(np.int64)] = met["n"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(counts)  # BUCKETS numbers, whatever the corpus
-    index = hashed.select("hashes").mapInArrow(_index_rows(shared, list_rows), _INDEX_SCHEMA)
+    index = hashed.select("hashes").mapInArrow(_index_rows(shared, list_rows, rule), _INDEX_SCHEMA)
     candidates = written(
         index.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "n", "node")
-        .mapInPandas(_read_lists, "u long, v long").distinct(), "jaccard-candidates")
+        .mapInPandas(_read_lists(rule), "u long, v long").distinct(), "jaccard-candidates")
     groups = connected_components(candidates, "jaccard-groups").withColumnRenamed("root", "grp")
     # one document stands for each node; its set is made again from its text
     stand_in = members.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))).alias("d"), F.max("n_shingles").alias("n"))
@@ -349,13 +380,13 @@ def set_components(docs: DataFrame, list_rows: int = LIST_ROWS,
     links = (whole.select("grp", "node", "text", cell.alias("cell"))
              .repartition(parts, "grp", "cell")  # the texts are shuffled; their hashes would take more
              .select("grp", "cell", "node", _word_hashes(F.col("text")).alias("hashes"))
-             .groupBy("grp", "cell").applyInArrow(_verify, "u long, v long"))
+             .groupBy("grp", "cell").applyInArrow(_verify(rule), "u long, v long"))
     return members, connected_components(links, "jaccard-links")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
-    members, roots = set_components(docs)
+    members, roots = set_components(docs, rule=rule)
     nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -365,12 +396,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """One row of each component: that with the smallest doc_id. Columns of ``docs``; empty sets all stay.
 
     A doc_id stands for one document: repeated rows of it stay once.
     """
-    linked = link_documents(docs)
+    linked = link_documents(docs, rule)
     gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti")
     again = written(linked.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

@@ -25,3 +25,22 @@ def test_toxicity_stage_keeps_documents_when_nothing_can_be_learnt(spark, make_d
     for name, marks in (("none", []), ("all", [(i, 1) for i in range(5)]), ("mixed", [(i, i % 2) for i in range(5)])):
         spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         assert corpus_pipeline.toxic_documents(spark, docs, f"{tmp_path}/{name}").count() == 5
+
+
+def test_near_duplicate_stage_links_by_five_words_and_four_fifths(spark, make_docs, sf):
+    texts = []
+    for words, edits in ((50, 1), (100, 2), (500, 10), (1800, 45), (400, 5), (400, 40), (760, 19), (40, 1), (4, 0), (3, 0)):
+        base = rnd.choices(VOCAB, k=words)
+        for _ in range(4):
+            copy = list(base)
+            for at in rnd.sample(range(words), edits):
+                copy[at] = rnd.choice(VOCAB) + "x"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in map(str.split, texts)]
+    part = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                part = [min(part[i], part[j]) if x in (part[i], part[j]) else x for x in part]
+    got = corpus_pipeline.near_duplicates(spark, make_docs(texts), sf).collect()
+    assert {r.doc_id for r in got} == {i for i, x in enumerate(part) if i == x}
