@@ -1,8 +1,10 @@
 """Benchmark decontamination.
 
 Test items are indexed: an inverted index with BM25 impacts, each divided by
-the item's own score (the item as its query), so that one threshold fits items
-of all lengths. Postings are cut into blocks, each with its largest impact.
+the item's own score (the item as its query). No passage holds much of an item
+of more than ``WHOLE_WORDS`` words, so such an item is also indexed as overlapping
+pieces of ``PIECE_WORDS``, each with its own score; a passage that retrieves a
+piece retrieves its item, so that one threshold fits items of all lengths. Postings are cut into blocks, each with its largest impact.
 Every document is cut into overlapping passages, and every passage is a query
 that retrieves all items scoring ``THRESHOLD`` or more by block-max WAND:
 cursors ordered by item, the pivot where the terms' largest impacts could
@@ -15,7 +17,7 @@ and its answer (the last) must each have at least ``OVERLAP`` of their
 5-word shingles in the document. Words are lower-cased runs of letters and
 digits.
 
-Only test items are sent to tasks, ``SLICE_ITEMS`` at a time; more items mean
+Only test items are sent to tasks, ``SLICE_ITEMS`` items and pieces at a time; more mean
 more passes over the documents, never a larger broadcast. No shuffle of
 documents.
 
@@ -38,8 +40,11 @@ from navlens.llm.common import from_state, send_state
 
 K1, B = 1.2, 0.75
 PASSAGE_WORDS, PASSAGE_STEP = 32, 16
-#: Share of the item's own BM25 score. An item's best passage holds over half its words.
+#: Share of the item's own BM25 score. The best passage holds about half or more of a whole item, and half or more of a piece.
 THRESHOLD = 0.35
+#: Items of more words are indexed in pieces too.
+WHOLE_WORDS = 64
+PIECE_WORDS, PIECE_STEP = 48, 24
 SHINGLE, OVERLAP = 5, 0.8
 SLICE_ITEMS = 20_000
 #: Postings in a block.
@@ -70,35 +75,54 @@ def shingles(words: list[str], k: int = SHINGLE) -> set[tuple[str, ...]]:
         {tuple(words)} if words else set()
 
 
+def item_pieces(words: list[str]) -> list[list[str]]:
+    """The overlapping pieces of a long item; none of a short one."""
+    if len(words) <= WHOLE_WORDS:
+        return []
+    return [words[a:a + PIECE_WORDS] for a in range(0, len(words) - PIECE_WORDS + PIECE_STEP, PIECE_STEP)]
+
+
 def _postings(benchmark: DataFrame) -> DataFrame:
-    """(item, term, impact): BM25 weight over the item's own score; item = a number that keeps repeated rows apart."""
-    @F.udf("array<string>")
+    """(item, piece, term, impact): BM25 weight over the own score of the item (piece 0) or of its piece.
+
+    item = a number that keeps repeated rows apart. All weights use the statistics of the whole items.
+    """
+    @F.udf("array<array<string>>")
     def terms(text):  # a test item is short; documents never come here
-        return text_words(text)
+        words = text_words(text)
+        return [words, *item_pieces(words)]
 
     items = benchmark.select("item_id", "text", F.monotonically_increasing_id().alias("item"))
-    tokens = items.select("item", F.explode(terms("text")).alias("term"))
-    tf = tokens.groupBy("item", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = tf.groupBy("item").agg(F.sum("tf").alias("len"))
-    total = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
+    tokens = (items.select("item", F.posexplode(terms("text")).alias("piece", "words"))
+              .select("item", "piece", F.explode("words").alias("term")))
+    every = tokens.groupBy("item", "piece", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = every.where("piece = 0")
+    length = every.groupBy("item", "piece").agg(F.sum("tf").alias("len"))
+    total = length.where("piece = 0").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
     n, avg = total["n"], total["avg"] or 1.0
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg)))
-    weights = tf.join(length, "item").join(df, "term").select("item", "term", "tf", weight.alias("w"))
-    own = weights.groupBy("item").agg(F.sum("w").alias("own"))
-    return weights.join(own, "item").select("item", "term", (F.col("w") / F.col("own")).alias("impact"))
+    weights = every.join(length, ["item", "piece"]).join(df, "term").select("item", "piece", "term", weight.alias("w"))
+    own = weights.groupBy("item", "piece").agg(F.sum("w").alias("own"))
+    return weights.join(own, ["item", "piece"]).select("item", "piece", "term", (F.col("w") / F.col("own")).alias("impact"))
 
 
 class ItemIndex:
-    """Block-max index of the items of one slice."""
+    """Block-max index of the items of one slice; the pieces of long items are numbered after the items."""
 
-    def __init__(self, rows: list[tuple[int, str, float]], texts: dict[int, str]):
+    def __init__(self, rows: list[tuple[int, str, float]], texts: dict[int, str],
+                 pieces: list[tuple[int, int, str, float]] = ()):
         self.ids = sorted(texts)
         number = {item: k for k, item in enumerate(self.ids)}
+        cut = sorted({(item, piece) for item, piece, _, _ in pieces})
+        piece_number = {key: len(self.ids) + k for k, key in enumerate(cut)}
+        self.item_of = [*range(len(self.ids)), *(number[item] for item, _ in cut)]
         lists: dict[str, list[tuple[int, float]]] = {}
         for item, term, impact in rows:
             lists.setdefault(term, []).append((number[item], impact))
+        for item, piece, term, impact in pieces:
+            lists.setdefault(term, []).append((piece_number[item, piece], impact))
         self.term_id = {t: k for k, t in enumerate(sorted(lists))}
         self.items, self.impacts, self.block_last, self.block_max = [], [], [], []
         for t in self.term_id:
@@ -110,11 +134,15 @@ class ItemIndex:
             self.block_max.append([max(p[1] for p in post[c:c + BLOCK]) for c in cuts])
         self.largest = np.array([max(x) for x in self.impacts] + [0.0])  # the last: unknown words
         # largest impact of each term in each run of items, a little rounded up
-        n_runs = min(RUNS, max(1, len(self.ids)))
+        n_runs = min(RUNS, max(1, len(self.item_of)))
         self.run_max = np.zeros((len(lists) + 1, n_runs), np.float32)
         for t, (items, impacts) in enumerate(zip(self.items, self.impacts)):
-            np.maximum.at(self.run_max[t], np.array(items) * n_runs // max(1, len(self.ids)),
+            np.maximum.at(self.run_max[t], np.array(items) * n_runs // max(1, len(self.item_of)),
                           np.float32(1.00001) * np.array(impacts, np.float32))
+        self.long = {number[item]: {} for item, _ in cut}  # term -> impact in the whole item
+        for item, term, impact in rows:
+            if number[item] in self.long:
+                self.long[number[item]][self.term_id[term]] = impact
         self.parts = [tuple(shingles(w) for w in question_and_answer(texts[i])) for i in self.ids]
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -199,8 +227,9 @@ class ItemIndex:
         best: dict[int, float] = {}
         for passage in self._reaching(padded, starts[hopeful], threshold):
             terms = np.unique(passage)
-            for item, score in self.retrieve(terms[terms < unknown].tolist(), threshold):
-                best[item] = max(score, best.get(item, 0.0))
+            for entry, score in self.retrieve(terms[terms < unknown].tolist(), threshold):
+                item = self.item_of[entry]
+                best[item] = max(score if entry == item else 0.0, best.get(item, 0.0))
         if not best:
             return []
         out, by_size = [], {}
@@ -215,26 +244,42 @@ class ItemIndex:
                     by_size[size] = shingles(words, size)
                 shares.append(len(part & by_size[size]) / len(part))
             if min(shares) >= overlap:
+                if not score:  # found by its pieces only: the whole item's share is below the threshold
+                    impact = self.long[item]
+                    score = max(sum(impact.get(t, 0.0) for t in set(padded[a:a + PASSAGE_WORDS].tolist()))
+                                for a in starts.tolist())
                 out.append((item, score, *shares))
         return out
 
 
 def _slices(spark: SparkSession, benchmark: DataFrame, size: int) -> Iterator[ItemIndex]:
-    """The items, ``size`` at a time (bounded: about 60 postings an item), as indexes for broadcast."""
+    """The items, ``size`` items and pieces at a time (bounded: about 60 postings each), as indexes for broadcast."""
+    @F.udf("long")
+    def entries(text):
+        return 1 + len(item_pieces(text_words(text)))
+
     items = benchmark.select("item_id", "text", F.monotonically_increasing_id().alias("item"))
     n = items.count()
     postings = _postings(benchmark).persist()
     try:
         after = -1
         while n > 0:
-            part = items.where(F.col("item") > after).orderBy("item").limit(size).collect()
-            if not part:
+            sizes = (items.where(F.col("item") > after).orderBy("item").limit(size)
+                     .select("item", entries("text").alias("entries")).collect())
+            if not sizes:
                 return
+            total, last = 0, sizes[0]["item"]
+            for r in sizes:  # one item at least
+                total += r["entries"]
+                if total > size and r is not sizes[0]:
+                    break
+                last = r["item"]
+            part = items.where(F.col("item").between(sizes[0]["item"], last)).orderBy("item").collect()
             texts = {r["item"]: r["text"] for r in part}
             first, after = part[0]["item"], part[-1]["item"]
-            rows = [(r["item"], r["term"], r["impact"]) for r in
-                    postings.where(F.col("item").between(first, after)).collect()]
-            index = ItemIndex(rows, texts)
+            found = postings.where(F.col("item").between(first, after)).collect()
+            index = ItemIndex([(r["item"], r["term"], r["impact"]) for r in found if not r["piece"]], texts,
+                              [tuple(r) for r in found if r["piece"]])
             index.item_ids = [r["item_id"] for r in part]
             yield index
     finally:

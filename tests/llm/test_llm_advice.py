@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from navlens.llm import toxicity as X
+from navlens.llm import decontaminate as D, toxicity as X
 
 rnd = random.Random(11)
 VOCAB = ["".join(rnd.choices("abcdefghilmnoprstuv", k=rnd.randint(4, 8))) for _ in range(400)]
@@ -44,3 +44,17 @@ def test_near_duplicate_stage_links_by_five_words_and_four_fifths(spark, make_do
                 part = [min(part[i], part[j]) if x in (part[i], part[j]) else x for x in part]
     got = corpus_pipeline.near_duplicates(spark, make_docs(texts), sf).collect()
     assert {r.doc_id for r in got} == {i for i, x in enumerate(part) if i == x}
+
+
+def test_long_items_are_found_at_any_place(spark, make_docs):
+    def sentence(k):
+        return " ".join(rnd.choices(VOCAB, k=k))
+    items = [f"{sentence(n - 20)}. {sentence(20)}." for n in (40, 64, 65, 100, 120, 150, 200, 200, 400)]
+    texts = [f"{sentence(at)} {t} {sentence(90)}" for t in items for at in (0, 7, 16, 41)] + [sentence(600)] * 2
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs, want = make_docs(texts), {(4 * i + k, i) for i in range(len(items)) for k in range(4)}
+    for size in (20_000, 3):
+        got = D.find_leaks(docs, benchmark, slice_items=size).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+        assert all(0 < r.bm25_share <= 1 for r in got)
+    assert {r.doc_id for r in D.drop_leaks(docs, benchmark).collect()} == {len(texts) - 2, len(texts) - 1}
