@@ -1,6 +1,6 @@
 """Hand-worked bins of FIXTURES.md C4."""
 
-from conftest import make_hits, make_visits, visit
+from helpers import make_hits, make_visits, visit
 from navlens.operators import linkage as L
 from navlens.operators import release as R
 from navlens.operators import wandering as WD

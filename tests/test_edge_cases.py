@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import make_hits, make_visits, visit
+from helpers import make_hits, make_visits, visit
 from navlens.operators import release as R
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import path_tables
+from helpers import path_tables
 from navlens.operators import linkage as L
 from navlens.operators import paths as PA
 from navlens.operators import release as R
@@ -57,7 +57,7 @@ def test_revisit_flags_row_level(spark):
 
 def test_equal_times_break_ties_by_list_position(spark):
     import datetime as dt
-    from conftest import make_hits, make_visits, visit
+    from helpers import make_hits, make_visits, visit
     t = dt.datetime(2024, 1, 5)
     visits = make_visits(spark, [visit(1, "h3,h1,h2")])
     hits = make_hits(spark, [("h1", "c", "B", t, None), ("h2", "c", "A", t, None), ("h3", "c", "A", t, None)])
@@ -69,7 +69,7 @@ def test_equal_times_break_ties_by_list_position(spark):
 
 
 def test_duplicate_ids_in_list_count_twice(spark):
-    from conftest import make_hits, make_visits, visit
+    from helpers import make_hits, make_visits, visit
     visits = make_visits(spark, [visit(1, "h1,h1, h2 ,,")])
     hits = make_hits(spark, [("h1", "c", "A", None, None), ("h2", "c", "B", None, None)])
     bridge = L.watch_id_bridge(visits).orderBy("pos").collect()

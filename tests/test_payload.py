@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import make_hits, make_visits, visit
+from helpers import make_hits, make_visits, visit
 from navlens.operators import release as R
 from navlens.plans import payload as PL
 

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import make_visits, visit
+from helpers import make_visits, visit
 from navlens.operators import filters as FL
 from navlens.session import scratch_path
 from navlens.sources import readers as RD
@@ -53,14 +53,14 @@ def test_csv_by_header_name_with_quotes_breaks_and_no_row_number(spark):
 
 
 def test_quoted_text_survives_the_hits_csv(spark):
-    from conftest import make_hits
+    from helpers import make_hits
     text = 'a "q", \n b'
     back = RD.read_hits_csv(spark, SK.write_hits_csv(make_hits(spark, [("1", "c", "/a", None, text)]))).collect()
     assert back[0]["title"] == text
 
 
 def test_ids_in_any_encoding_join(spark):
-    from conftest import make_hits
+    from helpers import make_hits
     from navlens.functions.ids import normalize_id
     from navlens.operators import linkage as L
     forms = spark.createDataFrame([("1.2345678901234567e+18",), ("1.5E+3",), ("-2.5e+0",), ("1e+25",), ("xe+",), (" '7' ",)], "s string")
