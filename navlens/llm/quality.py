@@ -208,7 +208,9 @@ def keep_good(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = EM_RO
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
     The votes are cast twice, for the fit and for the verdicts: that costs less than to shuffle the texts to a join.
+    The counts go through a generator, below which Spark pushes no filter: they are computed once per row, not once
+    per place where the verdict reads them.
     """
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), "text")
-    voted = with_votes(row)
+    voted = with_votes(row).select("__row", F.inline(F.array(F.struct("n_words", "n_repeat_words", "votes"))))
     return voted.where(_verdict(with_votes(docs.select("text")), threshold, rounds)["kept"]).select("__row.*")
