@@ -28,7 +28,7 @@ _QUALITY_VOTES = """[
     CASE WHEN 5 * n_shouts > n_words THEN -1 ELSE 0 END,
     CASE WHEN n_lines >= 5 AND 10 * n_dup_lines > 4 * n_lines THEN -1 ELSE 0 END,
     CASE WHEN 100 * n_repeat_words > 30 * n_words THEN -1 WHEN n_repeat_words = 0 THEN 1 ELSE 0 END,
-    CASE WHEN n_words < 20 THEN -1 WHEN n_words >= 40 THEN 1 ELSE 0 END]"""
+    CASE WHEN n_words < 40 THEN -1 ELSE 1 END]"""
 
 
 def _posterior(votes: str, prior: str, odds: str) -> str:
@@ -47,8 +47,8 @@ def _estimate(rows: str) -> str:
                     f" lambda r: {what})), 0.0) + 0.5) / ({total} + 1.0))")
         return f"ln({share('r.good', good)} / {share('r.n - r.good', bad)})"
 
-    return (f"({good} + 0.5) / ({good} + {bad} + 1.0) AS prior, list_transform(range(1, 8), lambda j:"
-            f" [least({of_vote(-1)}, -5.0), 0.0, greatest({of_vote(1)}, 0.5)]) AS odds")
+    return (f"({good} + 0.5 + 0.4 * ({good} + {bad})) / (1.5 * ({good} + {bad}) + 1.0) AS prior, list_transform(range(1, 8), lambda j:"
+            f" [least({of_vote(-1)}, -0.1), 0.0, greatest({of_vote(1)}, 0.1)]) AS odds")
 
 
 OP1 = rf"""

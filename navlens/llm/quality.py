@@ -14,7 +14,8 @@ SQL ``aggregate`` expression.
 
 Cases: null and empty texts have no words, get zero counts and fail the base
 rules; repeated rows are judged alike, one result each; an empty table gives an
-empty result; result columns replace columns of the same name.
+empty result; result columns replace columns of the same name. Ties: a posterior
+of exactly ``THRESHOLD`` is kept.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ EM_ROUNDS = 30
 FIRST_GUESS = 0.999
 #: Added to every count that a probability is estimated from: no vote is proof.
 PSEUDO = 0.5
-#: Least log odds that a vote adds in its own direction. Bad votes are written to be rare on good documents; a good
-#: vote only says that nothing was found.
-LEAST_BAD_ODDS = 5.0
-LEAST_GOOD_ODDS = 0.5
+#: Least log odds that a vote adds in its own direction: a rule is taken to be no worse than chance, and no more than
+#: that. What a vote weighs comes from the fit.
+LEAST_ODDS = 0.1
+#: Share of good documents expected before any vote is seen, and the weight of that expectation in rows per row: keeps
+#: the fit from drifting to a solution where a small group of documents that share odd votes are the good ones.
+GOOD_SHARE, SHARE_WEIGHT = 0.8, 0.5
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_shouts"]
@@ -122,7 +125,7 @@ VOTES: dict[str, str] = {
     "exclamations": "CASE WHEN 5 * n_shouts > n_words THEN -1 ELSE 0 END",
     "lines": "CASE WHEN n_lines >= 5 AND 10 * n_dup_lines > 4 * n_lines THEN -1 ELSE 0 END",
     "windows": "CASE WHEN 100 * n_repeat_words > 30 * n_words THEN -1 WHEN n_repeat_words = 0 THEN 1 ELSE 0 END",
-    "length": "CASE WHEN n_words < 20 THEN -1 WHEN n_words >= 40 THEN 1 ELSE 0 END",
+    "length": "CASE WHEN n_words < 40 THEN -1 ELSE 1 END",
 }
 BASE_FAILED = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words)"
 
@@ -143,7 +146,7 @@ def fit_rules(voted: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
 
     EM over the vote combinations of all rows. The first guess takes rows without a bad vote as good. Each round
     estimates how often a rule casts a vote on good and on bad rows, and from that each combination's posterior.
-    Rules are taken to be better than chance (``LEAST_BAD_ODDS``, ``LEAST_GOOD_ODDS``); an abstention adds nothing.
+    Rules are taken to be better than chance (``LEAST_ODDS``); an abstention adds nothing.
     """
     k = len(VOTES)
     patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))  # at most 3^k rows
@@ -158,12 +161,13 @@ def fit_rules(voted: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
                            lambda c: F.log(((c["good"] + F.lit(PSEUDO)) / (sums["good"] + F.lit(2 * PSEUDO)))
                                            / ((c["bad"] + F.lit(PSEUDO)) / (sums["bad"] + F.lit(2 * PSEUDO)))))
             return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.array(
-                F.least(of_vote(j, -1), F.lit(-LEAST_BAD_ODDS)), F.lit(0.0), F.greatest(of_vote(j, 1), F.lit(LEAST_GOOD_ODDS))))
+                F.least(of_vote(j, -1), F.lit(-LEAST_ODDS)), F.lit(0.0), F.greatest(of_vote(j, 1), F.lit(LEAST_ODDS))))
 
         sums = F.struct(_sum(F.transform(rows, lambda r: r["good"])).alias("good"),
                         _sum(F.transform(rows, lambda r: r["n"] - r["good"])).alias("bad"))
         return let(sums, lambda t: F.struct(
-            ((t["good"] + F.lit(PSEUDO)) / (t["good"] + t["bad"] + F.lit(2 * PSEUDO))).alias("prior"),
+            ((t["good"] + F.lit(PSEUDO) + F.lit(GOOD_SHARE * SHARE_WEIGHT) * (t["good"] + t["bad"]))
+             / (F.lit(1 + SHARE_WEIGHT) * (t["good"] + t["bad"]) + F.lit(2 * PSEUDO))).alias("prior"),
             odds(t).alias("odds")))
 
     def scored(p: Column, share: Callable[[Column], Column]) -> Column:
