@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from navlens.llm import bpe, decontaminate, htmltext, jaccard, licenses, lm, oracle, quality, sharding, toxicity, urlfilter
+from navlens.llm import (bpe, damage, decontaminate, htmltext, jaccard, licenses, lm, oracle, quality, runs, sharding,
+                         toxicity, urlfilter)
 from navlens.llm.common import table
 
 
@@ -62,6 +63,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages")).drop("n_shared")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(damage.with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # runs stand by start, then period: the first of equal exponents stays
+    top = F.aggregate("runs", F.lit(None).cast(runs.RUN), lambda best, r: F.when(
+        best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("__t", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("__t.start"), F.col("__t.length"), F.col("__t.period"),
+        F.expr("1000 * __t.length DIV __t.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256)
+        .alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -73,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_lm_score": op9_lm_score,
     "op10_html_text": op10_html_text,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
