@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from navlens.llm import (bpe, damage, decontaminate, htmltext, jaccard, licenses, lm, oracle, quality, runs, sharding,
-                         toxicity, urlfilter)
+from navlens.llm import (bpe, damage, decontaminate, htmltext, jaccard, licenses, lm, oracle, pii, quality, runs,
+                         sharding, toxicity, urlfilter)
 from navlens.llm.common import table
 
 
@@ -63,6 +63,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages")).drop("n_shared")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base_sha256 are of the plain spans, which the contract fixes; spans are all, n_added the others."""
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+                        joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.find_runs(damage.with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
     # runs stand by start, then period: the first of equal exponents stays
@@ -88,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_lm_score": op9_lm_score,
     "op10_html_text": op10_html_text,
+    "op12_pii": op12_pii,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
