@@ -5,7 +5,7 @@ Only rows are made here, by the rules that the queries state; what is found in t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from navlens.llm.common import words
 
@@ -26,3 +26,20 @@ def with_periodic_tails(docs: DataFrame) -> DataFrame:
     changed = F.array_join(F.concat(F.slice("__w", F.lit(1), F.col("__a")), tail), " ")
     return (out.withColumn("text", F.when((F.col("__h") % 10 == 0) & (F.col("__n") > 0), changed).otherwise(F.col("text")))
             .select(*docs.columns))
+
+
+def with_faults(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text of ``conversations`` with rows dropped, emptied, cut, repeated or under another role.
+
+    What happens to a row follows from crc32 of ``conv_id:turn``; a null counts as one space there and in role and text.
+    """
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    fault = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), fault.alias("fault"))
+    return (rows.where("fault != 0").select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+        .alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))))
+        .drop("col"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from navlens.llm import (bpe, damage, decontaminate, htmltext, jaccard, licenses, lm, oracle, pii, quality, runs,
-                         sharding, toxicity, urlfilter)
+from navlens.llm import (bpe, conversations, damage, decontaminate, htmltext, jaccard, licenses, lm, oracle, pii,
+                         quality, runs, sharding, toxicity, urlfilter)
 from navlens.llm.common import table
 
 
@@ -63,6 +64,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages")).drop("n_shared")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    repaired, _ = conversations.repair_conversations(damage.with_faults(given))
+    ids = given.select(F.col("conv_id").alias("__id")).distinct()  # a conversation may have lost all its rows
+    zeros = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return (ids.join(repaired, F.col("__id").eqNullSafe(F.col("conv_id")), "left")
+            .withColumn("conv_id", F.col("__id")).drop("__id")
+            .fillna(zeros | {"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()}))
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and base_sha256 are of the plain spans, which the contract fixes; spans are all, n_added the others."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -102,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_lm_score": op9_lm_score,
     "op10_html_text": op10_html_text,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_pii": op12_pii,
     "op13_periodic_runs": op13_periodic_runs,
 }
