@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from navlens.functions.scalars import nonempty, pct_of, py_round
 from navlens.operators.release import ReleaseFacts
-from navlens.operators.sequence import time_chunk, with_neighbors
+from navlens.operators.sequence import with_neighbors
 
-PATH_CHUNK_SECONDS = 3600
 TOP_TRANSITIONS = 10
 TOP_LOOPS = 5
 
@@ -88,9 +87,9 @@ def _with_next(facts: ReleaseFacts) -> DataFrame:
     reuses its exchanges) instead of building three neighbour passes."""
     cached = facts.__dict__.get("_path_next")
     if cached is None:
-        cached = with_neighbors(url_path_rows(facts), ["release_ord", "visit_id"], path_order(),
-                                time_chunk("datetime_hit", PATH_CHUNK_SECONDS, nulls_first=True),
-                                "url", leads=(1, 2))
+        # a session's rows are at most the ids it lists: the narrow bridge tells which sessions are hot
+        cached = with_neighbors(url_path_rows(facts), ["release_ord", "visit_id"], path_order(), None, "url",
+                                leads=(1, 2), sizes=None if facts.is_written else facts.bridge)
         facts.__dict__["_path_next"] = cached
     return cached
 

@@ -115,6 +115,7 @@ class ReleaseFacts:
     hits: DataFrame
     periods: object
     id_bridge: DataFrame | None = None   # stored (visit_id, pos, watch_id); else parsed from watch_ids
+    is_written: bool = False             # tagged visits, release hits and path rows are tables
 
     def __post_init__(self):
         if isinstance(self.periods, DataFrame):
@@ -157,7 +158,7 @@ class ReleaseFacts:
         from navlens.session import scratch_path
         spark = self.visits.sparkSession
         out = ReleaseFacts(self.visits, self.hits, self.period_list if self.period_list else self.periods,
-                           self.id_bridge)
+                           self.id_bridge, is_written=True)
         for name in ("tagged", "release_hits", "path_rows"):
             path = scratch_path(spark, f"facts-{name}")
             getattr(self, name).write.mode("overwrite").parquet(path)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from navlens.operators.sequence import time_chunk, with_neighbors
+from navlens.operators.sequence import with_neighbors
 
 WANDERING_THRESHOLD = 8
 # Report parameters of the path analysis.
@@ -30,7 +30,6 @@ WANDERING_LEVELS = [("0-8", 0, 8), ("9-15", 8, 15), ("16+", 15, None)]
 BACKTRACK_SEGMENTS = [("0", -1, 0), ("1-2", 0, 2), ("3-5", 2, 5), ("6+", 5, None)]
 HIST_UNIQUE_PAGES_BINS = 15
 HIST_BACKTRACK_BINS = 20
-PATH_CHUNK_SECONDS = 3600
 
 
 def _qname(q: float) -> str:
@@ -165,9 +164,7 @@ def backtracks(joined: DataFrame, keys: Sequence[str] = ("visit_id",)) -> DataFr
     rows = joined.filter(F.col("visit_id").isNotNull()).select(
         *keys, "watch_id", "datetime_hit", F.coalesce(F.col("url"), F.lit("")).alias("u"))
     order = [F.col("datetime_hit").asc_nulls_last(), F.col("watch_id").asc()]
-    seq = with_neighbors(rows, keys, order,
-                         time_chunk("datetime_hit", PATH_CHUNK_SECONDS, nulls_first=False),
-                         "u", lags=(2,))
+    seq = with_neighbors(rows, keys, order, None, "u", lags=(2,))
     return seq.groupBy(*keys).agg(
         F.count_if(F.col("prev2") == F.col("u")).alias("backtracks"))
 

@@ -156,11 +156,11 @@ select b.visit_id, row_number() over (partition by b.visit_id order by h.datetim
        b.pos, b.watch_id, h.url, h.datetime_hit
 from ball b join hits h using (watch_id)"""))
 def q_visit_paths(spark, sf_dir):
-    from navlens.operators.sequence import ordinal_in_key, time_chunk
+    from navlens.operators.sequence import ordinal_in_key
     i = Inputs(spark, sf_dir)
-    rows = L.visit_hit_rows(L.watch_id_bridge(i.visits), i.hits)
-    out = ordinal_in_key(rows, "visit_id", [F.col("datetime_hit").asc_nulls_first(), F.col("pos")],
-                         time_chunk("datetime_hit", PA.PATH_CHUNK_SECONDS, nulls_first=True))
+    bridge = L.watch_id_bridge(i.visits)
+    out = ordinal_in_key(L.visit_hit_rows(bridge, i.hits), "visit_id",
+                         [F.col("datetime_hit").asc_nulls_first(), F.col("pos")], sizes=bridge)
     return out.select("visit_id", "step", "pos", "watch_id", "url", "datetime_hit")
 
 

@@ -48,7 +48,7 @@ def hits_from_events(events: DataFrame) -> DataFrame:
 
 
 def visits_from_events(events: DataFrame, nation: DataFrame,
-                       chunk_seconds: int = 6 * 3600) -> DataFrame:
+                       chunk_seconds: int | None = None) -> DataFrame:
     """One row per session: grouped aggregate over sessionised events.
 
     ``start_url`` / ``end_url`` are the URLs of the first / last event by
@@ -58,7 +58,7 @@ def visits_from_events(events: DataFrame, nation: DataFrame,
     return visits_from_sessions(sessionize(events, chunk_seconds), nation)
 
 
-def sessionize(events: DataFrame, chunk_seconds: int = 6 * 3600) -> DataFrame:
+def sessionize(events: DataFrame, chunk_seconds: int | None = None) -> DataFrame:
     """Event rows (with watch id, client, URL, title) numbered by session: ``sn``."""
     return session_numbers(_event_rows(events), "user_id", "ts", "event_id",
                            SESSION_GAP_SECONDS, chunk_seconds=chunk_seconds)
@@ -98,7 +98,7 @@ def visits_from_sessions(ev: DataFrame, nation: DataFrame) -> DataFrame:
                   F.when(vid % 3 == 0, "portrait").otherwise("landscape").alias("screen_orientation_name")))
 
 
-def bridge_from_sessions(ev: DataFrame, path_chunk_seconds: int = 3600) -> DataFrame:
+def bridge_from_sessions(ev: DataFrame, path_chunk_seconds: int | None = None) -> DataFrame:
     """``(visit_id, pos, watch_id)``: every session's listed ids in list order,
     without building (or parsing) the id text.
 
@@ -111,7 +111,7 @@ def bridge_from_sessions(ev: DataFrame, path_chunk_seconds: int = 3600) -> DataF
     listed = ev.filter(F.col("event_id") % UNLISTED_HIT_EVERY != 0) \
                .select("user_id", "sn", "event_id", "ts", "watch_id").join(vid, ["user_id", "sn"])
     listed = ordinal_in_key(listed, ["user_id", "sn"], [F.col("ts"), F.col("event_id")],
-                            time_chunk("ts", path_chunk_seconds), out="pos")
+                            time_chunk("ts", path_chunk_seconds) if path_chunk_seconds else None, out="pos")
     return listed.select("visit_id", "pos", "watch_id")
 
 
