@@ -1064,7 +1064,7 @@ query("release_payload_json")(lambda s, d: PL.release_payload_json(_facts(s, d).
        max(ts) as last_event_ts, min(event_id) as first_event_id, count(*) as events
 from ev group by user_id, sn"""))
 def q_stream_sessions(spark, sf_dir):
-    return spark.read.parquet(ST.run_session_stream(spark, sf_dir))
+    return ST.run_session_stream(spark, sf_dir).sessions()
 
 
 # ================================================================ all segment dimensions in one pass
