@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navlens.functions.scalars import nonempty, parse_bool, parse_datetime, parse_int
+from navlens.sources.csv_records import read_csv_columns
 
 # Column prefixes of the raw analytics exports.
 VISIT_PREFIX = "ym:s:"
@@ -37,23 +38,10 @@ def _text(c: str):
     return F.coalesce(F.col(c), F.lit("")).alias(c)
 
 
-def _read_csv(spark: SparkSession, path: str, names) -> DataFrame:
-    """Text columns ``names`` of a header CSV, found by header name (absent ones are NULL), and ``_order``.
-
-    Doubled quotes and line breaks inside quotes belong to the field. ``_order`` sorts rows as they stand in the files.
-    """
-    raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
-           .csv(path))
-    # one file is one split with multiLine, so the running id follows the file
-    order = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
-    return raw.select(*[F.col(f"`{n}`") if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names],
-                      order.alias("_order"))
-
-
 def read_hits_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV of hits -> ``hits``; rows without an id are dropped, bad
     dates become NULL, a duplicated id keeps its earliest (time, URL) row."""
-    raw = _read_csv(spark, path, HIT_CSV_COLUMNS)
+    raw = read_csv_columns(spark, path, list(HIT_CSV_COLUMNS))
     # absent text is stored as '' (not NULL), as the loader does; dates parse to NULL
     h = raw.select(*[F.col(k).alias(v) for k, v in HIT_CSV_COLUMNS.items()]) \
            .filter(nonempty("watch_id")) \
@@ -87,7 +75,7 @@ def read_visits_csv(spark: SparkSession, path: str) -> DataFrame:
     Rows are taken in the order of a ``rowNo`` column, or without one as they
     stand in the file.
     """
-    raw = _read_csv(spark, path, [*VISIT_CSV_COLUMNS, "rowNo"])
+    raw = read_csv_columns(spark, path, [*VISIT_CSV_COLUMNS, "rowNo"])
     v = raw.select(*[F.col(k).alias(n) for k, n in VISIT_CSV_COLUMNS.items()],
                    F.struct(parse_int("rowNo").alias("no"), F.col("_order")).alias("row_no"))
     # rows without a visit id are skipped; empty hit ids are not listed; text
