@@ -19,7 +19,7 @@ from navlens.functions.ids import normalize_id, parse_id_list, split_id_list
 VISIT_COLS = ["visit_id", "watch_ids", "date_time", "is_new_user", "start_url", "end_url",
               "page_views", "visit_duration", "region_city", "client_id",
               "last_search_engine_root", "device_category", "operating_system", "browser",
-              "screen_orientation_name"]
+              "screen_orientation_name", "mobile_phone", "mobile_phone_model", "screen_format"]
 HIT_COLS = ["watch_id", "client_id", "url", "datetime_hit", "title"]
 
 
@@ -162,17 +162,17 @@ def filter_diagnostics(exploded: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def ids_common(exploded: DataFrame, hits: DataFrame) -> DataFrame:
-    return exploded.select("watch_id").intersect(hits.select("watch_id"))
+    return with_canonical_ids(exploded.select("watch_id")).intersect(with_canonical_ids(hits.select("watch_id")))
 
 
 def ids_only_visits(exploded: DataFrame, hits: DataFrame) -> DataFrame:
-    return exploded.select("watch_id").subtract(hits.select("watch_id"))
+    return with_canonical_ids(exploded.select("watch_id")).subtract(with_canonical_ids(hits.select("watch_id")))
 
 
 def ids_only_hits(exploded: DataFrame, hits: DataFrame) -> DataFrame:
-    return hits.select("watch_id").subtract(exploded.select("watch_id"))
+    return with_canonical_ids(hits.select("watch_id")).subtract(with_canonical_ids(exploded.select("watch_id")))
 
 
 def ids_distinct(exploded: DataFrame) -> DataFrame:
-    return exploded.select("watch_id").distinct()
+    return with_canonical_ids(exploded.select("watch_id")).distinct()
 

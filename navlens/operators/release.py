@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from navlens.functions.scalars import (nonempty, nonempty_or_null, pct_of, py_round, trunc_int,
                                        url_leaf, zero_if_null)
-from navlens.operators.linkage import visit_hit_rows, watch_id_bridge
+from navlens.operators.linkage import visit_hit_rows, watch_id_bridge, with_canonical_ids
 
 # The two test releases (period bounds are inclusive).
 DEFAULT_PERIODS = [
@@ -139,8 +139,8 @@ class ReleaseFacts:
     @cached_property
     def release_hits(self) -> DataFrame:
         """Hits fetched for a release: ids listed by any of its visits, once each."""
-        ids = self.bridge.select("release_ord", "watch_id").distinct()
-        return ids.join(self.hits, "watch_id", "inner")
+        ids = with_canonical_ids(self.bridge.select("release_ord", "watch_id")).distinct()
+        return ids.join(with_canonical_ids(self.hits), "watch_id", "inner")
 
     @cached_property
     def path_rows(self) -> DataFrame:

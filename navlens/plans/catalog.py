@@ -211,6 +211,51 @@ def q_joined_by_version(spark, sf_dir):
     return L.joined_table(tagged, i.hits, bridge=i.bridge)
 
 
+# ================================================================ exported datasets
+
+from navlens.sources import datasets as DS  # noqa: E402
+from navlens.sources.sinks import write_export  # noqa: E402
+
+
+def export_registry(spark, sf_dir) -> DS.Registry:
+    """The visits and hits of the two default periods as two exports: prefixed names, the first with text ids in
+    brackets and without screen format, the second with visit ids as text and plain id lists. Hits of a period
+    are those in its time, so a visit at the end of one may list hits of the other export."""
+    from navlens.session import scratch_path
+    i = Inputs(spark, sf_dir)
+    registry = DS.Registry(spark)
+    for k, (version, start, end) in enumerate(R.DEFAULT_PERIODS):
+        paths = scratch_path(spark, f"export-{version}-visits"), scratch_path(spark, f"export-{version}-hits")
+        lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+        visits = i.visits.where(F.col("date_time").between(lo, hi))
+        visits = visits.drop("screen_format") if k == 0 else visits.withColumn("visit_id", F.col("visit_id").cast("string"))
+        write_export(visits, i.hits.where(F.col("datetime_hit").between(lo, hi)), *paths, brackets=k == 0)
+        registry.add(DS.Dataset(version, *paths))
+    return registry
+
+
+_DATASETS_SQL = f"""{O.periods_sql(R.DEFAULT_PERIODS)},
+dv as (select v.* exclude (screen_format), case when p.release_ord = 1 then null else v.screen_format end as screen_format,
+              p.release_ord, p.version from visits v join periods p on v.date_time between p.period_start and p.period_end),
+dh as (select h.*, p.release_ord, p.version from hits h
+       join periods p on h.datetime_hit between p.period_start and p.period_end),
+db as (select * exclude (ids, watch_ids), unnest(generate_series(1, len(ids))) as pos, unnest(ids) as watch_id
+       from (select *, {O.ids_sql(bracketed=True)} as ids from dv)),
+dj as (select db.* exclude (client_id), db.client_id as client_id_visit, dh.client_id as client_id_hit, dh.url,
+              dh.datetime_hit, dh.title from db join dh on db.watch_id = dh.watch_id and db.release_ord = dh.release_ord)"""
+
+query("datasets_joined", W(f"{_DATASETS_SQL}\nselect * from dj"))(lambda s, d: export_registry(s, d).joined())
+query("datasets_visits", W(f"""{_DATASETS_SQL}
+select * exclude (watch_ids), case when release_ord = 1 then '[' || watch_ids || ']' else watch_ids end as watch_ids from dv"""))(
+    lambda s, d: export_registry(s, d).visits())
+query("datasets_wandering", W(f"""{_DATASETS_SQL},
+dw as (select release_ord, visit_id, count(*) as hits from dj where visit_id is not null group by all)
+select release_ord, count(*) as sessions, count(*) filter (where hits >= 8) as wandering_sessions,
+       count(*) filter (where hits >= 8) / count(*) * 100 as wandering_rate from dw group by all"""))(
+    lambda s, d: CM.version_wandering(export_registry(s, d).joined()).select(
+        "release_ord", "sessions", "wandering_sessions", "wandering_rate"))
+
+
 # ================================================================ wandering / backtracks
 
 FUNNEL_PATTERNS = ["/purchase/", "/signup/"]
@@ -1102,7 +1147,7 @@ def q_decode_escapes(spark, sf_dir):
 
 
 _TEXT_COLS = ["start_url", "end_url", "region_city", "client_id", "last_search_engine_root", "operating_system",
-              "browser", "screen_orientation_name"]
+              "browser", "screen_orientation_name", "mobile_phone", "mobile_phone_model", "screen_format"]
 
 
 @query("csv_visits", W(f"""{BALL}

@@ -50,7 +50,10 @@ visits as (
          cast(case when visit_id % 10 = 9 then 3 else 1 + visit_id % 2 end as int) as device_category,
          concat('os_', cast(visit_id % 12 as {S})) as operating_system,
          concat('browser_', cast(visit_id % 13 as {S})) as browser,
-         case when visit_id % 3 = 0 then 'portrait' else 'landscape' end as screen_orientation_name
+         case when visit_id % 3 = 0 then 'portrait' else 'landscape' end as screen_orientation_name,
+         case when visit_id % 10 <> 9 and visit_id % 2 = 1 then concat('phone_', cast(visit_id % 3 as {S})) else '' end as mobile_phone,
+         case when visit_id % 10 <> 9 and visit_id % 2 = 1 then concat('model_', cast(visit_id % 7 as {S})) else '' end as mobile_phone_model,
+         case when visit_id % 17 = 0 then null when visit_id % 2 = 1 then '9:16' else '16:9' end as screen_format
   from v0 left join nation on n_nationkey = visit_id % 25)"""
 
 
@@ -116,7 +119,8 @@ def release_ctes(periods) -> str:
 
 VISIT_OTHER_COLS = ["date_time", "is_new_user", "start_url", "end_url", "page_views",
                     "visit_duration", "region_city", "client_id", "last_search_engine_root",
-                    "device_category", "operating_system", "browser", "screen_orientation_name"]
+                    "device_category", "operating_system", "browser", "screen_orientation_name",
+                    "mobile_phone", "mobile_phone_model", "screen_format"]
 
 
 def joined_ctes() -> str:

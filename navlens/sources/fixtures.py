@@ -79,6 +79,7 @@ def visits_from_sessions(ev: DataFrame, nation: DataFrame) -> DataFrame:
         F.expr("cast(timestampdiff(SECOND, min(ts), max(ts)) as int)").alias("visit_duration"),
         F.max("client_id").alias("client_id"))
     vid = F.col("visit_id")
+    mobile = (vid % 10 != 9) & (vid % 2 == 1)   # device category 2
     engine = F.lit(None).cast("string")
     for rem, name in reversed(list(SEARCH_ENGINES.items())):
         engine = F.when(vid % 4 == rem, F.lit(name)).otherwise(engine)
@@ -95,7 +96,12 @@ def visits_from_sessions(ev: DataFrame, nation: DataFrame) -> DataFrame:
                   F.when(vid % 10 == 9, 3).otherwise(1 + vid % 2).cast("int").alias("device_category"),
                   F.concat(F.lit("os_"), (vid % N_OS).cast("string")).alias("operating_system"),
                   F.concat(F.lit("browser_"), (vid % N_BROWSERS).cast("string")).alias("browser"),
-                  F.when(vid % 3 == 0, "portrait").otherwise("landscape").alias("screen_orientation_name")))
+                  F.when(vid % 3 == 0, "portrait").otherwise("landscape").alias("screen_orientation_name"),
+                  F.when(mobile, F.concat(F.lit("phone_"), (vid % 3).cast("string"))).otherwise("").alias("mobile_phone"),
+                  F.when(mobile, F.concat(F.lit("model_"), (vid % 7).cast("string"))).otherwise("")
+                   .alias("mobile_phone_model"),
+                  F.when(vid % 17 == 0, F.lit(None).cast("string")).when(vid % 2 == 1, "9:16").otherwise("16:9")
+                   .alias("screen_format")))
 
 
 def bridge_from_sessions(ev: DataFrame, path_chunk_seconds: int | None = None) -> DataFrame:

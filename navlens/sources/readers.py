@@ -25,7 +25,8 @@ VISIT_CSV_COLUMNS = {
     "visitDuration": "visit_duration", "regionCity": "region_city", "clientID": "client_id",
     "lastsignSearchEngineRoot": "last_search_engine_root", "deviceCategory": "device_category",
     "operatingSystem": "operating_system", "browser": "browser",
-    "screenOrientationName": "screen_orientation_name"}
+    "screenOrientationName": "screen_orientation_name", "mobilePhone": "mobile_phone",
+    "mobilePhoneModel": "mobile_phone_model", "screenFormat": "screen_format"}
 
 
 def strip_prefix(df: DataFrame, prefix: str) -> DataFrame:
@@ -88,7 +89,8 @@ def read_visits_csv(spark: SparkSession, path: str) -> DataFrame:
         parse_int("page_views").cast("int").alias("page_views"),
         parse_int("visit_duration").cast("int").alias("visit_duration"), _text("region_city"), _text("client_id"),
         _text("last_search_engine_root"), parse_int("device_category").cast("int").alias("device_category"),
-        _text("operating_system"), _text("browser"), _text("screen_orientation_name"), "row_no")
+        _text("operating_system"), _text("browser"), _text("screen_orientation_name"), _text("mobile_phone"),
+        _text("mobile_phone_model"), _text("screen_format"), "row_no")
     return regroup_visit_rows(v, "row_no")
 
 

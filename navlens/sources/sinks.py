@@ -70,3 +70,21 @@ def write_visits_csv(visits: DataFrame, path: str | None = None) -> str:
                       F.monotonically_increasing_id().cast("string").alias("rowNo"))
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
+
+
+def write_export(visits: DataFrame, hits: DataFrame, visits_path: str, hits_path: str, brackets: bool = True) -> None:
+    """Visits and hits as an export: prefixed export names, ids in brackets, times as text."""
+    from navlens.sources.datasets import HIT_EXPORT, VISIT_EXPORT
+    from navlens.sources.readers import HIT_PREFIX, VISIT_PREFIX
+
+    def renamed(df: DataFrame, names: dict[str, str], prefix: str) -> DataFrame:
+        back = {c: n for n, c in names.items() if c in df.columns}
+        return df.select(*[F.col(c).alias(f"{prefix}{n}") for c, n in back.items()])
+
+    def text(c: str):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+    if brackets:
+        visits = visits.withColumn("watch_ids", F.concat(F.lit("["), F.col("watch_ids"), F.lit("]")))
+    renamed(visits.withColumn("date_time", text("date_time")), VISIT_EXPORT, VISIT_PREFIX).write.parquet(visits_path)
+    renamed(hits.withColumn("datetime_hit", text("datetime_hit")), HIT_EXPORT, HIT_PREFIX).write.parquet(hits_path)

@@ -11,7 +11,8 @@ VISIT_SCHEMA = T.StructType([
     T.StructField("region_city", T.StringType()), T.StructField("client_id", T.StringType()),
     T.StructField("last_search_engine_root", T.StringType()), T.StructField("device_category", T.IntegerType()),
     T.StructField("operating_system", T.StringType()), T.StructField("browser", T.StringType()),
-    T.StructField("screen_orientation_name", T.StringType())])
+    T.StructField("screen_orientation_name", T.StringType()), T.StructField("mobile_phone", T.StringType()),
+    T.StructField("mobile_phone_model", T.StringType()), T.StructField("screen_format", T.StringType())])
 HIT_SCHEMA = T.StructType([
     T.StructField("watch_id", T.StringType()), T.StructField("client_id", T.StringType()),
     T.StructField("url", T.StringType()), T.StructField("datetime_hit", T.TimestampNTZType()),
@@ -22,9 +23,9 @@ T0 = dt.datetime(2024, 1, 5, 10, 0, 0)
 
 def visit(visit_id, watch_ids, date_time=T0, page_views=1, duration=10, start_url="/a", end_url="/a",
           is_new_user=True, client_id="c1", city="X", engine="google", device=1, os_="os_1",
-          browser="b1", orientation="landscape"):
+          browser="b1", orientation="landscape", phone="", model="", screen="16:9"):
     return (visit_id, watch_ids, date_time, is_new_user, start_url, end_url, page_views, duration, city,
-            client_id, engine, device, os_, browser, orientation)
+            client_id, engine, device, os_, browser, orientation, phone, model, screen)
 
 
 def make_visits(spark, rows):
