@@ -1101,7 +1101,114 @@ def q_reload_tables(spark, sf_dir):
 
 
 query("file_listing")(lambda s, d: RD.file_listing(s, d, "*.parquet"))
-query("release_payload_json")(lambda s, d: PL.release_payload_json(_facts(s, d).materialized()))
+
+
+# The document, list by list: (path, query whose oracle gives its rows, filter, column of the order, fields).
+_SEG = ["segment_value", "visits", "percentage", "avg_page_views", "avg_duration_sec", "single_page_visits"]
+_BUCKET = ["range_min", "range_max", "count", "percentage"]
+_DOC_LISTS = [
+    ("session_distribution.by_page_views", "dist_page_views", "bucket", _BUCKET),
+    ("session_distribution.by_duration_sec", "dist_duration", "bucket", _BUCKET),
+    ("device_breakdown.by_category", "seg_device", "rank", ["device_category", *_SEG]),
+    ("device_breakdown.by_os", "seg_os", "rank", _SEG), ("device_breakdown.by_browser", "seg_browser", "rank", _SEG),
+    ("device_breakdown.by_screen_orientation", "seg_orientation", "rank", _SEG),
+    ("traffic_sources.by_search_engine", "seg_search_engine", "rank", _SEG),
+    ("geographic_distribution.top_cities", "seg_city", "rank", _SEG),
+    ("page_metrics", "page_metrics", "rank", ["url", "title", "visits_as_entry", "visits_as_exit", "total_hits",
+                                              "unique_visitors", "visits_with_single_page", "subsequent_page_diversity"]),
+    ("navigation_patterns.common_transitions", "common_transitions", "rank", ["from_url", "to_url", "transition_count"]),
+    ("navigation_patterns.loop_patterns", "loop_patterns", "rank", ["sequence", "occurrences"]),
+    ("funnel_metrics.application_funnel", "funnel_entry_exit", "step", ["step", "url", "visits_entered", "visits_completed"])]
+_DOC_VALUES = [
+    ("release_info", "release_info", {c: c for c in ["version", "total_visits", "total_hits", "unique_clients"]}
+     | {"data_period.start": "period_start", "data_period.end": "period_end"}),
+    ("aggregate_metrics.visits", "visit_metrics", {c: c for c in [
+        "total_count", "new_users", "returning_users", "avg_page_views", "median_page_views", "avg_duration_sec",
+        "median_duration_sec", "total_duration_sec"]}),
+    ("aggregate_metrics.page_views", "pageview_metrics", {c: c for c in ["total_count", "unique_urls"]}),
+    ("navigation_patterns.reverse_navigation", "reverse_navigation", {c: c for c in [
+        "visits_with_reverse_nav", "percentage", "total_reverse_transitions"]}),
+    ("session_complexity_metrics.high_interaction_sessions", "high_interaction",
+     {"sessions_with_10plus_pages": "sessions_high_interaction"}
+     | {c: c for c in ["percentage", "avg_pages", "avg_duration_sec", "avg_unique_urls"]}),
+    ("session_complexity_metrics.url_revisit_patterns", "url_revisits", {c: c for c in [
+        "sessions_with_url_revisits", "percentage", "avg_revisits_per_session", "avg_unique_urls_revisited"]})]
+_DOC_TEXTS = {"version", "segment_value", "url", "title", "from_url", "to_url"}
+# The lists of a release without visits, literally.
+_EMPTY_LISTS = {
+    "session_distribution.by_page_views": {"range_min": 1, "range_max": 1}, "session_distribution.by_duration_sec": {"range_max": 30},
+    "device_breakdown.by_category": {"device_category": 1, "segment_value": "Desktop"},
+    **{p: {"segment_value": "Unknown"} for p in (
+        "device_breakdown.by_os", "device_breakdown.by_browser", "device_breakdown.by_screen_orientation",
+        "traffic_sources.by_search_engine", "geographic_distribution.top_cities")},
+    "page_metrics": {"url": "/", "title": "Home"}, "navigation_patterns.common_transitions": {"from_url": "/", "to_url": "/"},
+    "navigation_patterns.loop_patterns": {"sequence": "/"}, "funnel_metrics.application_funnel": {"step": 1, "url": "/"}}
+
+
+def _document_sql(periods, placeholders: bool) -> str:
+    """(release_ord, path, number, text) of the releases, from the oracles of the single reports.
+
+    Without placeholders a list without rows is one row ``[]``; with them a release without visits has those of
+    ``_EMPTY_LISTS`` (the data has rows for all lists of a release with visits).
+    """
+    old, new = O.periods_sql(R.DEFAULT_PERIODS), O.periods_sql(periods)
+    names = sorted({n for _, n, *_ in _DOC_LISTS} | {n for _, n, _ in _DOC_VALUES})
+    ctes = [f"{n}_ as ({REGISTRY[n][1].replace(old, new)})" for n in names]
+
+    def value(path: str, column: str, is_text: bool) -> str:
+        number = "cast(null as double)" if is_text else f"cast({column} as double)"
+        return f"{path} as path, {number} as number, {f'cast({column} as varchar)' if is_text else 'cast(null as varchar)'} as text"
+
+    parts = []
+    for path, n, fields in _DOC_VALUES:
+        for field, column in fields.items():
+            time = "data_period" in field
+            shown = f"strftime({column}, '%Y-%m-%d %H:%M:%S')" if time else column
+            parts.append(f"select release_ord, {value(repr(f'{path}.{field}'), shown, time or field in _DOC_TEXTS)} from {n}_")
+    for path, n, order, fields in _DOC_LISTS:
+        some = "release_ord in (select release_ord from release_info_ where total_visits > 0)" if placeholders else "true"
+        ctes.append(f"{n}_l as (select *, '{path}[' || (row_number() over (partition by release_ord order by {order}) - 1) || ']'"
+                    f" as place from {n}_ where {some})")
+        for field in fields:
+            if field == "sequence":
+                parts += [f"select release_ord, {value(f'place || {chr(39)}.sequence[{k}]{chr(39)}', f'string_split(sequence, {chr(39)} -> {chr(39)})[{k + 1}]', True)} from {n}_l"
+                          for k in range(3)]
+            else:
+                parts.append(f"select release_ord, {value(f'place || {chr(39)}.{field}{chr(39)}', field, field in _DOC_TEXTS)} from {n}_l")
+        none = f"from release_info_ where release_ord not in (select release_ord from {n}_l)"
+        if not placeholders:
+            parts.append(f"select release_ord, {value(repr(path), repr('[]'), True)} {none}")
+            continue
+        for field in fields:
+            given = _EMPTY_LISTS[path].get(field, 0)
+            place = f"{path}[0].{field}" + ("[0]" if field == "sequence" else "")
+            parts.append(f"select release_ord, {value(repr(place), repr(given), isinstance(given, str))} {none}")
+    return f"with {', '.join(ctes)}\n" + "\nunion all ".join(parts)
+
+
+def q_release_payload_json(spark, sf_dir):
+    """The JSON text of each release, read back by the document's schema, leaf by leaf."""
+    facts = _facts(spark, sf_dir).materialized()
+    documents = PL.release_payload_json(facts)
+    schema = PL.release_payload(facts).schema["release"].dataType
+    return PL.flatten_document(documents, "payload", schema, ["release_ord"])
+
+
+PAYLOAD_PERIODS = [("v0-empty", "2023-06-01 00:00:00", "2023-06-30 23:59:59"), R.DEFAULT_PERIODS[1]]
+
+
+def q_payload_document(spark, sf_dir):
+    """The payload of two releases, the first of them without visits, as JSON, read back leaf by leaf."""
+    facts = Inputs(spark, sf_dir, PAYLOAD_PERIODS).facts.materialized()
+    document = PL.payload_document(facts, "site", "2024-02-01 12:00:00")
+    return PL.flatten_document(PL.as_json(document, "payload"), "payload", document.schema["payload"].dataType)
+
+
+query("release_payload_json", _document_sql(R.DEFAULT_PERIODS, False))(q_release_payload_json)
+query("payload_document", f"""select 'releases[' || (release_ord - 1) || '].' || path as path, number, text
+from ({_document_sql(PAYLOAD_PERIODS, True)})
+union all select * from (values ('metadata.project_name', cast(null as double), 'site'),
+  ('metadata.generated_at', null, '2024-02-01 12:00:00'), ('metadata.data_source', null, 'postgres_analytics'))""")(q_payload_document)
 
 
 @query("stream_sessions", W("""select user_id, min(ts) as session_start,
