@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navlens.functions.scalars import py_round
+from navlens.operators.quantiles import quantile_row
 
 DEFAULT_WINDOW_DAYS = 7
 TOP_START_URLS = 20
@@ -89,12 +90,15 @@ def duration_stats(visits: DataFrame) -> DataFrame:
     Empty input gives count 0 and NULL statistics (one global aggregate).
     """
     d = F.col("visit_duration")
-    return visits.filter(d.isNotNull()).agg(
+    known = visits.filter(d.isNotNull())
+    return known.agg(
         F.count(F.lit(1)).alias("count"),
         py_round(F.avg(d), 2).alias("avg_duration_sec"),
-        py_round(F.median(d), 2).alias("median_duration_sec"),
         F.min(d).alias("min_duration_sec"),
-        F.max(d).alias("max_duration_sec"))
+        F.max(d).alias("max_duration_sec")).select(
+            "count", "avg_duration_sec",
+            py_round(quantile_row(known, {"visit_duration": [0.5]})["visit_duration_0"], 2).alias("median_duration_sec"),
+            "min_duration_sec", "max_duration_sec")
 
 
 def ux_metrics(visits: DataFrame, time_start: str | None, time_end: str | None,

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from navlens.functions.scalars import (nonempty, nonempty_or_null, pct_of, py_round, trunc_int,
                                        url_leaf, zero_if_null)
 from navlens.operators.linkage import visit_hit_rows, watch_id_bridge, with_canonical_ids
+from navlens.operators.quantiles import exact_quantiles
 
 # The two test releases (period bounds are inclusive).
 DEFAULT_PERIODS = [
@@ -207,14 +208,16 @@ def visit_metrics(facts: ReleaseFacts) -> DataFrame:
     truncated to integers (median = mean of the two middle values).
     """
     pv, dur = zero_if_null("page_views"), zero_if_null("visit_duration")
-    agg = facts.tagged.groupBy("release_ord").agg(
+    rows = facts.tagged.select("release_ord", "is_new_user", pv.alias("pv"), dur.alias("dur"))
+    medians = exact_quantiles(rows, ["release_ord"], {"pv": [0.5], "dur": [0.5]})
+    agg = rows.groupBy("release_ord").agg(
         F.count(F.lit(1)).alias("total_count"),
         F.count_if(F.col("is_new_user")).alias("new_users"),
-        py_round(F.avg(pv), 2).alias("avg_page_views"),
-        trunc_int(F.median(pv)).alias("median_page_views"),
-        trunc_int(F.avg(dur)).alias("avg_duration_sec"),
-        trunc_int(F.median(dur)).alias("median_duration_sec"),
-        F.sum(dur).cast("bigint").alias("total_duration_sec"))
+        py_round(F.avg("pv"), 2).alias("avg_page_views"),
+        trunc_int(F.avg("dur")).alias("avg_duration_sec"),
+        F.sum("dur").cast("bigint").alias("total_duration_sec")).join(medians, "release_ord").select(
+            "*", trunc_int(F.col("q.pv_0")).alias("median_page_views"),
+            trunc_int(F.col("q.dur_0")).alias("median_duration_sec"))
     z = F.lit(0).cast("bigint")
     out = _per_release(facts, agg, {
         "total_count": z, "new_users": z, "avg_page_views": F.lit(0.0),

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from navlens.operators.quantiles import quantile_row
 from navlens.operators.sequence import with_neighbors
 
 WANDERING_THRESHOLD = 8
@@ -91,20 +92,19 @@ def wandering_summary(joined: DataFrame, threshold: int = WANDERING_THRESHOLD) -
                    F.lit(False)).alias("repeat_visits_flag"))
 
 
-def _percentiles(col: str, qs: Sequence[float], approx: bool = False) -> list[Column]:
-    """Exact linear-interpolated percentiles (a value -> count map per group,
-    bounded by the distinct values), or with ``approx`` the mergeable sketch of
-    ``percentile_approx`` (bounded memory whatever the data, nearest rank)."""
+def _quantiles(rows: DataFrame, col: str, qs: Sequence[float], approx: bool = False) -> DataFrame:
+    """One row of linear-interpolated quantiles, exact by rank bracketing, or with ``approx`` the mergeable sketch of
+    ``percentile_approx`` (nearest rank)."""
     if approx:
-        return [F.percentile_approx(F.col(col), q).cast("double").alias(_qname(q)) for q in qs]
-    return [F.percentile(F.col(col), F.lit(q)).alias(_qname(q)) for q in qs]
+        return rows.agg(*[F.percentile_approx(F.col(col), q).cast("double").alias(_qname(q)) for q in qs])
+    one = rows.sparkSession.range(1).select(quantile_row(rows, {col: qs}).alias("q"))
+    return one.select(*[F.col(f"q.{col}_{i}").alias(_qname(q)) for i, q in enumerate(qs)])
 
 
 def wandering_quantiles(joined: DataFrame, threshold: int = WANDERING_THRESHOLD,
                         approx: bool = False) -> DataFrame:
     """Quantiles of hits over wandering sessions (one row); exact by default."""
-    return wandering_sessions(joined, threshold, sort=False).agg(
-        *_percentiles("hits", WANDERING_QUANTILES, approx))
+    return _quantiles(wandering_sessions(joined, threshold, sort=False), "hits", WANDERING_QUANTILES, approx)
 
 
 def _bins(value: Column, bins: Sequence[tuple]) -> Column:
@@ -177,10 +177,10 @@ def backtrack_summary(joined: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_sessions"),
         F.count_if(F.col("backtracks") > 0).alias("sessions_with_backtracks"),
         F.avg("backtracks").alias("mean_backtracks"),
-        F.median("backtracks").alias("median_backtracks"),
         F.max("backtracks").alias("max_backtracks"),
-        F.percentile(F.col("backtracks"), F.lit(0.9)).alias("p90"),
         F.count_if(F.col("backtracks") > BACKTRACK_PROBLEM_MIN).alias("problematic_sessions"))
+    agg = agg.withColumn("_q", quantile_row(b, {"backtracks": [0.5, 0.9]})).select(
+        "*", F.col("_q.backtracks_0").alias("median_backtracks"), F.col("_q.backtracks_1").alias("p90"))
     mean = F.col("mean_backtracks")
     return agg.select(
         "total_sessions", "sessions_with_backtracks",
@@ -195,7 +195,7 @@ def backtrack_summary(joined: DataFrame) -> DataFrame:
 
 
 def backtrack_quantiles(joined: DataFrame, approx: bool = False) -> DataFrame:
-    return backtracks(joined).agg(*_percentiles("backtracks", BACKTRACK_QUANTILES, approx))
+    return _quantiles(backtracks(joined), "backtracks", BACKTRACK_QUANTILES, approx)
 
 
 def backtrack_segments(joined: DataFrame) -> DataFrame:
