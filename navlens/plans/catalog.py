@@ -1077,6 +1077,7 @@ query("snapshot_diff_counts", f"with {SNAP_SQL}\nselect status, count(*) as file
 # ================================================================ sources and sinks
 
 from navlens.plans import payload as PL  # noqa: E402
+from navlens.sources import reload as RL  # noqa: E402
 from navlens.sources import sinks as SK  # noqa: E402
 from navlens.streaming import sessionize as ST  # noqa: E402
 
@@ -1100,6 +1101,31 @@ def q_reload_tables(spark, sf_dir):
     return spark.table(name)
 
 
+def reloaded(spark, sf_dir) -> RL.TableSet:
+    """Visits and hits read from their CSV exports and made current together."""
+    from navlens.session import scratch_path
+    i = Inputs(spark, sf_dir)
+    tables = RL.TableSet(spark, scratch_path(spark, "reload"))
+    tables.reload({"visits": RD.read_visits_csv(spark, SK.write_visits_csv(i.visits)),
+                   "hits": RD.read_hits_csv(spark, SK.write_hits_csv(i.hits))},
+                  {"visits": [RL.unique_key("visit_id")], "hits": [RL.unique_key("watch_id")]})
+    return tables
+
+
+@query("reload_hits", W("select watch_id, coalesce(client_id, '') as client_id, coalesce(url, '') as url, "
+                        "datetime_hit, coalesce(title, '') as title from hits"))
+def q_reload_hits(spark, sf_dir):
+    return reloaded(spark, sf_dir).read("hits")
+
+
+@query("reload_visits", W(f"""{BALL}
+select visit_id, watch_ids, date_time, is_new_user, page_views, visit_duration, device_category,
+       {", ".join(f"coalesce({c}, '') as {c}" for c in O.VISIT_TEXT_COLS)}
+from visits v"""))
+def q_reload_visits(spark, sf_dir):
+    return reloaded(spark, sf_dir).read("visits").select(*L.VISIT_COLS)
+
+
 query("file_listing")(lambda s, d: RD.file_listing(s, d, "*.parquet"))
 
 
@@ -1253,13 +1279,9 @@ def q_decode_escapes(spark, sf_dir):
     return escaped.select("doc_id", TXT.decode_escapes(F.col("escaped")).alias("text"))
 
 
-_TEXT_COLS = ["start_url", "end_url", "region_city", "client_id", "last_search_engine_root", "operating_system",
-              "browser", "screen_orientation_name", "mobile_phone", "mobile_phone_model", "screen_format"]
-
-
 @query("csv_visits", W(f"""{BALL}
 select visit_id, watch_ids, date_time, is_new_user, page_views, visit_duration, device_category,
-       {", ".join(f"coalesce({c}, '') as {c}" for c in _TEXT_COLS)}
+       {", ".join(f"coalesce({c}, '') as {c}" for c in O.VISIT_TEXT_COLS)}
 from visits v"""))
 def q_csv_visits(spark, sf_dir):
     path = SK.write_visits_csv(Inputs(spark, sf_dir).visits)

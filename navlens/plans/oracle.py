@@ -117,6 +117,8 @@ def release_ctes(periods) -> str:
     return periods_sql(periods) + ",\n" + RELEASE_CTES.replace("{IDS}", ids_sql())
 
 
+VISIT_TEXT_COLS = ["start_url", "end_url", "region_city", "client_id", "last_search_engine_root", "operating_system",
+                   "browser", "screen_orientation_name", "mobile_phone", "mobile_phone_model", "screen_format"]
 VISIT_OTHER_COLS = ["date_time", "is_new_user", "start_url", "end_url", "page_views",
                     "visit_duration", "region_city", "client_id", "last_search_engine_root",
                     "device_category", "operating_system", "browser", "screen_orientation_name",
