@@ -1077,6 +1077,7 @@ query("snapshot_diff_counts", f"with {SNAP_SQL}\nselect status, count(*) as file
 # ================================================================ sources and sinks
 
 from navlens.plans import payload as PL  # noqa: E402
+from navlens.sources import incremental as IN  # noqa: E402
 from navlens.sources import reload as RL  # noqa: E402
 from navlens.sources import sinks as SK  # noqa: E402
 from navlens.streaming import sessionize as ST  # noqa: E402
@@ -1101,6 +1102,27 @@ def q_reload_tables(spark, sf_dir):
     return spark.table(name)
 
 
+@query("daily_page_views", W("""select cast(datetime_hit as date) as day, url, count(*) as hits,
+       count(distinct client_id) as clients from hits group by all"""))
+def q_daily_page_views(spark, sf_dir):
+    """Page views by day, kept up from a folder of daily files by its listing."""
+    from navlens.session import scratch_path
+    folder = scratch_path(spark, "hits-by-day")
+    hits = Inputs(spark, sf_dir).hits.withColumn("day", F.to_date("datetime_hit"))
+    hits.repartition("day").write.partitionBy("day").parquet(folder)
+
+    def day_of(path):
+        return F.regexp_extract(path, r"day=([0-9-]+)", 1).try_cast("date")
+
+    def build(paths):
+        rows = spark.read.parquet(*paths).withColumn("day", day_of(F.col("_metadata.file_path")))
+        return rows.groupBy("day", "url").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("client_id").alias("clients"))
+
+    table = IN.DayTable(spark, scratch_path(spark, "page-views"), build, day_of)
+    table.refresh(RD.file_listing(spark, folder, "*.parquet"))
+    return table.read()
+
+
 def reloaded(spark, sf_dir) -> RL.TableSet:
     """Visits and hits read from their CSV exports and made current together."""
     from navlens.session import scratch_path

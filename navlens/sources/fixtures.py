@@ -134,11 +134,18 @@ _MATERIALISED: dict[tuple, tuple[DataFrame, DataFrame, DataFrame]] = {}
 
 
 def _signature(spark, sf_dir: str) -> tuple:
-    """Identity of the inputs: application, folder, and size / mtime of both files."""
-    import os
-    files = [f"{sf_dir}/events.parquet", f"{sf_dir}/nation.parquet"]
-    stats = tuple((os.path.getsize(f), int(os.path.getmtime(f))) if os.path.exists(f) else None for f in files)
-    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), stats)
+    """Identity of the inputs: application, folder, and the listing (path, size, time) of both tables' files.
+
+    Listed through the file system that Spark reads by, so inputs on any store are told apart.
+    """
+    listed = []
+    for name in ("events", "nation"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            listed.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(sorted(listed))
 
 
 def materialized_clickstream(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
