@@ -185,7 +185,7 @@ FROM s JOIN (SELECT r.a, min(o.doc_id) AS component_id FROM reach r JOIN s o ON
 
 
 def _op6() -> str:
-    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses.SENTENCES.items())
+    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses.KNOWN.items())
     chain = "SELECT rid, sentence_ids AS rest, []::VARCHAR[] AS found FROM ids"
     for ids, licence in licenses.RULES:  # one nested SELECT for each rule
         seq = "".join(f"<{i}>" for i in ids)
@@ -195,11 +195,15 @@ def _op6() -> str:
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
 d AS (SELECT row_number() OVER () AS rid, doc_id,
-             regexp_replace({_LOWER.format("coalesce(text, '')")}, '[.!?]+([\x20\x09-\x0D]+|$)', chr(10), 'g') AS t
+             regexp_replace({_LOWER.format("coalesce(text, '')")}, '[.!?]+([\x20\x09-\x0D]+|$)', chr(10) || chr(10), 'g') AS t
       FROM documents),
-s AS (SELECT rid, doc_id, list_filter(list_transform(regexp_split_to_array(
-                 regexp_replace(t, '[^a-z0-9\n]+', ' ', 'g'), ' *\n[ \n]*'), lambda x: trim(x)),
-                 lambda x: x <> '') AS all_ FROM d),
+b AS (SELECT rid, doc_id, list_filter(list_transform(regexp_split_to_array(
+                 regexp_replace(t, '[^a-z0-9\n]+', ' ', 'g'), '\n *\n[ \n]*'), lambda x: trim(x, ' ' || chr(10))),
+                 lambda x: x <> '') AS blocks FROM d),
+ks AS (SELECT list(sentence) AS ks FROM known),
+s AS (SELECT rid, doc_id, flatten(list_transform(blocks, lambda x: CASE
+                 WHEN NOT contains(x, chr(10)) OR list_contains(ks, regexp_replace(x, ' *\n *', ' ', 'g'))
+                 THEN [regexp_replace(x, ' *\n *', ' ', 'g')] ELSE regexp_split_to_array(x, ' *\n *') END)) AS all_ FROM b, ks),
 e AS (SELECT rid, i, all_[i] AS sentence FROM (SELECT rid, all_, unnest(range(1, len(all_) + 1)) AS i FROM s)),
 m AS (SELECT rid, count(id) AS n_known, count(*) FILTER (id IS NULL AND regexp_matches(e.sentence,
              '(^| )(licen[sc]ed?|copyright|warranty|redistribut[a-z]*|spdx)( |$)')) AS n_unknown,
