@@ -4,10 +4,12 @@ A token that looks disguised (letters mixed with digits or symbols, letters
 drawn out, letters spaced or dotted apart) is read as a noisy copy of a clean
 word. Each of its characters allows some intended letters at a channel cost
 ("1": i or l; a repeated character: nothing; a blank between single letters:
-nothing or a word's end; "*": any letter). The characters form a lattice, and
-Viterbi finds the path that is most probable under the channel costs and a
-character 4-gram model. Other tokens stand for themselves. The restored words
-are then scored.
+nothing or a word's end, and so for separators; "*": any letter). The characters
+form a lattice, and Viterbi finds the path that is most probable under the
+channel costs and a character 4-gram model, over all states (the last three
+letters) and tokens of any length: on a table of states while they are few, on
+arrays of all 27^3 where a token has several wild characters. Other tokens stand
+for themselves. The restored words are then scored.
 
 The character model counts the 4-grams of all documents' plain words over
 a-z and the word boundary, accents dropped: a table of 27^4 cells, whatever the
@@ -19,9 +21,11 @@ numbers at most.
 Cases: null and empty texts have no words and get the base score; several
 labels of a document count as the largest, null labels as none; repeated rows
 are scored alike, one result each; where nothing can be learnt (no labels of
-both kinds, or no word that tells them apart) the score is the smoothed share of
-toxic labels and nothing is predicted toxic; extra columns pass through (``score``,
-``predicted`` and the counts replace columns of the same name).
+both kinds, or no word that tells them apart) every score is the smoothed share of
+toxic labels, but at most ``UNLEARNT``, which predicts nothing toxic; ties: features
+of equal gain are taken in order of their text, readings of equal cost in that of
+theirs; extra columns pass through (``score``, ``predicted`` and the counts replace
+columns of the same name).
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from navlens.llm.common import from_state, send_state
 
 PREDICT_FROM = 0.3
+#: Highest score where no feature could be learnt: below ``PREDICT_FROM``.
+UNLEARNT = 0.2
 SAMPLE_ROWS = 20_000
 MAX_FEATURES = 2_000
 MIN_FEATURE_ROWS = 4
@@ -48,8 +54,10 @@ MIN_ODDS_RATIO = 3.0
 L1 = 0.0005
 ORDER = 4
 LETTERS = 27  # 0: word boundary, 1-26: a-z
-#: Paths kept at a lattice position; only several "*" in a token can make more.
-WIDEST = 2_000
+#: Wild characters of a token from which on it is decoded on arrays of all states.
+MANY_WILD = 3
+#: Positions between the score arrays that such a decoding keeps; the steps between two are done twice.
+CHECKPOINT = 128
 
 # What a character may stand for in a disguised word.
 LEET: dict[str, str] = {
@@ -65,13 +73,13 @@ STAND_IN, DRAWN_OUT, DOUBLED, DROPPED, WORD_END, WILD = -0.7, -0.3, -6.0, -0.1,
 _FOLD = {c: "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))
          for c in range(0xC0, 0x250)} | {ord("ß"): "ss", ord("ø"): "o", ord("æ"): "ae", ord("œ"): "oe", ord("ł"): "l"}
 _PLAIN = regex.compile(r"\p{L}+")
-_SPACED = regex.compile(r"(?<!\S)(?:[\p{L}0-9@$!|+*][ ._\-*]){3,}[\p{L}0-9@$!|+*](?![\p{L}\p{N}])")
+_SPACED = regex.compile(r"(?<!\S)[\p{L}0-9@$!|+*](?:[ ._\-]++[\p{L}0-9@$!|+*](?![\p{L}\p{N}])){2,}+")
 _EDGES = regex.compile(r"^[^\p{L}0-9@$!|+(<€£*]+|[^\p{L}0-9]+$")
 #: Inside a token: a letter beside a digit or symbol that stands for one, or a letter three times on end.
 _NOISY = regex.compile(r"\p{L}[0-9@$!|+(<€£*#._~\-]+\p{L}|[0-9@$!|+(<€£]+\p{L}|\p{L}[0-9]|(\p{L})\1\1")
 _MARKS = re.compile(r"[0-9@$!|+(<€£*#._~\-]+")
+_LISTED = re.compile(r"[,;:/\\]+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
-LONGEST_TOKEN = 80
 #: Lengths of the word starts that are features beside whole words.
 STARTS = (4, 6)
 
@@ -94,10 +102,12 @@ def disguised(lower: str) -> list[str]:
             first -= 1
         while done < end and not lower[done].isspace():
             done += 1
-        if 3 <= done - first <= LONGEST_TOKEN:
+        if done - first >= 3:
             token = _EDGES.sub("", lower[first:done])
             if len(token) >= 3 and _NOISY.search(token):
                 out.add(token)
+                if _LISTED.search(token):  # the parts of a list without blanks are read on their own too
+                    out.update(p for p in _LISTED.split(token) if len(p) >= 3 and _NOISY.search(p))
     return sorted(out)
 
 
@@ -154,7 +164,7 @@ class Channel:
                 some = [(ch, 0.0)]
             elif ch in LEET:
                 some = [(x, STAND_IN) for x in LEET[ch]]
-            elif ch == " ":
+            elif ch in SEPARATORS + " ":
                 some = [("", DROPPED), (" ", WORD_END)]
             else:
                 some = [("", DROPPED)]
@@ -169,9 +179,12 @@ class Channel:
 
     def restore(self, token: str) -> str:
         """The most probable clean reading (words parted by blanks)."""
+        lattice = self._choices(token)
+        if sum(len(some) > 26 for some in lattice) >= MANY_WILD:
+            return self._restore_wild(lattice)
         logp, square = self.logp, LETTERS ** 3
         paths: dict[int, tuple[float, str]] = {0: (0.0, "")}  # last three letters -> best score and reading
-        for some in self._choices(token):
+        for some in lattice:
             new: dict[int, tuple[float, str]] = {}
             for state, (score, reading) in paths.items():
                 for emitted, cost in some:
@@ -185,12 +198,68 @@ class Channel:
                         total = score + cost + logp[state * LETTERS + code]
                     if to not in new or total > new[to][0]:
                         new[to] = (total, text)
-            if len(new) > WIDEST:
-                new = dict(sorted(new.items(), key=lambda x: (-x[1][0], x[0]))[:WIDEST])
             paths = new
         best = max(paths.items(), key=lambda x: (x[1][0] + logp[x[0] * LETTERS], x[1][1]))
         return best[1][1]
 
+    def _step(self, score: np.ndarray, some: list[tuple[str, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all states (a, b, c) behind a lattice position, and how each was reached.
+
+        Reached: the letter that left the state (0-26), 27 for an emission of nothing, 28 + state for a word's end,
+        which leads to state 0 from any state.
+        """
+        n, square = LETTERS, LETTERS ** 3
+        new, how = np.full(square, -np.inf), np.full(square, 27, dtype=np.int16)
+        ends = [cost for emitted, cost in some if emitted == " "]
+        for emitted, cost in some:
+            if emitted == "":
+                better = score + cost > new
+                new[better], how[better] = (score + cost)[better], 27
+        letters = [(ord(e) - 96, cost) for e, cost in some if e not in ("", " ")]
+        if letters:
+            codes = [c for c, _ in letters]
+            moved = score.reshape(n, n, n, 1) + self.cube[:, :, :, codes] + np.array([cost for _, cost in letters])
+            from_ = moved.argmax(0)  # the letter that goes out of the state
+            top = np.take_along_axis(moved, from_[None], 0)[0]
+            grid, ways = new.reshape(n, n, n), how.reshape(n, n, n)
+            for k, c in enumerate(codes):
+                better = top[:, :, k] > grid[:, :, c]
+                grid[:, :, c][better], ways[:, :, c][better] = top[:, :, k][better], from_[:, :, k][better]
+        if ends:
+            closed = score + self.cube[:, :, :, 0].reshape(-1) + max(ends)
+            at = int(closed.argmax())
+            if closed[at] > new[0]:
+                new[0], how[0] = closed[at], 28 + at
+        return new, how
+
+    def _restore_wild(self, lattice: list[list[tuple[str, float]]]) -> str:
+        """The reading on arrays of all states: scores are kept at checkpoints, a block's ways are made again going back."""
+        if not hasattr(self, "cube"):
+            self.cube = np.array(self.logp).reshape((LETTERS,) * 4)
+        score = np.full(LETTERS ** 3, -np.inf)
+        score[0] = 0.0
+        kept = [score]
+        for i, some in enumerate(lattice):
+            score, _ = self._step(score, some)
+            if (i + 1) % CHECKPOINT == 0:
+                kept.append(score)
+        state = int((score + self.cube[:, :, :, 0].reshape(-1)).argmax())
+        out: list[str] = []
+        for first in range((len(lattice) - 1) // CHECKPOINT * CHECKPOINT, -1, -CHECKPOINT):
+            score, ways = kept[first // CHECKPOINT], []
+            for some in lattice[first:first + CHECKPOINT]:
+                score, how = self._step(score, some)
+                ways.append(how)
+            for how in reversed(ways):
+                way = int(how[state])
+                if way >= 28:
+                    out.append(" ")
+                    state = way - 28
+                elif way < 27:
+                    out.append(chr(96 + state % LETTERS))
+                    state = (way * LETTERS ** 2) + state // LETTERS
+        return "".join(reversed(out))
+
 
 class Restorer:
     """Texts -> sets of restored words; remembers the readings of up to ``memory`` tokens."""
@@ -268,7 +337,7 @@ def train_scorer(docs: DataFrame, labels: DataFrame, trains: Column, channel: Ch
     marked = (labels.where(trains & F.col("toxic").isNotNull()).groupBy("doc_id")
               .agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    rows = docs.select("doc_id", "text").join(marked, "doc_id")  # Spark broadcasts the sample if it is small enough
+    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most sample_rows ids: the texts stay put
 
     def restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(from_state(Channel, shared.value))
@@ -292,7 +361,8 @@ def train_scorer(docs: DataFrame, labels: DataFrame, trains: Column, channel: Ch
             counts.where(F.abs(log_odds) >= math.log(MIN_ODDS_RATIO)).orderBy(gain.desc(), "word")
             .limit(max_features).collect())}
         if not chosen or not 0 < toxic < total:
-            return {}, math.log(share / (1 - share))
+            low = min(share, UNLEARNT)
+            return {}, math.log(low / (1 - low))
         names = F.array(*map(F.lit, chosen))
         table = sample.select(F.col("toxic"), F.array_intersect("words", names).alias("words")).collect()
     finally:
@@ -347,4 +417,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains: Column,
 
     return (docs.withColumn("__s", score(F.col("text")))
             .withColumns({"n_restored": F.col("__s.n_restored"), "score": F.col("__s.score")})
-            .withColumn("predicted", ((F.col("score") >= predict_from) & F.lit(bool(weights))).cast("int")).drop("__s"))
+            .withColumn("predicted", (F.col("score") >= predict_from).cast("int")).drop("__s"))
