@@ -18,20 +18,25 @@ and no list of pairs is made: only what connects components leaves a task.
    bitmap) of the parts, sorted by size. A list is read by blocks, past the sizes
    that can link blocks are skipped, and so is every pair already connected.
    Pairs whose sizes, positions and bitmaps allow a link connect into candidate
-   groups. A list that would be longer than ``LIST_ROWS`` by its bucket's count
-   is cut in cells, and each pair of cells is a list.
+   groups. Lists longer than ``LIST_ROWS`` are cut in cells, and each pair of
+   cells is a list; which lists are that long is told by the real rows of one
+   set in ``SAMPLE`` (which cells there are changes the work's spread, no result).
 4. Candidate groups, nearly all of them a few sets, are verified with the whole
    sets. A set's overlaps with the group are derived from those of the most
    similar set already answered: only the index lists of the shingles in which
    the two differ are read. A group of more than ``GROUP_SHINGLES`` shingles is
-   cut in cells; each pair of cells is verified by a task of its own.
+   cut in cells; each pair of cells is verified by a task of its own. Where a
+   document's number of links is asked for, all sets of a group are answered,
+   not only those that still connect something.
 
 Shingles are compared by 64-bit hashes.
 
 Cases: null and empty texts have an empty set and link with nothing (not with
 each other either); a text shorter than a shingle has one shingle, its word
-sequence; repeated rows are equal sets; an empty table gives an empty result;
-extra columns are not read by ``link_documents``.
+sequence; repeated rows are equal sets; a row without a doc_id links like others
+and is nobody's component_id (null if no row of its component has one); ties: of
+equal sets any stands for all; an empty table gives an empty result; extra
+columns are not read by ``link_documents``.
 """
 
 from __future__ import annotations
@@ -52,7 +57,9 @@ BUCKETS = 1 << 18
 #: Rows of an index list beyond which it is cut in cells.
 LIST_ROWS = 20_000
 #: Shingles of a candidate group beyond which it is cut in cells.
-GROUP_SHINGLES = 2_000_000
+GROUP_SHINGLES = 250_000
+#: One set in so many is looked at to find the lists that are longer than LIST_ROWS, and the most lists that are cut.
+SAMPLE, MAX_CUT_LISTS = 64, 1_000_000
 #: Longs in the bitmap that drops documents outside candidate groups before their texts are shuffled.
 FILTER_WORDS = 1 << 16
 #: Rows of an index list that are compared at once, and answers of a group that are kept to derive others from.
@@ -157,9 +164,12 @@ def _set_class(n: int, rule: Rule) -> int:
     return max(0, (-(-n // rule.part_shingles) - 1).bit_length())
 
 
-def _index_rows(shared, list_rows: int, rule: Rule):
-    """Sets -> (token, cell, n, node, pos, bitmap) of their parts' prefixes; equal sets of a batch give rows once."""
-    def rows_of(s: np.ndarray, node: int, kind: int, counts: np.ndarray) -> Iterator[np.ndarray]:
+def _index_rows(shared, long_lists, rule: Rule):
+    """Sets -> (token, cell, n, node, pos, bitmap) of their parts' prefixes; equal sets of a batch give rows once.
+
+    ``long_lists``: broadcast of (token, class) -> number of cells; None: no list is cut.
+    """
+    def rows_of(s: np.ndarray, node: int, kind: int, counts: np.ndarray, cut: dict) -> Iterator[np.ndarray]:
         parts = 1 << kind
         most = rule.most_apart(len(s), rule.largest(len(s))) // parts
         part = (s >> 40) & (parts - 1)
@@ -168,9 +178,10 @@ def _index_rows(shared, list_rows: int, rule: Rule):
             bucket = own & (BUCKETS - 1)
             order = np.lexsort((own, counts[bucket]))[:most + 1]
             parity = np.bincount((own >> 20) & 255, minlength=256) & 1
-            tokens, cells = own[order], -(-counts[bucket[order]] // list_rows)
+            tokens = own[order]
             if len(own) <= most:  # parts that small may differ in all: they share the list of the small
-                tokens, cells = np.append(tokens, -1 - q), np.append(cells, 1)
+                tokens = np.append(tokens, -1 - q)
+            cells = np.array([cut.get((t, kind), 1) for t in tokens.tolist()]) if cut else np.ones(len(tokens), np.int64)
             rows = np.empty((len(tokens), 9), np.int64)
             rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = tokens, kind << 48, len(s), node
             rows[:, 4], rows[:, 5:] = np.arange(len(tokens)), np.packbits(parity.astype(np.uint8)).view(np.int64)
@@ -185,7 +196,7 @@ def _index_rows(shared, list_rows: int, rule: Rule):
                 yield many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, cut = shared.value, long_lists.value if long_lists is not None else {}
         for batch in batches:
             out, seen = [], set()
             for s in shingle_sets(batch.column("hashes"), rule.words):
@@ -195,7 +206,7 @@ def _index_rows(shared, list_rows: int, rule: Rule):
                 seen.add(node)
                 # a set that may link with larger ones of a later class stands in both
                 for k in range(_set_class(len(s), rule), _set_class(rule.largest(len(s)), rule) + 1):
-                    out.extend(rows_of(s, node, k, counts))
+                    out.extend(rows_of(s, node, k, counts, cut))
             if out:
                 rows = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in range(9)],
@@ -272,8 +283,12 @@ def _read_lists(rule: Rule):
     return run
 
 
-def group_links(nodes: list[int], sets: list[np.ndarray], rule: Rule = RULE) -> list[tuple[int, int]]:
-    """Edges that connect the sets as their links do (exact). Sets are sorted arrays of distinct hashes."""
+def group_links(nodes: list[int], sets: list[np.ndarray], rule: Rule = RULE,
+                linked_pairs: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Edges that connect the sets as their links do (exact). Sets are sorted arrays of distinct hashes.
+
+    With a list for ``linked_pairs`` all links are found: (place, places) of ``nodes`` are added to it.
+    """
     order = sorted(range(len(nodes)), key=lambda k: (len(sets[k]), nodes[k]))
     nodes, sets = [nodes[k] for k in order], [sets[k] for k in order]
     m = len(nodes)
@@ -294,7 +309,7 @@ def group_links(nodes: list[int], sets: list[np.ndarray], rule: Rule = RULE) ->
 
     for k in range(m):
         span = slice(k + 1, int(last[k]))
-        if not (root[span] != root[k]).any():
+        if linked_pairs is None and not (root[span] != root[k]).any():
             continue  # nothing that could link is unconnected
         near = min(kept, key=lambda a: size[a[0]] + size[k] - 2 * a[1][k], default=None)
         if near is not None and size[near[0]] + size[k] - 2 * near[1][k] < size[k] // 2:
@@ -307,6 +322,8 @@ def group_links(nodes: list[int], sets: list[np.ndarray], rule: Rule = RULE) ->
         if len(kept) > KEPT_ANSWERS:
             kept.pop(0)
         linked = np.flatnonzero(overlap[span] >= rule.least_overlap(size[k], size[span])) + k + 1
+        if linked_pairs is not None and len(linked):
+            linked_pairs.append((order[k], [order[h] for h in linked.tolist()]))
         for h in linked.tolist():
             if root[h] != root[k]:
                 edges.append((nodes[k], nodes[h]))
@@ -314,18 +331,44 @@ def group_links(nodes: list[int], sets: list[np.ndarray], rule: Rule = RULE) ->
     return edges
 
 
-def _verify(rule: Rule):
-    def run(table: pa.Table) -> pa.Table:
-        edges: list[tuple[int, int]] = []
-        sets = dict(zip(table.column("node").to_pylist(), shingle_sets(table.column("hashes").combine_chunks(), rule.words)))
-        if len(sets) > 1:
-            edges = group_links(list(sets), list(sets.values()), rule)
+def _verify(rule: Rule, count: bool):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Edges (u, v) of a pair of cells, and with ``count`` rows (node, null, documents linked with it)."""
+        places = {n: i for i, n in enumerate(table.column("node").to_pylist())}  # equal texts without ids: one counts
+        rows = table.take(pa.array(list(places.values()), pa.int64())) if len(places) < len(table) else table
+        nodes, sets = rows.column("node").to_pylist(), shingle_sets(rows.column("hashes").combine_chunks(), rule.words)
+        edges, links = [], np.zeros(len(nodes), np.int64)
+        pairs: list[tuple[int, list[int]]] | None = [] if count else None
+        if len(nodes) > 1:
+            edges = group_links(nodes, sets, rule, pairs)
+        if count:
+            copies, own = rows.column("copies").to_numpy(), rows.column("own").to_numpy()
+            low, high = divmod(key[1].as_py(), rows.column("cells")[0].as_py())
+            for k, others in pairs:  # pairs inside a cell meet in every pair of it: they count in that with itself
+                o = np.array(others)
+                o = o[(own[o] != own[k]) | (low == high)]
+                links[k] += copies[o].sum()
+                links[o] += copies[k]
+        some = np.flatnonzero(links)
         both = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table({"u": np.ascontiguousarray(both[:, 0]), "v": np.ascontiguousarray(both[:, 1])})
+        none = pa.nulls(len(some), pa.int64())
+        return pa.table({
+            "u": pa.concat_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.array(nodes, np.int64)[some])]),
+            "v": pa.concat_arrays([pa.array(np.ascontiguousarray(both[:, 1])), none]),
+            "n": pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(links[some])])})
 
     return run
 
 
+def _long_lists(hashed: DataFrame, shared, list_rows: int, rule: Rule, sample: int) -> dict[tuple[int, int], int]:
+    """(token, class) -> cells, for index lists that the rows of one set in ``sample`` make longer than ``list_rows``."""
+    some = hashed.where(F.pmod(F.col("tag"), F.lit(sample)) == 0).select("hashes")
+    rows = some.mapInArrow(_index_rows(shared, None, rule), _INDEX_SCHEMA).groupBy("token", "cell").agg(
+        (F.countDistinct("node") * sample).alias("n"))
+    found = rows.where(F.col("n") > list_rows).orderBy(F.col("n").desc(), "token").limit(MAX_CUT_LISTS).collect()
+    return {(r["token"], r["cell"] >> 48): -(-r["n"] // list_rows) for r in found}
+
+
 def _id_slot(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(64 * FILTER_WORDS))
 
@@ -347,9 +390,11 @@ def _has_bit(doc_id: Column, bits: Column) -> Column:
     return F.getbit(word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def set_components(docs: DataFrame, list_rows: int = LIST_ROWS,
-                   group_shingles: int = GROUP_SHINGLES, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, tag, n_shingles, node of every row; roots: node, root of every node that has a link)."""
+def set_components(docs: DataFrame, list_rows: int = LIST_ROWS, group_shingles: int = GROUP_SHINGLES, rule: Rule = RULE,
+                   count: bool = False, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(members: doc_id, tag, n_shingles, node of every row; roots: node, root of every node that has a link; with
+    ``count`` links: node, documents of other sets that it links with).
+    """
     spark, parts = docs.sparkSession, text_partitions(docs)
     hashed = docs.select("doc_id", _text_tag(F.col("text")).alias("tag"), _word_hashes(F.col("text")).alias("hashes"))
     survey = written(hashed.mapInArrow(
@@ -359,41 +404,56 @@ def set_components(docs: DataFrame, list_rows: int = LIST_ROWS,
     counts = np.zeros(BUCKETS, np.int64)
     counts[met["bucket"].to_numpy(np.int64)] = met["n"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(counts)  # BUCKETS numbers, whatever the corpus
-    index = hashed.select("hashes").mapInArrow(_index_rows(shared, list_rows, rule), _INDEX_SCHEMA)
+    cut = spark.sparkContext.broadcast(_long_lists(hashed, shared, list_rows, rule, sample))  # MAX_CUT_LISTS at most
+    index = hashed.select("hashes").mapInArrow(_index_rows(shared, cut, rule), _INDEX_SCHEMA)
     candidates = written(
         index.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "n", "node")
         .mapInPandas(_read_lists(rule), "u long, v long").distinct(), "jaccard-candidates")
     groups = connected_components(candidates, "jaccard-groups").withColumnRenamed("root", "grp")
-    # one document stands for each node; its set is made again from its text
-    stand_in = members.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))).alias("d"), F.max("n_shingles").alias("n"))
+    # one document stands for each node, with an id where one has it; its set is made again from its text
+    stand_in = members.groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tag")).alias("d"),
+        F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     chosen = groups.join(stand_in, "node")
     totals = chosen.groupBy("grp").agg(F.sum("n").alias("total"))
     chosen = written(chosen.join(totals, "grp").select(
-        "d.doc_id", "d.tag", "node", "grp",
+        F.col("d.doc_id").alias("__id"), F.col("d.tag").alias("__tag"), "node", "grp", "copies",
         F.ceil(F.col("total") / F.lit(group_shingles)).cast("long").alias("cells")), "jaccard-chosen")
-    wanted = _id_bits(chosen)
+    wanted = _id_bits(chosen.select(F.col("__id").alias("doc_id")))
     whole = (docs.where(_has_bit(F.col("doc_id"), wanted))  # drops most texts before the join shuffles them
-             .select("doc_id", "text", _text_tag(F.col("text")).alias("tag")).join(chosen, ["doc_id", "tag"]))
+             .select("doc_id", "text", _text_tag(F.col("text")).alias("tag"))
+             .join(chosen, F.col("tag").eqNullSafe(F.col("__tag")) & F.col("doc_id").eqNullSafe(F.col("__id"))))
     own = F.pmod(F.col("node"), F.col("cells"))
     cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda c: (
         F.least(own, c) * F.col("cells") + F.greatest(own, c))))
-    links = (whole.select("grp", "node", "text", cell.alias("cell"))
+    links = (whole.select("grp", "node", "text", "copies", "cells", own.alias("own"), cell.alias("cell"))
              .repartition(parts, "grp", "cell")  # the texts are shuffled; their hashes would take more
-             .select("grp", "cell", "node", _word_hashes(F.col("text")).alias("hashes"))
-             .groupBy("grp", "cell").applyInArrow(_verify(rule), "u long, v long"))
-    return members, connected_components(links, "jaccard-links")
-
-
-def link_documents(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
-    members, roots = set_components(docs, rule=rule)
-    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+             .select("grp", "cell", "node", "copies", "cells", "own", _word_hashes(F.col("text")).alias("hashes"))
+             .groupBy("grp", "cell").applyInArrow(_verify(rule, count), "u long, v long, n long"))
+    if not count:
+        return members, connected_components(links.where("v is not null").select("u", "v"), "jaccard-links"), None
+    links = written(links, "jaccard-verified")
+    degrees = links.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
+    return members, connected_components(links.where("v is not null").select("u", "v"), "jaccard-links"), degrees
+
+
+def link_documents(docs: DataFrame, rule: Rule = RULE, count: bool = True, **bounds) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and with ``count`` n_links (other
+    documents that it links with) of every row.
+    """
+    members, roots, degrees = set_components(docs, rule=rule, count=count, **bounds)
+    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"),
+                                                                F.count(F.lit(1)).alias("copies"))
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = nodes.join(first, "root").select("node", "component_id")
-    full = members.where("n_shingles > 0").join(ids, "node").select("doc_id", "n_shingles", "component_id")
+    ids, columns, none = nodes.join(first, "root"), ["doc_id", "n_shingles", "component_id"], []
+    if count:
+        ids = ids.join(degrees, "node", "left").withColumn(
+            "n_links", F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1)
+        columns, none = [*columns, "n_links"], [F.lit(0).cast("long").alias("n_links")]
+    full = members.where("n_shingles > 0").join(ids.drop("first_id", "copies"), "node").select(*columns)
     return full.unionByName(members.where("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *none))
 
 
 def keep_first(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -401,7 +461,7 @@ def keep_first(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
 
     A doc_id stands for one document: repeated rows of it stay once.
     """
-    linked = link_documents(docs, rule)
+    linked = link_documents(docs, rule, count=False)
     gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti")
     again = written(linked.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

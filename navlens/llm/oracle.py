@@ -179,7 +179,8 @@ links AS (SELECT a, b FROM (SELECT p.rid AS a, q.rid AS b, p.n AS pn, q.n AS qn,
                             FROM u p JOIN u q ON p.x = q.x AND p.rid <> q.rid GROUP BY ALL)
           WHERE 100 * shared >= 90 * (pn + qn - shared)),
 reach AS (SELECT rid AS a, rid AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, c.component_id
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, c.component_id,
+       (SELECT count(*) FROM links l WHERE l.a = s.rid)::BIGINT AS n_links
 FROM s JOIN (SELECT r.a, min(o.doc_id) AS component_id FROM reach r JOIN s o ON r.b = o.rid GROUP BY r.a) c ON s.rid = c.a
 """
 

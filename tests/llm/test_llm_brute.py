@@ -152,10 +152,15 @@ def test_jaccard_components(spark, make_docs):
     texts = near_copies(6, 12) + near_copies(1, 6, words=1900, edits=60) + near_copies(2, 4, words=810, edits=30) + ["a b", "A B", "a", None, "", "", "a b c " * 50, "a b c " * 51]
     want = components({i: doc_set(t) for i, t in enumerate(texts)})
     docs = make_docs(texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link_documents(docs).collect()}
-    assert got == {i: (len(doc_set(t)), want[i]) for i, t in enumerate(texts)}
+    sets = {i: doc_set(t) for i, t in enumerate(texts)}
+    n_links = {i: sum(1 for j in sets if j != i and sets[i] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]))
+               for i in sets}
+    expected = {i: (len(doc_set(t)), want[i], n_links[i]) for i, t in enumerate(texts)}
+    assert {r.doc_id: tuple(r)[1:] for r in J.link_documents(docs).collect()} == expected
     # cut into cells everywhere, the result is the same
-    members, roots = J.set_components(docs, list_rows=2, group_shingles=100)
+    cut = {"list_rows": 2, "group_shingles": 100, "sample": 1}
+    assert {r.doc_id: tuple(r)[1:] for r in J.link_documents(docs, **cut).collect()} == expected
+    members, roots, _ = J.set_components(docs, **cut)
     node = {r.doc_id: r.node for r in members.collect()}
     root = {r.node: r.root for r in roots.collect()}
     assert all((root.get(node[i], node[i]) == root.get(node[j], node[j])) == (want[i] == want[j])
@@ -178,3 +183,41 @@ def test_toxicity_on_held_out_labels(spark):
         spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     hit = sum(r.predicted and r.toxic for r in got)
     assert hit / sum(r.toxic for r in got) > 0.8 and hit / sum(r.predicted for r in got) > 0.9
+
+
+def test_jaccard_rows_without_ids_link(spark, make_docs):
+    base = [f"w{k}" for k in range(300)]
+    mid, end = base[:], base[:]
+    mid[0], end[0], end[1] = "x", "x", "y"
+    end[299], end[298], end[297], end[296] = "p", "q", "r", "s"
+    far = [w for w in end]
+    far[150:158] = [f"z{k}" for k in range(8)]
+    docs = make_docs([(1, " ".join(base)), (None, " ".join(mid)), (None, " ".join(mid)), (3, " ".join(far)), (None, "alone here now"),
+                      (7, " ".join(end))])
+    got = sorted(J.link_documents(docs).collect(), key=str)
+    sets = [doc_set(r.text) for r in docs.collect()]
+    part = components(dict(enumerate(sets)))
+    ids = [r.doc_id for r in docs.collect()]
+    want = sorted(((ids[i], len(sets[i]), min((ids[j] for j in part if part[j] == part[i] and ids[j] is not None), default=None),
+                    sum(1 for j in part if j != i and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])))
+                   for i in part), key=str)
+    assert sorted((tuple(r) for r in got), key=str) == want
+    assert {r.component_id for r in got if r.doc_id in (1, 7)} == {1}
+
+
+def test_short_lists_are_never_copied():
+    """Only sets in lists that are longer than the bound are sent to several cells."""
+    import pyarrow as pa
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+    texts = [[rnd.randint(-2 ** 60, 2 ** 60) for _ in range(30)] for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.list_(pa.int64()))], names=["hashes"])
+    counts = Held(np.full(J.BUCKETS, 10 ** 9))  # full buckets, as of a corpus of any size, copy nothing
+    plain = [r for b in J._index_rows(counts, None, J.RULE)(iter([batch])) for r in b.to_pylist()]
+    assert len({(r["token"], r["node"]) for r in plain}) == len(plain)
+    token = plain[0]["token"]
+    cut = [r for b in J._index_rows(counts, Held({(token, 0): 5}), J.RULE)(iter([batch])) for r in b.to_pylist()]
+    more = [r for r in cut if r["token"] == token]
+    assert len(more) == 5 and len(cut) == len(plain) + 4
