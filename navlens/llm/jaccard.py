@@ -14,7 +14,7 @@ and no list of pairs is made: only what connects components leaves a task.
    (den + num) shingles at most. A set of up to ``Rule.part_shingles`` is one part; larger ones are cut by
    hash in 2, 4, 8 ... parts, of which one must differ in D / parts at most.
    Such parts share one of their first D / parts + 1 shingles.
-3. Index lists, one for each such shingle, hold (size, position, 256-bit parity
+3. Index lists, one for each such shingle, hold (size, position, 192-bit parity
    bitmap) of the parts, sorted by size. A list is read by blocks, past the sizes
    that can link blocks are skipped, and so is every pair already connected.
    Pairs whose sizes, positions and bitmaps allow a link connect into candidate
@@ -62,6 +62,8 @@ GROUP_SHINGLES = 250_000
 SAMPLE, MAX_CUT_LISTS = 64, 1_000_000
 #: Longs in the bitmap that drops documents outside candidate groups before their texts are shuffled.
 FILTER_WORDS = 1 << 16
+#: Longs of a set's parity bitmap in an index row: half of what a row takes in the shuffle.
+BITMAP_LONGS = 3
 #: Rows of an index list that are compared at once, and answers of a group that are kept to derive others from.
 BLOCK, KEPT_ANSWERS = 256, 16
 
@@ -177,12 +179,12 @@ def _index_rows(shared, long_lists, rule: Rule):
             own = s[part == q] if parts > 1 else s
             bucket = own & (BUCKETS - 1)
             order = np.lexsort((own, counts[bucket]))[:most + 1]
-            parity = np.bincount((own >> 20) & 255, minlength=256) & 1
+            parity = np.bincount(((own >> 20) & 0xFFFFFF) % (64 * BITMAP_LONGS), minlength=64 * BITMAP_LONGS) & 1
             tokens = own[order]
             if len(own) <= most:  # parts that small may differ in all: they share the list of the small
                 tokens = np.append(tokens, -1 - q)
             cells = np.array([cut.get((t, kind), 1) for t in tokens.tolist()]) if cut else np.ones(len(tokens), np.int64)
-            rows = np.empty((len(tokens), 9), np.int64)
+            rows = np.empty((len(tokens), len(_INDEX_COLUMNS)), np.int64)
             rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = tokens, kind << 48, len(s), node
             rows[:, 4], rows[:, 5:] = np.arange(len(tokens)), np.packbits(parity.astype(np.uint8)).view(np.int64)
             if len(own) <= most:
@@ -209,13 +211,13 @@ def _index_rows(shared, long_lists, rule: Rule):
                     out.extend(rows_of(s, node, k, counts, cut))
             if out:
                 rows = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in range(9)],
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in range(rows.shape[1])],
                                                  names=_INDEX_COLUMNS)
 
     return run
 
 
-_INDEX_COLUMNS = ["token", "cell", "n", "node", "pos", "b0", "b1", "b2", "b3"]
+_INDEX_COLUMNS = ["token", "cell", "n", "node", "pos", *(f"b{i}" for i in range(BITMAP_LONGS))]
 _INDEX_SCHEMA = ", ".join(f"{c} long" for c in _INDEX_COLUMNS)
 
 
@@ -265,7 +267,7 @@ def _read_lists(rule: Rule):
                 yield np.array(found, np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.empty((0, 9), np.int64)
+        held = np.empty((0, len(_INDEX_COLUMNS)), np.int64)
         for batch in batches:
             rows = np.concatenate([held, batch.to_numpy(np.int64)])
             if not len(rows):
