@@ -48,6 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the bytes of a batch of rows for a Python worker in the session, unless it names a smaller bound in bytes.
+
+    A task holds several copies of a batch, the JVM's and the worker's.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting).removesuffix("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(setting, str(most))
+
+
 def text_partitions(df: DataFrame, floor: int = 12) -> int:
     """Partitions for a shuffle that follows ``spark.sql.shuffle.partitions``, ``floor`` at least."""
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
