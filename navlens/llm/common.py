@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -51,8 +52,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bound the bytes of a batch of rows for a Python worker in the session, unless it names a smaller bound in bytes.
 
-    A task holds several copies of a batch, the JVM's and the worker's.
+    A task holds several copies of a batch, the JVM's and the worker's. The plans of earlier work, which only Python's
+    reference cycles still hold in the driver, go as well.
     """
+    gc.collect()
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(setting).removesuffix("b")
     if not now.isdigit() or int(now) > most:

@@ -35,6 +35,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -155,7 +156,15 @@ class Channel:
         for level, strength in ((2, 5.0), (1, 5.0), (0, 5.0)):  # each order leans on the one below it
             c = c4.sum(tuple(range(level)))
             p = (c + strength * p) / (c.sum(-1, keepdims=True) + strength)
-        self.logp = np.log(p).astype(np.float32).reshape(-1).tolist()
+        self.log_table = np.log(p).astype(np.float32)  # sent to the tasks as an array
+
+    @cached_property
+    def logp(self) -> list[float]:
+        return self.log_table.reshape(-1).tolist()
+
+    @cached_property
+    def cube(self) -> np.ndarray:
+        return self.log_table.astype(np.float64)
 
     def _choices(self, token: str) -> list[list[tuple[str, float]]]:
         lattice, before = [], ""
@@ -234,8 +243,6 @@ class Channel:
 
     def _restore_wild(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The reading on arrays of all states: scores are kept at checkpoints, a block's ways are made again going back."""
-        if not hasattr(self, "cube"):
-            self.cube = np.array(self.logp).reshape((LETTERS,) * 4)
         score = np.full(LETTERS ** 3, -np.inf)
         score[0] = 0.0
         kept = [score]
@@ -363,14 +370,17 @@ def train_scorer(docs: DataFrame, labels: DataFrame, trains: Column, channel: Ch
         if not chosen or not 0 < toxic < total:
             low = min(share, UNLEARNT)
             return {}, math.log(low / (1 - low))
-        names = F.array(*map(F.lit, chosen))
-        table = sample.select(F.col("toxic"), F.array_intersect("words", names).alias("words")).collect()
+        names = spark.createDataFrame(list(chosen.items()), "word string, k int")
+        pairs = (sample.withColumn("i", F.monotonically_increasing_id()).select("i", "toxic", F.explode("words").alias("word"))
+                 .join(F.broadcast(names), "word").select("i", "toxic", "k").toPandas().sort_values(["i", "k"]))
     finally:
         sample.unpersist()
-    y = np.array([r["toxic"] for r in table], float)
-    pairs = [(i, chosen[w]) for i, r in enumerate(table) for w in r["words"]]
-    at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-    weights, bias = fit_logistic(at[:, 0], at[:, 1], y, len(chosen))
+    # numbers only come back; rows without a chosen feature are known by how many they are
+    row, ids = pd.factorize(pairs["i"].to_numpy())
+    y = np.zeros(total)
+    y[row] = pairs["toxic"].to_numpy()
+    y[len(ids):len(ids) + toxic - int(y.sum())] = 1.0
+    weights, bias = fit_logistic(row.astype(np.int64), pairs["k"].to_numpy(np.int64), y, len(chosen))
     return {w: float(weights[k]) for w, k in chosen.items() if weights[k]}, bias
 
 
