@@ -42,6 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    gc.collect()  # plans of earlier rounds that only Python's reference cycles hold in the driver
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,10 +53,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bound the bytes of a batch of rows for a Python worker in the session, unless it names a smaller bound in bytes.
 
-    A task holds several copies of a batch, the JVM's and the worker's. The plans of earlier work, which only Python's
-    reference cycles still hold in the driver, go as well.
+    A task holds several copies of a batch, the JVM's and the worker's.
     """
-    gc.collect()
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(setting).removesuffix("b")
     if not now.isdigit() or int(now) > most:
