@@ -1076,6 +1076,7 @@ query("snapshot_diff_counts", f"with {SNAP_SQL}\nselect status, count(*) as file
 
 # ================================================================ sources and sinks
 
+from navlens.operators import daily_state as DY  # noqa: E402
 from navlens.plans import payload as PL  # noqa: E402
 from navlens.sources import incremental as IN  # noqa: E402
 from navlens.sources import reload as RL  # noqa: E402
@@ -1123,6 +1124,42 @@ def q_daily_page_views(spark, sf_dir):
     return table.read()
 
 
+# the two releases, every week of the month, and a period cut inside its first and last day
+DAILY_PERIODS = [*R.DEFAULT_PERIODS,
+                 *[(f"week from {d}", f"2024-01-{d:02} 00:00:00", f"2024-01-{d + 6:02} 23:59:59") for d in range(1, 25)],
+                 ("cut", "2024-01-03 07:30:00", "2024-01-09 18:15:00")]
+
+
+def daily_state(spark, sf_dir) -> DY.DailyState:
+    """The state of every day that has visits, written in two updates."""
+    from navlens.session import scratch_path
+    i = Inputs(spark, sf_dir)
+
+    def rows_of(days):
+        wanted = F.to_date("date_time").isin([F.lit(d).cast("date") for d in days])
+        return i.visits.where(wanted), i.hits, i.bridge
+
+    state = DY.DailyState(spark, scratch_path(spark, "daily-state"), rows_of)
+    days = sorted(str(r.day) for r in i.visits.select(F.to_date("date_time").alias("day")).distinct().collect() if r.day)
+    state.write_days(days[:len(days) // 2])
+    state.write_days(days[len(days) // 2:])
+    return state
+
+
+_DAILY_SQL = O.release_ctes(DAILY_PERIODS)
+
+
+def _over_daily_periods(name: str) -> str:
+    """The statement of a release query, over the overlapping periods."""
+    return REGISTRY[name][1].replace(REL, _DAILY_SQL)
+
+
+query("daily_release_info", _over_daily_periods("release_info"))(
+    lambda s, d: daily_state(s, d).release_info(DAILY_PERIODS))
+query("daily_pageview_metrics", _over_daily_periods("pageview_metrics"))(
+    lambda s, d: daily_state(s, d).pageview_metrics(DAILY_PERIODS))
+
+
 def reloaded(spark, sf_dir) -> RL.TableSet:
     """Visits and hits read from their CSV exports and made current together."""
     from navlens.session import scratch_path
