@@ -1,13 +1,16 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Model: word bigrams, smoothed towards unigrams by a Dirichlet prior of
-strength ``mu``. As an automaton: each word that training has seen is a state,
-and so is the start of a text. From state h, a seen bigram (h, w) is an arc of
-weight log10((c(hw) + mu P(w)) / (c(h) + mu)); for other words the failure arc
-of weight log10(mu / (c(h) + mu)) leads to the root, whose arcs weigh log10
-P(w), P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). A text is traversed once from
-left to right: the state after a token is that token, or the root if training
-hasn't seen it.
+Model: word trigrams, smoothed towards bigrams and those towards unigrams by
+Dirichlet priors of strength ``mu_pair`` and ``mu``. As an automaton: each pair
+of words that training has seen in sequence is a state, so is each word, and so
+is the start of a text. From state gh, a seen trigram (g, h, w) is an arc of
+weight log10((c(ghw) + mu_pair P(w|h)) / (c(gh) + mu_pair)); for other words the
+failure arc of weight log10(mu_pair / (c(gh) + mu_pair)) leads to state h. There
+a seen bigram (h, w) is an arc of weight log10((c(hw) + mu P(w)) / (c(h) + mu)),
+and the next failure arc, of weight log10(mu / (c(h) + mu)), leads to the root,
+whose arcs weigh log10 P(w), P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). A text is
+traversed once from left to right: the state after a token is the longest of
+its last two tokens that training has seen, or the root.
 
 The model grows with the corpus and is nowhere held whole. Documents are taken
 in blocks of ``BLOCK_ROWS`` rows in scan order. Each block asks for the
@@ -17,7 +20,7 @@ summed, and each block's counts are sent back. Together they are the part of
 the automaton that the block's texts can reach. Key ranges hold each n-gram
 once per block, so a frequent n-gram makes no hot spot.
 
-Words and n-grams are compared by 64-bit hashes. ``docs`` must give the same
+Words are compared by 64-bit hashes, n-grams by hashes of 62 bits beside their order. ``docs`` must give the same
 rows in the same order when read twice (a table, or anything written); if it
 doesn't, scoring fails rather than giving wrong counts.
 
@@ -39,12 +42,13 @@ from navlens.llm.common import ascii_lower, text_partitions, words, written
 
 ADD = 0.1
 MU = 300.0
+MU_PAIR = 3.0
 #: Rows in a block: 2^BLOCK_BITS.
 BLOCK_BITS = 12
 
 _END, _START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_GOLD, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+_GOLD, _ORDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(3)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,8 +57,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tokens(arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens with an end after each text, tokens before them, first position of each text)."""
+def _tokens(arrays) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens with an end after each text, first position of each text)."""
     lens = np.array([len(a) for a in arrays], dtype=np.int64)
     ends = np.cumsum(lens + 1) - 1
     token = np.empty(int(lens.sum()) + len(lens), dtype=np.uint64)
@@ -62,19 +66,32 @@ def _tokens(arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_word[ends] = False
     token[is_word] = np.concatenate([np.asarray(a, dtype=np.int64) for a in arrays]).view(np.uint64)
     token[ends] = _END
-    starts = ends - lens
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[starts] = _START
-    return token, before, starts
-
-
-def _unigram_keys(token: np.ndarray) -> np.ndarray:
-    return _mix(token) & ~_ONE
-
-
-def _bigram_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return _mix(_mix(before) * _GOLD + token) | _ONE
+    return token, ends - lens
+
+
+def _ngrams(token: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct n-grams (low bits: order less 1), and for each token the places of the unigram,
+    bigram and trigram that it ends; a text's first token ends no trigram (-1)."""
+    word, known = pd.factorize(token)
+    size = np.int64(len(known) + 1)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[starts] = size - 1
+    known = np.append(known, _START)
+    pair, pairs = pd.factorize(before * size + word)
+    pair_hash = _mix(_mix(known[pairs // size]) * _GOLD + known[pairs % size])
+    inner = np.ones(len(token), bool)
+    inner[starts] = False
+    inner = np.flatnonzero(inner)
+    triple, triples = pd.factorize(pair[inner - 1] * size + word[inner])
+    keys = np.concatenate([_mix(known[:-1]) & ~_ORDER, pair_hash & ~_ORDER | np.uint64(1),
+                           _mix(pair_hash[triples // size] * _GOLD + known[triples % size]) & ~_ORDER | np.uint64(2)])
+    order = np.argsort(keys)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    third = np.full(len(token), -1, np.int64)
+    third[inner] = place[triple + (size - 1 + len(pairs))]
+    return keys[order], place[word], place[pair + (size - 1)], third
 
 
 def _range_ends(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -111,10 +128,6 @@ def _unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view("<u8").astype(np.int64)
 
 
-def _distinct(token: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return np.unique(np.concatenate([_unigram_keys(token), _bigram_keys(before, token)]))
-
-
 def _blocks(docs: DataFrame, trains: Column) -> DataFrame:
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
     return docs.select(F.col("doc_id").cast("string"), "text", block.alias("block"), trains.alias("trains"))
@@ -130,14 +143,12 @@ def _request(parts: int):
     def packs(block: int, rows: list[pd.DataFrame]) -> pd.DataFrame:
         arrays = [a for r in rows for a in r["hashes"]]
         trains = np.concatenate([r["trains"].to_numpy(bool) for r in rows])
-        token, before, starts = _tokens(arrays)
-        keys = _distinct(token, before)
+        token, starts = _tokens(arrays)
+        keys, *places = _ngrams(token, starts)
         in_training = np.repeat(trains, np.diff(np.r_[starts, len(token)]))
-        seen, n = np.unique(np.concatenate([_unigram_keys(token[in_training]),
-                                            _bigram_keys(before[in_training], token[in_training])]),
-                            return_counts=True)
         counts = np.zeros(len(keys), np.int64)
-        counts[np.searchsorted(keys, seen)] = n
+        for place in places:
+            counts += np.bincount(place[in_training & (place >= 0)], minlength=len(keys))
         ends = _range_ends(keys, parts)
         begins = np.r_[0, ends[:-1]]
         some = np.flatnonzero(ends > begins)
@@ -170,7 +181,7 @@ def _sum_range(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(len(distinct), np.int64)
     np.add.at(total, place, own)
     back = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
-    unigram = (distinct & _ONE) == 0
+    unigram = (distinct & _ORDER) == 0
     out = pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "counts": [_pack_counts(c) for c in back],
                         "n": 0, "v": 0})
     sums = pd.DataFrame({"block": [-1], "part": pdf["part"].iloc[:1].to_list(), "counts": [b""],
@@ -178,27 +189,32 @@ def _sum_range(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, sums], ignore_index=True)
 
 
-def _score(parts: int, n_train: int, v_train: int, mu: float, add: float):
+def _score(n_train: int, v_train: int, mu: float, mu_pair: float, add: float):
     """A block's rows and its counts -> scores."""
     norm = n_train + add * (v_train + 1)
 
     def run(rows: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-        token, before, starts = _tokens(list(rows["hashes"]))
-        keys = _distinct(token, before)
+        token, starts = _tokens(list(rows["hashes"]))
+        keys, first, second, third = _ngrams(token, starts)
         packs = counted.sort_values("part")
         counts = np.concatenate([_unpack_counts(c) for c in packs["counts"]])
         if len(counts) != len(keys):
             raise ValueError("the documents changed between two reads: write them to a table first")
-        c_word = counts[np.searchsorted(keys, _unigram_keys(token))]
-        c_pair = counts[np.searchsorted(keys, _bigram_keys(before, token))]
+        c_word, c_pair = counts[first], counts[second]
+        c_triple = np.where(third >= 0, counts[third], 0)
         c_state = np.empty_like(c_word)  # the state is the token before; at the start, as many as training texts
         c_state[1:] = c_word[:-1]
         c_state[starts] = c_word[np.r_[starts[1:], len(token)] - 1]
+        c_pair_state = np.zeros_like(c_pair)  # the state is the two tokens before, the start of the text one of them
+        c_pair_state[1:] = c_pair[:-1]
+        c_pair_state[starts] = 0
         p_root = (c_word + add) / norm
-        weight = np.log10(np.where(c_pair > 0, (c_pair + mu * p_root) / (c_state + mu),  # arc of the state
-                                   mu / (c_state + mu) * p_root))  # failure arc, then the root's
+        p_word = np.where(c_pair > 0, (c_pair + mu * p_root) / (c_state + mu),  # arc of the word's state
+                          mu / (c_state + mu) * p_root)  # failure arc, then the root's
+        weight = np.log10(np.where(c_triple > 0, (c_triple + mu_pair * p_word) / (c_pair_state + mu_pair),
+                                   mu_pair / (c_pair_state + mu_pair) * p_word))
         return pd.DataFrame({
             "doc_id": rows["doc_id"], "held_out": ~rows["trains"].astype(bool),
             "n_tokens": np.diff(np.r_[starts, len(token)]),
@@ -209,7 +225,7 @@ def _score(parts: int, n_train: int, v_train: int, mu: float, add: float):
     return run
 
 
-def score_texts(docs: DataFrame, trains: Column, mu: float = MU, add: float = ADD) -> DataFrame:
+def score_texts(docs: DataFrame, trains: Column, mu: float = MU, mu_pair: float = MU_PAIR, add: float = ADD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; trained on ``trains`` rows."""
     parts = text_partitions(docs)
     blocks = _blocks(docs, F.coalesce(trains, F.lit(False)))
@@ -221,6 +237,6 @@ def score_texts(docs: DataFrame, trains: Column, mu: float = MU, add: float = AD
     placed = _hashed(blocks.repartition(parts, "block"))  # the texts are shuffled; their hashes would take more
     scored = placed.groupBy("block").cogroup(
         counted.where("block >= 0").select("block", "part", "counts").groupBy("block")).applyInPandas(
-        _score(parts, n, v, mu, add),
+        _score(n, v, mu, mu_pair, add),
         "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("train_tokens", F.lit(n).cast("long"))

@@ -251,18 +251,23 @@ WITH {_CRC_TABLE},
 d AS (SELECT row_number() OVER () AS rid, doc_id, {_crc32('doc_id::VARCHAR')} % 10 = 0 AS held_out,
              list_append({_WORDS.format(_LOWER.format("coalesce(text, '')"))}, ' ') AS ws
       FROM documents, crc_table),
-t AS (SELECT rid, held_out, p, ws[p] AS w, CASE WHEN p = 1 THEN '  ' ELSE ws[p - 1] END AS h
+t AS (SELECT rid, held_out, p, ws[p] AS w, CASE WHEN p = 1 THEN '  ' ELSE ws[p - 1] END AS h,
+             CASE WHEN p = 2 THEN '  ' WHEN p > 2 THEN ws[p - 2] END AS g
       FROM (SELECT rid, held_out, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)),
 uni AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
 bi AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY ALL),
+tri AS (SELECT g, h, w, count(*) AS c FROM t WHERE NOT held_out AND g IS NOT NULL GROUP BY ALL),
 st AS (SELECT h, count(*) AS c FROM t WHERE NOT held_out GROUP BY h),
+st2 AS (SELECT g, h, sum(c)::BIGINT AS c FROM tri GROUP BY ALL),
 a AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM uni),
 x AS (SELECT t.rid, coalesce(uni.c, 0) AS cw, coalesce(bi.c, 0) AS cb, coalesce(st.c, 0) AS ch,
+             coalesce(tri.c, 0) AS ct, coalesce(st2.c, 0) AS cg,
              (coalesce(uni.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p, n
-      FROM t LEFT JOIN uni ON t.w = uni.w LEFT JOIN bi ON t.h = bi.h AND t.w = bi.w LEFT JOIN st ON t.h = st.h, a)
+      FROM t LEFT JOIN uni ON t.w = uni.w LEFT JOIN bi ON t.h = bi.h AND t.w = bi.w LEFT JOIN st ON t.h = st.h
+      LEFT JOIN tri ON t.g = tri.g AND t.h = tri.h AND t.w = tri.w LEFT JOIN st2 ON t.g = st2.g AND t.h = st2.h, a)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (cw > 0) AS n_known, any_value(n) AS train_tokens,
        round(sum(log10(p)), 6) AS base_score,
-       round(sum(log10((cb + 300.0::DOUBLE * p) / (ch + 300.0::DOUBLE))), 6) AS score
+       round(sum(log10((ct + 3.0::DOUBLE * (cb + 300.0::DOUBLE * p) / (ch + 300.0::DOUBLE)) / (cg + 3.0::DOUBLE))), 6) AS score
 FROM x JOIN d USING (rid) GROUP BY rid, doc_id, held_out
 """
 
