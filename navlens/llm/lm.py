@@ -44,7 +44,9 @@ ADD = 0.1
 MU = 300.0
 MU_PAIR = 3.0
 #: Rows in a block: 2^BLOCK_BITS.
-BLOCK_BITS = 12
+BLOCK_BITS = 11
+#: Keys, of all blocks, of a key range that are summed at a time.
+SLICE_KEYS = 500_000
 
 _END, _START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -174,18 +176,25 @@ def _request(parts: int):
 def _sum_range(pdf: pd.DataFrame) -> pd.DataFrame:
     """All packs of a key range -> each block's keys' total counts, and one row (block -1) with the range's N and V."""
     keys = [_unpack_keys(k) for k in pdf["keys"]]
-    all_keys = np.concatenate(keys)
-    own = np.concatenate([_unpack_counts(c) for c in pdf["counts"]])
-    distinct, place = np.unique(all_keys, return_inverse=True)
-    del all_keys
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, place, own)
-    back = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
-    unigram = (distinct & _ORDER) == 0
+    back = [_unpack_counts(c) for c in pdf["counts"]]
+    largest = max(keys, key=len)
+    pieces = 1 + sum(len(k) for k in keys) // SLICE_KEYS
+    bounds = largest[np.arange(1, pieces) * len(largest) // pieces]
+    cuts = [np.r_[0, np.searchsorted(k, bounds), len(k)] for k in keys]
+    n = v = 0
+    for i in range(pieces):  # the packs are sorted, so a slice of the range is a slice of each
+        slices = [slice(c[i], c[i + 1]) for c in cuts]
+        distinct, place = np.unique(np.concatenate([k[p] for k, p in zip(keys, slices)]), return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, place, np.concatenate([c[p] for c, p in zip(back, slices)]))
+        for c, p, sums in zip(back, slices, np.split(total[place], np.cumsum([p.stop - p.start for p in slices])[:-1])):
+            c[p] = sums
+        unigrams = total[(distinct & _ORDER) == 0]
+        n, v = n + int(unigrams.sum()), v + int((unigrams > 0).sum())
     out = pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "counts": [_pack_counts(c) for c in back],
                         "n": 0, "v": 0})
     sums = pd.DataFrame({"block": [-1], "part": pdf["part"].iloc[:1].to_list(), "counts": [b""],
-                         "n": [int(total[unigram].sum())], "v": [int((total[unigram] > 0).sum())]})
+                         "n": [n], "v": [v]})
     return pd.concat([out, sums], ignore_index=True)
 
 

@@ -3,6 +3,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,24 @@ def test_counts_of_many_blocks_are_summed(spark, make_docs, monkeypatch):
     assert sorted(lm.score_texts(make_docs(texts), trains).collect()) == whole
 
 
+def test_key_ranges_summed_in_slices(monkeypatch):
+    rnd = np.random.default_rng(3)
+    packs = [np.unique(rnd.integers(0, 900, rnd.integers(1, 300)).astype(np.uint64)) for _ in range(12)]
+    own = [rnd.integers(0, 4, len(k)) for k in packs]
+    pdf = pd.DataFrame({"block": range(12), "part": 0, "keys": [lm._pack_keys(k) for k in packs],
+                        "counts": [lm._pack_counts(c) for c in own]})
+    want = Counter()
+    for k, c in zip(packs, own):
+        want.update(dict(zip(k.tolist(), c.tolist())))
+    for size in (10, 100, 10_000):
+        monkeypatch.setattr(lm, "SLICE_KEYS", size)
+        out = lm._sum_range(pdf)
+        for k, c in zip(packs, out["counts"]):
+            assert lm._unpack_counts(c).tolist() == [want[x] for x in k.tolist()]
+        words = [c for k, c in want.items() if k % 4 == 0]
+        assert out[["n", "v"]].iloc[-1].to_list() == [sum(words), sum(c > 0 for c in words)]
+
+
 def test_a_held_out_copy_scores_above_its_shuffled_words(spark, make_docs):
     rnd = random.Random(2)
     texts = [" ".join(f"w{rnd.randrange(400)}" for _ in range(60)) for _ in range(60)]
