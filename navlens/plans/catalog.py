@@ -61,6 +61,24 @@ def W(body: str) -> str:
     return O.with_fixture(body)
 
 
+# Fixed values of the statements, written out: a wrong constant of an operator must not pass on both sides.
+SQL_WANDERING_QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+SQL_BACKTRACK_QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+SQL_BACKTRACK_SEGMENTS = [("0", -1, 0), ("1-2", 0, 2), ("3-5", 2, 5), ("6+", 5, None)]
+SQL_PAGE_VIEW_BUCKETS = [(1, 1), (2, 5), (6, 10), (11, None)]
+SQL_DURATION_BUCKETS = [(0, 30), (31, 120), (121, 300), (301, None)]
+SQL_SEGMENTS = {
+    "device": ("device_category", None), "os": ("operating_system", 10), "browser": ("browser", 10),
+    "orientation": ("screen_orientation_name", None), "search_engine": ("last_search_engine_root", 10),
+    "city": ("region_city", 15)}
+SQL_SEGMENT_FALLBACK = {"search_engine": "direct", "city": "Unknown"}
+SQL_CONCERNS = [
+    ("reverse_nav_change_pct", 5, "Significant increase in reverse navigation"),
+    ("loop_patterns_change", 0, "More loop patterns detected"),
+    ("url_revisits_change_pct", 5, "Increase in URL revisit patterns"),
+    ("avg_duration_change", 30, "Sessions taking longer (possible confusion)")]
+
+
 # ================================================================ scans, linkage
 
 query("scan_visits", W("select * from visits"))(lambda s, d: Inputs(s, d).visits)
@@ -291,10 +309,10 @@ def q_wandering_summary(spark, sf_dir):
 
 
 def _quantile_sql(col: str, src: str, qs) -> str:
-    return "select " + ", ".join(f"quantile_cont({col}, {q}) as {WD._qname(q)}" for q in qs) + f" from {src}"
+    return "select " + ", ".join(f"quantile_cont({col}, {q}) as {name}" for name, q in qs.items()) + f" from {src}"
 
 
-query("wandering_quantiles", W(f"{JN},\n{WANDER_SQL}\n" + _quantile_sql("hits", "ws", WD.WANDERING_QUANTILES)))(
+query("wandering_quantiles", W(f"{JN},\n{WANDER_SQL}\n" + _quantile_sql("hits", "ws", SQL_WANDERING_QUANTILES)))(
     lambda s, d: WD.wandering_quantiles(Inputs(s, d).joined))
 
 
@@ -341,9 +359,9 @@ def q_backtrack_summary(spark, sf_dir):
     return WD.backtrack_summary(Inputs(spark, sf_dir).joined)
 
 
-query("backtrack_quantiles", W(f"{JN},\n{BT_SQL}\n" + _quantile_sql("backtracks", "bt", WD.BACKTRACK_QUANTILES)))(
+query("backtrack_quantiles", W(f"{JN},\n{BT_SQL}\n" + _quantile_sql("backtracks", "bt", SQL_BACKTRACK_QUANTILES)))(
     lambda s, d: WD.backtrack_quantiles(Inputs(s, d).joined))
-query("backtrack_segments", W(f"{JN},\n{BT_SQL},\n" + _bins_sql("bt", "backtracks", WD.BACKTRACK_SEGMENTS, True)))(
+query("backtrack_segments", W(f"{JN},\n{BT_SQL},\n" + _bins_sql("bt", "backtracks", SQL_BACKTRACK_SEGMENTS, True)))(
     lambda s, d: WD.backtrack_segments(Inputs(s, d).joined))
 
 
@@ -433,14 +451,14 @@ select t.release_ord, t.version, cast(b.bucket as int) as bucket, cast(b.range_m
 from tot t cross join b left join c on c.release_ord = t.release_ord and c.bucket = b.bucket""")
 
 
-query("dist_page_views", _dist_sql("page_views", R.PAGE_VIEW_BUCKETS))(
+query("dist_page_views", _dist_sql("page_views", SQL_PAGE_VIEW_BUCKETS))(
     lambda s, d: R.dist_page_views(_facts(s, d)))
-query("dist_duration", _dist_sql("visit_duration", R.DURATION_BUCKETS))(
+query("dist_duration", _dist_sql("visit_duration", SQL_DURATION_BUCKETS))(
     lambda s, d: R.dist_duration(_facts(s, d)))
 
 
 def _seg_sql(dim: str) -> str:
-    col, k = R.SEGMENT_DIMENSIONS[dim]
+    col, k = SQL_SEGMENTS[dim]
     if dim == "device":
         val = f"case when {col} = 1 then 'Desktop' when {col} = 2 then 'Mobile/Tablet' end"
         order = "min(device_category)"
@@ -450,10 +468,10 @@ def _seg_sql(dim: str) -> str:
     order_by = "device_category" if dim == "device" else "visits desc, segment_value"
     limit = f"where rank <= {k}" if k else ""
     fallback = ""
-    if dim in R.SEGMENT_FALLBACK:
+    if dim in SQL_SEGMENT_FALLBACK:
         fallback = f"""
 union all
-select t.release_ord, t.version, 1, '{R.SEGMENT_FALLBACK[dim]}', t.total_visits, 100.0, 0.0, 0, 0
+select t.release_ord, t.version, 1, '{SQL_SEGMENT_FALLBACK[dim]}', t.total_visits, 100.0, 0.0, 0, 0
 from tot t where t.total_visits > 0 and not exists (select 1 from g where g.release_ord = t.release_ord)"""
     return RW(f"""g as (select release_ord, {val} as segment_value{extra_g}, count(*) as visits,
              sum(coalesce(page_views, 0)) as spv, sum(coalesce(visit_duration, 0)) as sdur,
@@ -467,7 +485,7 @@ select r.release_ord, t.version, r.rank, r.segment_value{extra_sel.replace('g.',
 from r join tot t using (release_ord) {limit}{fallback}""")
 
 
-for _dim in R.SEGMENT_DIMENSIONS:
+for _dim in SQL_SEGMENTS:
     query(f"seg_{_dim}", _seg_sql(_dim))((lambda dim: lambda s, d: R.segment(_facts(s, d), dim))(_dim))
 
 
@@ -762,7 +780,7 @@ def _summary(spark, sf_dir):
 query("release_comparison", RW(f"{SUMMARY_SQL}\nselect {CMP_SELECT} from o, n"))(
     lambda s, d: CM.release_comparison(_summary(s, d)))
 
-_concern_cases = ", ".join(f"case when {c} > {lim} then '{msg}' end" for c, lim, msg in CM.CONCERN_RULES)
+_concern_cases = ", ".join(f"case when {c} > {lim} then '{msg}' end" for c, lim, msg in SQL_CONCERNS)
 query("release_concerns", RW(f"""{SUMMARY_SQL},
 c as (select {CMP_SELECT} from o, n),
 m as (select *, list_filter([{_concern_cases}], lambda x: x is not null) as msgs from c)
@@ -813,6 +831,34 @@ def q_payload_validation(spark, sf_dir):
     return CM.payload_validation(CM.release_summary(f), dist, R.segment(f, "device"), PROJECT_NAME)
 
 
+# a payload that breaks rules: a third release whose period ends before it starts, no project name, shares of
+# page-view buckets counted against new users, and every device category that the visits have
+BROKEN_PERIODS = [*R.DEFAULT_PERIODS, ("reversed", "2024-01-20 00:00:00", "2024-01-10 00:00:00")]
+
+
+@query("payload_validation_broken", W(f"""{O.release_ctes(BROKEN_PERIODS)},
+nu as (select release_ord, count(*) filter (where is_new_user) as n from tv group by 1),
+bk as (select tv.release_ord, b.k, count(*) as c from tv join (values (1, 1, 1), (2, 2, 5), (3, 6, 10), (4, 11, 1000000000)) b(k, lo, hi)
+       on coalesce(page_views, 0) between b.lo and b.hi group by all),
+bp as (select release_ord, max(c) / any_value(n) <= 1 as ok from bk join nu using (release_ord) where n > 0 group by 1),
+dk as (select release_ord, bool_and(device_category in (1, 2)) as ok from tv group by 1),
+vc as (select release_ord, count(*) as n from tv group by 1)
+select 0 as release_ord, 'exactly_two_releases' as rule, (select count(*) from periods) = 2 as passed
+union all select 0, 'project_name_present', length(trim('  ')) > 0
+union all select release_ord, 'visits_non_negative', coalesce(vc.n, 0) >= 0 from periods left join vc using (release_ord)
+union all select release_ord, 'hits_non_negative', true from periods
+union all select release_ord, 'start_before_end', period_start < period_end from periods
+union all select release_ord, 'bucket_pct_in_range', coalesce(bp.ok, true) from periods left join bp using (release_ord)
+union all select release_ord, 'device_category_in_range', coalesce(dk.ok, true) from periods left join dk using (release_ord)"""))
+def q_payload_validation_broken(spark, sf_dir):
+    f = Inputs(spark, sf_dir, BROKEN_PERIODS).facts
+    new_users = f.tagged.groupBy("release_ord").agg(F.count_if("is_new_user").alias("new_users"))
+    shares = R.dist_page_views(f).join(new_users, "release_ord").withColumn(
+        "percentage", F.try_divide(F.col("count") * 100, F.col("new_users")))
+    devices = f.tagged.groupBy("release_ord", "device_category").count()
+    return CM.payload_validation(R.release_info(f), shares, devices, "  ")
+
+
 # ================================================================ version comparison
 
 JV = f"""{O.periods_sql(R.DEFAULT_PERIODS)},
@@ -1308,7 +1354,7 @@ def q_stream_sessions(spark, sf_dir):
 
 def _seg_all_sql() -> str:
     parts = []
-    for dim in R.SEGMENT_DIMENSIONS:
+    for dim in SQL_SEGMENTS:
         body = _seg_sql(dim)
         # reuse each dimension's statement as a sub-select (drop the device-only column)
         inner = body[body.index("with ") + 5:]
@@ -1372,7 +1418,7 @@ _WS_SUMMARY = """wsum as (select count(*) as total_sessions, count(*) filter (wh
        coalesce(count(*) filter (where hits >= 8) / count(*) > 0.1, false) as high_wandering_rate,
        coalesce(avg(unique_pages) filter (where hits >= 8) / avg(hits) filter (where hits >= 8) < 0.5, false)
          as repeat_visits_flag from ss),
-wq as (select """ + ", ".join(f"quantile_cont(hits, {q}) as {WD._qname(q)}" for q in WD.WANDERING_QUANTILES) + " from ws)"
+wq as (select """ + ", ".join(f"quantile_cont(hits, {q}) as {name}" for name, q in SQL_WANDERING_QUANTILES.items()) + " from ws)"
 
 query("wandering_report", W(f"""{JN},
 {WANDER_SQL},
@@ -1380,7 +1426,7 @@ query("wandering_report", W(f"""{JN},
 {_report_bins_sql("ws", "hits", _WSEG)}
 {_rows_sql("wsum", ["total_sessions", "wandering_sessions", "wandering_pct", "threshold", "mean_hits",
                     "mean_unique_pages", "max_hits", "high_wandering_rate", "repeat_visits_flag"])}
-union all {_rows_sql("wq", [WD._qname(q) for q in WD.WANDERING_QUANTILES], "hits ")}
+union all {_rows_sql("wq", list(SQL_WANDERING_QUANTILES), "hits ")}
 union all select 'segment ' || segment || ' sessions', cast(sessions as double) from rb
 union all select 'segment ' || segment || ' pct', cast(percentage as double) from rb"""))(
     lambda s, d: WD.wandering_report(Inputs(s, d).joined))
@@ -1394,16 +1440,16 @@ _BT_SUMMARY = """bsum as (select count(*) as total_sessions, count(*) filter (wh
        avg(backtracks) > 2 as level_high, avg(backtracks) > 0.5 and avg(backtracks) <= 2 as level_moderate,
        avg(backtracks) <= 0.5 as level_low,
        count(*) filter (where backtracks > 5) as problematic_sessions from bt),
-bq as (select """ + ", ".join(f"quantile_cont(backtracks, {q}) as {WD._qname(q)}" for q in WD.BACKTRACK_QUANTILES) + " from bt)"
+bq as (select """ + ", ".join(f"quantile_cont(backtracks, {q}) as {name}" for name, q in SQL_BACKTRACK_QUANTILES.items()) + " from bt)"
 
 query("backtrack_report", W(f"""{JN},
 {BT_SQL},
 {_BT_SUMMARY},
-{_report_bins_sql("bt", "backtracks", WD.BACKTRACK_SEGMENTS)}
+{_report_bins_sql("bt", "backtracks", SQL_BACKTRACK_SEGMENTS)}
 {_rows_sql("bsum", ["total_sessions", "sessions_with_backtracks", "sessions_without_backtracks",
                     "pct_with_backtracks", "mean_backtracks", "median_backtracks", "max_backtracks",
                     "has_outliers", "level_high", "level_moderate", "level_low", "problematic_sessions"])}
-union all {_rows_sql("bq", [WD._qname(q) for q in WD.BACKTRACK_QUANTILES], "backtracks ")}
+union all {_rows_sql("bq", list(SQL_BACKTRACK_QUANTILES), "backtracks ")}
 union all select 'segment ' || segment || ' sessions', cast(sessions as double) from rb
 union all select 'segment ' || segment || ' pct', cast(percentage as double) from rb"""))(
     lambda s, d: WD.backtrack_report(Inputs(s, d).joined))

@@ -53,7 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared (distributed) folder there and we use it as is.
     Only when it is unset — local runs and tests — do we pick a scratch
     folder (once per application) and register it with the SparkContext, so
-    ``DataFrame.checkpoint()`` works too.
+    ``DataFrame.checkpoint()`` works too. On several machines that raises: a
+    machine's own folder is not seen by the others.
     """
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -67,6 +68,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if current:
             _LOCAL_CKPT[app] = current
         else:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = tempfile.mkdtemp(prefix="navlens-ckpt-")
             sc.setCheckpointDir(path)
             _LOCAL_CKPT[app] = path
