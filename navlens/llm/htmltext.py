@@ -12,10 +12,14 @@ an article repeats from another is still its text. So for a page with an
 article the article is the result, whatever else the alignment leaves of the
 frame; for one without, the lines elsewhere that the neighbour doesn't share.
 
-Pages are range-partitioned by (host, path, page_id) and streamed in order, so
-a host of any size spreads over tasks; a page at the edge of a partition takes
-its nearest neighbour within it, and so does one in a run of more than
-``LONGEST_RUN`` copies, of which a task holds no more.
+Pages are parsed, range-partitioned by (host, path, page_id) and streamed in
+order, so a host of any size spreads over tasks. A task settles the pages whose
+neighbours it meets. Those of its first and last run of copies, whose neighbours
+may stand in other partitions, and of a run of more than ``LONGEST_RUN`` copies,
+of which it holds no more, are written as they are, with the pages that runs begin
+and end with; runs are then numbered through over the partitions, and each page
+left open gets the page before and the page after its run by a join. So every
+page has the neighbours it would have in one stream.
 
 Cases: null and empty html give an empty text; a null URL counts as empty host
 and path; markup that is cut off ends where the page ends; repeated rows give
@@ -31,13 +35,19 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from navlens.llm.common import text_partitions
 from navlens.llm.urlfilter import url_host, url_path
+from navlens.session import scratch_path
 
-#: Most pages of a run of copies that a task keeps until the next other page comes.
+#: Most pages of a run of copies that a task keeps until the next other page comes; those of longer runs are joined.
 LONGEST_RUN = 1000
+# Rows of the written pass: settled pages, pages without their neighbours, pages that runs begin and end with.
+SETTLED, OPEN, FIRST, LAST = range(4)
+_PAGE = "page_id string, url string, host string, path string, lines string, places string"
+_PASS = f"part int, run long, kind int, {_PAGE}, text string, n_shared int"
+_TEXT = "page_id string, url string, text string, n_shared int"
 # Where a line stands.
 ELSEWHERE, IN_ARTICLE, IN_FURNITURE = range(3)
 
@@ -185,41 +195,128 @@ def main_text(lines: list[tuple[str, int]], *neighbours: list[tuple[str, int]] |
     return "\n".join(t for i, (t, place) in enumerate(lines) if place == wanted and i not in shared), len(shared)
 
 
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Html -> lines, which hold no line break, and where each stands as a digit."""
+    for batch in batches:
+        for at in range(0, len(batch), 2000):
+            rows = batch.iloc[at:at + 2000]
+            pages = [page_lines(page) for page in rows["html"]]
+            yield rows.drop(columns="html").assign(lines=["\n".join(t for t, _ in page) for page in pages],
+                                                   places=["".join(str(k) for _, k in page) for page in pages])
+
+
+def _lines_of(lines: str, places: str) -> list[tuple[str, int]]:
+    return list(zip(lines.split("\n"), map(int, places))) if places else []
+
+
+def _settled(page, before, after) -> tuple[str, int]:
+    """Main text of a page by the neighbours of its run; pages are (page_id, url, host, path, lines)."""
+    near = [p for p in (before, after) if p is not None and p[2] == page[2]]
+    near.sort(key=lambda p: -_common_start(p[3], page[3]))
+    return main_text(page[4], *[p[4] for p in near])
+
+
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages in (host, path) order -> texts; a run of copies waits for the page after it."""
-    def pages():
-        for batch in batches:
-            for page_id, url, page, host, path in zip(batch["page_id"], batch["url"], batch["html"], batch["host"],
-                                                      batch["path"]):
-                yield page_id, url, host, path, page_lines(page)
-
-    def result(page, before, after):
-        near = [p for p in (before, after) if p is not None and p[2] == page[2]]
-        near.sort(key=lambda p: -_common_start(p[3], page[3]))
-        text, n_shared = main_text(page[4], *[p[4] for p in near])
-        return page[0], page[1], text, len(text), n_shared
-
-    rows, before, run = [], None, []
-    for page in pages():
-        if run and run[-1][2] == page[2] and aligned(run[-1][4], page[4])[1]:
+    """Pages of a partition in order -> texts; a run of copies waits for the page after it, or is left open."""
+    rows: list[tuple] = []
+
+    def unsettled(kind, at, page):
+        lines, places = "\n".join(t for t, _ in page[4]), "".join(str(k) for _, k in page[4])
+        rows.append((part, at, kind, *page[:4], lines, places, None, None))
+
+    part, number, before, last, run, is_open = 0, -1, None, None, [], False
+    for batch in batches:
+        for part, page_id, url, host, path, lines, places in zip(*(batch[c] for c in (
+                "part", "page_id", "url", "host", "path", "lines", "places"))):
+            page = page_id, url, host, path, _lines_of(lines, places)
+            if last is None or last[2] != host or not aligned(last[4], page[4])[1]:
+                rows.extend((part, number, SETTLED, *p[:2], None, None, None, None, *_settled(p, before, page)) for p in run)
+                number, before, run, was_open = number + 1, last, [], is_open
+                is_open = number == 0  # what is before the partition is not known
+                if was_open or is_open:
+                    unsettled(FIRST, number, page)
+            last = page
             run.append(page)
             if len(run) > LONGEST_RUN:
-                rows.append(result(run.pop(0), before, None))
-        else:
-            rows.extend(result(p, before, page) for p in run)
-            before, run = run[-1] if run else None, [page]
-        if len(rows) >= 2000:
-            yield pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "n_shared"])
-            rows = []
-    rows.extend(result(p, before, None) for p in run)
-    yield pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "n_shared"])
+                is_open = True
+                unsettled(LAST, number - 1, before)
+            if is_open:
+                for p in run:
+                    unsettled(OPEN, number, p)
+                run = []
+            if len(rows) >= 2000:
+                yield pd.DataFrame(rows, columns=_columns(_PASS))
+                rows.clear()
+    for p in run:
+        unsettled(OPEN, number, p)
+    if last is not None:
+        unsettled(LAST, number, last)
+        if number and not is_open:
+            unsettled(LAST, number - 1, before)
+    yield pd.DataFrame(rows, columns=_columns(_PASS))
+
+
+def _columns(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def _copies(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+    return pd.Series([x["host"] == y["host"] and aligned(_lines_of(x["lines"], x["places"]), _lines_of(y["lines"], y["places"]))[1]
+                      for x, y in zip(a.to_dict("records"), b.to_dict("records"))], dtype=bool)
+
+
+def _neighbours(passed: DataFrame) -> DataFrame:
+    """part, run, before, after of every run with open pages; runs that go on in the next partition are one."""
+    page = F.struct("host", "path", "lines", "places").alias("page")
+    edges = passed.where(f"kind in ({FIRST}, {LAST})").select("part", "run", "kind", page)
+    by_part = Window.orderBy("part")  # one short row a partition
+    parts = edges.groupBy("part").agg(F.max("run").alias("runs")).select(
+        "part", "runs", F.lag("part").over(by_part).alias("part_before"), F.lag("runs").over(by_part).alias("run_before"))
+    begin = edges.where(f"kind = {FIRST} and run = 0").select("part", F.col("page").alias("begin"))
+    end = edges.where(f"kind = {LAST}").select(F.col("part").alias("part_before"), F.col("run").alias("run_before"),
+                                               F.col("page").alias("end"))
+    goes_on = F.pandas_udf(_copies, "boolean")("begin", "end")
+    joined = parts.join(begin, "part").join(end, ["part_before", "run_before"]).select("part", goes_on.alias("goes_on"))
+    bases = parts.join(joined, "part", "left").select("part", F.sum(  # the first partition begins at 0
+        F.coalesce("run_before", F.lit(-1)) + F.when(F.col("goes_on"), 0).otherwise(1)).over(by_part).alias("base"))
+    numbered = edges.join(bases, "part").withColumn("n", F.col("base") + F.col("run"))
+    before = numbered.where(f"kind = {LAST}").groupBy((F.col("n") + 1).alias("n")).agg(F.max_by("page", "part").alias("before"))
+    after = numbered.where(f"kind = {FIRST}").groupBy((F.col("n") - 1).alias("n")).agg(F.min_by("page", "part").alias("after"))
+    return (passed.where(f"kind = {OPEN}").select("part", "run").distinct().join(bases, "part")
+            .withColumn("n", F.col("base") + F.col("run")).join(before, "n", "left").join(after, "n", "left")
+            .select("part", "run", "before", "after"))
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Open pages with the neighbours of their runs -> texts."""
+    def page(host, path, lines, places):
+        return None if host is None else (None, None, host, path, _lines_of(lines, places))
+
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            own = r.page_id, r.url, r.host, r.path, _lines_of(r.lines, r.places)
+            rows.append((r.page_id, r.url, *_settled(own, *[page(*[getattr(r, f"{side}_{c}") for c in (
+                "host", "path", "lines", "places")]) for side in ("before", "after")])))
+        yield pd.DataFrame(rows, columns=_columns(_TEXT))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared (lines deleted as shared) of every page."""
-    placed = (pages.select(F.col("page_id").cast("string"), "url", "html", url_host(F.col("url")).alias("host"),
-                           url_path(F.col("url")).alias("path"))
-              .repartitionByRange(text_partitions(pages), "host", "path", "page_id")
-              .sortWithinPartitions("host", "path", "page_id"))  # as text: a null id makes no floats in pandas
-    return (placed.mapInPandas(_extract, "page_id string, url string, text string, n_chars long, n_shared int")
-            .withColumn("page_id", F.col("page_id").cast("long")))
+    spark, path = pages.sparkSession, scratch_path(pages.sparkSession, "page-texts")
+    key = ["host", "path", "page_id"]
+    parsed = (pages.select(F.col("page_id").cast("string"), "url", url_host(F.col("url")).alias("host"),
+                           url_path(F.col("url")).alias("path"), "html")  # as text: a null id makes no floats in pandas
+              .mapInPandas(_parse, _PAGE))
+    placed = (parsed.repartitionByRange(text_partitions(pages), *key).sortWithinPartitions(*key, "lines", "places")
+              .withColumn("part", F.spark_partition_id()))
+    # written: a range is what one sampling of the bounds made it, so it must not be made again
+    placed.mapInPandas(_extract, _PASS).write.option("compression", "zstd").parquet(path)
+    passed = spark.read.schema(_PASS).parquet(path)
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("before", "after") for c in ("host", "path", "lines", "places")]
+    left_open = (passed.where(f"kind = {OPEN}").select("part", "run", *_columns(_PAGE))
+                 .join(_neighbours(passed), ["part", "run"], "left").select(*_columns(_PAGE), *sides)
+                 .mapInPandas(_settle, _TEXT))
+    return (passed.where(f"kind = {SETTLED}").select(*_columns(_TEXT)).unionByName(left_open)
+            .select(F.col("page_id").cast("long"), "url", "text", F.char_length("text").cast("long").alias("n_chars"),
+                    "n_shared"))

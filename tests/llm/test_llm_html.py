@@ -123,3 +123,36 @@ def test_article_is_spared(spark, monkeypatch):
     page = "<nav><a>home</a></nav><div>stray</div><article><p>shared passage</p><p>{}</p></article><footer>foot</footer>"
     got = texts(spark, [("http://s.com/1", page.format("own one")), ("http://s.com/2", page.format("own two"))])
     assert got[0].text == "shared passage\nown one" and got[0].n_shared == 3
+
+
+def plain_texts(pages):
+    """(text, shared lines) by page number: all pages in one list, whatever the run's length."""
+    rows = sorted((url[7:].split("/")[0], "/" + url[7:].split("/", 1)[1], str(k), H.page_lines(page)) for k, (url, page) in enumerate(pages))
+    starts = [k for k in range(len(rows)) if not k or rows[k - 1][0] != rows[k][0] or not H.aligned(rows[k - 1][3], rows[k][3])[1]]
+    out = {}
+    for begin, end in zip(starts, [*starts[1:], len(rows)]):
+        for host, path, page_id, lines in rows[begin:end]:
+            near = [rows[k] for k in (begin - 1, end) if 0 <= k < len(rows) and rows[k][0] == host]
+            near.sort(key=lambda p: -H._common_start(p[1], path))
+            out[int(page_id)] = H.main_text(lines, *[p[3] for p in near])
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7, 40])
+def test_edges_of_partitions_and_long_runs_are_exact(spark, monkeypatch, partitions):
+    """Runs within a partition, over its edge, over several partitions, and of more copies than a task keeps."""
+    monkeypatch.setattr(H, "text_partitions", lambda df: partitions)
+    a, b, c = words(9), words(9), words(9)
+    pages = [("http://a.com/0", html(["top", b, "end"])), ("http://a.com/2", html(["end", c]))]
+    pages += [(f"http://a.com/1/{k:04}", html(["top", a, "end"])) for k in range(H.LONGEST_RUN + 300)]
+    pages += [(f"http://b.com/{k}", html(["top", a, "end"])) for k in range(3)]
+    for host in "cdef":
+        for k in range(60):
+            pages += [(f"http://{host}.com/{k:02}/{j:02}", html(["top", f"part {k % 3}", f"own {k}", "end"]))
+                      for j in range(rnd.choice([1, 1, 1, 2, 5]))]
+    rnd.shuffle(pages)
+    got = texts(spark, pages)
+    assert {k: (r.text, r.n_shared) for k, r in got.items()} == plain_texts(pages)
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    # by the page before alone, "end" would have gone from the last of the long run's pages, "top" have stayed
+    assert {got[k].text for k, (url, _) in enumerate(pages) if url.startswith("http://a.com/1/")} == {a}
