@@ -114,14 +114,22 @@ def csv_records(lines: DataFrame, ranges: DataFrame, odd: bool) -> DataFrame:
     return found.where(f"kind = {WHOLE}").drop("kind").unionByName(_stitched(found.where(f"kind != {WHOLE}")))
 
 
-def _fields(header: str, record: Column, names: Sequence[str]) -> Column:
-    """The asked columns of a record under a header, as a struct."""
+def _places(header: str) -> dict[str, int]:
+    """Column names of a header and where they stand."""
     if header.count('"') % 2:
         raise ValueError(f"the header goes over several lines: {header!r}")
-    found = next(csv.reader([header.lstrip("\ufeff").rstrip("\r")]), [])
-    fields = F.from_csv(record, F.lit(", ".join(f"c{i} string" for i in range(len(found)))), _OPTIONS)
-    place = {n: i for i, n in enumerate(found)}
-    return F.struct(*[(fields[f"c{place[n]}"] if n in place else F.lit(None).cast("string")).alias(n) for n in names])
+    return {n: i for i, n in enumerate(next(csv.reader([header.lstrip("\ufeff").rstrip("\r")]), []))}
+
+
+def _named(name: str, layouts: dict[str, dict[str, int]]) -> Column:
+    """A column of a parsed record by its header's place for it."""
+    def at(places):
+        return F.col(f"c{places[name]}") if name in places else F.lit(None).cast("string")
+    (_, first), *others = layouts.items()
+    out = at(first)
+    for header, places in others:
+        out = F.when(F.col("header") == header, at(places)).otherwise(out)
+    return out.alias(name)
 
 
 def read_csv_columns(spark: SparkSession, path, names: Sequence[str]) -> DataFrame:
@@ -144,8 +152,10 @@ def read_csv_columns(spark: SparkSession, path, names: Sequence[str]) -> DataFra
     else:  # a row a file, of which there are no more than ranges
         rows = rows.join(F.broadcast(headers), "file")
     record = F.rtrim(F.col("record"), F.lit("\r"))
-    parsed = _fields(layouts[0], record, names)
-    for header in layouts[1:]:
-        parsed = F.when(F.col("header") == header, _fields(header, record, names)).otherwise(parsed)
-    return (rows.where((record != "") & (F.col("record") != F.col("header")))
-            .select(F.inline(F.array(parsed)), F.struct("file", "block", "seq").alias("_order")))
+    by_header = {header: _places(header) for header in layouts}
+    width = 1 + max((i for places in by_header.values() for i in places.values()), default=0)
+    # a generator's output: taken straight from from_csv, each column would parse the record anew
+    fields = F.from_csv(record, F.lit(", ".join(f"c{i} string" for i in range(width))), _OPTIONS)
+    parsed = rows.where((record != "") & (F.col("record") != F.col("header"))).select(
+        F.inline(F.array(fields)), "header", F.struct("file", "block", "seq").alias("_order"))
+    return parsed.select(*[_named(n, by_header) for n in names], "_order")

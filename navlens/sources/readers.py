@@ -64,10 +64,11 @@ def regroup_visit_rows(rows: DataFrame, order_col: str) -> DataFrame:
     """
     others = [c for c in rows.columns if c not in ("visit_id", "watch_id", order_col)]
     order = F.struct(F.col(order_col).alias("o"))  # never NULL itself: min_by skips NULL orders
-    ids = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("watch_id").alias("w"))))
+    # a row carries its order twice, once for its id and once for all other columns together
+    ids = F.array_sort(F.collect_list(F.when(F.col("watch_id").isNotNull(), F.struct(order.alias("o"), F.col("watch_id").alias("w")))))
     return rows.groupBy("visit_id").agg(
         F.nullif(F.array_join(F.transform(ids, lambda s: s["w"]), ","), F.lit("")).alias("watch_ids"),
-        *[F.min_by(F.col(c), order).alias(c) for c in others])
+        F.min_by(F.struct(*others), order).alias("_first")).select("visit_id", "watch_ids", "_first.*")
 
 
 def read_visits_csv(spark: SparkSession, path: str) -> DataFrame:
