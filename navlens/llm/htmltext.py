@@ -12,9 +12,9 @@ an article repeats from another is still its text. So for a page with an
 article the article is the result, whatever else the alignment leaves of the
 frame; for one without, the lines elsewhere that the neighbour doesn't share.
 
-Pages are parsed, range-partitioned by (host, path, page_id) and streamed in
-order, so a host of any size spreads over tasks. A task settles the pages whose
-neighbours it meets. Those of its first and last run of copies, whose neighbours
+Pages are parsed, range-partitioned by (host, path, page_id) with their lines
+compressed, and streamed in order, so a host of any size spreads over tasks. A
+task settles the pages whose neighbours it meets. Those of its first and last run of copies, whose neighbours
 may stand in other partitions, and of a run of more than ``LONGEST_RUN`` copies,
 of which it holds no more, are written as they are, with the pages that runs begin
 and end with; runs are then numbered through over the partitions, and each page
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,6 +47,7 @@ LONGEST_RUN = 1000
 # Rows of the written pass: settled pages, pages without their neighbours, pages that runs begin and end with.
 SETTLED, OPEN, FIRST, LAST = range(4)
 _PAGE = "page_id string, url string, host string, path string, lines string, places string"
+_PACKED = "page_id string, url string, host string, path string, lines binary, places string"
 _PASS = f"part int, run long, kind int, {_PAGE}, text string, n_shared int"
 _TEXT = "page_id string, url string, text string, n_shared int"
 # Where a line stands.
@@ -196,15 +198,22 @@ def main_text(lines: list[tuple[str, int]], *neighbours: list[tuple[str, int]] |
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Html -> lines, which hold no line break, and where each stands as a digit."""
+    """Html -> lines, which hold no line break, compressed, and where each stands as a digit."""
     for batch in batches:
         for at in range(0, len(batch), 2000):
             rows = batch.iloc[at:at + 2000]
             pages = [page_lines(page) for page in rows["html"]]
-            yield rows.drop(columns="html").assign(lines=["\n".join(t for t, _ in page) for page in pages],
+            yield rows.drop(columns="html").assign(lines=[zlib.compress("\n".join(t for t, _ in page).encode()) for page in pages],
                                                    places=["".join(str(k) for _, k in page) for page in pages])
 
 
+def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), 2000):
+            rows = batch.iloc[at:at + 2000]
+            yield rows.assign(lines=[zlib.decompress(lines).decode() for lines in rows["lines"]])
+
+
 def _lines_of(lines: str, places: str) -> list[tuple[str, int]]:
     return list(zip(lines.split("\n"), map(int, places))) if places else []
 
@@ -307,8 +316,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     key = ["host", "path", "page_id"]
     parsed = (pages.select(F.col("page_id").cast("string"), "url", url_host(F.col("url")).alias("host"),
                            url_path(F.col("url")).alias("path"), "html")  # as text: a null id makes no floats in pandas
-              .mapInPandas(_parse, _PAGE))
-    placed = (parsed.repartitionByRange(text_partitions(pages), *key).sortWithinPartitions(*key, "lines", "places")
+              .mapInPandas(_parse, _PACKED))
+    placed = (parsed.repartitionByRange(text_partitions(pages), *key).mapInPandas(_unpack, _PAGE)
+              .sortWithinPartitions(*key, "lines", "places")
               .withColumn("part", F.spark_partition_id()))
     # written: a range is what one sampling of the bounds made it, so it must not be made again
     placed.mapInPandas(_extract, _PASS).write.option("compression", "zstd").parquet(path)

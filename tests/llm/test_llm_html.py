@@ -1,6 +1,7 @@
 """Page differencing: the query against a plain version, heavy boilerplate, groups of copies."""
 import random
 
+import pandas as pd
 import pytest
 
 from navlens.llm import htmltext as H
@@ -157,3 +158,12 @@ def test_edges_of_partitions_and_long_runs_are_exact(spark, monkeypatch, partiti
     # the nearest page is the one after: by the page before alone, "top" would have gone
     run = [k for k, (url, _) in enumerate(pages) if url.startswith("http://a.com/1/") and url[-1] != "z"]
     assert {got[k].text for k in run} == {f"top\n{a}"}
+
+
+def test_pages_are_shuffled_compressed():
+    """What a page takes in the shuffle; a block of plain lines takes about two thirds of their bytes there."""
+    lines = [[words(40) for _ in range(8)] for _ in range(50)]
+    rows = pd.DataFrame({"page_id": [str(k) for k in range(50)], "html": [html(x) for x in lines]})
+    packed = pd.concat(H._parse(iter([rows])))
+    assert packed["lines"].map(len).sum() < 0.55 * sum(len("\n".join(x)) for x in lines)
+    assert list(pd.concat(H._unpack(iter([packed])))["lines"]) == ["\n".join(x) for x in lines]
